@@ -4,12 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calorine.llm import sharding, url_filter
+from calorine.llm import bpe, sharding, token_counts, url_filter
 from calorine.llm.common import read_table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of an installed public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"), bpe.load_ranks(tokenizer_file("byte_bpe_50k.tiktoken")))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), token_counts.load_scores(tokenizer_file("piece_bpe_32k.model")))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
@@ -18,7 +33,7 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {"op4_url_filter": op4_url_filter, "op9_hilbert_shards": op9_hilbert_shards}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_token_counts": op3_token_counts, "op4_url_filter": op4_url_filter, "op9_hilbert_shards": op9_hilbert_shards}
 
 OP4_SQL = r"""
 WITH rules(verdict, rhost, rpath) AS (VALUES ('allow','org','/'), ('block','example.org','/es/'), ('block','example.org','/en/1'), ('allow','com','/fr/'), ('block','com','/de/')),
