@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calorine.llm import bpe, sharding, token_counts, url_filter
-from calorine.llm.common import read_table
+from calorine.llm import bpe, decontaminate, html_text, sharding, token_counts, toxicity, url_filter, warc
+from calorine.llm.common import read_table, scratch
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -29,11 +29,29 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.judge(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive(read_table(spark, sf_dir, "pages"), scratch(spark, "archives"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_token_counts": op3_token_counts, "op4_url_filter": op4_url_filter, "op9_hilbert_shards": op9_hilbert_shards}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_token_counts": op3_token_counts, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op7_arc_to_warc": op7_arc_to_warc, "op8_decontaminate": op8_decontaminate, "op9_hilbert_shards": op9_hilbert_shards, "op10_html_text": op10_html_text}
 
 OP4_SQL = r"""
 WITH rules(verdict, rhost, rpath) AS (VALUES ('allow','org','/'), ('block','example.org','/es/'), ('block','example.org','/en/1'), ('allow','com','/fr/'), ('block','com','/de/')),
