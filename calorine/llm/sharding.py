@@ -7,43 +7,45 @@ dimension, so each shard covers a small box and a filter on any of the dimension
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from calorine.llm.common import cut
+
 #: Bits for each dimension: 3 dimensions of 4 bits give 4,096 cells, a bound that doesn't grow with the data.
 BITS = 4
 #: Rows of one cell are dealt to this many tasks, so that a cell with a third of all rows is no single task's work.
 SALTS = 64
 
 
-def hilbert_index(axes: list[Column], bits: int) -> Column:
-    """Position on the Hilbert curve of a point with ``bits`` bits for each axis (Skilling's transform).
+def hilbert_table(spark: SparkSession, dims: int, bits: int) -> DataFrame:
+    """(code, cell) for each of the ``2**(dims*bits)`` points: their packed coordinates and place on the curve.
 
-    Undoes the rotations from the highest bit down, Gray-codes the axes, then interleaves their bits.
+    Skilling's transform: undo the rotations from the highest bit down, Gray-code the axes, interleave their bits.
+    Each step is a projection of its own, so that no expression is evaluated twice.
     """
-    n = len(axes)
-    point = F.array(*[a.cast("int") for a in axes])
-    steps = [(q, i) for q in (1 << b for b in range(bits - 1, 0, -1)) for i in range(n)]
-
-    def turned(acc: Column, step: Column) -> Column:
-        q, i = step["q"], step["i"]
-        own = F.get(acc, i)
-        has = own.bitwiseAND(q) != 0
-        low = q - 1
-        first = F.when(has, low).otherwise(F.get(acc, F.lit(0)).bitwiseXOR(own).bitwiseAND(low))
-        second = F.when(has | (i == 0), F.lit(0)).otherwise(first)
-        return F.transform(acc, lambda v, k: v.bitwiseXOR(F.when(k == 0, first).otherwise(0)).bitwiseXOR(F.when(k == i, second).otherwise(0)))
-
-    if steps:
-        table = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(i).alias("i")) for q, i in steps])
-        point = F.aggregate(table, point, turned)
-    gray = F.transform(point, lambda v, k: F.aggregate(F.slice(point, F.lit(1), k + 1), F.lit(0), lambda a, x: a.bitwiseXOR(x)))
-    last = F.get(gray, F.lit(n - 1))
-    fix = F.aggregate(F.array(*[F.lit(1 << b) for b in range(bits - 1, 0, -1)] or [F.lit(1)]), F.lit(0), lambda a, q: F.when((q > 1) & (last.bitwiseAND(q) != 0), a.bitwiseXOR(q - 1)).otherwise(a))
-    places = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(n)])
-    packed = F.struct(gray.alias("g"), fix.alias("f"))
-    bit_at = lambda p, s: F.expr("0") if p is None else F.get(p["g"], s["i"]).bitwiseXOR(p["f"])
-    return F.aggregate(places, F.lit(0).cast("long"), lambda a, s: a * 2 + F.when(bit_at(packed, s).bitwiseAND(F.call_function("shiftleft", F.lit(1), s["b"])) != 0, 1).otherwise(0))
+    names = [f"x{i}" for i in range(dims)]
+    x = lambda i: F.col(names[i])
+    mask = (1 << bits) - 1
+    points = spark.range(1 << dims * bits).select(F.col("id").alias("code"), *[F.shiftright("id", bits * (dims - 1 - i)).bitwiseAND(mask).cast("int").alias(names[i]) for i in range(dims)])
+    tops = [1 << b for b in range(bits - 1, 0, -1)]
+    for q in tops:
+        for i in range(dims):
+            has = x(i).bitwiseAND(q) != 0
+            swap = x(0).bitwiseXOR(x(i)).bitwiseAND(q - 1)
+            first = x(0).bitwiseXOR(F.when(has, F.lit(q - 1)).otherwise(swap))
+            moved = {0: first} | ({i: x(i).bitwiseXOR(F.when(has, F.lit(0)).otherwise(swap))} if i else {})
+            points = points.select("code", *[moved.get(k, x(k)).alias(names[k]) for k in range(dims)])
+    for i in range(1, dims):
+        points = points.withColumn(names[i], x(i).bitwiseXOR(x(i - 1)))
+    points = points.withColumn("turn", F.lit(0))
+    for q in tops:
+        points = points.withColumn("turn", F.when(x(dims - 1).bitwiseAND(q) != 0, F.col("turn").bitwiseXOR(q - 1)).otherwise(F.col("turn")))
+    for n in names:
+        points = points.withColumn(n, F.col(n).bitwiseXOR(F.col("turn")))
+    places = [(b, i) for b in range(bits - 1, -1, -1) for i in range(dims)]
+    bit = lambda b, i: F.shiftright(x(i), b).bitwiseAND(1).cast("long")
+    return points.select("code", sum((F.shiftleft(bit(b, i), len(places) - 1 - k) for k, (b, i) in enumerate(places)), F.lit(0).cast("long")).alias("cell"))
 
 
 def level(value: Column, bits: int) -> Column:
@@ -69,8 +71,10 @@ def assign_shards(docs: DataFrame, n_shards: int, bits: int = BITS, salts: int =
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"), F.col("lang").alias("__lang"), F.col("source").alias("__source"))
-    cell = hilbert_index([category(F.col("__lang"), bits), category(F.col("__source"), bits), level(F.col("size"), bits)], bits)
-    rows = rows.select("doc_id", "size", "text_crc32", cell.alias("cell"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(salts)).cast("int").alias("salt"))
+    code = sum((F.shiftleft(axis.cast("long"), bits * (2 - i)) for i, axis in enumerate([category(F.col("__lang"), bits), category(F.col("__source"), bits), level(F.col("size"), bits)])), F.lit(0).cast("long"))
+    rows = rows.select("doc_id", "size", "text_crc32", code.alias("code"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(salts)).cast("int").alias("salt"))
+    curve = hilbert_table(docs.sparkSession, 3, bits)  # 2**(3*bits) rows, whatever the data
+    rows = cut(rows.join(F.broadcast(curve), "code").drop("code"))  # the texts are read once; the keys are used three times
 
     counts = rows.groupBy("cell", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.floor(F.col("cell") / 64))
     inside = Window.partitionBy("block").orderBy("cell", "salt").rowsBetween(Window.unboundedPreceding, -1)
