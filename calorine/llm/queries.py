@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calorine.llm import bpe, decontaminate, html_text, sharding, token_counts, toxicity, url_filter, warc
+from calorine.llm import bpe, decontaminate, html_text, ngram_join, sharding, token_counts, toxicity, url_filter, warc
 from calorine.llm.common import read_table, scratch
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -34,6 +34,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(read_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive(read_table(spark, sf_dir, "pages"), scratch(spark, "archives"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -51,7 +55,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_token_counts": op3_token_counts, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op7_arc_to_warc": op7_arc_to_warc, "op8_decontaminate": op8_decontaminate, "op9_hilbert_shards": op9_hilbert_shards, "op10_html_text": op10_html_text}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_token_counts": op3_token_counts, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op6_ngram_join": op6_ngram_join, "op7_arc_to_warc": op7_arc_to_warc, "op8_decontaminate": op8_decontaminate, "op9_hilbert_shards": op9_hilbert_shards, "op10_html_text": op10_html_text}
 
 OP4_SQL = r"""
 WITH rules(verdict, rhost, rpath) AS (VALUES ('allow','org','/'), ('block','example.org','/es/'), ('block','example.org','/en/1'), ('allow','com','/fr/'), ('block','com','/de/')),
