@@ -263,3 +263,27 @@ def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     nodes = cut(nodes.join(component, "node", "left").select("signature", F.coalesce("component", "node").alias("component")))
     out = rows.join(nodes, "signature", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``dropped``; null ids stay.
+
+    Only rows whose id's bit is marked are shuffled to meet the dropped ids.
+    """
+    dropped = cut(dropped)
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(dropped.select(F.col("doc_id").alias("id"))))
+    names = docs.columns
+
+    def half(marked: bool):
+        def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in stream:
+                bits = batch.column(len(names)).to_numpy(zero_copy_only=False)
+                hit = (marks.value[bits >> 5] >> (bits & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+                yield batch.select(list(range(len(names)))).filter(pa.array(hit == marked))
+
+        return batches
+
+    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS)).cast("int")
+    rows = docs.withColumn("__bit", bit)
+    clear, marked = (rows.mapInArrow(half(m), docs.schema) for m in (False, True))
+    return clear.unionByName(marked.join(dropped, "doc_id", "left_anti").select(*names))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calorine.llm import bpe, decontaminate, html_text, ngram_join, sharding, token_counts, toxicity, url_filter, warc
+from calorine.llm import bpe, decontaminate, html_text, ngram_join, sharding, token_counts, toxicity, url_filter, vector_dedup, warc
 from calorine.llm.common import read_table, scratch
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -21,6 +21,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), bpe.load_ranks(tokenizer_file("byte_bpe_50k.tiktoken")))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), token_counts.load_scores(tokenizer_file("piece_bpe_32k.model")))
 
@@ -55,7 +59,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op3_token_counts": op3_token_counts, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op6_ngram_join": op6_ngram_join, "op7_arc_to_warc": op7_arc_to_warc, "op8_decontaminate": op8_decontaminate, "op9_hilbert_shards": op9_hilbert_shards, "op10_html_text": op10_html_text}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_embedding_dedup": op2_embedding_dedup, "op3_token_counts": op3_token_counts, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op6_ngram_join": op6_ngram_join, "op7_arc_to_warc": op7_arc_to_warc, "op8_decontaminate": op8_decontaminate, "op9_hilbert_shards": op9_hilbert_shards, "op10_html_text": op10_html_text}
 
 OP4_SQL = r"""
 WITH rules(verdict, rhost, rpath) AS (VALUES ('allow','org','/'), ('block','example.org','/es/'), ('block','example.org','/en/1'), ('allow','com','/fr/'), ('block','com','/de/')),
