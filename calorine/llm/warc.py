@@ -170,10 +170,12 @@ def _segments(stream: Iterator[pa.RecordBatch], opening, record, mark: bytes) ->
     for batch in stream:
         columns = batch.columns
         for i in range(batch.num_rows):
-            part = record(made, *[c[i].as_py() for c in columns])
+            row = [c[i].as_py() for c in columns]
+            part = record(made, *row)
             if parts and size + len(part) > SEGMENT:
                 yield flush()
                 made, parts, size = made + 1, [], 0
+                part = record(made, *row)  # the next segment may be of another version
             parts.append(part)
             size += len(part)
     if parts:
