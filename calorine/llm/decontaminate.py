@@ -112,7 +112,7 @@ class Index:
             at = np.flatnonzero(self.filter[k][s >> np.uint64(64 - FILTER_BITS)])
             if not len(at):
                 continue
-            at = at[np.isin(s[at], known)]
+            at = at[known[np.minimum(np.searchsorted(known, s[at]), len(known) - 1)] == s[at]]
             if not len(at):
                 continue
             count = np.zeros(len(s) + 1, np.int64)
