@@ -23,7 +23,7 @@ VERSION = 1
 MINUTE_HEADER = struct.Struct("<IHHIIHHHHQIIII")
 ROLLUP_HEADER = struct.Struct("<IHHIIHHIIII")
 JOURNAL_HEADER = struct.Struct("<IHHIHHIB3xII")
-STATE_HEADER = struct.Struct("<IHHIIHHIII28x")
+STATE_HEADER = struct.Struct("<IHHIIHHIII32x")
 STATE_ENTRY = struct.Struct("<I4xQqHhh2x")
 CALIBRATION_HEADER = struct.Struct("<IHHI")
 SLOT = np.dtype([("node", "<u4"), ("rom", "<u8")])

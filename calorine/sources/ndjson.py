@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from calorine.functions import scalar as S
 from calorine.schemas import FRAME
@@ -21,9 +20,10 @@ def route(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
     Adds ``frame`` (the parsed struct) and ``type``.
     """
-    marked = StructType([*FRAME.fields, StructField("_corrupt", StringType())])
-    parsed = lines.withColumn("frame", F.from_json(line_col, marked, {"columnNameOfCorruptRecord": "_corrupt"}))
-    return parsed.where("frame._corrupt IS NULL AND frame IS NOT NULL").withColumn("type", F.coalesce("frame.type", F.lit("temps")))
+    # A mistyped field nulls that field alone; only a line that is no JSON object is corrupt.
+    whole = F.get_json_object(line_col, "$")
+    parsed = lines.where(whole.isNotNull() & F.ltrim(F.col(line_col)).startswith("{"))
+    return parsed.withColumn("frame", F.from_json(line_col, FRAME)).withColumn("type", F.coalesce("frame.type", F.lit("temps")))
 
 
 def frames_to_samples(routed: DataFrame, from_col: str = "from", rx_col: str = "rx_ms") -> DataFrame:
