@@ -1,26 +1,35 @@
 """Exact Jaccard self-join on word shingles, by prefix filters under several global token orders.
 
-If two sets have a Jaccard similarity of t, then under *any* order of all tokens the first ``n - ceil(t*n) + 1`` tokens
-of each (its prefix) have one in common.  Documents meet in the buckets of their prefix tokens under the first order;
-a pair goes on only if its prefixes under every further order meet too, and only then are the whole sets compared.
+If two sets have a Jaccard similarity of t, they share ``o >= t*n`` tokens of either, so under *any* order of all tokens
+the first l of those are within the first ``n - o + l`` tokens of each.  So the prefixes of ``n - ceil(t*n) + l(n)`` tokens
+have l in common, where l is the smaller of both sets' ``l(n)``, or o if that is less.  Documents meet in the buckets of
+their prefix tokens under the first order; a pair goes on only if its prefixes under every further order have that many
+in common too, and only then are the whole sets compared.
 
-Tokens are 64-bit hashes.  All orders put tokens that many documents share last (by their counts) and the rest first,
-each order by a hash of its own, so that common passages seldom make buckets.  An order only steers the work: whatever
-tokens it holds to be common, the result is the same.
+Tokens are 64-bit hashes.  All orders put tokens that many documents share last and the rest first, each order by a
+hash of its own, so that common passages seldom make buckets.  How common a token is comes from a sketch of counters
+over all documents.  An order only steers the work: whatever tokens it holds to be common, the result is the same.
+
+A token among a set's first ``l(n) - 1`` that meets no other prefix is in no similar set.  A set with more such lone
+tokens than it may miss in a partner of given size can't be similar to it; so heavily edited copies drop out unread.
 
 Groups of copies are not spelled out in pairs.  Equal sets are one node.  In a first round the members of a bucket
-meet only its smallest member, a number of pairs linear in the bucket.  What that links is one component already; a
-second round compares, within buckets, members of different components alone, each pair of them, so no link between
-components is lost.
+meet only its pivot, the member with the fewest lone tokens, a number of pairs linear in the bucket.  What that links
+is one component already; a second round compares, within buckets, members of different components alone, each pair
+of them that has enough prefix tokens in common, so no link between components is lost.  The first round also tells how
+far each member is from the pivot: of two members' differences from it they share none of their lone tokens, which
+bounds their own difference from below and rules out most pairs of edited copies of one text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,37 +38,31 @@ from calorine.llm.components import connected_components
 
 #: Seeds of the token orders.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-#: Tokens that are counted together, and how often one must occur among them to be sent on as common; the commonest
-#: tokens that the orders know, and the least count of those.  None of them bears on the result.
-COUNT_CHUNK, COUNT_LEAST, COMMON_TOKENS, COMMON_LEAST = 4_000_000, 4, 100_000, 12
+#: Bits of the sketch's counters, and counters of one of the pieces in which it travels.
+SKETCH_BITS, SKETCH_PIECE = 22, 1 << 16
+#: Tokens that are counted together.
+COUNT_CHUNK = 4_000_000
+#: Buckets go by the upper 40 bits of a token, which shuffle in fewer bytes; a chance meeting is seen through later.
+BUCKET_SHIFT = 24
 #: Members of one bucket that meet their pivot in one task.
 MEETING = 1_000
 #: Bits of the filter that keeps texts without a candidate from being shuffled.
 FILTER_BITS = 24
-CACHE_WORDS = 500_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, k: int, cache: WordHashes) -> np.ndarray:
+def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted hashes of the distinct k-word shingles; of fewer words, of the whole sequence; empty without words."""
     words = (text or "").encode().lower().split()  # of bytes: A-Z alone are lowered, and only ASCII white space splits
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     k = min(k, len(words))
     out = hashes[: len(hashes) - k + 1].copy()
     for i in range(1, k):
@@ -67,29 +70,34 @@ def shingle_set(text: str | None, k: int, cache: WordHashes) -> np.ndarray:
     return np.unique(mix(out + np.uint64(k)))
 
 
+def least_common(n: int, percent: int) -> int:
+    """l(n): the share of a set that a partner of its size may lack, and a little more."""
+    return n * (100 - percent) // (100 + percent) + 3
+
+
 def prefix_size(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1 if n else 0
+    return min(n, n - -(-percent * n // 100) + least_common(n, percent))
 
 
 class Orders:
-    """The global orders: hash orders with the common tokens moved to the end."""
+    """The global orders: hash orders with the common tokens moved to the end.
 
-    def __init__(self, common: np.ndarray, counts: np.ndarray):
-        order = np.argsort(common)
-        self.common, self.rank = common[order], counts[order].astype(np.uint64)
+    weights: by a token's upper bits 0, or more the commoner such tokens are.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        usual = float(np.median(counts)) if len(counts) else 0.0
+        bound = usual + 3 * usual**0.5 + 2
+        self.weights = np.where(counts > bound, 1 + 1000 * np.log2(np.maximum(counts, 1) / bound), 0).clip(0, 65_535).astype(np.uint16)
 
     def prefix(self, tokens: np.ndarray, size: int, o: int) -> np.ndarray:
-        """The first ``size`` tokens of a set under order ``o``."""
-        if size >= len(tokens):
-            return tokens
-        weight = np.zeros(len(tokens), np.uint64)
-        if len(self.common):
-            at = np.minimum(np.searchsorted(self.common, tokens), len(self.common) - 1)
-            weight[self.common[at] == tokens] = self.rank[at][self.common[at] == tokens]
+        """The first ``size`` tokens of a set under order ``o``, in that order."""
+        weight = self.weights[tokens >> np.uint64(64 - SKETCH_BITS)]
         key = mix(tokens ^ np.uint64(ORDERS[o]))
         plain = np.flatnonzero(weight == 0)
         if len(plain) >= size:
-            return tokens[plain[np.argpartition(key[plain], size - 1)[:size]]] if len(plain) > size else tokens[plain]
+            chosen = plain if len(plain) == size else plain[np.argpartition(key[plain], size - 1)[:size]] if size else plain[:0]
+            return tokens[chosen[np.argsort(key[chosen])]]
         return tokens[np.lexsort((key, weight))[:size]]
 
 
@@ -98,49 +106,68 @@ def _signature(tokens: np.ndarray) -> bytes:
 
 
 def _measure(docs: DataFrame, k: int) -> DataFrame:
-    """One row a document (doc_id, n, signature), and rows (token, count) of tokens common within a task."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("token", pa.int64()), ("count", pa.int64())])
+    """One row a document (doc_id, n, signature), and each task's sketch in pieces (piece, counts)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held, size = WordHashes(), [], 0
+        sketch, held, size = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
 
-        def counted() -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            at = counts >= COUNT_LEAST
-            n = int(at.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(tokens[at].view(np.int64)), pa.array(counts[at], pa.int64())], schema=schema)
+        def counted() -> None:
+            nonlocal sketch, held, size
+            if held:
+                sketch = sketch + np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+            held, size = [], 0
 
         for batch in stream:
             sizes, signatures = [], []
             for i in range(batch.num_rows):
-                tokens = shingle_set(batch.column(1)[i].as_py(), k, cache)
+                tokens = shingle_set(batch.column(1)[i].as_py(), k)
                 sizes.append(len(tokens))
                 signatures.append(_signature(tokens))
                 held.append(tokens)
                 size += len(tokens)
                 if size >= COUNT_CHUNK:
-                    yield counted()
-                    held, size = [], 0
+                    counted()
             m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], schema=schema)
-        if held:
-            yield counted()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
+        counted()
+        pieces = [(i, zlib.compress(p.clip(0, 255).astype(np.uint8).tobytes(), 1)) for i, p in enumerate(sketch.reshape(-1, min(SKETCH_PIECE, len(sketch)))) if p.any()]
+        m = len(pieces)
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([i for i, _ in pieces], pa.int32()), pa.array([b for _, b in pieces], pa.binary())], schema=schema)
+
+    return docs.mapInArrow(batches, "doc_id bigint, n bigint, signature binary, piece int, counts binary")
+
 
-    return docs.mapInArrow(batches, "doc_id bigint, n bigint, signature binary, token bigint, `count` bigint")
+def _sketch(measured: DataFrame) -> np.ndarray:
+    """The tasks' sketches added up: 2**SKETCH_BITS counters, whatever the data."""
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in stream:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.frombuffer(zlib.decompress(raw), np.uint8).astype(np.uint32)
+                total[i] = total[i] + part if i in total else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(t.tobytes(), 1) for t in total.values()], pa.binary())], ["piece", "counts"])
+
+    pieces = measured.where("piece IS NOT NULL").select("piece", "counts").repartition("piece").mapInArrow(batches, "piece int, counts binary").collect()
+    out = np.zeros((max(1, (1 << SKETCH_BITS) // SKETCH_PIECE), min(SKETCH_PIECE, 1 << SKETCH_BITS)), np.uint32)
+    for r in pieces:
+        out[r["piece"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)
+    return out.ravel()
 
 
 def _prefixes(docs: DataFrame, orders, k: int, percent: int) -> DataFrame:
     """(doc_id, signature, n, tokens): each document's prefix under the first order."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, known = WordHashes(), orders.value
+        known = orders.value
         for batch in stream:
             sizes, signatures, found = [], [], []
             for i in range(batch.num_rows):
-                tokens = shingle_set(batch.column(1)[i].as_py(), k, cache)
+                tokens = shingle_set(batch.column(1)[i].as_py(), k)
                 sizes.append(len(tokens))
                 signatures.append(_signature(tokens))
-                found.append(known.prefix(tokens, prefix_size(len(tokens), percent), 0).view(np.int64))
+                found.append((known.prefix(tokens, prefix_size(len(tokens), percent), 0) >> np.uint64(BUCKET_SHIFT)).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signatures, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "signature", "n", "tokens"])
@@ -162,64 +189,81 @@ def _marks(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, marks: np.ndarray, k: int) -> DataFrame:
-    """(id, tokens binary) of the documents whose bit is marked."""
+def _marked(docs: DataFrame, marks: np.ndarray) -> DataFrame:
+    """(id, text) of the documents whose bit is marked."""
     shared = docs.sparkSession.sparkContext.broadcast(marks)
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).cast("int")
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, marks = WordHashes(), shared.value
+        marks = shared.value
         for batch in stream:
             bits = batch.column(2).to_numpy(zero_copy_only=False)
-            kept = np.flatnonzero(marks[bits >> 5] >> (bits & 31).astype(np.uint32) & np.uint32(1))
-            if not len(kept):
-                continue
-            ids, texts = batch.column(0).take(pa.array(kept)), batch.column(1)
-            for a in range(0, len(kept), 500):
-                part = kept[a : a + 500].tolist()
-                yield pa.RecordBatch.from_arrays([ids.slice(a, len(part)), pa.array([shingle_set(texts[i].as_py(), k, cache).tobytes() for i in part], pa.binary())], ["id", "tokens"])
+            yield batch.select([0, 1]).filter(pa.array((marks[bits >> 5] >> (bits & 31).astype(np.uint32) & np.uint32(1)).astype(bool)))
 
-    return docs.select("doc_id", "text", bit.alias("bit")).where("doc_id IS NOT NULL").mapInArrow(batches, "id bigint, tokens binary")
+    return docs.select(F.col("doc_id").alias("id"), "text", bit.alias("bit")).where("id IS NOT NULL").mapInArrow(batches, "id bigint, text string")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, orders, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those that meet under the further orders too and whose sets are similar.
+    """The pairs (a, b) with their ``overlap`` and whether they are ``similar``.
+
+    A pair is similar if its prefixes meet under the further orders too and then its sets are.  The overlap is reported
+    for all pairs.
 
-    The sets of all b of one a travel to where a's set is, in meetings of MEETING members: a hub's are spread.
+    The texts of all b of one a travel to where a's text is (texts shrink in a shuffle, hashes don't), in meetings of
+    MEETING members: a hub's are spread over many.
     """
     pairs = cut(pairs)
-    sets = _sets(docs, _marks(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), k)
+    texts = _marked(docs, _marks(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     hubs = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEETING).cast("int").alias("rooms")))
     salted = pairs.join(hubs, "a").select("a", F.col("b").alias("id"), F.pmod(F.xxhash64("b"), F.col("rooms")).cast("int").alias("room"), F.lit(1).alias("member"))
     own = hubs.select("a", F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("rooms") - 1)).alias("room"), F.lit(0).alias("member"))
-    met = sets.join(cut(salted.unionByName(own)), "id").select("a", "room", "member", "id", "tokens")
+    met = texts.join(cut(salted.unionByName(own)), "id").select("a", "room", "member", "id", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = met.repartition(n, "a", "room").sortWithinPartitions("a", "room", "member", "id")
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hub, hub_set, hub_prefixes = orders.value, None, None, []
+
+        def prefixes(tokens: np.ndarray) -> list[np.ndarray]:
+            return [known.prefix(tokens, prefix_size(len(tokens), percent), o) for o in range(1, len(ORDERS))]
+
         for batch in stream:
-            left, right = [], []
-            for a, room, member, i, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = np.frombuffer(raw, np.uint64)
-                prefixes = [known.prefix(tokens, prefix_size(len(tokens), percent), o) for o in range(1, len(ORDERS))]
+            out: list[tuple] = []
+            for row in range(batch.num_rows):
+                a, room, member, i, text = (c[row].as_py() for c in batch.columns)
+                tokens = shingle_set(text, k)
                 if not member:
-                    hub, hub_set, hub_prefixes = (a, room), tokens, prefixes
+                    hub, hub_set, hub_prefixes = (a, room), tokens, prefixes(tokens)
                     continue
-                if hub != (a, room) or not all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(prefixes, hub_prefixes)):
+                if hub != (a, room):
                     continue
+                overlap = -(-percent * (len(tokens) + len(hub_set)) // (100 + percent))
+                least = min(least_common(min(len(tokens), len(hub_set)), percent), overlap)
                 common = len(np.intersect1d(tokens, hub_set, assume_unique=True))
-                if 100 * common >= percent * (len(tokens) + len(hub_set) - common):
-                    left.append(a)
-                    right.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+                meets = all(len(np.intersect1d(p, q, assume_unique=True)) >= least for p, q in zip(prefixes(tokens), hub_prefixes))
+                out.append((a, i, common, meets and 100 * common >= percent * (len(tokens) + len(hub_set) - common)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], ["a", "b", "overlap", "similar"])
 
-    return cut(met.mapInArrow(batches, "a bigint, b bigint"))
+    return cut(met.mapInArrow(batches, "a bigint, b bigint, overlap bigint, similar boolean"))
 
 
-def _alike(percent: int, m, n):
-    """Sizes between which the similarity can be reached."""
-    return (100 * F.least(m, n)) >= percent * F.greatest(m, n)
+def _possible(percent: int, x: str, y: str):
+    """Whether sets of these sizes (n) and lone tokens (lone) can be similar: each may miss what the overlap leaves."""
+    m, n = F.col(f"{x}.n"), F.col(f"{y}.n")
+    overlap = F.ceil(percent * (m + n) / F.lit(100 + percent))
+    return (overlap <= F.least(m, n)) & (F.col(f"{x}.lone") <= m - overlap) & (F.col(f"{y}.lone") <= n - overlap)
+
+
+def _apart(percent: int, x: str, y: str):
+    """Whether two members of one bucket differ too much, by their differences (apart) from its pivot.
+
+    What both differ in alike is at most what either has beside its lone tokens.  Unknown differences rule nothing out.
+    """
+    col = lambda s, c: F.col(f"{s}.{c}")
+    alike = F.least(*[col(s, "apart") - F.least(col(s, "apart"), col(s, "lone")) for s in (x, y)])
+    most = F.floor((100 - percent) * (col(x, "n") + col(y, "n")) / F.lit(100 + percent))
+    return F.coalesce(col(x, "apart") + col(y, "apart") - 2 * alike > most, F.lit(False))
 
 
 def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -233,31 +277,56 @@ def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     spark = docs.sparkSession
     measured = cut(_measure(docs, k))
-    common = measured.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= COMMON_LEAST).orderBy(F.desc("count"), "token").limit(COMMON_TOKENS).toPandas()
-    orders = spark.sparkContext.broadcast(Orders(common["token"].to_numpy(np.int64).view(np.uint64), common["count"].to_numpy(np.int64)))
-    rows = measured.where("token IS NULL").select("doc_id", "n", "signature")
+    orders = spark.sparkContext.broadcast(Orders(_sketch(measured)))
+    rows = measured.where("piece IS NULL").select("doc_id", "n", "signature")
     named = rows.where("doc_id IS NOT NULL AND n > 0")
     nodes = cut(named.groupBy("signature").agg(F.min("doc_id").alias("node")))
 
     prefixes = _prefixes(docs.where("doc_id IS NOT NULL"), orders, k, percent).where("n > 0")
     prefixes = prefixes.groupBy("signature").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    tokens = prefixes.select("node", "n", F.explode("tokens").alias("token"))
+    least = lambda n: F.floor(n * (100 - percent) / F.lit(100 + percent)) + 3  # noqa: E731  least_common
+    tokens = prefixes.select("node", "n", F.posexplode("tokens").alias("place", "token"))
+    tokens = tokens.select("token", "node", "n", (F.col("place") < least(F.col("n")) - 1).alias("lead"))
     bucket = Window.partitionBy("token")
-    shared = tokens.select("token", "node", "n", F.min(F.struct("node", "n")).over(bucket).alias("pivot"), F.count(F.lit(1)).over(bucket).alias("size"))
-    shared = cut(shared.where("size > 1").select("token", "node", "n", "pivot"))
-
-    stars = shared.where(F.col("node") != F.col("pivot.node")).where(_alike(percent, F.col("n"), F.col("pivot.n")))
-    stars = cut(stars.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")).distinct())
-    links = _verified(stars, docs, orders, k, percent)
+    met = cut(tokens.withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1").drop("size"))
+    # A set that meets others in fewer tokens than its smallest possible partner asks for is done with.
+    fewest = F.ceil(percent * F.col("n") / F.lit(100))
+    enough = F.least(least(fewest), F.ceil(percent * (F.col("n") + fewest) / F.lit(100 + percent)))
+    stats = met.groupBy("node", "n").agg(F.count(F.lit(1)).alias("shared"), F.count_if("lead").alias("leads")).where(F.col("shared") >= enough)
+    lone = cut(stats.select("node", (F.least(least(F.col("n")) - 1, F.col("n")) - F.col("leads")).alias("lone")))
+    met = met.join(lone, "node").withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1")
+    met = cut(met.select("token", "node", "n", "lone"))
+    pivots = met.groupBy("token").agg(F.min(F.struct("lone", "node", "n")).alias("c"))
+    x = met.alias("x")
+    pivots = cut(pivots.select("token", "c.*"))
+    stars = x.join(pivots.alias("c"), "token").where(F.col("x.node") != F.col("c.node")).where(_possible(percent, "x", "c"))
+    stars = cut(stars.select(F.least("c.node", "x.node").alias("a"), F.greatest("c.node", "x.node").alias("b")).distinct())
+    tested = _verified(stars, docs, orders, k, percent)
+    links = tested.where("similar").select("a", "b")
 
     # The second round: members of one bucket in different components.
     component = connected_components(links)
-    placed = shared.select("token", "node", "n").join(component, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = cut(placed.withColumn("low", F.min("component").over(bucket)).withColumn("high", F.max("component").over(bucket)).where("low <> high").drop("low", "high"))
-    x, y = mixed.alias("x"), mixed.alias("y")
-    rest = x.join(y, "token").where((F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))).where(_alike(percent, F.col("x.n"), F.col("y.n")))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(rest, docs, orders, k, percent))
+    placed = met.join(component, "node", "left").select("token", "node", "n", "lone", F.coalesce("component", "node").alias("component"))
+    central = pivots.select("token", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"))
+    placed = placed.join(central, "token").withColumns({"a": F.least("pivot", "node"), "b": F.greatest("pivot", "node")}).join(tested.select("a", "b", "overlap"), ["a", "b"], "left")
+    apart = F.when(F.col("node") == F.col("pivot"), F.lit(0)).otherwise(F.col("n") + F.col("pivot_n") - 2 * F.col("overlap"))
+    placed = cut(placed.select("token", "node", "n", "lone", "component", "pivot", apart.alias("apart")))
+    differ = lambda rows, key: (  # noqa: E731  rows whose bucket holds several components
+        rows.withColumn("low", F.min("component").over(Window.partitionBy(key))).withColumn("high", F.max("component").over(Window.partitionBy(key))).where("low <> high").drop("low", "high")
+    )
+    other = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _possible(percent, "x", "y")
+    pair = F.col("x.node").alias("a"), F.col("y.node").alias("b")
+    # Members that were both compared with one pivot meet once for it, whatever the number of tokens they share.
+    near = cut(differ(placed.where("apart IS NOT NULL").select("pivot", "node", "n", "lone", "component", "apart").distinct(), "pivot"))
+    first = near.alias("x").join(near.alias("y"), "pivot").where(other & ~_apart(percent, "x", "y")).select(*pair).distinct()
+    # The others meet in their buckets.  Both are in each bucket that they share, so a pair's rows are its common tokens,
+    # or else one of them made it meet above.
+    mixed = cut(differ(placed, "token"))
+    rest = mixed.alias("x").join(mixed.alias("y"), "token").where(other & (F.col("x.apart").isNull() | F.col("y.apart").isNull()))
+    wanted = F.least(least(F.least("x.n", "y.n")), F.ceil(percent * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent)))
+    rest = rest.groupBy(*pair).agg(F.count(F.lit(1)).alias("common"), F.first(wanted).alias("wanted")).where("common >= wanted").select("a", "b")
+    rest = first.unionByName(rest).distinct().join(stars, ["a", "b"], "left_anti")
+    links = links.unionByName(_verified(rest, docs, orders, k, percent).where("similar").select("a", "b"))
 
     component = connected_components(links)
     nodes = cut(nodes.join(component, "node", "left").select("signature", F.coalesce("component", "node").alias("component")))
