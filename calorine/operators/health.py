@@ -44,20 +44,16 @@ def classify_sequence(frames: DataFrame) -> DataFrame:
     return marked.withColumn("dup_run", F.least(run, F.lit(DUPLICATE_LIMIT)).cast("long")).drop("island")
 
 
-def sequence_stuck(frames: DataFrame, now_ms: int | None, threshold_ms: int) -> DataFrame:
-    """(node_id, last_advance_ms, last_rx_ms, dups, stuck) as of ``now_ms`` (of the last frame of all if None).
+def sequence_stuck(frames: DataFrame, now_ms: int, threshold_ms: int) -> DataFrame:
+    """(node_id, last_advance_ms, last_rx_ms, dups, stuck) as of ``now_ms``.
 
     Stuck: duplicates have come since the last advance, which is at least the threshold ago.  A reset counts as an advance.
     """
-    known = frames if now_ms is None else frames.where(F.col("rx_ms") <= now_ms)
-    seen = classify_sequence(known)
+    seen = classify_sequence(frames.where(F.col("rx_ms") <= now_ms))
     state = seen.groupBy("node_id").agg(
         F.max(F.when(F.col("class") != "duplicate", F.col("rx_ms"))).alias("last_advance_ms"), F.max("rx_ms").alias("last_rx_ms"), F.max_by("dup_run", F.struct("rx_ms", "event_id")).alias("dups")
     )
-    now = F.lit(now_ms) if now_ms is not None else F.col("now_ms")
-    if now_ms is None:
-        state = state.crossJoin(frames.agg(F.max("rx_ms").alias("now_ms")))  # one row
-    stuck = (now - F.col("last_advance_ms") >= threshold_ms) & (F.col("last_rx_ms") > F.col("last_advance_ms")) & (F.col("dups") > 0)
+    stuck = (F.lit(now_ms) - F.col("last_advance_ms") >= threshold_ms) & (F.col("last_rx_ms") > F.col("last_advance_ms")) & (F.col("dups") > 0)
     return state.select("node_id", "last_advance_ms", "last_rx_ms", "dups", stuck.alias("stuck"))
 
 

@@ -14,7 +14,7 @@ from calorine.functions import scalar as S
 from calorine.functions.crc import crc16
 from calorine.operators import alerts, calibration, grid, health, history, registry, rollup
 from calorine.sources import codec, ndjson
-from calorine.sources.events import read_events, samples
+from calorine.sources.events import samples, samples_between
 from calorine.streaming import telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -323,7 +323,8 @@ def w4(spark, d):
 SELECT node_id, last_advance_ms, last_rx_ms, dups, {NOW} - last_advance_ms >= 60000 AND last_rx_ms > last_advance_ms AND dups > 0 AS stuck FROM state""",
 )
 def w6(spark, d):
-    return health.sequence_stuck(samples(spark, d).select("node_id", "rx_ms", "event_id", "seq"), None, 60_000)
+    s = samples(spark, d)
+    return health.sequence_stuck(s.select("node_id", "rx_ms", "event_id", "seq"), now_of(s), 60_000)
 
 
 @query("w7_steady")
@@ -390,7 +391,7 @@ SELECT n.node_id, CASE WHEN al THEN 'alert' WHEN {NOW} - lm > 86400000 OR wa OR
 )
 def v1(spark, d):
     s = samples(spark, d)
-    stuck = health.sequence_stuck(s.select("node_id", "rx_ms", "event_id", "seq"), None, 60_000)
+    stuck = health.sequence_stuck(s.select("node_id", "rx_ms", "event_id", "seq"), now_of(s), 60_000)
     return health.status(health.latest_state(s), stuck, now_of(s), 86_400_000, 1.0, 100.0, 10.0)
 
 
@@ -492,7 +493,7 @@ predicate("f2_whole_address", lambda: S.whole_address(F.when(c("seq") % 2 == 0,
 predicate("f3_fresh", lambda: S.fresh(F.lit(1_705_000_000_000), c("rx_ms"), c("seq") % 3 != 0, 86_400_000), "seq % 3 <> 0 AND 1705000000000 >= rx_ms AND 1705000000000 - rx_ms <= 86400000")
 predicate("f4_value_gate", lambda: S.in_range(c("temp_c") * 3 - 310), "temp_c * 3 - 310 > -300 AND temp_c * 3 - 310 < 300")
 predicate("f6_rollup_valid", lambda: S.rollup_valid(F.when(c("seq") % 4 == 0, F.lit(S.MISSING_CENTI)).otherwise(c("seq")), c("seq") % 3), "seq % 4 <> 0 AND seq % 3 > 0")
-predicate("f7_half_open", lambda: S.half_open(c("rx_ms"), 1_704_500_000_000, 1_705_000_000_000), "rx_ms >= 1704500000000 AND rx_ms < 1705000000000")
+query("f7_half_open", f"WITH {SAMPLES} SELECT event_id FROM samples WHERE rx_ms >= 1704500000000 AND rx_ms < 1705000000000")(lambda spark, d: samples_between(spark, d, 1_704_500_000_000, 1_705_000_000_000).select("event_id"))
 predicate("f8_header_sane", lambda: (c("seq") % 90 <= 60) & (c("node_id") != 0), "seq % 90 <= 60 AND node_id <> 0")
 predicate("f9_valid_time", lambda: S.valid_time(F.floor(c("rx_ms") / 1000) - c("seq") * 100_000), "rx_ms // 1000 - seq * 100000 >= 1700000000")
 predicate("f11_recent", lambda: S.seen_within(F.lit(1_706_745_600_000), c("rx_ms"), 86_400_000), "1706745600000 - rx_ms < 86400000")
@@ -549,7 +550,7 @@ def s6(spark, d):
 
 @query("s7_minute_blocks", f"WITH {MINUTES} SELECT node_id, addr, epoch_minute, present, centi FROM minutes WHERE present AND epoch_minute < 28407360")
 def s7(spark, d):
-    minutes = grid.minute_samples(samples(spark, d)).where("epoch_minute < 28407360")
+    minutes = grid.minute_samples(samples_between(spark, d, 0, 28_407_360 * 60_000)).where("epoch_minute < 28407360")
     return codec.decode_minutes(codec.minute_blocks(minutes)).where("frame_ok AND present").drop("frame_ok")
 
 
@@ -586,7 +587,10 @@ def s11(spark, d):
 
 @query("s13_frame_export", f"WITH {MINUTES} SELECT node_id, addr, epoch_minute, centi FROM minutes WHERE present AND epoch_minute = 28402590")
 def s13(spark, d):
-    minutes = grid.minute_samples(samples(spark, d)).where("hour_min = 28402560")
+    hour = 28_402_560
+    # Readings of the hour, and those before it that its first minutes may show.
+    near = samples_between(spark, d, hour * 60_000 - S.STALE_MS, (hour + 60) * 60_000)
+    minutes = grid.minute_samples(near).where(F.col("hour_min") == hour)
     frames = codec.decode_minutes(codec.minute_blocks(minutes))
     return frames.where("epoch_minute = 28402590 AND present").select("node_id", "addr", "epoch_minute", "centi")
 
