@@ -11,6 +11,7 @@ Every pair found is verified by its cosine in double precision, and links are jo
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -176,19 +177,27 @@ class Graph:
         return self.search_level(queries, starts, 0, min(beam, len(self.vectors)))
 
     def pack(self) -> bytes:
-        import pickle
-
-        return pickle.dumps((self.vectors, self.levels, self.links, self.entry))
+        """All but the vectors, which travel with the nodes."""
+        return pickle.dumps((self.levels.astype(np.int8), self.links, self.entry))
 
     @classmethod
-    def unpack(cls, raw: bytes) -> Graph:
-        import pickle
-
+    def unpack(cls, raw: bytes, vectors: np.ndarray) -> Graph:
         graph = cls.__new__(cls)
-        graph.vectors, graph.levels, graph.links, graph.entry = pickle.loads(raw)
+        graph.vectors = vectors
+        graph.levels, graph.links, graph.entry = pickle.loads(raw)
         return graph
 
 
+def pack_rows(rows: np.ndarray) -> bytes:
+    """Rows as bytes, in single precision where that loses nothing."""
+    single = rows.astype(np.float32)
+    return b"f" + single.tobytes() if (single == rows).all() else b"d" + rows.astype(np.float64).tobytes()
+
+
+def unpack_rows(raw: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if raw[:1] == b"f" else np.float64, offset=1).reshape(-1, dim)
+
+
 def unit(raw: np.ndarray) -> np.ndarray:
     """Rows of length 1 in double precision."""
     raw = raw.astype(np.float64)
@@ -252,13 +261,13 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     def build(group: pd.DataFrame) -> pd.DataFrame:
         raw = np.array(group["vector"].tolist(), np.float64)
         graph = Graph(unit(raw).astype(np.float32))
-        return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "shard": [int(group["shard"].iloc[0])], "ids": [group["node"].to_numpy(np.int64).tobytes()], "raw": [raw.tobytes()], "graph": [graph.pack()]})
+        return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "shard": [int(group["shard"].iloc[0])], "ids": [group["node"].to_numpy(np.int64).tobytes()], "raw": [pack_rows(raw)], "graph": [graph.pack()]})
 
     graphs = cut(keyed.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, ids binary, raw binary, graph binary"))
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
         raw = np.array(group["vector"].tolist(), np.float64)
-        return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "block": [int(group["block"].iloc[0])], "query_ids": [group["node"].to_numpy(np.int64).tobytes()], "query_raw": [raw.tobytes()]})
+        return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "block": [int(group["block"].iloc[0])], "query_ids": [group["node"].to_numpy(np.int64).tobytes()], "query_raw": [pack_rows(raw)]})
 
     queries = cut(keyed.groupBy("dim", "block").applyInPandas(packed, "dim int, block int, query_ids binary, query_raw binary"))
     # Which shard meets which block is a small table; each meeting is one row and one task's work.
@@ -269,8 +278,8 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         for rows in stream:
             for r in rows.itertuples():
                 ids, query_ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.query_ids, np.int64)
-                raw, query_raw = (unit(np.frombuffer(x, np.float64).reshape(-1, r.dim)) for x in (r.raw, r.query_raw))
-                q, c = linked(Graph.unpack(r.graph), query_raw.astype(np.float32), threshold)
+                raw, query_raw = (unit(unpack_rows(x, r.dim)) for x in (r.raw, r.query_raw))
+                q, c = linked(Graph.unpack(r.graph, raw.astype(np.float32)), query_raw.astype(np.float32), threshold)
                 for a in range(0, len(q), 100_000):
                     i, j = q[a : a + 100_000], c[a : a + 100_000]
                     ok = (np.einsum("ij,ij->i", query_raw[i], raw[j]) >= threshold) & (query_ids[i] != ids[j])
