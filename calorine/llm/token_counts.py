@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Nodes a task's trie holds before it starts anew.
 MAX_NODES = 800_000
+#: Counts that a task keeps from batch to batch.
+MAX_WORDS = 300_000
 SHIFT = 2.7
 
 
@@ -30,9 +32,9 @@ class Trie:
     """Forward scores by node.  children: (node, code point) packed in one integer -> node."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores = scores
-        self.longest = max(map(len, scores), default=1)
-        self.heads = {p[:i] for p in scores for i in range(1, len(p) + 1)}
+        # Every ending of a piece, with the score of those that are pieces; scores are below 0.
+        self.tails: dict[str, float | None] = {p[i:]: None for p in scores for i in range(len(p))}
+        self.tails.update(scores)
         self.byte = min(scores.values(), default=0.0) - 1.0
         self.clear()
 
@@ -55,46 +57,46 @@ class Trie:
         return n
 
     def _walk(self, marked: str, keep: bool) -> int:
-        """Follow the trie as far as it reaches, then add nodes; a very long pre-token leaves none behind."""
-        children, best, pieces = self.children, self.best, self.pieces
-        n, node, shared, path = len(marked), 0, 0, [0]
-        for c in marked:
-            child = children.get(node << 21 | ord(c))
+        """Follow the trie as far as it reaches, then add nodes; a very long pre-token leaves none behind.
+
+        A new node takes the best of the pieces that end there, found by growing the suffix while any piece ends in it.
+        """
+        children, best, pieces, get = self.children, self.best, self.pieces, self.tails.get
+        n, node, j, scores, counts = len(marked), 0, 0, [0.0], [0]
+        while j < n:
+            child = children.get(node << 21 | ord(marked[j]))
             if child is None:
                 break
             node = child
-            path.append(node)
-            shared += 1
-        top, least = [best[p] for p in path] + [-math.inf] * (n - shared), [pieces[p] for p in path] + [0] * (n - shared)
-        self._forward(marked, shared, top, least)
-        if keep:
-            for j in range(shared, n):
-                children[node << 21 | ord(marked[j])] = node = len(best)
-                best.append(top[j + 1])
-                pieces.append(least[j + 1])
-        return least[n]
-
-    def _forward(self, marked: str, shared: int, top: list[float], least: list[int]) -> None:
-        """Forward scores past the shared prefix: each position passes its score on along the pieces that begin there."""
-        get, heads, n = self.scores.get, self.heads, len(marked)
-        for i in range(max(0, shared - self.longest + 1), n):
-            if i < shared and marked[i : shared + 1] not in heads:
-                continue
-            score, count = top[i], least[i] + 1
-            for j in range(max(i, shared) + 1, n + 1):
-                piece = marked[i:j]
-                if piece not in heads:
+            scores.append(best[node])
+            counts.append(pieces[node])
+            j += 1
+        while j < n:
+            j += 1
+            top, least, alone, i = -math.inf, 0, None, j
+            while i:
+                i -= 1
+                p = get(marked[i:j], 0)
+                if p == 0:
                     break
-                p = get(piece)
                 if p is not None:
-                    s = score + p
-                    if s > top[j] or s == top[j] and count < least[j]:
-                        top[j], least[j] = s, count
-            if i >= shared and get(marked[i]) is None:
-                size = len(marked[i].encode())
-                s, count = score + size * self.byte, least[i] + size
-                if s > top[i + 1] or s == top[i + 1] and count < least[i + 1]:
-                    top[i + 1], least[i + 1] = s, count
+                    if i == j - 1:
+                        alone = p
+                    s, k = scores[i] + p, counts[i] + 1
+                    if s > top or s == top and k < least:
+                        top, least = s, k
+            if alone is None:  # no piece of its own: its bytes
+                size = len(marked[j - 1].encode())
+                s, k = scores[j - 1] + size * self.byte, counts[j - 1] + size
+                if s > top or s == top and k < least:
+                    top, least = s, k
+            scores.append(top)
+            counts.append(least)
+            if keep:
+                children[node << 21 | ord(marked[j - 1])] = node = len(best)
+                best.append(top)
+                pieces.append(least)
+        return counts[n]
 
 
 def load_scores(path: str) -> dict[str, float]:
@@ -115,21 +117,20 @@ def token_counts(df: DataFrame, scores: dict[str, float], id_col: str = "doc_id"
     shared = df.sparkSession.sparkContext.broadcast(scores)  # a vocabulary file: a bound of a few MB
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(shared.value)
+        trie, known = Trie(shared.value), {}
         for batch in stream:
             values, words, tokens = batch.column(1), [], []
+            if len(known) > MAX_WORDS:
+                known = {}
+            fresh: set[str] = set()
+            for i in range(len(values)):
+                fresh.update((values[i].as_py() or "").split())
+            for w in sorted(fresh.difference(known)):  # in order, neighbours share their way through the trie
+                known[w] = trie.count(w)
             for i in range(len(values)):
                 parts = (values[i].as_py() or "").split()
-                known = trie.terminal
-                n = 0
-                for w in parts:
-                    k = known.get(w)
-                    if k is None:
-                        k = trie.count(w)
-                        known = trie.terminal
-                    n += k
                 words.append(len(parts))
-                tokens.append(n)
+                tokens.append(sum(map(known.__getitem__, parts)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], [id_col, "n_words", "n_tokens"])
 
     kind = dict(df.dtypes)[id_col]
