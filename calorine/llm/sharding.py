@@ -14,8 +14,9 @@ from calorine.llm.common import cut
 
 #: Bits for each dimension: 3 dimensions of 4 bits give 4,096 cells, a bound that doesn't grow with the data.
 BITS = 4
-#: Rows of one cell are dealt to this many tasks, so that a cell with a third of all rows is no single task's work.
-SALTS = 64
+#: The rows of each cell are dealt to at least SALTS groups, and to more where there are more than SALTED rows for each,
+#: so that a cell with a third of all rows is no single task's work.
+SALTS, SALTED = 64, 1_000_000
 
 
 def hilbert_table(spark: SparkSession, dims: int, bits: int) -> DataFrame:
@@ -58,7 +59,7 @@ def category(value: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(value.cast("string"), F.lit("\u0000"))), F.lit(1 << bits)).cast("int")
 
 
-def assign_shards(docs: DataFrame, n_shards: int, bits: int = BITS, salts: int = SALTS) -> DataFrame:
+def assign_shards(docs: DataFrame, n_shards: int, bits: int = BITS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row of ``docs``.
 
     Dimensions: language, source and size.  Rows are ranked by (curve index, salt, doc_id, size, crc) and shard
@@ -66,15 +67,17 @@ def assign_shards(docs: DataFrame, n_shards: int, bits: int = BITS, salts: int =
     ``slot`` counts from 0 in each shard.  A null text has no bytes and the crc of the empty string; null languages
     and sources are values of their own; repeated rows each keep a slot; an empty table gives no rows.
 
-    The ranks come from counts of (cell, salt), summed in two levels whose sizes are bounded by the number of cells,
-    so that no task orders all rows.  Only keys are shuffled, never texts.
+    The ranks come from counts of (cell, salt), summed within blocks of cells and then over the blocks, so that no task
+    orders all rows.  Only keys are shuffled, never texts.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"), F.col("lang").alias("__lang"), F.col("source").alias("__source"))
     code = sum((F.shiftleft(axis.cast("long"), bits * (2 - i)) for i, axis in enumerate([category(F.col("__lang"), bits), category(F.col("__source"), bits), level(F.col("size"), bits)])), F.lit(0).cast("long"))
-    rows = rows.select("doc_id", "size", "text_crc32", code.alias("code"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(salts)).cast("int").alias("salt"))
+    rows = rows.select("doc_id", "size", "text_crc32", code.alias("code"))
     curve = hilbert_table(docs.sparkSession, 3, bits)  # 2**(3*bits) rows, whatever the data
     rows = cut(rows.join(F.broadcast(curve), "code").drop("code"))  # the texts are read once; the keys are used three times
+    salts = max(SALTS, rows.count() // SALTED)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(salts)).cast("int"))
 
     counts = rows.groupBy("cell", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.floor(F.col("cell") / 64))
     inside = Window.partitionBy("block").orderBy("cell", "salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from calorine.llm.common import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Sorts after every string that continues the prefix it is appended to.
 AFTER = chr(0x10FFFF)
-#: Rows of one hot host are dealt to this many tasks, each with its own copy of that host's events.
-SALTS = 64
+#: Lookups of one host that a sweep takes; a hot host's are dealt to several, each with a copy of that host's events.
+SWEEP = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -75,7 +77,7 @@ def rule_events(rules: DataFrame) -> DataFrame:
     ).select("host", "e.*")
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", salts: int = SALTS) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", sweep: int = SWEEP) -> DataFrame:
     """(id, host, path, rule, verdict) for every row of ``pages``.
 
     The longest fitting rule decides (characters of host and path; of equals, the one with the longer host); without
@@ -84,7 +86,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     every url gets the default.
 
     A verdict hangs on (host, path) alone, so each distinct pair is looked up once; a host that holds a third of the
-    urls is dealt to ``salts`` tasks.
+    urls is dealt to as many sweeps as its lookups ask for.
     """
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("__url"))
     pages = pages.select("page_id", host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"))
@@ -93,12 +95,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     probes = wanted.select("host", "path", F.explode(host_levels(F.col("host"))).alias("level"))
     probes = probes.join(rules.select(F.translate(F.coalesce("host", F.lit("")), UPPER, LOWER).alias("level")).distinct(), "level", "left_semi")
 
-    salt = F.pmod(F.xxhash64("host", "path"), F.lit(salts)).cast("int")
+    probes = cut(probes)
+    rooms = cut(probes.groupBy("level").agg(F.ceil(F.count(F.lit(1)) / sweep).cast("int").alias("rooms")))  # a row a rule host at most
     none = F.lit(None).cast("struct<rule:string,verdict:string>")
     canonical = F.concat(reversed_host(F.col("level")), F.col("key"))
-    sweep = events.select(F.col("host").alias("level"), "key", "kind", "depth", "top", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"))
-    sweep = sweep.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    sweep = sweep.unionByName(probes.select("level", F.col("path").alias("key"), F.lit(1).alias("kind"), F.lit(0).alias("depth"), none.alias("top"), "host", "path", salt.alias("salt")))
+    salted = probes.join(rooms, "level").withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.col("rooms")).cast("int"))
+    copies = events.withColumnRenamed("host", "level").join(rooms, "level").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1)))
+    sweep = copies.select("level", "key", "kind", "depth", "top", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "salt")
+    sweep = sweep.unionByName(salted.select("level", F.col("path").alias("key"), F.lit(1).alias("kind"), F.lit(0).alias("depth"), none.alias("top"), "host", "path", "salt"))
     sweep = sweep.withColumn("canonical", canonical)
     # Events before urls at one key; closes of inner rules before those of outer ones, opens of outer before inner.
     order = Window.partitionBy("level", "salt").orderBy("canonical", "kind", "depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -36,7 +36,7 @@ def test_url_rules_against_every_rule(spark, seed):
     urls = [f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '?q=://x/de/', '#/es/'])}" for _ in range(400)]
     urls += [None, "", "no scheme/de/", "://", "a://b://c/de/", "http://com/de/" + "x" * 20_000]
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.rule_table(spark, rules), salts=3).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.rule_table(spark, rules), sweep=7).collect()}
     assert got == {i: plain_verdict(u, rules) for i, u in enumerate(urls)}
 
 
@@ -58,7 +58,8 @@ def test_curve_visits_neighbours(spark, dims, bits):
     assert (np.abs(np.diff(points, axis=0)).sum(1) == 1).all()
 
 
-def test_shards(spark):
+def test_shards(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SALTED", 10)
     rows = [(i, "héllo" * (i % 50), f"l{i % 3}" if i % 7 else None, f"s{i % 11}" if i % 3 else "hot") for i in range(1003)]
     rows += [(5, None, None, None), (None, "x", "l", "s"), (5, None, None, None), (7777, "y" * 300_000, "l", "s")]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, lang string, source string, shard string").repartition(7)
