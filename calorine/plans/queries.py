@@ -220,7 +220,7 @@ def j6(spark, d):
 
 
 SLOTS = SAMPLES + ", slots AS (SELECT row_number() OVER (ORDER BY node_id, addr) - 1 AS slot, node_id, addr FROM (SELECT DISTINCT node_id, addr FROM samples WHERE length(addr) = 16 ORDER BY node_id, addr LIMIT 100))"
-#: Six hours of 2024-01-10.
+#: The last six hours of 2024-01-09.
 DENSE = (28_413_720, 28_414_080)
 
 
@@ -585,14 +585,14 @@ def s11(spark, d):
     return codec.verify(marked).groupBy("start_min", "header_ok", "payload_ok").agg(F.count(F.lit(1)).alias("blocks"))
 
 
-@query("s13_frame_export", f"WITH {MINUTES} SELECT node_id, addr, epoch_minute, centi FROM minutes WHERE present AND epoch_minute = 28402590")
+@query("s13_frame_export", f"WITH {MINUTES} SELECT node_id, addr, epoch_minute, centi FROM minutes WHERE present AND epoch_minute % 60 = 30 AND hour_min >= 28414080 AND hour_min < 28415520")
 def s13(spark, d):
-    hour = 28_402_560
-    # Readings of the hour, and those before it that its first minutes may show.
-    near = samples_between(spark, d, hour * 60_000 - S.STALE_MS, (hour + 60) * 60_000)
-    minutes = grid.minute_samples(near).where(F.col("hour_min") == hour)
-    frames = codec.decode_minutes(codec.minute_blocks(minutes))
-    return frames.where("epoch_minute = 28402590 AND present").select("node_id", "addr", "epoch_minute", "centi")
+    """The frame of each half hour of a day, out of the hours' packed frames."""
+    start, end = 28_414_080, 28_415_520
+    # Readings of the day, and those before it that its first minutes may show.
+    near = samples_between(spark, d, start * 60_000 - S.STALE_MS, end * 60_000)
+    frames = codec.decode_minutes(codec.minute_blocks(grid.minute_samples(near).where(S.half_open(F.col("hour_min"), start, end))))
+    return frames.where("epoch_minute % 60 = 30 AND present").select("node_id", "addr", "epoch_minute", "centi")
 
 
 @query(

@@ -201,34 +201,58 @@ def blocked(df: DataFrame, *keys: str) -> DataFrame:
 def minute_blocks(grid: DataFrame) -> DataFrame:
     """(hour_min, block, sensors, record) of a minute grid (node_id, addr, epoch_minute, present, centi).
 
-    A minute without a row is a missing frame: no presence, sentinel values.
+    A minute without a row is a missing frame: no presence, sentinel values.  A block's rows, at most 100 slots of 60
+    minutes, are gathered in one value, so that Python meets batches of blocks rather than one group at a time.
     """
 
-    def encode(rows: pd.DataFrame) -> pd.DataFrame:
-        hour, block = int(rows["hour_min"].iloc[0]), int(rows["block"].iloc[0])
-        slots = rows[["node_id", "addr"]].drop_duplicates().sort_values(["node_id", "addr"]).reset_index(drop=True)
-        place = rows[["node_id", "addr"]].merge(slots.reset_index(), on=["node_id", "addr"])["index"].to_numpy()
-        present, values = np.zeros((MINUTES, len(slots)), bool), np.full((MINUTES, len(slots)), MISSING, np.int64)
-        minute = (rows["epoch_minute"] - hour).to_numpy()
-        present[minute, place] = rows["present"].to_numpy(bool)
-        values[minute, place] = rows["centi"].fillna(MISSING).to_numpy(np.int64)
-        return pd.DataFrame({"hour_min": [hour], "block": [block], "sensors": [len(slots)], "record": [encode_minute_block(hour, slots["node_id"], slots["addr"], present, values)]})
-
-    keyed = grid.withColumn("hour_min", F.col("epoch_minute") - F.pmod("epoch_minute", F.lit(60)))
-    return blocked(keyed.select("hour_min", "node_id", "addr", "epoch_minute", "present", "centi"), "hour_min").groupBy("hour_min", "block").applyInPandas(encode, "hour_min bigint, block int, sensors int, record binary")
+    def encode(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in stream:
+            records, sizes = [], []
+            for hour, rows in zip(batch["hour_min"], batch["rows"]):
+                slots = sorted({(r["node_id"], r["addr"]) for r in rows})
+                place = {slot: i for i, slot in enumerate(slots)}
+                present, values = np.zeros((MINUTES, len(slots)), bool), np.full((MINUTES, len(slots)), MISSING, np.int64)
+                for r in rows:
+                    at = r["minute"], place[r["node_id"], r["addr"]]
+                    present[at] = r["present"]
+                    if r["centi"] is not None:
+                        values[at] = r["centi"]
+                records.append(encode_minute_block(int(hour), [n for n, _ in slots], [a for _, a in slots], present, values))
+                sizes.append(len(slots))
+            yield pd.DataFrame({"hour_min": batch["hour_min"], "block": batch["block"], "sensors": sizes, "record": records})
+
+    minute = F.pmod("epoch_minute", F.lit(60))
+    keyed = blocked(grid.select((F.col("epoch_minute") - minute).alias("hour_min"), "node_id", "addr", minute.cast("int").alias("minute"), "present", "centi"), "hour_min")
+    rows = keyed.groupBy("hour_min", "block").agg(F.collect_list(F.struct("node_id", "addr", "minute", "present", "centi")).alias("rows"))
+    return rows.mapInPandas(encode, "hour_min bigint, block int, sensors int, record binary")
 
 
 def rollup_blocks(rollups: DataFrame, start_col: str, daily: bool = False) -> DataFrame:
     """(start_min, block, record) of hourly or daily rollups; ``start_col`` is an epoch minute."""
     magic = DROL if daily else HROL
 
-    def encode(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, start = rows.sort_values(["node_id", "addr"]), int(rows["start_min"].iloc[0])
-        record = encode_rollup_block(magic, start, rows["node_id"], rows["addr"], rows["mean_centi"], rows["min_centi"], rows["max_centi"], rows["sample_count"])
-        return pd.DataFrame({"start_min": [start], "block": [int(rows["block"].iloc[0])], "record": [record]})
+    def encode(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in stream:
+            records = []
+            for start, rows in zip(batch["start_min"], batch["rows"]):
+                columns = zip(*(tuple(r.values() if isinstance(r, dict) else r) for r in rows))
+                records.append(encode_rollup_block(magic, int(start), *columns))
+            yield pd.DataFrame({"start_min": batch["start_min"], "block": batch["block"], "record": records})
+
+    names = ("node_id", "addr", "mean_centi", "min_centi", "max_centi", "sample_count")
+    keyed = blocked(rollups.select(F.col(start_col).alias("start_min"), *names), "start_min")
+    rows = keyed.groupBy("start_min", "block").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("rows"))
+    return rows.mapInPandas(encode, "start_min bigint, block int, record binary")
 
-    keyed = rollups.select(F.col(start_col).alias("start_min"), "node_id", "addr", "mean_centi", "min_centi", "max_centi", "sample_count")
-    return blocked(keyed, "start_min").groupBy("start_min", "block").applyInPandas(encode, "start_min bigint, block int, record binary")
+
+def _addresses(roms: np.ndarray) -> list[str]:
+    return [f"{r:016X}" for r in roms.tolist()]
+
+
+def _nullable(values: np.ndarray, gone: np.ndarray) -> pd.array:
+    column = pd.array(values.astype(np.int64), dtype="Int32")
+    column[gone] = pd.NA
+    return column
 
 
 def decode_minutes(blocks: DataFrame) -> DataFrame:
@@ -236,16 +260,18 @@ def decode_minutes(blocks: DataFrame) -> DataFrame:
 
     def decode(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in stream:
-            for record in batch["record"]:
-                got = decode_minute_block(bytes(record))
-                if got is None or not got[5]:
-                    continue
-                hour, slots, present, values, ok, _ = got
-                minute, slot = np.divmod(np.arange(present.size), len(slots))
-                centi = pd.array(values.ravel(), dtype="Int32")
-                gone = ~ok[minute]
-                centi[(values.ravel() == MISSING) | gone] = pd.NA
-                yield pd.DataFrame({"node_id": slots["node"][slot].astype(np.int64), "addr": [f"{r:016X}" for r in slots["rom"][slot]], "epoch_minute": hour + minute, "present": present.ravel() & ~gone, "centi": centi, "frame_ok": ok[minute]})
+            for part in range(0, len(batch), 64):  # 64 blocks of 6,000 rows at most
+                parts = []
+                for record in batch["record"].iloc[part : part + 64]:
+                    got = decode_minute_block(bytes(record))
+                    if got is None or not got[5]:
+                        continue
+                    hour, slots, present, values, ok, _ = got
+                    minute, slot = np.divmod(np.arange(present.size), len(slots))
+                    parts.append((slots["node"][slot].astype(np.int64), slots["rom"][slot], hour + minute, present.ravel(), values.ravel(), ok[minute]))
+                if parts:
+                    node, rom, minute, present, values, ok = (np.concatenate(c) for c in zip(*parts))
+                    yield pd.DataFrame({"node_id": node, "addr": _addresses(rom), "epoch_minute": minute, "present": present & ok, "centi": _nullable(values, (values == MISSING) | ~ok), "frame_ok": ok})
 
     return blocks.select("record").mapInPandas(decode, "node_id bigint, addr string, epoch_minute bigint, present boolean, centi int, frame_ok boolean")
 
@@ -255,16 +281,17 @@ def decode_rollups(blocks: DataFrame) -> DataFrame:
 
     def decode(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in stream:
+            parts = []
             for record in batch["record"]:
                 got = decode_rollup_block(bytes(record))
-                if got is None or not got[4]:
-                    continue
-                _, start, slots, rows, _ = got
-                out = pd.DataFrame({"node_id": slots["node"].astype(np.int64), "addr": [f"{r:016X}" for r in slots["rom"]], "start_min": start})
+                if got is not None and got[4]:
+                    _, start, slots, rows, _ = got
+                    parts.append((slots, np.full(len(slots), start, np.int64), rows))
+            if parts:
+                slots, start, rows = (np.concatenate(c) for c in zip(*parts))
+                out = pd.DataFrame({"node_id": slots["node"].astype(np.int64), "addr": _addresses(slots["rom"]), "start_min": start})
                 for name in ("mean", "min", "max"):
-                    column = pd.array(rows[name].astype(np.int64), dtype="Int32")
-                    column[rows[name] == MISSING] = pd.NA
-                    out[f"{name}_centi"] = column
+                    out[f"{name}_centi"] = _nullable(rows[name], rows[name] == MISSING)
                 out["sample_count"] = rows["count"].astype(np.int32)
                 yield out
 
