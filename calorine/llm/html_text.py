@@ -37,6 +37,10 @@ OUTER_WORDS = frozenset("header masthead topbar top".split())
 #: Furniture that an article inside doesn't lift: comments and teasers are often articles themselves.
 STRICT_WORDS = frozenset("comment comments commentlist reply replies responses discussion disqus related recommended recommendations sidebar aside teaser trending popular".split())
 
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement sponsored promo".split())
+#: In a name, these tell of what else is on the page: ``has-sidebar``.
+LAYOUT_WORDS = frozenset("has with no without".split())
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -53,7 +57,10 @@ def _names(attributes: str) -> set[str]:
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id", "role"):
-            found.update(w.lower() for w in NAME_WORD.findall(value))
+            for token in value.split():
+                words = {w.lower() for w in NAME_WORD.findall(token)}
+                if not words & LAYOUT_WORDS:
+                    found |= words
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             found.add("hidden")
     return found
@@ -142,7 +149,7 @@ def blocks(page: str) -> list[Block]:
             continue  # closed by whatever follows
         names = _names(attributes)
         if name in ("article", "main") or "main" in names and names & {"role", "content", "main"} and name in ("div", "section") and not names & FURNITURE_WORDS:
-            own = bool(names & FURNITURE_WORDS)
+            own = bool(names & (STRICT_WORDS | ADVERT_WORDS))  # what else names an article may be its subject
             article, furniture, strict = True, own or strict, strict or bool(names & STRICT_WORDS)
         else:
             marked = name in FURNITURE_TAGS or bool(names & FURNITURE_WORDS) or not article and (name == "header" or bool(names & OUTER_WORDS))

@@ -144,6 +144,12 @@ def test_main_text():
     assert html_text.main_text(unclosed) == want
 
 
+def test_names_of_wrappers_and_subjects():
+    body = "<article class='legal'><h1>One two</h1><p>Three four five six seven.</p></article>"
+    page = f"<body class='widget'><div class='page has-sidebar with-comments'>{body}<div class='comments'><article><p>So true, I say, so true.</p></article></div></div>"
+    assert html_text.main_text(page) == "One two\n\nThree four five six seven."
+
+
 def test_tree_fits_its_table():
     rows, labels = html_text._labelled_rows()
     assert [html_text.classify(html_text.tree(), r) for r in rows] == labels

@@ -248,7 +248,7 @@ def test_decontamination_against_every_window():
     rng = random.Random(8)
     vocabulary = [f"v{i}" for i in range(40)]
     items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate((12, 20, 30, 30))]
-    index, cache = decontaminate.Index(items), decontaminate.WordHashes()
+    index = decontaminate.Index(items)
     from collections import Counter
 
     for _ in range(60):
@@ -257,10 +257,10 @@ def test_decontamination_against_every_window():
         for _ in range(rng.randrange(3)):
             part[rng.randrange(len(part))] = rng.choice(vocabulary)
         words[20:20] = part
-        hashes = decontaminate.word_hashes(" ".join(words), cache)
+        hashes = decontaminate.word_hashes(" ".join(words))
         want = {}
         for i, t in items:
-            own = decontaminate.shingles(decontaminate.word_hashes(t, cache)).tolist()
+            own = decontaminate.shingles(decontaminate.word_hashes(t)).tolist()
             every = decontaminate.shingles(hashes).tolist()
             best = max(decontaminate.similarity(Counter(every[a : a + len(own)]), Counter(own)) for a in range(len(every) - len(own) + 1))
             if best >= 0.8:
