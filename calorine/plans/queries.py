@@ -46,7 +46,11 @@ def days_sql(source: str, shift: int = 0) -> str:
 
 
 def query(name: str, sql: str | None = None):
+    """Register a query by name, once."""
+
     def add(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"there is a query {name} already")
         QUERIES[name] = f
         if sql is not None:
             SQL[name] = sql

@@ -31,6 +31,11 @@ def run_once(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoi
     return query
 
 
+def run_every(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 60, mode: str = "append") -> StreamingQuery:
+    """Go on for ever, a micro-batch a tick of the clock; the caller stops the query."""
+    return stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
 def hourly_counts(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Hours are closed by the watermark: readings, least and greatest centi-degree of each."""
     centi = S.centi(F.col("temp_c"))

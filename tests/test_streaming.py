@@ -1,8 +1,11 @@
 """Streams against their batch forms on the smallest tables."""
 
-from calorine.plans.queries import QUERIES
-from calorine.sources.events import samples
+import pytest
+
 from calorine.operators import health, history
+from calorine.plans.queries import QUERIES, query
+from calorine.sources.events import samples
+from calorine.streaming import telemetry
 
 D = "/root/testdata/sf0.001"
 
@@ -22,3 +25,23 @@ def test_throttled(spark):
 
 def test_replay_adds_nothing(spark):
     assert QUERIES["t8_idempotent_sink"](spark, D).count() == samples(spark, D).count()
+
+
+def test_resumes_where_it_stopped(spark, tmp_path):
+    seen = []
+    for _ in range(2):
+        telemetry.run_once(telemetry.event_stream(spark, D), lambda batch, i: seen.append(batch.count()), str(tmp_path / "state"))
+    assert sum(seen) == samples(spark, D).count()  # the second run finds nothing new
+
+
+def test_ticks(spark, tmp_path):
+    seen = []
+    running = telemetry.run_every(telemetry.event_stream(spark, D), lambda batch, i: seen.append(batch.count()), str(tmp_path / "state"), seconds=1)
+    running.processAllAvailable()
+    running.stop()
+    assert sum(seen) == samples(spark, D).count()
+
+
+def test_names_are_taken_once():
+    with pytest.raises(ValueError):
+        query("a1_hourly_rollup")(None)
