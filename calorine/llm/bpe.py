@@ -38,7 +38,7 @@ WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 WINDOW = 1 << 20
 BLOCK = 128
 #: Pieces that the merge cache holds before it starts anew, and bytes of the longest piece it keeps.
-CACHE_PIECES, CACHE_BYTES = 600_000, 64
+CACHE_PIECES, CACHE_BYTES = 300_000, 64
 
 
 @lru_cache(maxsize=1)

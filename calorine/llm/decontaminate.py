@@ -12,13 +12,13 @@ shingles of some item, and a running count tells which windows have so many.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,23 +27,14 @@ WORDS, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 24, 8
 #: Items that one broadcast holds; a larger benchmark goes through the documents block by block.
 ITEMS_A_BLOCK = 20_000
-CACHE_WORDS = 500_000
 WORD = re.compile(r"\w+")
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 22
 
 
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-        return h
-
-
-def word_hashes(text: str, cache: WordHashes) -> np.ndarray:
+def word_hashes(text: str) -> np.ndarray:
     words = WORD.findall(text.lower())
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,8 +71,7 @@ class Index:
     """Items by size, their fingerprints by blocks, and all their shingles."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        cache = WordHashes()
-        hashed = [(i, word_hashes(t or "", cache)) for i, t in items]
+        hashed = [(i, word_hashes(t or "")) for i, t in items]
         self.by_size: dict[tuple[int, int], list[tuple[int, Counter]]] = {}
         prints: dict[tuple[int, int], list[np.ndarray]] = {}
         every: dict[int, list[np.ndarray]] = {}
@@ -168,11 +158,11 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def batches(stream: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, cache = shared.value, WordHashes()
+            index = shared.value
             for batch in stream:
                 rows, keep = [], []
                 for i in range(batch.num_rows):
-                    for hit in index.hits(word_hashes(batch.column(1)[i].as_py() or "", cache)):
+                    for hit in index.hits(word_hashes(batch.column(1)[i].as_py() or "")):
                         keep.append(i)
                         rows.append(hit)
                 columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
@@ -190,10 +180,10 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def batches(stream: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, cache = shared.value, WordHashes()
+            index = shared.value
             for batch in stream:
                 texts = batch.column(names.index("text"))
-                yield batch.filter(pa.array([not index.hits(word_hashes(texts[i].as_py() or "", cache)) for i in range(batch.num_rows)], pa.bool_()))
+                yield batch.filter(pa.array([not index.hits(word_hashes(texts[i].as_py() or "")) for i in range(batch.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(batches, docs.schema)
     return docs

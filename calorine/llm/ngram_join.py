@@ -41,7 +41,7 @@ ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Bits of the sketch's counters, and counters of one of the pieces in which it travels.
 SKETCH_BITS, SKETCH_PIECE = 22, 1 << 16
 #: Tokens that are counted together.
-COUNT_CHUNK = 4_000_000
+COUNT_CHUNK = 1_000_000
 #: Buckets go by the upper 40 bits of a token, which shuffle in fewer bytes; a chance meeting is seen through later.
 BUCKET_SHIFT = 24
 #: Members of one bucket that meet their pivot in one task.
@@ -110,12 +110,13 @@ def _measure(docs: DataFrame, k: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, held, size = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
+        sketch, held, size = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
 
         def counted() -> None:
-            nonlocal sketch, held, size
+            nonlocal held, size
             if held:
-                sketch = sketch + np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+                at, n = np.unique((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32), return_counts=True)
+                sketch[at] += n.astype(np.uint32)
             held, size = [], 0
 
         for batch in stream:

@@ -29,7 +29,7 @@ STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.3
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def word_features(word: str) -> list[str]:
@@ -92,7 +92,7 @@ def _features(sample: DataFrame, max_features: int) -> list[str]:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for f in {f for w in set(WORD.findall((text or "").lower())) for f in word_features(w)}:
                     counts.setdefault(f, [0, 0])[toxic] += 1
-            if len(counts) > 200_000:
+            if len(counts) > 100_000:
                 yield rows(counts)
                 counts = {}
         yield rows(counts)
