@@ -34,7 +34,7 @@ def insert_absent(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
 
 
 def ordered_checksum(parts: DataFrame, keys: list[str], order: str, data: str) -> DataFrame:
-    """The seeded CRC-32 over each group's pieces in order; a group is one block, at most 100 slots of it."""
+    """The seeded CRC-32 over each group's pieces in order; a group is one block, such as a node's hour."""
     joined = F.expr(f"listagg({data}, X'') WITHIN GROUP (ORDER BY {order})")
     return parts.groupBy(*keys).agg(F.crc32(F.concat(F.unhex(F.lit("FFFFFFFF")), joined)).alias("crc"))
 

@@ -206,8 +206,8 @@ def a10(spark, d):
 @query("a11_ordered_checksum")
 def a11(spark, d):
     piece = F.unhex(F.lpad(F.hex(F.col("seq")), 4, "0"))
-    first = samples(spark, d).where("event_id % 10 = 0").select("node_id", "event_id", piece.alias("piece"))
-    return registry.ordered_checksum(first, ["node_id"], "event_id", "piece")
+    blocks = samples(spark, d).select("node_id", S.hour_start(S.minute_of(F.col("rx_ms"))).alias("hour_min"), "event_id", piece.alias("piece"))
+    return registry.ordered_checksum(blocks, ["node_id", "hour_min"], "event_id", "piece")
 
 
 @query("a12_last_seen", f"WITH {SAMPLES} SELECT node_id, max(rx_ms) AS last_seen_ms FROM samples GROUP BY node_id")
