@@ -39,7 +39,7 @@ def retry_schedule(requests: DataFrame, attempts: int) -> DataFrame:
     """When each failed attempt of a request is followed by the next."""
     steps = requests.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
     steps = steps.withColumn("backoff_ms", S.backoff(BACKOFF_MS, F.col("attempt"), BACKOFF_MOST_MS))
-    before = Window.partitionBy("seq").orderBy("attempt").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("seq", "arrival").orderBy("attempt").rowsBetween(Window.unboundedPreceding, 0)
     return steps.withColumn("next_attempt_ms", F.col("arrival") + F.sum("backoff_ms").over(before))
 
 

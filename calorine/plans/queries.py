@@ -370,6 +370,12 @@ def w14(spark, d):
     return alerts.retry_schedule(_requests(spark, d).where("seq % 10 = 0").select("arrival", "seq"), 8).select("seq", "attempt", "backoff_ms", "next_attempt_ms")
 
 
+@query("w14_retry_schedule_all", SQL["w14_retry_schedule"].replace(" WHERE seq % 10 = 0", ""))
+def w14_all(spark, d):
+    """Every request's attempts; ``w14_retry_schedule`` is the part of them that its SQL asks for."""
+    return alerts.retry_schedule(_requests(spark, d).select("arrival", "seq"), 8).select("seq", "attempt", "backoff_ms", "next_attempt_ms")
+
+
 # --- State and status ---------------------------------------------------------------------------------------------
 
 LATEST = SAMPLES + ", latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_id, addr ORDER BY rx_ms DESC, event_id DESC) AS k FROM samples) WHERE k = 1)"

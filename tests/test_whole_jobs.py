@@ -3,6 +3,7 @@
 import zlib
 from collections import defaultdict
 
+from calorine.operators import alerts
 from calorine.plans.queries import QUERIES
 from calorine.sources.events import samples
 
@@ -17,3 +18,16 @@ def test_a11_covers_every_event(spark):
     rows = QUERIES["a11_ordered_checksum"](spark, D).collect()
     assert len(rows) == len(want)
     assert {(r.node_id, r.hour_min): r.crc for r in rows} == want
+
+
+def test_w14_gives_every_request_its_attempts(spark):
+    got = defaultdict(list)
+    for r in QUERIES["w14_retry_schedule_all"](spark, D).orderBy("seq", "attempt").collect():
+        got[r.seq].append(r.next_attempt_ms - r.seq)
+    assert set(got) == {r.event_id for r in samples(spark, D).collect()}
+    assert all(v == [15_000, 45_000, 105_000, 225_000, 465_000, 945_000, 1_545_000, 2_145_000] for v in got.values())
+
+
+def test_w14_requests_of_one_seq_are_apart(spark):
+    requests = spark.createDataFrame([(10, 0), (500, 0)], "arrival long, seq long")
+    assert {(r.arrival, r.attempt, r.next_attempt_ms) for r in alerts.retry_schedule(requests, 2).collect()} == {(10, 0, 15_010), (10, 1, 45_010), (500, 0, 15_500), (500, 1, 45_500)}
