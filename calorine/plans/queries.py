@@ -564,6 +564,14 @@ def s7(spark, d):
     return codec.decode_minutes(codec.minute_blocks(minutes)).where("frame_ok AND present").drop("frame_ok")
 
 
+@query("s7_minute_blocks_all", SQL["s7_minute_blocks"].replace(" AND epoch_minute < 28407360", ""))
+def s7_all(spark, d):
+    """Every minute block, written a folder a day and read back; ``s7_minute_blocks`` is the part that its SQL asks for."""
+    path = scratch(spark, "minutes")
+    codec.write_blocks(codec.minute_blocks(grid.minute_samples(samples(spark, d))), path)
+    return codec.decode_minutes(spark.read.parquet(path), present_only=True).drop("frame_ok")
+
+
 @query("s8_hourly_blocks", f"WITH {HOURS} SELECT node_id, addr, hour_min AS start_min, mean_centi, min_centi, max_centi, sample_count FROM hours")
 def s8(spark, d):
     return codec.decode_rollups(codec.rollup_blocks(hours(spark, d), "hour_min"))

@@ -255,8 +255,11 @@ def _nullable(values: np.ndarray, gone: np.ndarray) -> pd.array:
     return column
 
 
-def decode_minutes(blocks: DataFrame) -> DataFrame:
-    """(node_id, addr, epoch_minute, present, centi, frame_ok) of sound blocks; a bad frame is missing."""
+def decode_minutes(blocks: DataFrame, present_only: bool = False) -> DataFrame:
+    """(node_id, addr, epoch_minute, present, centi, frame_ok) of sound blocks; a bad frame is missing.
+
+    ``present_only``: without what is missing, which is most of a sparse block.
+    """
 
     def decode(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in stream:
@@ -267,11 +270,13 @@ def decode_minutes(blocks: DataFrame) -> DataFrame:
                     if got is None or not got[5]:
                         continue
                     hour, slots, present, values, ok, _ = got
-                    minute, slot = np.divmod(np.arange(present.size), len(slots))
-                    parts.append((slots["node"][slot].astype(np.int64), slots["rom"][slot], hour + minute, present.ravel(), values.ravel(), ok[minute]))
+                    cells = np.flatnonzero(present & ok[:, None]) if present_only else np.arange(present.size)
+                    minute, slot = np.divmod(cells, len(slots))
+                    addrs = np.array(_addresses(slots["rom"]), object)
+                    parts.append((slots["node"][slot].astype(np.int64), addrs[slot], hour + minute, present.ravel()[cells], values.ravel()[cells], ok[minute]))
                 if parts:
-                    node, rom, minute, present, values, ok = (np.concatenate(c) for c in zip(*parts))
-                    yield pd.DataFrame({"node_id": node, "addr": _addresses(rom), "epoch_minute": minute, "present": present & ok, "centi": _nullable(values, (values == MISSING) | ~ok), "frame_ok": ok})
+                    node, addr, minute, present, values, ok = (np.concatenate(c) for c in zip(*parts))
+                    yield pd.DataFrame({"node_id": node, "addr": addr, "epoch_minute": minute, "present": present & ok, "centi": _nullable(values, (values == MISSING) | ~ok), "frame_ok": ok})
 
     return blocks.select("record").mapInPandas(decode, "node_id bigint, addr string, epoch_minute bigint, present boolean, centi int, frame_ok boolean")
 
@@ -319,6 +324,12 @@ def write_tier(rollups: DataFrame, path: str, part: str, order: str) -> None:
     rollups.repartition(part).sortWithinPartitions(order, "node_id", "addr").write.partitionBy(part).mode("append").parquet(path)
 
 
+def write_blocks(blocks: DataFrame, path: str) -> None:
+    """Minute blocks as Parquet, a folder for each day (UTC)."""
+    day = F.date_format(F.timestamp_seconds(F.col("hour_min") * 60), "yyyyMMdd")
+    blocks.withColumn("day", day).write.partitionBy("day").mode("append").parquet(path)
+
+
 def scan_tier(spark, path: str, part: str, order: str, start: int, end: int, first_part: str, last_part: str) -> DataFrame:
     """Rows of [start, end): folders are pruned by ``part``, row groups by ``order``."""
     rows = spark.read.parquet(path)

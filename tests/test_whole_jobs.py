@@ -3,7 +3,7 @@
 import zlib
 from collections import defaultdict
 
-from calorine.operators import alerts
+from calorine.operators import alerts, grid
 from calorine.plans.queries import QUERIES
 from calorine.sources.events import samples
 
@@ -31,3 +31,11 @@ def test_w14_gives_every_request_its_attempts(spark):
 def test_w14_requests_of_one_seq_are_apart(spark):
     requests = spark.createDataFrame([(10, 0), (500, 0)], "arrival long, seq long")
     assert {(r.arrival, r.attempt, r.next_attempt_ms) for r in alerts.retry_schedule(requests, 2).collect()} == {(10, 0, 15_010), (10, 1, 45_010), (500, 0, 15_500), (500, 1, 45_500)}
+
+
+def test_s7_blocks_of_all_minutes(spark):
+    want = grid.minute_samples(samples(spark, D)).where("present").select("node_id", "addr", "epoch_minute", "present", "centi")
+    got = QUERIES["s7_minute_blocks_all"](spark, D).select(want.columns)
+    days = {r[0] for r in got.selectExpr("epoch_minute DIV 1440").distinct().collect()}
+    assert len(days) == 30  # 2024-01-01 to 2024-01-30
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
