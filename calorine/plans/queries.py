@@ -613,6 +613,12 @@ def s13(spark, d):
     return frames.where("epoch_minute % 60 = 30 AND present").select("node_id", "addr", "epoch_minute", "centi")
 
 
+@query("s13_frame_export_all", f"WITH {MINUTES} SELECT node_id, addr, epoch_minute, centi FROM minutes WHERE present")
+def s13_all(spark, d):
+    """Every frame of every hour; ``s13_frame_export`` is the part of them that its SQL asks for."""
+    return codec.read_frames(codec.minute_blocks(grid.minute_samples(samples(spark, d)))).select("node_id", "addr", "epoch_minute", "centi")
+
+
 @query(
     "s14_daily_state_records",
     f"WITH {HOURS} SELECT node_id, addr, epoch(CAST(CAST(epoch_ms(hour_min * 60000) AS DATE) AS TIMESTAMP))::BIGINT // 60 AS day_min, CAST(sum(CAST(mean_centi AS BIGINT) * sample_count) AS BIGINT) AS sum, CAST(sum(sample_count) AS INTEGER) AS count FROM hours WHERE sample_count > 0 GROUP BY 1, 2, 3",

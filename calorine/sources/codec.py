@@ -281,6 +281,13 @@ def decode_minutes(blocks: DataFrame, present_only: bool = False) -> DataFrame:
     return blocks.select("record").mapInPandas(decode, "node_id bigint, addr string, epoch_minute bigint, present boolean, centi int, frame_ok boolean")
 
 
+def read_frames(blocks: DataFrame, minute: int | None = None) -> DataFrame:
+    """What is present in every frame of every sound block, or in the frame of one epoch minute."""
+    if minute is None:
+        return decode_minutes(blocks, present_only=True)
+    return decode_minutes(blocks.where(F.col("hour_min") == minute - minute % MINUTES), present_only=True).where(F.col("epoch_minute") == minute)
+
+
 def decode_rollups(blocks: DataFrame) -> DataFrame:
     """(node_id, addr, start_min, mean_centi, min_centi, max_centi, sample_count); bad payloads are skipped."""
 

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 from calorine.operators import alerts, grid
 from calorine.plans.queries import QUERIES
+from calorine.sources import codec
 from calorine.sources.events import samples
 
 D = "/root/testdata/sf0.001"
@@ -39,3 +40,18 @@ def test_s7_blocks_of_all_minutes(spark):
     days = {r[0] for r in got.selectExpr("epoch_minute DIV 1440").distinct().collect()}
     assert len(days) == 30  # 2024-01-01 to 2024-01-30
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_s13_exports_every_frame(spark):
+    want = grid.minute_samples(samples(spark, D)).where("present").select("node_id", "addr", "epoch_minute", "centi")
+    got = sorted(map(tuple, QUERIES["s13_frame_export_all"](spark, D).collect()))
+    assert {r[2] % 60 for r in got} == set(range(60))
+    assert got == sorted(map(tuple, want.collect()))
+
+
+def test_s13_reads_one_frame(spark):
+    minutes = grid.minute_samples(samples(spark, D))
+    minute = minutes.where("present").agg({"epoch_minute": "max"}).first()[0]
+    got = codec.read_frames(codec.minute_blocks(minutes), minute).select("node_id", "addr", "epoch_minute", "centi")
+    want = minutes.where(f"present AND epoch_minute = {minute}").select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
