@@ -50,6 +50,12 @@ def same_descriptor(a: DataFrame, b: DataFrame) -> DataFrame:
     return extra.agg((F.count(F.lit(1)) == 0).alias("same"))
 
 
+def span(samples: DataFrame, stale_ms: int = S.STALE_MS) -> tuple[int, int]:
+    """The minutes [start, end) from the first reading's to the last one that the last reading serves; (0, 0) of none."""
+    first, last = samples.agg(F.min("rx_ms"), F.max("rx_ms")).first()
+    return (0, 0) if first is None else (first // 60_000, (last + stale_ms) // 60_000 + 1)
+
+
 def dense_grid(slots: DataFrame, minutes: DataFrame, start_minute: int, end_minute: int) -> DataFrame:
     """Every minute of [start, end) for every slot; minutes without a sample are missing.
 

@@ -243,6 +243,13 @@ def w8(spark, d):
     return grid.dense_grid(grid.descriptor(s), grid.minute_samples(s), *DENSE)
 
 
+@query("w8_dense_grid_all", SQL["w8_dense_grid"].replace(f"range({DENSE[0]}, {DENSE[1]})", f"range((SELECT min(rx_ms) // 60000 FROM samples), (SELECT (max(rx_ms) + {S.STALE_MS}) // 60000 + 1 FROM samples))"))
+def w8_all(spark, d):
+    """Every minute of the data; ``w8_dense_grid`` is the part that its SQL asks for."""
+    s = samples(spark, d)
+    return grid.dense_grid(grid.descriptor(s), grid.minute_samples(s), *grid.span(s))
+
+
 @query("t9_descriptor_by_hour", f"WITH {SAMPLES} SELECT node_id, addr, (min(rx_ms) // 60000) - (min(rx_ms) // 60000) % 60 + 60 AS first_hour_min FROM samples GROUP BY node_id, addr")
 def t9(spark, d):
     return grid.descriptor_by_hour(samples(spark, d))

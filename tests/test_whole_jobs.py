@@ -55,3 +55,15 @@ def test_s13_reads_one_frame(spark):
     got = codec.read_frames(codec.minute_blocks(minutes), minute).select("node_id", "addr", "epoch_minute", "centi")
     want = minutes.where(f"present AND epoch_minute = {minute}").select(got.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_w8_has_every_slot_in_every_minute_of_the_data(spark):
+    s = samples(spark, D)
+    first, last = s.selectExpr("min(rx_ms)", "max(rx_ms)").first()
+    dense = QUERIES["w8_dense_grid_all"](spark, D)
+    r = dense.selectExpr("count(*)", "count(DISTINCT slot)", "count(DISTINCT epoch_minute)", "min(epoch_minute)", "max(epoch_minute)", "count_if(present)").first()
+    minutes = (last + 180_000) // 60_000 - first // 60_000 + 1
+    slots = grid.descriptor(s)
+    assert tuple(r)[:5] == (slots.count() * minutes, slots.count(), minutes, first // 60_000, (last + 180_000) // 60_000)
+    assert r[5] == grid.minute_samples(s).join(slots, ["node_id", "addr"], "left_semi").where("present").count() > 0
+    assert grid.span(s.where("false")) == (0, 0)
