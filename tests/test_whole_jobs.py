@@ -7,6 +7,7 @@ from calorine.operators import alerts, grid
 from calorine.plans.queries import QUERIES
 from calorine.sources import codec
 from calorine.sources.events import samples
+from calorine.streaming import telemetry
 
 D = "/root/testdata/sf0.001"
 
@@ -67,3 +68,17 @@ def test_w8_has_every_slot_in_every_minute_of_the_data(spark):
     assert tuple(r)[:5] == (slots.count() * minutes, slots.count(), minutes, first // 60_000, (last + 180_000) // 60_000)
     assert r[5] == grid.minute_samples(s).join(slots, ["node_id", "addr"], "left_semi").where("present").count() > 0
     assert grid.span(s.where("false")) == (0, 0)
+
+
+def test_x7_sink_is_given_every_payload_once(spark, tmp_path):
+    stored = []
+
+    def sink(batch, batch_id):
+        stored.extend((batch_id, bytes(r.payload)) for r in batch.collect())
+
+    payloads = telemetry.event_stream(spark, D).selectExpr("CAST(CONCAT_WS(' ', event_id, addr, rx_ms, temp_c) AS BINARY) AS payload")
+    telemetry.run_once(payloads, sink, str(tmp_path / "state"))
+    telemetry.run_once(payloads, sink, str(tmp_path / "state"))
+    want = [f"{r.event_id} {r.addr} {r.rx_ms} {r.t}".encode() for r in samples(spark, D).selectExpr("event_id", "addr", "rx_ms", "CAST(temp_c AS STRING) AS t").collect()]
+    assert sorted(p for _, p in stored) == sorted(want)
+    assert {i for i, _ in stored} == set(range(len({i for i, _ in stored})))
