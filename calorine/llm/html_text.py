@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-SILENT_TAGS = frozenset("script style noscript template svg math iframe object canvas select button textarea datalist audio video head title".split())
+SILENT_TAGS = frozenset("script style noscript template svg iframe object canvas select button textarea datalist audio video head title".split())
+#: Of these, the ones whose content is raw text: without an end tag it goes on to the page's end.
+RAW_TEXT_TAGS = frozenset("script style textarea title iframe noscript".split())
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog search".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 SPACE_TAGS = frozenset("br wbr img hr input".split())
@@ -73,6 +75,19 @@ class Block:
         self.text, self.words, self.links, self.kind, self.article, self.furniture = text, words, links, kind, article, furniture
 
 
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Where the closed elements of a name end, by where they start; one without an end tag of its own is not among them."""
+    opened: list[int] = []
+    found: dict[int, int] = {}
+    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).finditer(page):
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                opened.append(m.start())
+        elif opened:
+            found[opened.pop()] = m.end()
+    return found
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks, in order, with white space folded and character references decoded."""
     out: list[Block] = []
@@ -81,6 +96,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked: list[str] = []
     anchor, kind, at, n = 0, 0, 0, len(page)
+    ends: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -111,8 +127,13 @@ def blocks(page: str) -> list[Block]:
             if name == "head":
                 continue  # its elements are silent themselves, and its end tag may be missing
             if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I | re.S).search(page, at)
-                at = end.end() if end else n
+                if name in RAW_TEXT_TAGS:
+                    end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I | re.S).search(page, at)
+                    at = end.end() if end else n
+                else:
+                    if name not in ends:
+                        ends[name] = _ends(page, name)
+                    at = max(at, ends[name].get(m.start(), at))
             if name in ("button", "select", "textarea"):
                 parts.append(" ")
             continue
@@ -123,11 +144,6 @@ def blocks(page: str) -> list[Block]:
             parts.append(" ")
             continue
         if name not in BLOCK_TAGS:
-            if not closing and name not in VOID_TAGS and attributes and not attributes.endswith("/"):
-                names = _names(attributes)
-                if "hidden" in names:  # an inline element that isn't shown
-                    end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                    at = end.end() if end else at
             continue
         flush()
         anchor = 0
