@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calorine.functions import scalar as S
@@ -44,3 +44,21 @@ def newest_valid_slot(slots: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in slots.columns if c not in (*keys, "sequence", "valid")]
     best = slots.where("valid").groupBy(*keys).agg(F.max(F.struct("sequence", *rest)).alias("s"))
     return best.select(*keys, "s.*")
+
+
+def row_crc(columns: list[str]) -> Column:
+    """The CRC-32 of a row's columns by name; what is null is left out."""
+    return F.crc32(F.to_json(F.struct(*sorted(columns))).cast("binary"))
+
+
+def save_slot(table: DataFrame, path: str, sequence: int) -> None:
+    """Append a table's rows to a stored one, each with the slot's sequence and a checksum."""
+    rows = table.withColumn("sequence", F.lit(sequence).cast("long"))
+    rows.withColumn("crc", row_crc(rows.columns)).write.mode("append").parquet(path)
+
+
+def load_newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Of each key's stored rows, the sound one of the highest sequence."""
+    rows = spark.read.parquet(path)
+    stored = [c for c in rows.columns if c != "crc"]
+    return newest_valid_slot(rows.withColumn("valid", F.col("crc") == row_crc(stored)).drop("crc"), keys)

@@ -631,17 +631,11 @@ def s13_all(spark, d):
     f"WITH {HOURS} SELECT node_id, addr, epoch(CAST(CAST(epoch_ms(hour_min * 60000) AS DATE) AS TIMESTAMP))::BIGINT // 60 AS day_min, CAST(sum(CAST(mean_centi AS BIGINT) * sample_count) AS BIGINT) AS sum, CAST(sum(sample_count) AS INTEGER) AS count FROM hours WHERE sample_count > 0 GROUP BY 1, 2, 3",
 )
 def s14(spark, d):
-    states = rollup.daily_state(hours(spark, d)).withColumn("day_min", F.unix_date("day").cast("long") * 1440)
-    slot = F.dense_rank().over(Window.partitionBy("day_min").orderBy("node_id", "addr")) - 1
-
-    def there_and_back(rows: pd.DataFrame) -> pd.DataFrame:
-        entries = list(rows[["node_id", "addr", "sum", "count", "min", "max"]].itertuples(index=False, name=None))
-        old, new = codec.encode_daily_state(6, 0, []), codec.encode_daily_state(7, int(rows["day_min"].iloc[0]), entries)
-        _, day, back = codec.newest_slot(old, new)
-        return pd.DataFrame([(n, a, day, s, k) for n, a, s, k, _, _ in back], columns=["node_id", "addr", "day_min", "sum", "count"])
-
-    keyed = states.withColumn("block", F.floor(slot / 100).cast("int"))
-    return keyed.groupBy("day_min", "block").applyInPandas(there_and_back, "node_id bigint, addr string, day_min bigint, sum bigint, count int")
+    """Two slots, saved and loaded: the states before the even hours came, and all of them."""
+    path = scratch(spark, "states")
+    for sequence, states in ((6, _halves(spark, d)[0]), (7, rollup.daily_state(hours(spark, d)))):
+        registry.save_slot(states.withColumn("day_min", F.unix_date("day").cast("long") * 1440).drop("day"), path, sequence)
+    return registry.load_newest(spark, path, ["node_id", "addr", "day_min"]).select("node_id", "addr", "day_min", "sum", F.col("count").cast("int").alias("count"))
 
 
 @query(
@@ -658,12 +652,13 @@ def s15(spark, d):
 
 @query("s16_calibration_blob", f"WITH {SAMPLES} SELECT DISTINCT addr, CAST(1.25 AS DOUBLE) AS a1, CAST(-0.5 AS DOUBLE) AS a0 FROM samples WHERE node_id % 3 = 0 AND node_id % 2 = 1")
 def s16(spark, d):
-    def blob(rows: pd.DataFrame) -> pd.DataFrame:
-        entries = list(rows[["addr", "a1", "a0"]].itertuples(index=False, name=None))
-        return pd.DataFrame(codec.decode_calibration(codec.encode_calibration([*entries, ("28", 1.0, 0.0)])), columns=["addr", "a1", "a0"])
-
-    table = _calibration(spark, d).where("a1 <> 1").withColumn("node", F.substring("addr", 1, 14))
-    return table.groupBy("node").applyInPandas(blob, "addr string, a1 double, a0 double")
+    """Coefficients saved over the neutral ones, then loaded; addresses that aren't whole are not saved."""
+    path = scratch(spark, "calibration")
+    table = _calibration(spark, d).where("a1 <> 1").withColumn("addr", F.upper("addr"))
+    good = table.unionByName(spark.createDataFrame([("28", 1.0, 0.0)], "addr string, a1 double, a0 double")).where(S.whole_address(F.col("addr")))
+    registry.save_slot(good.withColumns({"a1": F.lit(1.0), "a0": F.lit(0.0)}), path, 1)
+    registry.save_slot(good, path, 2)
+    return registry.load_newest(spark, path, ["addr"]).select("addr", "a1", "a0")
 
 
 # --- Streams ------------------------------------------------------------------------------------------------------
@@ -710,4 +705,5 @@ def t8(spark, d):
 
 @query("t15_diagnostic_history")
 def t15(spark, d):
+    """A fixture: a synthetic wave of two made-up addresses; no table is read."""
     return history.diagnostic_history(spark, ["28FFFFFFFFFFFF01", "28FFFFFFFFFFFF02"], 720, 15.0, 28.0, 1_706_745_600)

@@ -3,7 +3,7 @@
 import zlib
 from collections import defaultdict
 
-from calorine.operators import alerts, grid
+from calorine.operators import alerts, grid, registry
 from calorine.plans.queries import QUERIES
 from calorine.sources import codec
 from calorine.sources.events import samples
@@ -82,3 +82,20 @@ def test_x7_sink_is_given_every_payload_once(spark, tmp_path):
     want = [f"{r.event_id} {r.addr} {r.rx_ms} {r.t}".encode() for r in samples(spark, D).selectExpr("event_id", "addr", "rx_ms", "CAST(temp_c AS STRING) AS t").collect()]
     assert sorted(p for _, p in stored) == sorted(want)
     assert {i for i, _ in stored} == set(range(len({i for i, _ in stored})))
+
+
+def test_slots_are_stored_and_recovered(spark, tmp_path):
+    path, schema = str(tmp_path / "slots"), "k long, v double"
+    registry.save_slot(spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None)], schema), path, 6)
+    registry.save_slot(spark.createDataFrame([(1, 10.0), (2, 20.0)], schema), path, 7)
+    assert spark.read.parquet(path).count() == 5
+    assert {r.k: (r.sequence, r.v) for r in registry.load_newest(spark, path, ["k"]).collect()} == {1: (7, 10.0), 2: (7, 20.0), 3: (6, None)}
+    torn = spark.read.parquet(path).selectExpr("k", "IF(k = 2 AND sequence = 7, 21.0D, v) AS v", "sequence", "crc")
+    torn.write.parquet(str(tmp_path / "torn"))
+    assert {r.k: (r.sequence, r.v) for r in registry.load_newest(spark, str(tmp_path / "torn"), ["k"]).collect()} == {1: (7, 10.0), 2: (6, 2.0), 3: (6, None)}
+
+
+def test_s14_and_s16_store_what_they_return(spark):
+    for name in ("s14_daily_state_records", "s16_calibration_blob"):
+        files = QUERIES[name](spark, D).inputFiles()
+        assert files and not any("events.parquet" in f for f in files)
