@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: With this setting a step's shuffle files go when the step is done, not when the driver happens to collect garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
@@ -17,14 +22,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every machine shares, as ``spark.checkpoint.dir`` names it.
 
-    Only a session without that setting (a local test) gets a temporary folder.
+    Only a local session without that setting (a test) gets a temporary folder; on a cluster its absence is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = tempfile.mkdtemp(prefix="spark-")
-    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
@@ -34,10 +38,52 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the steps inside are deleted as each step ends."""
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder, in whatever file system that is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Steps:
+    """Tables that an operator writes on its way and deletes when their successors are written.
+
+    ``write`` cuts the lineage: what a lost executor held is read again from the shared folder.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, scratch(spark, name)
+        self.written: list[tuple[DataFrame, str]] = []
+        self.count = 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.count}"
+        self.count += 1
+        with cleaning(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
+        made = self.spark.read.schema(df.schema).parquet(path)
+        self.written.append((made, path))
+        return made
+
+    def drop(self, *frames: DataFrame) -> None:
+        for made, path in [w for w in self.written if any(w[0] is f for f in frames)]:
+            delete(self.spark, path)
+            self.written = [w for w in self.written if w[1] != path]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder, so that lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows written to the shared folder and read again, for results that go on to be used by the caller."""
+    return Steps(df.sparkSession, "cut").write(df)
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

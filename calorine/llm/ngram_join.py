@@ -13,12 +13,13 @@ over all documents.  An order only steers the work: whatever tokens it holds to
 A token among a set's first ``l(n) - 1`` that meets no other prefix is in no similar set.  A set with more such lone
 tokens than it may miss in a partner of given size can't be similar to it; so heavily edited copies drop out unread.
 
-Groups of copies are not spelled out in pairs.  Equal sets are one node.  In a first round the members of a bucket
-meet only its pivot, the member with the fewest lone tokens, a number of pairs linear in the bucket.  What that links
-is one component already; a second round compares, within buckets, members of different components alone, each pair
-of them that has enough prefix tokens in common, so no link between components is lost.  The first round also tells how
-far each member is from the pivot: of two members' differences from it they share none of their lone tokens, which
-bounds their own difference from below and rules out most pairs of edited copies of one text.
+Groups of copies are not spelled out in pairs, and a text travels once for a room, not once for a pair.  Equal sets are
+one node.  The members of a bucket form the group of its pivot, the member with the fewest lone tokens, so that the
+buckets of one passage make one group.  A group is dealt to rooms of bounded size.  First each room, with the pivot,
+finds the links among its own members: the filters and the comparison are matrix products over the room's tokens.  What
+that links is one component.  Groups of several rooms have a second round: members outside the pivot's component meet
+all others, room by room, so that no link between components is lost, while the pivot's own component, a hot group's
+bulk, never meets itself again.
 """
 
 from __future__ import annotations
@@ -30,24 +31,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calorine.llm.common import cut
+from calorine.llm.common import Steps, cleaning, cut, partitions
 from calorine.llm.components import connected_components
 
 #: Seeds of the token orders.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-#: Bits of the sketch's counters, and counters of one of the pieces in which it travels.
-SKETCH_BITS, SKETCH_PIECE = 22, 1 << 16
+#: The sketch has a counter for each 1/16 of a document, in bounds; COUNTERS of them travel in one piece.  At its upper bound
+#: it still tells tokens apart that are more frequent than thrice the square root of the tokens for each counter.
+LEAST_BITS, MOST_BITS, COUNTERS = 16, 24, 1 << 16
 #: Tokens that are counted together.
 COUNT_CHUNK = 1_000_000
 #: Buckets go by the upper 40 bits of a token, which shuffle in fewer bytes; a chance meeting is seen through later.
 BUCKET_SHIFT = 24
-#: Members of one bucket that meet their pivot in one task.
-MEETING = 1_000
-#: Bits of the filter that keeps texts without a candidate from being shuffled.
-FILTER_BITS = 24
+#: Members and tokens of a room, about.
+ROOM, ROOM_TOKENS = 512, 1 << 20
+#: Bits for each id of the filter that keeps texts without a candidate from being shuffled, and the most that it has.
+MARKS, MOST_MARKS = 16, 1 << 26
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,7 +72,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(mix(out + np.uint64(k)))
 
 
-def least_common(n: int, percent: int) -> int:
+def least_common(n, percent: int):
     """l(n): the share of a set that a partner of its size may lack, and a little more."""
     return n * (100 - percent) // (100 + percent) + 3
 
@@ -82,17 +84,18 @@ def prefix_size(n: int, percent: int) -> int:
 class Orders:
     """The global orders: hash orders with the common tokens moved to the end.
 
-    weights: by a token's upper bits 0, or more the commoner such tokens are.
+    counts: a power of two of counters, each of the tokens with certain upper bits.  weights: 0, or more the commoner.
     """
 
     def __init__(self, counts: np.ndarray):
         usual = float(np.median(counts)) if len(counts) else 0.0
         bound = usual + 3 * usual**0.5 + 2
+        self.shift = np.uint64(65 - len(counts).bit_length())
         self.weights = np.where(counts > bound, 1 + 1000 * np.log2(np.maximum(counts, 1) / bound), 0).clip(0, 65_535).astype(np.uint16)
 
     def prefix(self, tokens: np.ndarray, size: int, o: int) -> np.ndarray:
         """The first ``size`` tokens of a set under order ``o``, in that order."""
-        weight = self.weights[tokens >> np.uint64(64 - SKETCH_BITS)]
+        weight = self.weights[tokens >> self.shift]
         key = mix(tokens ^ np.uint64(ORDERS[o]))
         plain = np.flatnonzero(weight == 0)
         if len(plain) >= size:
@@ -105,17 +108,23 @@ def _signature(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def _measure(docs: DataFrame, k: int) -> DataFrame:
+def power(n: int, least: int, most: int) -> int:
+    """The least power of two from ``n`` on, in bounds."""
+    return min(max(1 << max(n - 1, 0).bit_length(), least), most)
+
+
+def _measure(docs: DataFrame, k: int, counters: int) -> DataFrame:
     """One row a document (doc_id, n, signature), and each task's sketch in pieces (piece, counts)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
+    shift = np.uint64(65 - counters.bit_length())
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, held, size = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
+        sketch, held, size = np.zeros(counters, np.uint32), [], 0
 
         def counted() -> None:
             nonlocal held, size
             if held:
-                at, n = np.unique((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32), return_counts=True)
+                at, n = np.unique((np.concatenate(held) >> shift).astype(np.uint32), return_counts=True)
                 sketch[at] += n.astype(np.uint32)
             held, size = [], 0
 
@@ -132,26 +141,26 @@ def _measure(docs: DataFrame, k: int) -> DataFrame:
             m = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
         counted()
-        pieces = [(i, zlib.compress(p.clip(0, 255).astype(np.uint8).tobytes(), 1)) for i, p in enumerate(sketch.reshape(-1, min(SKETCH_PIECE, len(sketch)))) if p.any()]
+        pieces = [(i, zlib.compress(p.tobytes(), 1)) for i, p in enumerate(sketch.reshape(-1, min(COUNTERS, counters))) if p.any()]
         m = len(pieces)
         yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([i for i, _ in pieces], pa.int32()), pa.array([b for _, b in pieces], pa.binary())], schema=schema)
 
     return docs.mapInArrow(batches, "doc_id bigint, n bigint, signature binary, piece int, counts binary")
 
 
-def _sketch(measured: DataFrame) -> np.ndarray:
-    """The tasks' sketches added up: 2**SKETCH_BITS counters, whatever the data."""
+def _sketch(measured: DataFrame, counters: int) -> np.ndarray:
+    """The tasks' sketches added up; 2**MOST_BITS counters at most reach the driver."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in stream:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(zlib.decompress(raw), np.uint8).astype(np.uint32)
+                part = np.frombuffer(zlib.decompress(raw), np.uint32)
                 total[i] = total[i] + part if i in total else part
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(t.tobytes(), 1) for t in total.values()], pa.binary())], ["piece", "counts"])
 
     pieces = measured.where("piece IS NOT NULL").select("piece", "counts").repartition("piece").mapInArrow(batches, "piece int, counts binary").collect()
-    out = np.zeros((max(1, (1 << SKETCH_BITS) // SKETCH_PIECE), min(SKETCH_PIECE, 1 << SKETCH_BITS)), np.uint32)
+    out = np.zeros((max(1, counters // COUNTERS), min(COUNTERS, counters)), np.uint32)
     for r in pieces:
         out[r["piece"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)
     return out.ravel()
@@ -177,94 +186,194 @@ def _prefixes(docs: DataFrame, orders, k: int, percent: int) -> DataFrame:
 
 
 def _marks(ids: DataFrame) -> np.ndarray:
-    """A bit for each hash of the ids: at most 2**FILTER_BITS bits, whatever the number of ids.
+    """A bit for each hash of the ids: MARKS bits for each id, MOST_MARKS at most.
 
     It only saves shuffling: a text whose bit is set by chance is dropped by the join that follows.
     """
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
+    bits = power(MARKS * ids.count(), 1 << 16, MOST_MARKS)
+    bit = F.pmod(F.xxhash64("id"), F.lit(bits))
     words = ids.select(F.floor(bit / 32).cast("int").alias("word"), (bit % 32).cast("int").alias("place"))
-    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits"))
-    out = np.zeros(1 << FILTER_BITS - 5, np.uint32)
-    rows = words.toPandas()
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
+    with cleaning(ids.sparkSession):
+        words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits")).toArrow()
+    out = np.zeros(bits // 32, np.uint32)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
     return out
 
 
+def _hit(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the hashes' bits are marked."""
+    bits = hashes % np.int64(32 * len(marks))  # as pmod: Python's remainder is never negative
+    return (marks[bits >> 5] >> (bits & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
 def _marked(docs: DataFrame, marks: np.ndarray) -> DataFrame:
     """(id, text) of the documents whose bit is marked."""
     shared = docs.sparkSession.sparkContext.broadcast(marks)
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).cast("int")
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = shared.value
         for batch in stream:
-            bits = batch.column(2).to_numpy(zero_copy_only=False)
-            yield batch.select([0, 1]).filter(pa.array((marks[bits >> 5] >> (bits & 31).astype(np.uint32) & np.uint32(1)).astype(bool)))
-
-    return docs.select(F.col("doc_id").alias("id"), "text", bit.alias("bit")).where("id IS NOT NULL").mapInArrow(batches, "id bigint, text string")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, orders, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with their ``overlap`` and whether they are ``similar``.
-
-    A pair is similar if its prefixes meet under the further orders too and then its sets are.  The overlap is reported
-    for all pairs.
-
-    The texts of all b of one a travel to where a's text is (texts shrink in a shuffle, hashes don't), in meetings of
-    MEETING members: a hub's are spread over many.
+            yield batch.select([0, 1]).filter(pa.array(_hit(shared.value, batch.column(2).to_numpy())))
+
+    return docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("doc_id").alias("hash")).where("id IS NOT NULL").mapInArrow(batches, "id bigint, text string")
+
+
+def overlaps(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, width: int = 2048) -> np.ndarray:
+    """How many tokens the sets ``rows`` share with the sets ``cols``: a product of incidence matrices, ``width`` tokens at a time."""
+    out = np.zeros((len(rows), len(cols)), np.float32)
+    used = np.unique(np.concatenate([rows, cols]))
+    owner = np.repeat(used, [len(sets[i]) for i in used])
+    _, token, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in used)]), return_inverse=True, return_counts=True)
+    shared = count > 1
+    keep = shared[token]
+    owner, token = owner[keep], (np.cumsum(shared) - 1)[token[keep]]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    for low in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(token, (low, low + width))
+        incidence = np.zeros((len(sets), width), np.float32)
+        incidence[owner[a:b], token[a:b] - low] = 1
+        out += incidence[rows] @ incidence[cols].T
+    return out.astype(np.int64)
+
+
+class Room:
+    """Sets that meet, with their components so far; ``links`` holds the pairs found that join components."""
+
+    def __init__(self, ids: list[int], components: list[int], sets: list[np.ndarray], orders: Orders, percent: int):
+        self.ids, self.sets, self.percent = ids, sets, percent
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.prefixes = [[orders.prefix(s, prefix_size(len(s), percent), o) for s in sets] for o in range(len(ORDERS))]
+        self.component = np.unique(np.array(components, np.int64), return_inverse=True)[1]
+        self.links: list[tuple[int, int]] = []
+
+    def compare(self, rows: np.ndarray, cols: np.ndarray) -> None:
+        """Join what is similar among the sets ``rows`` and ``cols``: a pair is compared if every order's prefixes meet."""
+        if not len(rows) or not len(cols):
+            return
+        m, n = self.sizes[rows][:, None], self.sizes[cols][None, :]
+        overlap = -(-self.percent * (m + n) // (100 + self.percent))
+        least = np.minimum(least_common(np.minimum(m, n), self.percent), overlap)
+        open_ = (self.component[rows][:, None] != self.component[cols][None, :]) & (overlap <= np.minimum(m, n))
+        for prefixes in self.prefixes:
+            if not open_.any():
+                return
+            r, c = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+            grid = np.ix_(r, c)
+            open_[grid] &= overlaps(prefixes, rows[r], cols[c]) >= least[grid]
+        r, c = np.nonzero(open_)
+        if not len(r):
+            return
+        (i, r), (j, c) = np.unique(r, return_inverse=True), np.unique(c, return_inverse=True)
+        if len(r) > 4 * (len(i) + len(j)):
+            common = overlaps(self.sets, rows[i], cols[j])[r, c]
+        else:
+            common = np.array([len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True)) for x, y in zip(rows[i[r]], cols[j[c]])])
+        x, y = rows[i[r]], cols[j[c]]
+        similar = 100 * common >= self.percent * (self.sizes[x] + self.sizes[y] - common)
+        for a, b in zip(x[similar].tolist(), y[similar].tolist()):
+            if self.component[a] != self.component[b]:
+                self.component[self.component == self.component[b]] = self.component[a]
+                self.links.append((self.ids[a], self.ids[b]))
+
+
+def _links(met: DataFrame, docs: DataFrame, orders, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between components, found in rooms.
+
+    met: room (pivot, i, j), id, component, side.  Where a room has members of side 0 and 1 alone, the former are
+    compared with the latter; where all are of side 0, with each other; a member of side -1 is the pivot, which is
+    compared with all before those that it is not similar to are compared with all.  Texts are shuffled, once for each
+    room, since they shrink in a shuffle and hashes don't.
     """
-    pairs = cut(pairs)
-    texts = _marked(docs, _marks(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-    hubs = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEETING).cast("int").alias("rooms")))
-    salted = pairs.join(hubs, "a").select("a", F.col("b").alias("id"), F.pmod(F.xxhash64("b"), F.col("rooms")).cast("int").alias("room"), F.lit(1).alias("member"))
-    own = hubs.select("a", F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("rooms") - 1)).alias("room"), F.lit(0).alias("member"))
-    met = texts.join(cut(salted.unionByName(own)), "id").select("a", "room", "member", "id", "text")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = met.repartition(n, "a", "room").sortWithinPartitions("a", "room", "member", "id")
+    texts = _marked(docs, _marks(met.select("id").distinct()))
+    n = partitions(docs.sparkSession)
+    rows = texts.join(met, "id").select("pivot", "i", "j", "side", "id", "component", "text")
+    rows = rows.repartition(n, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "side", "id")
+
+    def found(sides: list[int], ids: list[int], components: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        room, side, every = Room(ids, components, sets, orders.value, percent), np.array(sides), np.arange(len(ids))
+        if side[0] < 0:
+            room.compare(every[:1], every[1:])
+            room.compare(np.flatnonzero(room.component != room.component[0]), every)
+        elif side[-1] > 0:
+            room.compare(np.flatnonzero(side == 0), np.flatnonzero(side > 0))
+        else:
+            room.compare(every, every)
+        return room.links
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hub, hub_set, hub_prefixes = orders.value, None, None, []
+        at, held = None, ([], [], [], [])
 
-        def prefixes(tokens: np.ndarray) -> list[np.ndarray]:
-            return [known.prefix(tokens, prefix_size(len(tokens), percent), o) for o in range(1, len(ORDERS))]
+        def close() -> pa.RecordBatch:
+            links = found(*held) if held[0] else []
+            for column in held:
+                column.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], ["a", "b"])
 
         for batch in stream:
-            out: list[tuple] = []
             for row in range(batch.num_rows):
-                a, room, member, i, text = (c[row].as_py() for c in batch.columns)
+                pivot, i, j, side, own, component, text = (c[row].as_py() for c in batch.columns)
+                if at != (pivot, i, j):
+                    yield close()
+                    at = (pivot, i, j)
                 tokens = shingle_set(text, k)
-                if not member:
-                    hub, hub_set, hub_prefixes = (a, room), tokens, prefixes(tokens)
-                    continue
-                if hub != (a, room):
-                    continue
-                overlap = -(-percent * (len(tokens) + len(hub_set)) // (100 + percent))
-                least = min(least_common(min(len(tokens), len(hub_set)), percent), overlap)
-                common = len(np.intersect1d(tokens, hub_set, assume_unique=True))
-                meets = all(len(np.intersect1d(p, q, assume_unique=True)) >= least for p, q in zip(prefixes(tokens), hub_prefixes))
-                out.append((a, i, common, meets and 100 * common >= percent * (len(tokens) + len(hub_set) - common)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], ["a", "b", "overlap", "similar"])
-
-    return cut(met.mapInArrow(batches, "a bigint, b bigint, overlap bigint, similar boolean"))
+                if held[1] and held[1][-1] == own and np.array_equal(held[3][-1], tokens):
+                    continue  # a repeated row
+                for column, value in zip(held, (side, own, component, tokens)):
+                    column.append(value)
+        yield close()
 
+    return rows.mapInArrow(batches, "a bigint, b bigint")
 
-def _possible(percent: int, x: str, y: str):
-    """Whether sets of these sizes (n) and lone tokens (lone) can be similar: each may miss what the overlap leaves."""
-    m, n = F.col(f"{x}.n"), F.col(f"{y}.n")
-    overlap = F.ceil(percent * (m + n) / F.lit(100 + percent))
-    return (overlap <= F.least(m, n)) & (F.col(f"{x}.lone") <= m - overlap) & (F.col(f"{y}.lone") <= n - overlap)
 
+def _rooms(count, tokens):
+    """Rooms for so many members with so many tokens in all: one at least."""
+    return F.greatest(F.ceil(count / F.lit(ROOM)), F.ceil(tokens / F.lit(ROOM_TOKENS)), F.lit(1)).cast("int")
 
-def _apart(percent: int, x: str, y: str):
-    """Whether two members of one bucket differ too much, by their differences (apart) from its pivot.
 
-    What both differ in alike is at most what either has beside its lone tokens.  Unknown differences rule nothing out.
-    """
-    col = lambda s, c: F.col(f"{s}.{c}")
-    alike = F.least(*[col(s, "apart") - F.least(col(s, "apart"), col(s, "lone")) for s in (x, y)])
-    most = F.floor((100 - percent) * (col(x, "n") + col(y, "n")) / F.lit(100 + percent))
-    return F.coalesce(col(x, "apart") + col(y, "apart") - 2 * alike > most, F.lit(False))
+def _groups(docs: DataFrame, orders, k: int, percent: int, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    """The nodes (signature, node), and the groups (pivot, node, n) in which similar ones are together."""
+    prefixes = _prefixes(docs.where("doc_id IS NOT NULL"), orders, k, percent).where("n > 0")
+    prefixes = steps.write(prefixes.groupBy("signature").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("tokens").alias("tokens")))
+    least = lambda n: F.floor(n * (100 - percent) / F.lit(100 + percent)) + 3  # noqa: E731  least_common
+    tokens = prefixes.select("node", "n", F.posexplode("tokens").alias("place", "token"))
+    tokens = tokens.select("token", "node", "n", (F.col("place") < least(F.col("n")) - 1).alias("lead"))
+    # Counts are written out, and so are pivots and rooms below: a join of two plain inputs is one whose hot keys can be split.
+    several = steps.write(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("token"))
+    met = steps.write(tokens.join(several, "token"))
+    # A set that meets others in fewer tokens than its smallest possible partner asks for is done with.
+    fewest = F.ceil(percent * F.col("n") / F.lit(100))
+    enough = F.least(least(fewest), F.ceil(percent * (F.col("n") + fewest) / F.lit(100 + percent)))
+    stats = met.groupBy("node", "n").agg(F.count(F.lit(1)).alias("shared"), F.count_if("lead").alias("leads")).where(F.col("shared") >= enough)
+    lone = steps.write(stats.select("node", (F.least(least(F.col("n")) - 1, F.col("n")) - F.col("leads")).alias("lone")))
+    left = steps.write(met.join(lone, "node").select("token", "node", "n", "lone"))
+    pivots = left.groupBy("token").agg(F.min(F.struct("lone", "node")).alias("c"), F.count(F.lit(1)).alias("size"))
+    pivots = steps.write(pivots.where("size > 1").select("token", F.col("c.node").alias("pivot")))
+    groups = steps.write(left.join(pivots, "token").select("pivot", "node", "n").distinct())
+    nodes = steps.write(prefixes.select("signature", "node"))
+    steps.drop(prefixes, several, met, lone, left, pivots)
+    return nodes, groups
+
+
+def _second_round(groups: DataFrame, rooms: DataFrame, component: DataFrame, steps: Steps) -> DataFrame:
+    """The rooms in which members outside their pivot's component meet all others, of groups of several rooms."""
+    large = groups.join(rooms.where("rooms > 1"), "pivot").select("pivot", "node", "n")
+    placed = steps.write(large.join(component, "node", "left").select("pivot", "node", "n", F.coalesce("component", "node").alias("component")))
+    own = steps.write(placed.where("node = pivot").select("pivot", F.col("component").alias("main")))
+    placed_ = steps.write(placed.join(own, "pivot").withColumn("outer", F.col("component") != F.col("main")).drop("main"))
+    size = lambda own: _rooms(F.count_if(own), F.sum(F.when(own, F.col("n")).otherwise(0)))
+    plan = placed_.groupBy("pivot").agg(size(F.col("outer")).alias("o"), size(~F.col("outer")).alias("m"), F.count_if("outer").alias("some")).where("some > 0").drop("some")
+    plan = steps.write(plan)
+    steps.drop(placed, own)
+    # Outer members are dealt to the blocks 0 to o-1, the others to o to o+m-1; block i meets itself and those beyond it.
+    hash_ = F.xxhash64("node")
+    block = F.when(F.col("outer"), F.pmod(hash_, F.col("o"))).otherwise(F.col("o") + F.pmod(hash_, F.col("m"))).cast("int")
+    dealt = placed_.join(plan, "pivot").withColumn("block", block)
+    first = F.transform(F.sequence(F.lit(0), F.least(F.col("block"), F.col("o") - 1)), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), (i != F.col("block")).cast("int").alias("side")))
+    then = F.when(F.col("outer"), F.transform(F.sequence(F.col("block"), F.col("o") + F.col("m") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(0).alias("side"))))
+    rooms = dealt.select("pivot", "node", "component", F.explode(F.array_distinct(F.concat(first, F.coalesce(then, F.array().cast("array<struct<i:int,j:int,side:int>>"))))).alias("r"))
+    out = steps.write(rooms.select("pivot", "r.i", "r.j", F.col("node").alias("id"), "component", "r.side"))
+    steps.drop(placed_, plan)
+    return out
 
 
 def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -273,65 +382,36 @@ def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     A document links to others of Jaccard similarity ``percent``/100 or more; ``component_id`` is the smallest doc_id
     that links reach.  Documents without words (null, empty or blank texts) link with nothing.  Repeated rows each
     give a row, judged by their texts; a null doc_id links with nothing and has a null component; an empty table gives
-    no rows; further columns are ignored.
+    no rows; very long texts are taken whole; further columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     spark = docs.sparkSession
-    measured = cut(_measure(docs, k))
-    orders = spark.sparkContext.broadcast(Orders(_sketch(measured)))
-    rows = measured.where("piece IS NULL").select("doc_id", "n", "signature")
-    named = rows.where("doc_id IS NOT NULL AND n > 0")
-    nodes = cut(named.groupBy("signature").agg(F.min("doc_id").alias("node")))
-
-    prefixes = _prefixes(docs.where("doc_id IS NOT NULL"), orders, k, percent).where("n > 0")
-    prefixes = prefixes.groupBy("signature").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    least = lambda n: F.floor(n * (100 - percent) / F.lit(100 + percent)) + 3  # noqa: E731  least_common
-    tokens = prefixes.select("node", "n", F.posexplode("tokens").alias("place", "token"))
-    tokens = tokens.select("token", "node", "n", (F.col("place") < least(F.col("n")) - 1).alias("lead"))
-    bucket = Window.partitionBy("token")
-    met = cut(tokens.withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1").drop("size"))
-    # A set that meets others in fewer tokens than its smallest possible partner asks for is done with.
-    fewest = F.ceil(percent * F.col("n") / F.lit(100))
-    enough = F.least(least(fewest), F.ceil(percent * (F.col("n") + fewest) / F.lit(100 + percent)))
-    stats = met.groupBy("node", "n").agg(F.count(F.lit(1)).alias("shared"), F.count_if("lead").alias("leads")).where(F.col("shared") >= enough)
-    lone = cut(stats.select("node", (F.least(least(F.col("n")) - 1, F.col("n")) - F.col("leads")).alias("lone")))
-    met = met.join(lone, "node").withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1")
-    met = cut(met.select("token", "node", "n", "lone"))
-    pivots = met.groupBy("token").agg(F.min(F.struct("lone", "node", "n")).alias("c"))
-    x = met.alias("x")
-    pivots = cut(pivots.select("token", "c.*"))
-    stars = x.join(pivots.alias("c"), "token").where(F.col("x.node") != F.col("c.node")).where(_possible(percent, "x", "c"))
-    stars = cut(stars.select(F.least("c.node", "x.node").alias("a"), F.greatest("c.node", "x.node").alias("b")).distinct())
-    tested = _verified(stars, docs, orders, k, percent)
-    links = tested.where("similar").select("a", "b")
-
-    # The second round: members of one bucket in different components.
-    component = connected_components(links)
-    placed = met.join(component, "node", "left").select("token", "node", "n", "lone", F.coalesce("component", "node").alias("component"))
-    central = pivots.select("token", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"))
-    placed = placed.join(central, "token").withColumns({"a": F.least("pivot", "node"), "b": F.greatest("pivot", "node")}).join(tested.select("a", "b", "overlap"), ["a", "b"], "left")
-    apart = F.when(F.col("node") == F.col("pivot"), F.lit(0)).otherwise(F.col("n") + F.col("pivot_n") - 2 * F.col("overlap"))
-    placed = cut(placed.select("token", "node", "n", "lone", "component", "pivot", apart.alias("apart")))
-    differ = lambda rows, key: (  # noqa: E731  rows whose bucket holds several components
-        rows.withColumn("low", F.min("component").over(Window.partitionBy(key))).withColumn("high", F.max("component").over(Window.partitionBy(key))).where("low <> high").drop("low", "high")
-    )
-    other = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _possible(percent, "x", "y")
-    pair = F.col("x.node").alias("a"), F.col("y.node").alias("b")
-    # Members that were both compared with one pivot meet once for it, whatever the number of tokens they share.
-    near = cut(differ(placed.where("apart IS NOT NULL").select("pivot", "node", "n", "lone", "component", "apart").distinct(), "pivot"))
-    first = near.alias("x").join(near.alias("y"), "pivot").where(other & ~_apart(percent, "x", "y")).select(*pair).distinct()
-    # The others meet in their buckets.  Both are in each bucket that they share, so a pair's rows are its common tokens,
-    # or else one of them made it meet above.
-    mixed = cut(differ(placed, "token"))
-    rest = mixed.alias("x").join(mixed.alias("y"), "token").where(other & (F.col("x.apart").isNull() | F.col("y.apart").isNull()))
-    wanted = F.least(least(F.least("x.n", "y.n")), F.ceil(percent * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent)))
-    rest = rest.groupBy(*pair).agg(F.count(F.lit(1)).alias("common"), F.first(wanted).alias("wanted")).where("common >= wanted").select("a", "b")
-    rest = first.unionByName(rest).distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(rest, docs, orders, k, percent).where("similar").select("a", "b"))
-
-    component = connected_components(links)
-    nodes = cut(nodes.join(component, "node", "left").select("signature", F.coalesce("component", "node").alias("component")))
-    out = rows.join(nodes, "signature", "left")
+    steps = Steps(spark, "ngram_join")
+    counters = power(16 * docs.count(), 1 << LEAST_BITS, 1 << MOST_BITS)
+    measured = steps.write(_measure(docs, k, counters))
+    with cleaning(spark):
+        orders = spark.sparkContext.broadcast(Orders(_sketch(measured, counters)))
+    nodes, groups = _groups(docs, orders, k, percent, steps)
+
+    rooms = steps.write(groups.groupBy("pivot").agg(_rooms(F.count(F.lit(1)), F.sum("n")).alias("rooms")))
+    dealt = groups.join(rooms, "pivot")
+    hub = dealt.where("node = pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1)).alias("i"), "node", F.lit(-1).alias("side"))
+    rest = dealt.where("node <> pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("rooms")).cast("int").alias("i"), "node", F.lit(0).alias("side"))
+    met = steps.write(hub.unionByName(rest).select("pivot", "i", F.col("i").alias("j"), F.col("node").alias("id"), F.col("node").alias("component"), "side"))
+    links = steps.write(_links(met, docs, orders, k, percent))
+    steps.drop(met)
+    component = connected_components(links, steps)
+    if not rooms.where("rooms > 1").isEmpty():
+        met = _second_round(groups, rooms, component, steps)
+        more = steps.write(_links(met, docs, orders, k, percent))
+        steps.drop(met, component)
+        component = connected_components(links.unionByName(more), steps)
+        steps.drop(more)
+    steps.drop(groups, rooms, links)
+
+    named = steps.write(nodes.join(component, "node", "left").select("signature", F.coalesce("component", "node").alias("component")))
+    steps.drop(nodes, component)
+    out = measured.where("piece IS NULL").select("doc_id", "n", "signature").join(named, "signature", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -340,20 +420,18 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
     Only rows whose id's bit is marked are shuffled to meet the dropped ids.
     """
-    dropped = cut(dropped)
+    dropped = cut(dropped.select("doc_id").distinct())
     marks = docs.sparkSession.sparkContext.broadcast(_marks(dropped.select(F.col("doc_id").alias("id"))))
     names = docs.columns
 
     def half(marked: bool):
         def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in stream:
-                bits = batch.column(len(names)).to_numpy(zero_copy_only=False)
-                hit = (marks.value[bits >> 5] >> (bits & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+                hit = _hit(marks.value, batch.column(len(names)).to_numpy())
                 yield batch.select(list(range(len(names)))).filter(pa.array(hit == marked))
 
         return batches
 
-    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS)).cast("int")
-    rows = docs.withColumn("__bit", bit)
+    rows = docs.withColumn("__hash", F.xxhash64(F.col("doc_id").cast("long")))
     clear, marked = (rows.mapInArrow(half(m), docs.schema) for m in (False, True))
     return clear.unionByName(marked.join(dropped, "doc_id", "left_anti").select(*names))

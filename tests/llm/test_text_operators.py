@@ -182,7 +182,7 @@ def near_copies(seed, n):
 
 @pytest.mark.parametrize(("seed", "k", "percent", "meeting"), [(1, 4, 85, 1000), (2, 5, 80, 3), (3, 4, 85, 3)])
 def test_ngram_join_in_groups_of_copies(spark, monkeypatch, seed, k, percent, meeting):
-    monkeypatch.setattr(ngram_join, "MEETING", meeting)
+    monkeypatch.setattr(ngram_join, "ROOM", meeting)
     rows = near_copies(seed, 110)
     got = ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), k, percent).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, k, percent)
@@ -199,7 +199,7 @@ def test_ngram_join_edges(spark):
 def test_prefixes_share_enough(percent):
     """Similar sets share l prefix tokens under every order, and no leading token of one that no other prefix holds."""
     rng = np.random.default_rng(3)
-    orders = ngram_join.Orders(rng.choice([1, 2, 50, 90], 1 << ngram_join.SKETCH_BITS))
+    orders = ngram_join.Orders(rng.choice([1, 2, 50, 90], 1 << 22))
     tested = 0
     for _ in range(2000):
         n = int(rng.integers(1, 200))
