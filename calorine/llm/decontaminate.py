@@ -3,8 +3,9 @@
 A document's words are hashed and every run of five is a shingle.  For each benchmark item size, windows of that many
 words get a 64-bit SimHash, each shingle voting with its multiplicity; the votes are differences of running sums.  The
 items' fingerprints are indexed by blocks of bits: two fingerprints within ``RADIUS`` bits are within
-``RADIUS // BLOCKS`` bits in one of the blocks at least (else they would differ in more), so looking each block's
-neighbours up finds all of them.  The multiset Jaccard similarity of window and item then decides.
+``RADIUS // BLOCKS`` bits in one of the blocks at least (else they would differ in more), so looking up each block's
+value and all its neighbours finds all of them; of unlike fingerprints it lets one in seven through.  The multiset
+Jaccard similarity of window and item then decides.
 
 Windows are only fingerprinted where they can matter: a similarity of s asks for 2s/(1+s) of a window's shingles to be
 shingles of some item, and a running count tells which windows have so many.
@@ -23,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORDS, SIMILARITY = 5, 0.8
-#: At a similarity of 0.8 the distance of 64-bit fingerprints averages 9.7 with a deviation of 2.9.
-RADIUS, BLOCKS = 24, 8
-#: Items that one broadcast holds; a larger benchmark goes through the documents block by block.
-ITEMS_A_BLOCK = 20_000
+#: At a similarity of 0.8 the distance of 64-bit fingerprints averages 9.7 with a deviation of 2.9: one pair in a thousand
+#: is beyond the radius.  The blocks have 16 bits each.
+RADIUS, BLOCKS = 19, 4
+#: Words of the items that one broadcast holds; a larger benchmark goes through the documents block by block.
+WORDS_A_BLOCK = 4_000_000
+#: Windows that are looked up together.
+LOOKUP = 256
 WORD = re.compile(r"\w+")
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 22
@@ -54,11 +58,11 @@ def shingles(words: np.ndarray, k: int = WORDS) -> np.ndarray:
 
 
 def fingerprints(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of the windows of ``size`` shingles at ``starts``, as bytes: row by row 8 blocks of 8 bits."""
+    """SimHash of the windows of ``size`` shingles at ``starts``: row by row BLOCKS numbers of 16 bits."""
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
     votes = np.zeros((len(hashes) + 1, 64), np.int32)
     np.cumsum(bits, axis=0, out=votes[1:])
-    return np.packbits(2 * (votes[starts + size] - votes[starts]) > size, axis=1)
+    return np.packbits(2 * (votes[starts + size] - votes[starts]) > size, axis=1).view(np.uint16)
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -67,82 +71,124 @@ def similarity(a: Counter, b: Counter) -> float:
     return common / max(sum(a.values()) + sum(b.values()) - common, 1)
 
 
+def neighbours(bits: int = 16, reach: int = RADIUS // BLOCKS) -> np.ndarray:
+    """All differences of at most ``reach`` bits."""
+    every = np.arange(1 << bits, dtype=np.uint16)
+    return every[np.bitwise_count(every) <= reach]
+
+
+class Blocks:
+    """Fingerprints by the values of their blocks: for each block the items in the order of its values."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        self.order = [np.argsort(prints[:, b], kind="stable").astype(np.int32) for b in range(BLOCKS)]
+        self.first = [np.concatenate([[0], np.cumsum(np.bincount(prints[:, b], minlength=1 << 16))]).astype(np.int32) for b in range(BLOCKS)]
+        self.near = neighbours()
+
+    def candidates(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, item) of all pairs with a block in reach, each once, in order."""
+        found = []
+        for b in range(BLOCKS):
+            values = (queries[:, b, None] ^ self.near[None, :]).astype(np.int32)
+            start = self.first[b][values]
+            count = self.first[b][values + 1] - start
+            row, col = np.nonzero(count)
+            start, count = start[row, col], count[row, col]
+            at = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            found.append(np.repeat(row, count) * len(self.prints) + self.order[b][at])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // len(self.prints), pairs % len(self.prints)
+
+    def within(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs whose fingerprints are within RADIUS bits: all there are."""
+        q, i = self.candidates(queries)
+        close = np.bitwise_count(queries[q] ^ self.prints[i]).sum(1) <= RADIUS
+        return q[close], i[close]
+
+
+class Items:
+    """Items of one shingle length: their shingles end to end, and by size the Blocks of their fingerprints."""
+
+    def __init__(self, k: int, items: list[tuple[int, np.ndarray]]):
+        self.k = k
+        made = [shingles(w, k) for _, w in items]
+        self.ids = [i for i, _ in items]
+        self.ends = np.cumsum([len(s) for s in made])
+        self.shingles = np.concatenate(made)
+        self.known = np.unique(self.shingles)
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.filter[self.known >> np.uint64(64 - FILTER_BITS)] = True
+        sizes: dict[int, list[int]] = {}
+        for at, s in enumerate(made):
+            sizes.setdefault(len(s), []).append(at)
+        self.sizes = {n: np.array(at) for n, at in sorted(sizes.items())}
+        self.prints = np.array([fingerprints(s, np.zeros(1, np.int64), len(s))[0] for s in made])
+        self.blocks = Blocks(self.prints)
+        self.size_of = np.array([len(s) for s in made])
+
+    def counter(self, at: int) -> Counter:
+        return Counter(self.shingles[(self.ends[at - 1] if at else 0) : self.ends[at]].tolist())
+
+
 class Index:
-    """Items by size, their fingerprints by blocks, and all their shingles."""
+    """The items, by shingle length: five words, or all of an item that has fewer."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        hashed = [(i, word_hashes(t or "")) for i, t in items]
-        self.by_size: dict[tuple[int, int], list[tuple[int, Counter]]] = {}
-        prints: dict[tuple[int, int], list[np.ndarray]] = {}
-        every: dict[int, list[np.ndarray]] = {}
-        for i, w in hashed:
-            if not len(w):
-                continue
-            k = min(WORDS, len(w))  # an item of fewer words is one shingle
-            s = shingles(w, k)
-            every.setdefault(k, []).append(s)
-            self.by_size.setdefault((k, len(s)), []).append((i, Counter(s.tolist())))
-            prints.setdefault((k, len(s)), []).append(fingerprints(s, np.zeros(1, np.int64), len(s))[0])
-        self.prints = {key: np.array(p) for key, p in prints.items()}
-        reach = RADIUS // BLOCKS
-        values = np.arange(256, dtype=np.uint8)
-        # near[size][block, value, item]: whether the item's block is within reach of the value.
-        self.near = {key: np.stack([np.bitwise_count(values[:, None] ^ p[None, :, b]) <= reach for b in range(BLOCKS)]) for key, p in self.prints.items()}
-        self.known = {k: np.unique(np.concatenate(s)) for k, s in every.items()}
-        self.filter = {}
-        for k, s in self.known.items():
-            self.filter[k] = np.zeros(1 << FILTER_BITS, bool)
-            self.filter[k][s >> np.uint64(64 - FILTER_BITS)] = True
+        by: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for i, t in items:
+            w = word_hashes(t or "")
+            if len(w):
+                by.setdefault(min(WORDS, len(w)), []).append((i, w))
+        self.groups = [Items(k, found) for k, found in sorted(by.items())]
 
     def hits(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(item_id, first word, words, similarity): the most similar window of each item found in a document."""
+        """(item_id, first word, words, similarity): the most similar window of each item found in a document, of equal ones the first."""
         best: dict[int, tuple[float, int, int]] = {}
-        for k, known in self.known.items():
-            s = shingles(words, k)
-            at = np.flatnonzero(self.filter[k][s >> np.uint64(64 - FILTER_BITS)])
+        for group in self.groups:
+            s = shingles(words, group.k)
+            at = np.flatnonzero(group.filter[s >> np.uint64(64 - FILTER_BITS)])
             if not len(at):
                 continue
-            at = at[known[np.minimum(np.searchsorted(known, s[at]), len(known) - 1)] == s[at]]
+            at = at[group.known[np.minimum(np.searchsorted(group.known, s[at]), len(group.known) - 1)] == s[at]]
             if not len(at):
                 continue
             count = np.zeros(len(s) + 1, np.int64)
             count[at + 1] = 1
             np.cumsum(count, out=count)
-            for (kk, size), items in self.by_size.items():
-                if kk != k:
-                    continue
+            for size in group.sizes:
                 width = min(size, len(s))  # a document shorter than the item is one window
                 need = 2 * SIMILARITY / (1 + SIMILARITY) * size if width == size else SIMILARITY * size
+                if len(at) < need - 1e-9:
+                    break  # larger items need more
                 starts = np.flatnonzero(count[width:] - count[:-width] >= need - 1e-9)
-                if len(starts):
-                    self._verify(s, starts, width, (k, size), items, best)
+                for a in range(0, len(starts), LOOKUP):
+                    self._verify(s, starts[a : a + LOOKUP], width, size, group, best)
         return [(i, a, n, round(sim, 6)) for i, (sim, a, n) in sorted(best.items())]
 
-    def _verify(self, s: np.ndarray, starts: np.ndarray, width: int, key: tuple[int, int], items: list, best: dict) -> None:
-        for a in range(0, len(starts), 8192):
-            part = starts[a : a + 8192]
-            low = int(part[0])
-            prints = fingerprints(s[low : int(part[-1]) + width], part - low, width)
-            near = np.zeros((len(part), len(items)), bool)
-            for b in range(BLOCKS):
-                near |= self.near[key][b][prints[:, b]]
-            rows, cols = np.nonzero(near)
-            distance = np.bitwise_count(prints[rows] ^ self.prints[key][cols]).sum(1)
-            close = distance <= RADIUS
-            for r, c in zip(rows[close].tolist(), cols[close].tolist()):
-                start = int(part[r])
-                item, counts = items[c]
-                if item in best and best[item][0] == 1.0:
-                    continue
-                sim = similarity(Counter(s[start : start + width].tolist()), counts)
-                if sim >= SIMILARITY and (item not in best or sim > best[item][0]):
-                    best[item] = (sim, start, width + key[0] - 1)
+    @staticmethod
+    def _verify(s: np.ndarray, starts: np.ndarray, width: int, size: int, group: Items, best: dict) -> None:
+        low = int(starts[0])
+        prints = fingerprints(s[low : int(starts[-1]) + width], starts - low, width)
+        rows, items = group.blocks.within(prints)
+        fits = group.size_of[items] == size
+        window, counted = -1, Counter()
+        for r, at in zip(rows[fits].tolist(), items[fits].tolist()):
+            item, start = group.ids[at], int(starts[r])
+            if item in best and best[item][0] == 1.0:
+                continue
+            if window != start:
+                window, counted = start, Counter(s[start : start + width].tolist())
+            sim = similarity(counted, group.counter(at))
+            if sim >= SIMILARITY and (item not in best or sim > best[item][0]):
+                best[item] = (sim, start, width + group.k - 1)
 
 
 def _indexes(items: DataFrame) -> Iterator[Index]:
-    """The benchmark in blocks of ITEMS_A_BLOCK at most on average; a block is what a broadcast holds."""
+    """The benchmark in blocks of WORDS_A_BLOCK words on average; a block is what the driver and a broadcast hold."""
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    blocks = max(1, -(-rows.count() // ITEMS_A_BLOCK))
+    words = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # a word has two bytes at least
+    blocks = max(1, -(-words // (2 * WORDS_A_BLOCK)))
     for b in range(blocks):
         yield Index([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id").collect()])
 
@@ -150,7 +196,8 @@ def _indexes(items: DataFrame) -> Iterator[Index]:
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity) of every document and item it holds a window like.
 
-    Clean documents give no row, nor do null or empty texts and items; repeated rows each give theirs.
+    Clean documents give no row, nor do null or empty texts and items; repeated rows each give theirs; of equally
+    similar windows the first counts; very long texts are read whole; further columns are dropped.
     """
     kind, out = dict(docs.dtypes)[id_col], None
     wanted = docs.select(F.col(id_col).alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -174,7 +221,11 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item."""
+    """The rows of ``docs``, all columns whatever their names, that hold no item.
+
+    Null and empty texts hold none and stay; repeated rows each stay or go; very long texts are read whole; items
+    without a text or an id rule nothing out; empty tables give and rule out nothing.
+    """
     names = docs.columns
     for index in _indexes(items):
         shared = docs.sparkSession.sparkContext.broadcast(index)

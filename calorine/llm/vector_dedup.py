@@ -4,9 +4,12 @@ Equal vectors become one node that carries their number.  Nodes are dealt to sha
 a graph of its own, and every node is looked up in every shard's graph, in blocks, so that a link needs no luck with
 the sharding.  Searches run in lockstep: one NumPy step expands a candidate of each query of a block.
 
-A search's beam widens while its results still reach the threshold at the beam's end (there may be more behind), and
-for the whole block while an audit, which compares some of its queries with the whole shard, finds links missing.
-Every pair found is verified by its cosine in double precision, and links are joined into components.
+A search's beam widens while its results still reach the threshold at the beam's end (there may be more behind); a query
+that still has too many is compared with the whole shard.  The beam to begin with widens until audits pass: each graph is
+asked for queries planted just inside the threshold of its own vectors, so that an audit holds links however rare they
+are, and some queries of each block are compared with the whole shard.  Every link is verified by its cosine in double
+precision.  Links aren't spelled out beyond their task: a meeting of block and shard returns each node's number of links
+and a star for each of its components.
 """
 
 from __future__ import annotations
@@ -16,18 +19,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calorine.llm.common import cut
+from calorine.llm.common import Steps
 from calorine.llm.components import connected_components
 
-#: Shards at least, and nodes that one takes before there are more; nodes of a block of queries.
-SHARDS, SHARD_NODES, BLOCK_NODES = 8, 50_000, 8_192
+#: Shards at least, nodes and bytes that one takes before there are more; nodes of a block of queries.
+SHARDS, SHARD_NODES, SHARD_BYTES, BLOCK_NODES = 8, 50_000, 64 << 20, 8_192
+#: Tasks at least: with few shards, each goes to several lanes, among which the blocks are dealt.
+LANES = 48
 #: Neighbours of a node on the upper levels and on the ground; the beam while building and at first while searching.
 M, M_GROUND, BUILD_BEAM, BEAM = 12, 24, 48, 32
-#: Queries of a block that the audit compares with the whole shard, and the share of links it asks for.
-AUDITED, RECALL = 64, 0.98
+#: Widest beam; beyond it a query is compared with the whole shard.
+MOST_BEAM = 256
+#: Queries planted in a shard, queries of a block that the audit compares with the whole shard, and the share of links it asks for.
+PLANTED, AUDITED, RECALL = 128, 64, 0.98
 LOCKSTEP = 512
 #: Single precision may be off by this much; the verification decides.
 SLACK = 1e-3
@@ -199,110 +207,202 @@ def unpack_rows(raw: bytes, dim: int) -> np.ndarray:
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
-    """Rows of length 1 in double precision."""
+    """Rows of length 1 in double precision; scaled first, so that no square overflows or vanishes."""
     raw = raw.astype(np.float64)
+    raw = raw / np.abs(raw).max(1, keepdims=True)
     return raw / np.sqrt((raw * raw).sum(1, keepdims=True))
 
 
-def linked(graph: Graph, queries: np.ndarray, threshold: float, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) of all pairs found at ``threshold`` less SLACK or more."""
-    least, size = threshold - SLACK, len(graph.vectors)
-    audited = np.random.default_rng(seed).permutation(len(queries))[:AUDITED]
-    truth = queries[audited] @ graph.vectors.T >= threshold
-    beam = BEAM
-    while True:
-        rows, nodes = [], []
-        todo, width = np.arange(len(queries)), beam
-        while len(todo):
+class Search:
+    """Links at ``threshold`` of queries to a graph's nodes, with a beam that passes its audits.
+
+    ``audited`` and ``found`` count the true links that audits held and those of them that searches found.
+    """
+
+    def __init__(self, graph: Graph, threshold: float, seed: int = 3):
+        self.graph, self.threshold, self.beam = graph, threshold, BEAM
+        self.rng = np.random.default_rng(seed)
+        self.audited = self.found = 0
+        size, dim = graph.vectors.shape
+        own = graph.vectors[self.rng.permutation(size)[:PLANTED]]
+        # Planted queries: a quarter of the way from the threshold to the vector itself, in any direction.
+        across = self.rng.normal(size=own.shape)
+        across -= (across * own).sum(1, keepdims=True) * own
+        cosine = threshold + (1 - threshold) / 4 if dim > 1 else 1.0
+        across *= (1 - cosine**2) ** 0.5 / np.maximum(np.sqrt((across * across).sum(1, keepdims=True)), 1e-12)
+        self.audit((cosine * own + across).astype(np.float32))
+
+    def audit(self, queries: np.ndarray) -> bool:
+        """Widen the beam until the queries' links are found; whether it was wide enough already."""
+        truth = queries @ self.graph.vectors.T >= self.threshold
+        before = self.beam
+        while True:
+            found = np.zeros_like(truth)
+            for r, c in self.hits(queries):
+                found[r, c] = True
+            hit = int((found & truth).sum())
+            if hit >= RECALL * truth.sum() or self.beam >= len(self.graph.vectors):
+                break
+            self.beam *= 2
+        self.audited, self.found = self.audited + int(truth.sum()), self.found + hit
+        return self.beam == before
+
+    def hits(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, node) of the pairs found at the threshold less SLACK or more, some queries at a time."""
+        least, size = self.threshold - SLACK, len(self.graph.vectors)
+        todo, width = np.arange(len(queries)), self.beam
+        while len(todo) and width <= max(MOST_BEAM, self.beam):
             left = []
             step = max(16, LOCKSTEP * BEAM // width)
             for a in range(0, len(todo), step):
                 part = todo[a : a + step]
-                ids, sims = graph.search(queries[part], width)
+                ids, sims = self.graph.search(queries[part], width)
                 hit = (sims >= least) & (ids >= 0)
                 full = hit[:, -1] & (width < size)  # links up to the beam's end: there may be more
                 hit &= ~full[:, None]
                 r, c = np.nonzero(hit)
-                rows.append(part[r])
-                nodes.append(ids[r, c])
+                yield part[r], ids[r, c]
                 left.append(part[full])
             todo, width = np.concatenate(left), width * 2
-        rows, nodes = np.concatenate(rows), np.concatenate(nodes)
-        found = np.zeros_like(truth)
-        place = np.full(len(queries), -1)
-        place[audited] = np.arange(len(audited))
-        own = place[rows] >= 0
-        found[place[rows[own]], nodes[own]] = True
-        if (found & truth).sum() >= RECALL * truth.sum() or beam >= size:
-            return rows, nodes
-        beam *= 2
-
-
-def _nodes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
-    """All rows (vec_id, vector or null), and the distinct usable vectors as nodes (node, vector, copies)."""
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+        for a in range(0, len(todo), 256):
+            part = todo[a : a + 256]
+            r, c = np.nonzero(queries[part] @ self.graph.vectors.T >= least)
+            yield part[r], c
+
+    def links(self, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``hits`` of a block, after an audit of some of its queries."""
+        self.audit(queries[self.rng.permutation(len(queries))[:AUDITED]])
+        return self.hits(queries)
+
+
+def join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Component labels after the links (a, b): each label is a member's index, a root's its own."""
+    while True:
+        apart = labels[a] != labels[b]
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return labels
+        low = np.minimum(labels[a], labels[b])
+        np.minimum.at(labels, labels[a], low)
+        np.minimum.at(labels, labels[b], low)
+        while (labels[labels] != labels).any():
+            labels = labels[labels]
+
+
+def meeting(search: Search, raw: np.ndarray, ids: np.ndarray, copies: np.ndarray, query_raw: np.ndarray, query_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(links of each query, counting copies; nodes and their components' smallest nodes) of a block and a shard.
+
+    raw, query_raw: unit vectors in double precision, which decide near the threshold.
+    """
+    n, links = len(query_ids), np.zeros(len(query_ids), np.int64)
+    labels = np.arange(n + len(ids))
+    queries = query_raw.astype(np.float32)
+    for q, c in search.links(queries):
+        sure = query_ids[q] != ids[c]
+        q, c = q[sure], c[sure]
+        keep = np.zeros(len(q), bool)
+        for a in range(0, len(q), 100_000):
+            i, j = q[a : a + 100_000], c[a : a + 100_000]
+            keep[a : a + 100_000] = np.einsum("ij,ij->i", query_raw[i], raw[j]) >= search.threshold
+        q, c = q[keep], c[keep]
+        np.add.at(links, q, copies[c])
+        labels = join(labels, q, n + c)
+    every = np.concatenate([query_ids, ids])
+    least = np.full(len(every), np.iinfo(np.int64).max)
+    np.minimum.at(least, labels, every)
+    star = least[labels]
+    linked = star != every
+    return links, every[linked], star[linked]
+
+
+def _usable(v, id_):
+    """Whether a vector can link: it has an id, components, none of them null or non-finite, and one that isn't 0."""
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    length = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
-    usable = F.col(vector_col).isNotNull() & ~bad & (length > 0) & (length < float("inf"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(usable & F.col(id_col).isNotNull(), v).alias("vector"))
-    nodes = rows.where("vector IS NOT NULL").groupBy("vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    return rows, nodes
+    return id_.isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)
+
+
+def _rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """All rows (vec_id, vector, usable); an unusable vector is null."""
+    v, id_ = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double")), F.col(f"`{id_col}`").cast("long")
+    rows = vectors.select(id_.alias("vec_id"), F.coalesce(_usable(v, id_), F.lit(False)).alias("usable"), v.alias("vector"))
+    return rows.select("vec_id", "usable", F.when(F.col("usable"), F.col("vector")).alias("vector"))
+
 
+def link_vectors(nodes: DataFrame, threshold: float, steps: Steps) -> DataFrame:
+    """What the meetings of blocks and shards found among ``nodes`` (node, vector, copies): (kind, a, b).
 
-def link_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """(nodes (node, vector, copies), links (a, b) with a < b between nodes of cosine ``threshold`` or more)."""
-    _, nodes = _nodes(vectors, id_col, vector_col)
-    nodes = cut(nodes)
+    kind 0: node a has b links in one shard, counting copies; kind 1: nodes a and b are of one component; kind 2: an
+    audit held a links and found b.
+    """
     n = nodes.count()
-    shards, blocks = max(SHARDS, -(-n // SHARD_NODES)), max(1, -(-n // BLOCK_NODES))
+    widest = nodes.agg(F.max(F.size("vector"))).first()[0] or 1
+    shards = max(SHARDS, -(-n // SHARD_NODES), -(-n * widest * 4 // SHARD_BYTES))
+    blocks, lanes = max(1, -(-n // BLOCK_NODES)), max(1, LANES // shards)
     # Vectors of different lengths never meet: the length is part of each key.
-    keyed = nodes.select("node", "vector", F.size("vector").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.hash("node"), F.lit(blocks)).cast("int").alias("block"))
+    keyed = nodes.select("node", "vector", "copies", F.size("vector").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.hash("node"), F.lit(blocks)).cast("int").alias("block"))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         raw = np.array(group["vector"].tolist(), np.float64)
         graph = Graph(unit(raw).astype(np.float32))
-        return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "shard": [int(group["shard"].iloc[0])], "ids": [group["node"].to_numpy(np.int64).tobytes()], "raw": [pack_rows(raw)], "graph": [graph.pack()]})
-
-    graphs = cut(keyed.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, ids binary, raw binary, graph binary"))
+        packed = {c: [group[c].to_numpy(np.int64).tobytes()] for c in ("node", "copies")}
+        return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "shard": [int(group["shard"].iloc[0])], **packed, "raw": [pack_rows(raw)], "graph": [graph.pack()]})
 
-    def packed(group: pd.DataFrame) -> pd.DataFrame:
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
         raw = np.array(group["vector"].tolist(), np.float64)
-        return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "block": [int(group["block"].iloc[0])], "query_ids": [group["node"].to_numpy(np.int64).tobytes()], "query_raw": [pack_rows(raw)]})
-
-    queries = cut(keyed.groupBy("dim", "block").applyInPandas(packed, "dim int, block int, query_ids binary, query_raw binary"))
-    # Which shard meets which block is a small table; each meeting is one row and one task's work.
-    meetings = graphs.select("dim", "shard").join(queries.select("dim", "block"), "dim")
-    meetings = meetings.join(graphs, ["dim", "shard"]).join(queries, ["dim", "block"]).repartition(max(12, min(shards * blocks, 2000)), "shard", "block")
-
-    def search(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in stream:
-            for r in rows.itertuples():
-                ids, query_ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.query_ids, np.int64)
-                raw, query_raw = (unit(unpack_rows(x, r.dim)) for x in (r.raw, r.query_raw))
-                q, c = linked(Graph.unpack(r.graph, raw.astype(np.float32)), query_raw.astype(np.float32), threshold)
-                for a in range(0, len(q), 100_000):
-                    i, j = q[a : a + 100_000], c[a : a + 100_000]
-                    ok = (np.einsum("ij,ij->i", query_raw[i], raw[j]) >= threshold) & (query_ids[i] != ids[j])
-                    x, y = query_ids[i[ok]], ids[j[ok]]
-                    yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-    return nodes, cut(meetings.mapInPandas(search, "a bigint, b bigint").distinct())
+        return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "block": [int(group["block"].iloc[0])], "node": [group["node"].to_numpy(np.int64).tobytes()], "raw": [pack_rows(raw)]})
+
+    graphs = steps.write(keyed.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, node binary, copies binary, raw binary, graph binary"))
+    queries = steps.write(keyed.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, node binary, raw binary"))
+    # A shard goes to each of its lanes once, and every block to one lane of every shard; the graph comes first there.
+    none = F.lit(None).cast("binary")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    sent = graphs.select("dim", "shard", every(lanes).alias("lane"), F.lit(-1).alias("block"), "node", "copies", "raw", "graph")
+    asked = queries.select("dim", every(shards).alias("shard"), F.pmod("block", F.lit(lanes)).alias("lane"), "block", "node", none.alias("copies"), "raw", none.alias("graph"))
+    met = sent.unionByName(asked).repartition(min(3 * shards * lanes, 10_000), "dim", "shard", "lane").sortWithinPartitions("dim", "shard", "lane", "block")
+
+    def search(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, found, shard = None, None, ()
+
+        def rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
+
+        for batch in stream:
+            for row in range(batch.num_rows):
+                dim, number, lane, block, node, copies, raw, graph = (c[row].as_py() for c in batch.columns)
+                ids, raw = np.frombuffer(node, np.int64), unit(unpack_rows(raw, dim))
+                if block < 0:
+                    at, found, shard = (dim, number, lane), Search(Graph.unpack(graph, raw.astype(np.float32)), threshold), (raw, ids, np.frombuffer(copies, np.int64))
+                elif at == (dim, number, lane):  # a length may have fewer shards
+                    links, a, b = meeting(found, *shard, raw, ids)
+                    yield rows(0, ids[links > 0], links[links > 0])
+                    yield rows(1, a, b)
+                    yield rows(2, np.array([found.audited]), np.array([found.found]))
+                    found.audited = found.found = 0
+
+    out = steps.write(met.mapInArrow(search, "kind int, a bigint, b bigint"))
+    steps.drop(graphs, queries)
+    return out
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     ``n_links`` counts the other vectors of cosine ``threshold`` or more that were found, ``component_id`` is the
-    smallest vec_id that links reach, and that vector is kept.  Vectors that are null, zero, or hold null or non-finite
-    components link with nothing and are kept, as are rows with a null vec_id (their component is null).  Repeated rows
-    each give a row and count as vectors of their own; vectors of different lengths never link.
+    smallest vec_id that links reach, and that vector is kept.  Vectors that are null, empty, zero, or hold null or
+    non-finite components link with nothing and are kept, as are rows with a null vec_id (their component is null).
+    Repeated rows each give a row and count as vectors of their own; vectors of different lengths never link; an empty
+    table gives no rows; further columns are ignored.
     """
-    rows, _ = _nodes(vectors, id_col, vector_col)
-    nodes, links = link_vectors(vectors, threshold, id_col, vector_col)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counted = both.join(nodes.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    component = connected_components(links)
-    facts = nodes.join(counted.withColumnRenamed("a", "node"), "node", "left").join(component, "node", "left")
-    facts = cut(facts.select("vector", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
-    out = rows.join(facts, "vector", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    steps = Steps(vectors.sparkSession, "vector_dedup")
+    digest = [F.xxhash64("vector").alias("d1"), F.xxhash64(F.lit(1), "vector").alias("d2")]  # 128 bits stand for the vector
+    rows = _rows(vectors, id_col, vector_col)
+    nodes = steps.write(rows.where("usable").groupBy("vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")))
+    found = link_vectors(nodes, threshold, steps)
+    counted = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("others"))
+    component = connected_components(found.where("kind = 1").select("a", "b"), steps)
+    facts = nodes.select("node", "copies", *digest).join(counted, "node", "left").join(component, "node", "left")
+    facts = steps.write(facts.select("d1", "d2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
+    steps.drop(nodes, found, component)
+    linked = rows.where("usable").select("vec_id", *digest).join(facts, ["d1", "d2"]).select("vec_id", "n_links", "component_id")
+    alone = rows.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -196,9 +196,32 @@ def clustered(seed, n, dim=16):
 def test_graph_recall():
     vectors = vector_dedup.unit(clustered(1, 1500))
     graph = vector_dedup.Graph(vectors[:1000].astype(np.float32))
-    q, c = vector_dedup.linked(graph, vectors.astype(np.float32), 0.95)
+    search = vector_dedup.Search(graph, 0.95)
+    found = {pair for q, c in search.links(vectors.astype(np.float32)) for pair in zip(q.tolist(), c.tolist())}
     truth = set(zip(*np.nonzero(vectors @ vectors[:1000].T >= 0.95)))
-    assert len(truth & set(zip(q.tolist(), c.tolist()))) >= 0.98 * len(truth)
+    assert len(truth & found) >= 0.98 * len(truth)
+
+
+def test_audits_hold_links_however_rare():
+    """Two thousand unlike vectors and twenty links: the audits hold links, and the links are found."""
+    rng = np.random.default_rng(5)
+    shard = vector_dedup.unit(rng.normal(size=(2000, 32)))
+    block = vector_dedup.unit(np.concatenate([shard[:20] + rng.normal(size=(20, 32)) * 0.03, rng.normal(size=(1980, 32))]))
+    assert (block @ shard.T >= 0.95).sum() == 20
+    search = vector_dedup.Search(vector_dedup.Graph(shard.astype(np.float32)), 0.95)
+    assert search.audited >= vector_dedup.PLANTED and search.found >= 0.98 * search.audited
+    links, a, b = vector_dedup.meeting(search, shard, np.arange(2000), np.full(2000, 3), block, np.arange(5000, 7000))
+    assert links.sum() == 60 and sorted(zip(a.tolist(), b.tolist())) == [(5000 + i, i) for i in range(20)]
+
+
+def test_a_great_group_of_near_copies_is_counted_whole():
+    rng = np.random.default_rng(6)
+    shard = vector_dedup.unit(np.concatenate([np.ones((1500, 16)) + rng.normal(size=(1500, 16)) * 0.02, rng.normal(size=(500, 16))]))
+    search = vector_dedup.Search(vector_dedup.Graph(shard.astype(np.float32)), 0.95)
+    links, a, b = vector_dedup.meeting(search, shard, np.arange(2000), np.ones(2000, np.int64), shard, np.arange(2000))
+    near = shard @ shard.T >= 0.95
+    assert (links[:1500] == near[:1500].sum(1) - 1).all()
+    assert len(a) <= 2 * 2000  # stars, not pairs
 
 
 def test_vector_dedup_against_all_pairs(spark):
@@ -223,6 +246,12 @@ def test_vector_dedup_against_all_pairs(spark):
     assert {i: got[i] for i, _ in odd} == {i: (0, i, True) for i, _ in odd}
 
 
+def test_lengths_that_overflow_or_vanish(spark):
+    df = spark.createDataFrame([(1, [1e200, 0.0]), (2, [1e200, 1.0]), (3, [1e-200, 0.0]), (4, [1.0, 0.0]), (5, [0.0, 5e-324]), (6, [0.0, 1e308])], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(df, 0.95).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5)}
+
+
 def test_vector_edges(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<double>")
     got = sorted((str(r.vec_id), r.n_links, r.kept) for r in vector_dedup.near_duplicates(df, 0.95).collect())

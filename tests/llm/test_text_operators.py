@@ -268,14 +268,55 @@ def test_decontamination_against_every_window():
         assert {h[0]: h[3] for h in index.hits(hashes)} == want
 
 
-def test_blocks_reach_the_radius():
+def edited(rng, item, vocabulary, edits):
+    words = list(item)
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = rng.choice(vocabulary)
+    return words
+
+
+def test_blocks_find_all_within_the_radius_and_little_else():
     rng = np.random.default_rng(1)
-    a = rng.integers(0, 256, (2000, 8), dtype=np.uint8)
-    for row in a:
-        flips = np.zeros(64, np.uint8)
-        flips[rng.choice(64, decontaminate.RADIUS, replace=False)] = 1
-        b = row ^ np.packbits(flips)
-        assert (np.bitwise_count(row ^ b) <= decontaminate.RADIUS // decontaminate.BLOCKS).any()
+    items = rng.integers(0, 1 << 16, (3000, decontaminate.BLOCKS)).astype(np.uint16)
+    index = decontaminate.Blocks(items)
+    flips = np.zeros((500, 64), np.uint8)
+    for i, row in enumerate(flips):
+        row[rng.choice(64, i % (decontaminate.RADIUS + 3), replace=False)] = 1
+    queries = items[:500] ^ np.packbits(flips, axis=1).view(np.uint16)
+    q, i = index.candidates(queries)
+    assert len(q) < 0.16 * len(queries) * len(items)
+    distance = np.bitwise_count(queries[:, None, :] ^ items[None, :, :]).sum(2)
+    assert set(zip(*(x.tolist() for x in index.within(queries)))) == set(zip(*(x.tolist() for x in np.nonzero(distance <= decontaminate.RADIUS))))
+
+
+def test_radius_recalls_similar_windows():
+    """Of windows whose multiset similarity is 0.8 to 0.9, nearly all are within the radius."""
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    near = total = 0
+    for _ in range(8000):
+        item = rng.choices(vocabulary, k=rng.randrange(20, 80))
+        other = edited(rng, item, vocabulary, rng.randrange(1, 3))
+        a, b = (decontaminate.shingles(decontaminate.word_hashes(" ".join(w))) for w in (item, other))
+        if 0.8 <= decontaminate.similarity(decontaminate.Counter(a.tolist()), decontaminate.Counter(b.tolist())) <= 0.9:
+            x, y = (decontaminate.fingerprints(s, np.zeros(1, np.int64), len(s))[0] for s in (a, b))
+            total += 1
+            near += int(np.bitwise_count(x ^ y).sum()) <= decontaminate.RADIUS
+    assert total > 1000
+    assert near >= 0.998 * total
+
+
+def test_decontamination_ties_long_texts_and_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=30))) for i in range(20)]
+    docs = [(1, "a b c " + items[3][1] + " d e f " + items[3][1]), (2, " ".join(rng.choices(vocabulary, k=60_000)) + " " + items[7][1] + " x"), (3, "x " * 50_000)]
+    tables = [spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items + [(3, items[3][1])], "item_id long, text string")]
+    got = sorted((r.doc_id, r.item_id, r.first_word) for r in decontaminate.find(*tables).collect())
+    assert got == [(1, 3, 3), (2, 7, 60_000)]
+    monkeypatch.setattr(decontaminate, "WORDS_A_BLOCK", 500)
+    assert sorted((r.doc_id, r.item_id, r.first_word) for r in decontaminate.find(*tables).distinct().collect()) == got
+    assert [r.doc_id for r in decontaminate.clean(*tables).collect()] == [3]
 
 
 def toxic_tables(spark, n=600):
