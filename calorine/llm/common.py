@@ -91,5 +91,10 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns by number, ``c0`` and on: whatever their names were, they clash with nothing and need no quoting."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calorine.llm.common import numbered
+
 WORDS, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 the distance of 64-bit fingerprints averages 9.7 with a deviation of 2.9: one pair in a thousand
 #: is beyond the radius.  The blocks have 16 bits each.
@@ -236,5 +238,5 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
                 texts = batch.column(names.index("text"))
                 yield batch.filter(pa.array([not index.hits(word_hashes(texts[i].as_py() or "")) for i in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(batches, docs.schema)
+        docs = numbered(docs).mapInArrow(batches, docs.schema)
     return docs

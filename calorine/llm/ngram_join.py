@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calorine.llm.common import Steps, cleaning, cut, partitions
+from calorine.llm.common import Steps, cleaning, cut, numbered, partitions
 from calorine.llm.components import connected_components
 
 #: Seeds of the token orders.
@@ -416,22 +416,23 @@ def join_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``dropped``; null ids stay.
+    """The rows of ``docs``, all columns whatever their names, whose doc_id is not in ``dropped``; null ids stay.
 
     Only rows whose id's bit is marked are shuffled to meet the dropped ids.
     """
     dropped = cut(dropped.select("doc_id").distinct())
     marks = docs.sparkSession.sparkContext.broadcast(_marks(dropped.select(F.col("doc_id").alias("id"))))
-    names = docs.columns
+    rows, width, own = numbered(docs), len(docs.columns), f"c{docs.columns.index('doc_id')}"
 
     def half(marked: bool):
         def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in stream:
-                hit = _hit(marks.value, batch.column(len(names)).to_numpy())
-                yield batch.select(list(range(len(names)))).filter(pa.array(hit == marked))
+                hit = _hit(marks.value, batch.column(width).to_numpy())
+                yield batch.select(list(range(width))).filter(pa.array(hit == marked))
 
         return batches
 
-    rows = docs.withColumn("__hash", F.xxhash64(F.col("doc_id").cast("long")))
-    clear, marked = (rows.mapInArrow(half(m), docs.schema) for m in (False, True))
-    return clear.unionByName(marked.join(dropped, "doc_id", "left_anti").select(*names))
+    hashed = rows.withColumn("hash", F.xxhash64(F.col(own).cast("long")))
+    clear, marked = (hashed.mapInArrow(half(m), rows.schema) for m in (False, True))
+    kept = clear.unionByName(marked.join(dropped.withColumnRenamed("doc_id", own), own, "left_anti").select(*rows.columns))
+    return kept.toDF(*docs.columns)

@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calorine.llm.common import cut
+from calorine.llm.common import Steps, cleaning, numbered
 
-#: Labelled documents that a model is fitted on, about (chosen by their ids' hash); features it has at most.
-MAX_DOCS, MAX_FEATURES = 20_000, 4_000
-#: Documents of either label in which a feature must occur.
+#: Labelled documents, and bytes of their texts, that a model is fitted on, about (chosen by their ids' hash): the bound of all
+#: that reaches the driver and of the model, since each feature occurs in MIN_DOCS documents of the sample.
+MAX_DOCS, MAX_BYTES = 20_000, 256 << 20
+#: Toxic documents in which a feature must occur.
 MIN_DOCS = 4
 #: Least likelihood-ratio statistic of a feature.
 MIN_GAIN = 15.0
@@ -83,7 +84,7 @@ def _instances(text: str, words: _Words) -> tuple[list[tuple[int, int]], list[tu
     return spans, out
 
 
-def _features(sample: DataFrame, max_features: int) -> list[str]:
+def _features(sample: DataFrame) -> list[str]:
     """Features by how much commoner they are in toxic documents; document counts over the whole sample."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +113,7 @@ def _features(sample: DataFrame, max_features: int) -> list[str]:
     both = F.col("toxic") + F.col("clean")
     gain = 2 * (F.col("toxic") * F.log(F.col("toxic") / (both * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - share)))).otherwise(0.0))
     ranked = counts.where((F.col("toxic") >= MIN_DOCS) & (p > 2 * q)).withColumn("gain", gain).where(F.col("gain") >= MIN_GAIN)
-    return [r["feature"] for r in ranked.orderBy(F.desc("gain"), "feature").limit(max_features).collect()]
+    return [r["feature"] for r in ranked.select("feature").orderBy("feature").collect()]
 
 
 def _train(bags: list[tuple[int, int, list[tuple[int, list[int]]]]], k: int, steps: int = 600, penalty: float = 2e-5) -> tuple[float, np.ndarray]:
@@ -142,19 +143,34 @@ def _train(bags: list[tuple[int, int, list[tuple[int, list[int]]]]], k: int, ste
     return float(bias), w
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_features: int = MAX_FEATURES) -> Model:
-    """Train on the labelled documents whose crc32(doc_id as text) mod 4 is not 2: about ``max_docs`` of them at most.
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Model:
+    """Train on the labelled documents whose crc32(doc_id as text) mod 4 is not 2: about ``max_docs`` of them and ``max_bytes`` of text at most.
 
-    The bound is kept by a threshold on the ids' hash.  Null labels are left out; of several labels of one document
-    the largest counts.  Without toxic labels every sentence gets a small score.
+    The bounds are kept by a threshold on the ids' hash.  Null labels are left out; of several labels of one document
+    the largest counts; null and empty texts are documents without words; repeated rows each count.  Without toxic
+    labels, and of empty tables, every sentence gets a small score.
     """
+    steps = Steps(docs.sparkSession, "toxicity")
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    n = known.count()
-    if n > max_docs:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * max_docs / n))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    with cleaning(docs.sparkSession):
+        n = known.count()
+    part = int(1e6 * min(1, max_docs / max(n, 1)))
     # About max_docs rows of two numbers: a proven bound for the broadcast.
-    sample = cut(docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(known), "doc_id").select("text", F.least(F.col("toxic"), F.lit(1)).alias("toxic")))
-    names = _features(sample, max_features)
+    found = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(known.where(place < part)), "doc_id").select("text", F.least(F.col("toxic"), F.lit(1)).alias("toxic"), place.alias("place"))
+    sample = steps.write(found)
+    size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > max_bytes:
+        sample = sample.where(F.col("place") < int(part * max_bytes / size))
+    model = _fitted(sample)
+    steps.drop(*[f for f, _ in steps.written])
+    return model
+
+
+def _fitted(sample: DataFrame) -> Model:
+    """The model of a bounded sample (text, toxic)."""
+    with cleaning(sample.sparkSession):
+        names = _features(sample)
     if not names:
         return Model()
     shared = sample.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
@@ -175,42 +191,55 @@ def held_out(doc_id) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(4)) == 2
 
 
-def score(docs: DataFrame, model: Model, carry: list[str] | None = None, rejected: bool | None = None) -> DataFrame:
-    """``carry``'s columns (doc_id alone by default) with score, n_sentences and the worst sentence's span and score.
+def _scorer(model: Model):
+    """A function that gives (score, sentences, the worst one's span and score) of a text."""
+    names = list(model.weights)
+    weights = np.array([model.weights[f] for f in names])
+    words = _Words({f: i for i, f in enumerate(names)})
+    base = float(np.logaddexp(0, model.bias))
 
-    Null and empty texts, and such without words, count as one empty sentence.  Each input row gives one row; with
-    ``rejected`` given, only rows whose score is (True) or isn't (False) at the threshold.
+    def score_of(text: str | None) -> tuple[float, int, int, int, float]:
+        spans, found = _instances(text or "", words)
+        survive, worst, top = base * (len(spans) - len(found)), spans[0], model.bias
+        for k, f in found:
+            z = model.bias + float(weights[f].sum())
+            survive += float(np.logaddexp(0, z))
+            if z > top:
+                worst, top = spans[k], z
+        return float(-np.expm1(-survive)), len(spans), *worst, float(1 / (1 + np.exp(-top)))
+
+    return score_of
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score, n_sentences, worst_start, worst_end, worst_score): each row's score and its worst sentence.
+
+    Null and empty texts, and such without words, count as one empty sentence; of equally bad sentences the first
+    counts; very long texts are read whole; repeated rows each give a row; further columns are dropped.
     """
-    carry = ["doc_id"] if carry is None else carry
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_FEATURES weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        names = list(model.weights)
-        weights = np.array([model.weights[f] for f in names])
-        words = _Words({f: i for i, f in enumerate(names)})
-        base = float(np.logaddexp(0, model.bias))
-        logistic = lambda z: 1 / (1 + np.exp(-z))
+        score_of = _scorer(shared.value)
         for batch in stream:
-            rows = []
-            for i in range(batch.num_rows):
-                text = batch.column(0)[i].as_py() or ""
-                spans, found = _instances(text, words)
-                survive, worst, top = base * (len(spans) - len(found)), spans[0], model.bias
-                for k, f in found:
-                    z = model.bias + float(weights[f].sum())
-                    survive += float(np.logaddexp(0, z))
-                    if z > top:
-                        worst, top = spans[k], z
-                rows.append((float(-np.expm1(-survive)), len(spans), *worst, float(logistic(top))))
+            rows = [score_of(batch.column(1)[i].as_py()) for i in range(batch.num_rows)]
             kinds = (pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-            out = [*batch.columns[1:], *(pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds))]
-            made = pa.RecordBatch.from_arrays(out, [*carry, "score", "n_sentences", "worst_start", "worst_end", "worst_score"])
-            yield made if rejected is None else made.filter(pa.array([(r[0] >= THRESHOLD) == rejected for r in rows], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds))], ["doc_id", "score", "n_sentences", "worst_start", "worst_end", "worst_score"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(batches, f"doc_id {kind}, score double, n_sentences bigint, worst_start bigint, worst_end bigint, worst_score double")
+
+
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns whatever their names, whose score is below the threshold; as ``score`` otherwise."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score_of = _scorer(shared.value)
+        for batch in stream:
+            yield batch.filter(pa.array([score_of(batch.column(at)[i].as_py())[0] < THRESHOLD for i in range(batch.num_rows)], pa.bool_()))
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "score double, n_sentences bigint, worst_start bigint, worst_end bigint, worst_score double"])
-    return docs.select(F.col("text").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in carry]).mapInArrow(batches, schema)
+    return numbered(docs).mapInArrow(batches, docs.schema)
 
 
 def judge(docs: DataFrame, model: Model) -> DataFrame:

@@ -5,29 +5,36 @@ A row of an archive table is a segment: some records, at most ``SEGMENT`` bytes
 holds at most ``SEGMENTS`` of them.  Records are found by their declared lengths, never by searching for separators.
 
 The converter parses ARC headers of version 1 (url, IP, date, type, length) and version 2 (five more fields between)
-as each file's ``filedesc`` record declares, and synthesises what WARC asks for beyond them: a record identifier (a
-UUID of version 8 that holds the page's id and the payload's digest, so it is the same on every run), an ISO date, the
-record type and SHA-1 digests of block and payload.
+as each segment's version block declares, and synthesises what WARC asks for beyond them: a record identifier (a UUID
+of version 8 that holds the page's id and a hash of the record's place in the archive, which no other record has), an
+ISO date, the record type and SHA-1 digests of block and payload.  Payloads are read, hashed and written where they
+are; what is shuffled is digests and places.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calorine.llm.common import Steps
+
 SEGMENT, SEGMENTS = 4 << 20, 16
 #: Archive date of records made from a table that has none.
 DATE = "20240101000000"
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 BREAK = b"\r\n\r\n"
+#: Digests of repeated payloads that are broadcast to where payloads are; of more, the payloads are shuffled to them.
+BROADCAST = 200_000
 
 
 @dataclass
@@ -37,6 +44,7 @@ class ArcRecord:
     date: str
     content_type: str
     body: bytes
+    opens: bool = False  # a version block
 
 
 def arc_opening(version: int, origin: str = "calorine") -> bytes:
@@ -54,7 +62,8 @@ def arc_record(version: int, url: str, body: bytes) -> bytes:
 def parse_arc(raw: bytes) -> Iterator[ArcRecord]:
     """Records of an ARC file, its version blocks among them; a version holds until the next version block.
 
-    A header line whose field count isn't the version's, or a length past the end, raises ValueError.
+    A version block is a plain text of a ``filedesc`` url that names a version and its header fields; a page of such a
+    url is none.  A header line whose field count isn't the version's, or a length past the end, raises ValueError.
     """
     at, version = 0, 1
     while at < len(raw):
@@ -68,11 +77,13 @@ def parse_arc(raw: bytes) -> Iterator[ArcRecord]:
         body = raw[start : start + length]
         if len(body) != length:
             raise ValueError(f"record at {at} declares {length} bytes, {len(body)} are left")
-        if fields[0].startswith("filedesc://"):
-            version = int(body.split(b" ", 1)[0])
+        opening = re.match(rb"([12]) \d+ [^\n]*\n([^\n]*)\n", body) if fields[0].startswith("filedesc://") and fields[3:4] == ["text/plain"] else None
+        opens = opening is not None and opening[2].decode() == FIELDS[int(opening[1])]
+        if opens:
+            version = int(opening[1])
         if len(fields) != len(FIELDS[version].split()):
             raise ValueError(f"record at {at} has {len(fields)} header fields, version {version} has {len(FIELDS[version].split())}")
-        yield ArcRecord(*fields[:4], body)
+        yield ArcRecord(*fields[:4], body, opens)
         at = start + length
 
 
@@ -80,10 +91,10 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int, digest: str) -> str:
-    """A version-8 UUID: the 64 bits of the page's id, then the first 58 of the payload's digest."""
-    pid = page_id & (1 << 64) - 1
-    part = int.from_bytes(base64.b32decode(digest)[:8], "big") >> 6
+def record_id(page_id: int | None, place: str) -> str:
+    """A version-8 UUID: the 64 bits of the page's id (0 for none), then 58 bits of a hash of the record's place."""
+    pid = (page_id or 0) & (1 << 64) - 1
+    part = int.from_bytes(hashlib.sha1(place.encode()).digest()[:8], "big") >> 6
     bits = (pid >> 16) << 80 | 8 << 76 | (pid >> 4 & 0xFFF) << 64 | 2 << 62 | (pid & 0xF) << 58 | part
     return f"<urn:uuid:{uuid.UUID(int=bits)}>"
 
@@ -107,25 +118,24 @@ def headers_of(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:]) if k}
 
 
-def warc_record(url: str, date: str, head: bytes, payload: bytes, digest: str, page_id: int | None, target: int | None) -> bytes:
-    """A response, or with ``target`` (the page it repeats) a revisit, which keeps the HTTP head alone."""
+def warc_record(url: str, date: str, head: bytes, payload: bytes, digest: str, own: str, target: str | None) -> bytes:
+    """A response, or with ``target`` (the identifier of the record it repeats) a revisit, which keeps the HTTP head alone."""
     block = head if target is not None else head + payload
     iso = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
     kind = "revisit" if target is not None else "response" if head else "resource"
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id or 0, digest)}", f"WARC-Date: {iso}", f"WARC-Target-URI: {url}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Date: {iso}", f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
     ]
     if target is not None:
-        lines += [f"WARC-Refers-To: {record_id(target, digest)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: {target}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += [f"Content-Type: {'application/http; msgtype=response' if head else 'application/octet-stream'}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + BREAK + block
 
 
-def warc_opening() -> bytes:
+def warc_opening(place: str) -> bytes:
     block = b"software: calorine\r\nformat: WARC File Format 1.1\r\n"
-    digest = base32_sha1(block)
-    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_id(0, digest)}\r\nWARC-Date: {DATE[:4]}-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_id(None, place)}\r\nWARC-Date: {DATE[:4]}-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}"
     return head.encode() + BREAK + block
 
 
@@ -203,58 +213,70 @@ def write_arc(pages: DataFrame, path: str) -> None:
     rows.write.option("compression", "gzip").option("maxRecordsPerFile", SEGMENTS).text(path)
 
 
-CONVERTED = "page_id bigint, url string, date string, payload_digest string, payload_bytes bigint, head binary, payload binary"
+CONVERTED = "place string, page_id bigint, url string, date string, payload_digest string, payload_bytes bigint, head binary, payload binary"
 
 
 def convert_arc(spark, path: str, payloads: bool = True) -> DataFrame:
-    """CONVERTED rows of the ARC files under ``path``; without ``payloads`` the last two columns are null."""
+    """CONVERTED rows of the ARC files under ``path``; without ``payloads`` the last two columns are null.
+
+    place: the number of the file and that of the record in it.
+    """
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("head", pa.binary()), ("payload", pa.binary())])
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary())
+        names = [c.split(" ")[0] for c in CONVERTED.split(", ")]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
         for batch in stream:
             for i in range(batch.num_rows):
                 rows: list[tuple] = []
                 size = 0
-                for r in parse_arc(_inflate(batch.column(0)[i].as_py())):
-                    if r.url.startswith("filedesc://"):
+                name = re.search(r"part-(\d+)[^/]*?(-c\d+)?[.\w]*$", batch.column(0)[i].as_py())
+                for number, r in enumerate(parse_arc(_inflate(batch.column(1)[i].as_py()))):
+                    if r.opens:
                         continue
                     head, payload = split_http(r.body)
                     pid = headers_of(head[:-4]).get("x-page-id")
-                    rows.append((None if pid is None else int(pid), r.url, r.date, base32_sha1(payload), len(payload), head if payloads else None, payload if payloads else None))
+                    rows.append((f"{name[1]}{name[2] or ''}/{number}", None if pid is None else int(pid), r.url, r.date, base32_sha1(payload), len(payload), head if payloads else None, payload if payloads else None))
                     size += len(payload) if payloads else 100
                     if size > SEGMENT:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                        yield made(rows)
                         rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    yield made(rows)
 
     return _files(spark, path).mapInArrow(batches, CONVERTED)
 
 
 def _files(spark, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
-def write_warc(arc_path: str, path: str, spark, least_bytes: int = 0) -> None:
+def write_warc(arc_path: str, path: str, spark, least_bytes: int = 0, most_broadcast: int = BROADCAST) -> None:
     """Convert the ARC files to WARC files.
 
     Of records with equal payloads of ``least_bytes`` or more, that with the largest page id is a response and the
-    others revisit it; records without a page id, and smaller ones, are responses.
+    others revisit it; records without a page id, and smaller ones, are responses.  Of repeated rows of the largest
+    page id, all are responses and the others revisit one of them.
     """
-    found = convert_arc(spark, arc_path, payloads=False).where(F.col("payload_bytes") >= least_bytes)
-    latest = found.groupBy("payload_digest").agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("n")).where("n > 1 AND latest IS NOT NULL").drop("n")
-    rows = convert_arc(spark, arc_path).join(latest, "payload_digest", "left")
-    target = F.when((F.col("payload_bytes") >= least_bytes) & (F.col("page_id") < F.col("latest")), F.col("latest"))
+    steps = Steps(spark, "warc")
+    found = convert_arc(spark, arc_path, payloads=False).where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull())
+    latest = found.groupBy("payload_digest").agg(F.max(F.struct("page_id", "place")).alias("t"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    latest = steps.write(latest.select("payload_digest", F.col("t.page_id").alias("latest"), F.col("t.place").alias("latest_place")))
+    known = F.broadcast(latest) if latest.count() <= most_broadcast else latest
+    rows = convert_arc(spark, arc_path).join(known, "payload_digest", "left")
+    again = (F.col("payload_bytes") >= least_bytes) & (F.col("page_id") < F.col("latest"))
 
-    def record(_: int, url: str, date: str, head: bytes, payload: bytes, digest: str, page_id: int | None, target: int | None) -> bytes:
-        return warc_record(url, date, head, payload, digest, page_id, target)
+    def record(_: int, url: str, date: str, head: bytes, payload: bytes, digest: str, page_id: int | None, place: str, target: int | None, target_place: str | None) -> bytes:
+        return warc_record(url, date, head, payload, digest, record_id(page_id, place), None if target is None else record_id(target, target_place))
 
     def batches(stream):
-        return _segments(stream, lambda _: warc_opening(), record, BREAK)
+        task = TaskContext.get().partitionId()
+        return _segments(stream, lambda made: warc_opening(f"warcinfo/{task}/{made}"), record, BREAK)
 
     # The text writer ends each segment by the mark between records.
-    rows = rows.select("url", "date", "head", "payload", "payload_digest", "page_id", target.alias("target")).mapInArrow(batches, "value string")
+    rows = rows.select("url", "date", "head", "payload", "payload_digest", "page_id", "place", F.when(again, F.col("latest")).alias("target"), F.when(again, F.col("latest_place")).alias("target_place")).mapInArrow(batches, "value string")
     rows.write.option("compression", "gzip").option("maxRecordsPerFile", SEGMENTS).option("lineSep", BREAK.decode()).text(path)
+    steps.drop(latest)
 
 
 def read_warc(spark, path: str) -> DataFrame:
@@ -265,7 +287,7 @@ def read_warc(spark, path: str) -> DataFrame:
         for batch in stream:
             for i in range(batch.num_rows):
                 rows = []
-                for headers, block in parse_warc(_inflate(batch.column(0)[i].as_py())):
+                for headers, block in parse_warc(_inflate(batch.column(1)[i].as_py())):
                     kind = headers["warc-type"]
                     if kind == "warcinfo":
                         continue

@@ -118,14 +118,42 @@ def test_arc_versions():
     body = b"HTTP/1.1 200 OK\r\n\r\nx\n\ny"
     one = warc.arc_opening(1) + warc.arc_record(1, "http://a", body) + warc.arc_record(1, "http://b", b"")
     two = warc.arc_opening(2) + warc.arc_record(2, "http://c", body)
-    records = [r for r in warc.parse_arc(one + two) if not r.url.startswith("filedesc")]
+    records = [r for r in warc.parse_arc(one + two) if not r.opens]
     assert [(r.url, r.body) for r in records] == [("http://a", body), ("http://b", b""), ("http://c", body)]
     with pytest.raises(ValueError):
         list(warc.parse_arc(one + warc.arc_record(2, "http://c", body)))
     with pytest.raises(ValueError):
         list(warc.parse_arc(two[:-3]))
     for pid in (0, 1, -1, 2**63 - 1, -(2**63)):
-        assert warc.page_of(warc.record_id(pid, warc.base32_sha1(b"z"))) == pid
+        assert warc.page_of(warc.record_id(pid, "3-c000/7")) == pid
+
+
+def test_pages_of_the_archive_s_own_scheme(spark, tmp_path):
+    """A page whose url begins like a version block's, even with a body like one, is a page."""
+    body = warc.arc_opening(2).split(b"\n", 1)[1].decode()
+    pages = [(1, "filedesc://x", body), (2, "filedesc://calorine.arc", "a"), (3, "http://h", body), (4, "filedesc://", None)]
+    got = warc.archive(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), str(tmp_path / "a")).collect()
+    assert sorted((r.page_id, r.url, r.payload_bytes, r.record_type, r.refers_to) for r in got) == [
+        (1, "filedesc://x", len(body), "revisit", 3), (2, "filedesc://calorine.arc", 1, "response", None), (3, "http://h", len(body), "response", None), (4, "filedesc://", 0, "response", None)
+    ]
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_identifiers_are_unique_and_referred_to(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(warc, "SEGMENT", 500)
+    rows = [(i % 30, "u", f"body {i % 7}") for i in range(90)] + [(None, "u", "body 1"), (None, "v", None), (29, "u", "body 1")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    warc.write_arc(pages, str(tmp_path / "arc"))
+    warc.write_warc(str(tmp_path / "arc"), str(tmp_path / "warc"), spark, most_broadcast=most)
+    kinds: dict = {}
+    for r in warc._files(spark, str(tmp_path / "warc")).collect():
+        for headers, _ in warc.parse_warc(warc._inflate(bytes(r.content))):
+            assert headers["warc-record-id"] not in kinds
+            kinds[headers["warc-record-id"]] = (headers["warc-type"], headers.get("warc-refers-to"), headers.get("warc-payload-digest"))
+    assert sum(k != "warcinfo" for k, _, _ in kinds.values()) == len(rows)
+    for kind, target, digest in kinds.values():
+        if kind == "revisit":
+            assert kinds[target][0] == "response" and kinds[target][2] == digest
 
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p><p>no";</script></head><body>

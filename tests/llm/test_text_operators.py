@@ -346,6 +346,44 @@ def test_toxicity_held_out(spark):
             assert any(w in r.text[r.worst_start : r.worst_end] for w in ("nasty", "viles"))
 
 
+def plain_score(text, model):
+    """The noisy-or over sentences, sentence by sentence and word by word."""
+    import math
+    import re
+
+    survive, seen = 1.0, 0
+    for m in re.finditer(r"[^.!?\n]+[.!?]*", text or ""):
+        words = re.findall(r"\w+", m[0].lower())
+        if words:
+            seen += 1
+            found = {f for w in words for f in [f"w:{w}", *(f"{n}:{w[:n]}" for n in (4, 5, 6, 7) if len(w) >= n)]}
+            survive *= 1 - 1 / (1 + math.exp(-model.bias - sum(model.weights.get(f, 0) for f in found)))
+    return 1 - survive * (1 if seen else 1 - 1 / (1 + math.exp(-model.bias)))
+
+
+def test_toxicity_against_a_plain_noisy_or(spark):
+    docs, labels = toxic_tables(spark)
+    model = toxicity.fit(docs, labels)
+    rng = random.Random(2)
+    texts = [r.text for r in docs.collect()] + [None, "", " ..!\n", "nasty\nVILEST! word1 nasty. İ nasty", ". ".join(rng.choice(("word1 word2", "nasty word3", "a vilest")) for _ in range(20_000))]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.judge(table, model).collect():
+        assert abs(r.score - plain_score(texts[r.doc_id], model)) < 1e-9
+        assert r.predicted == int(r.score >= 0.3)
+    kept = toxicity.clean(table.withColumns({"score": F.lit(1), "n_sentences": F.lit("x"), "a.b": F.lit(2)}), model)
+    assert kept.columns == ["doc_id", "text", "score", "n_sentences", "a.b"]
+    assert {r.doc_id for r in kept.collect()} == {i for i, t in enumerate(texts) if plain_score(t, model) < 0.3}
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs, labels = toxic_tables(spark, 1200)
+    whole = sum(len(r.text) for r in docs.collect())
+    half = toxicity.fit(docs, labels, max_bytes=whole // 3)
+    few = toxicity.fit(docs, labels, max_docs=300)
+    for model in (half, few):
+        assert model.weights and model != toxicity.fit(docs, labels)
+
+
 def test_toxicity_edges(spark):
     docs, labels = toxic_tables(spark, 200)
     model = toxicity.fit(docs, labels)
