@@ -8,7 +8,7 @@ value and all its neighbours finds all of them; of unlike fingerprints it lets o
 Jaccard similarity of window and item then decides.
 
 Windows are only fingerprinted where they can matter: a similarity of s asks for 2s/(1+s) of a window's shingles to be
-shingles of some item, and a running count tells which windows have so many.
+shingles of some item of the window's size, and a running count tells which windows have so many.
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ class Blocks:
 
 
 class Items:
-    """Items of one shingle length: their shingles end to end, and by size the Blocks of their fingerprints."""
+    """Items of one shingle length: their shingles end to end, and the Blocks of their fingerprints."""
 
     def __init__(self, k: int, items: list[tuple[int, np.ndarray]]):
         self.k = k
@@ -118,16 +118,15 @@ class Items:
         self.ids = [i for i, _ in items]
         self.ends = np.cumsum([len(s) for s in made])
         self.shingles = np.concatenate(made)
-        self.known = np.unique(self.shingles)
+        # Each known shingle, and the sizes of the items that hold it.
+        self.size_of = np.array([len(s) for s in made])
+        pairs = np.unique(np.stack([self.shingles, np.repeat(self.size_of, self.size_of).astype(np.uint64)], 1), axis=0)
+        self.known, first = np.unique(pairs[:, 0], return_index=True)
+        self.first, self.sizes = np.append(first, len(pairs)), pairs[:, 1].astype(np.int64)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self.known >> np.uint64(64 - FILTER_BITS)] = True
-        sizes: dict[int, list[int]] = {}
-        for at, s in enumerate(made):
-            sizes.setdefault(len(s), []).append(at)
-        self.sizes = {n: np.array(at) for n, at in sorted(sizes.items())}
         self.prints = np.array([fingerprints(s, np.zeros(1, np.int64), len(s))[0] for s in made])
         self.blocks = Blocks(self.prints)
-        self.size_of = np.array([len(s) for s in made])
 
     def counter(self, at: int) -> Counter:
         return Counter(self.shingles[(self.ends[at - 1] if at else 0) : self.ends[at]].tolist())
@@ -152,17 +151,26 @@ class Index:
             at = np.flatnonzero(group.filter[s >> np.uint64(64 - FILTER_BITS)])
             if not len(at):
                 continue
-            at = at[group.known[np.minimum(np.searchsorted(group.known, s[at]), len(group.known) - 1)] == s[at]]
+            place = np.minimum(np.searchsorted(group.known, s[at]), len(group.known) - 1)
+            own = group.known[place] == s[at]
+            at, place = at[own], place[own]
             if not len(at):
                 continue
-            count = np.zeros(len(s) + 1, np.int64)
-            count[at + 1] = 1
-            np.cumsum(count, out=count)
-            for size in group.sizes:
+            # Positions by the size of the items that hold their shingle.
+            many = group.first[place + 1] - group.first[place]
+            sizes = group.sizes[np.repeat(group.first[place] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())]
+            order = np.argsort(sizes, kind="stable")
+            at, sizes = np.repeat(at, many)[order], sizes[order]
+            for positions in np.split(at, np.flatnonzero(np.diff(sizes)) + 1):
+                size = int(sizes[0])
+                sizes = sizes[len(positions) :]
                 width = min(size, len(s))  # a document shorter than the item is one window
                 need = 2 * SIMILARITY / (1 + SIMILARITY) * size if width == size else SIMILARITY * size
-                if len(at) < need - 1e-9:
-                    break  # larger items need more
+                if len(positions) < need - 1e-9:
+                    continue
+                count = np.zeros(len(s) + 1, np.int64)
+                count[positions + 1] = 1
+                np.cumsum(count, out=count)
                 starts = np.flatnonzero(count[width:] - count[:-width] >= need - 1e-9)
                 for a in range(0, len(starts), LOOKUP):
                     self._verify(s, starts[a : a + LOOKUP], width, size, group, best)
