@@ -1,12 +1,14 @@
 """URL filtering by nested (host, path) prefix rules: a sort-merge range join, all in DataFrame functions.
 
-A rule fits its host and every subdomain of it when the url's path starts with the rule's path.  Written as
-``reversed host + path`` a rule is a string prefix, that is an interval of canonical keys, and the intervals of one
-host are nested or disjoint.  A url is looked up once per level of its host (``a.b.org``, ``b.org``, ``org``) that has
-rules at all, so that subdomains need no pattern.  Rules become an *open* event at the interval's start and a *close*
-event at its end; each event carries the rule on top of the stack after it (a close event uncovers the enclosing
-rule).  Sorted by key with the urls between them, the last event before a url names its innermost rule: one running
-``last`` over the sorted rows is the sweep.
+A rule fits its host and every subdomain of it when the url's path starts with the rule's path.  With hosts reversed by
+labels (``b.org`` becomes ``org.b.``) both halves are prefixes, and a prefix is an interval of sorted keys; intervals of
+prefixes are nested or disjoint.  A sweep goes through sorted keys with an *open* event where an interval begins and a
+*close* event where it ends.  The running sum of opens and closes is the height of the stack of active rules, and the
+rule at a height is the last that was opened to it: two running aggregates over the sorted rows hold the stack.
+
+One sweep over reversed hosts finds all rule hosts that enclose a url's host, whatever the number of its labels; a second
+one over ``reversed rule host + path`` finds the innermost rule under each of those.  Lookups are dealt to rooms at random,
+each with a copy of the events, so that no host is hot.
 """
 
 from __future__ import annotations
@@ -14,13 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from calorine.llm.common import cut
+from calorine.llm.common import Steps
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Sorts after every string that continues the prefix it is appended to.
-AFTER = chr(0x10FFFF)
-#: Lookups of one host that a sweep takes; a hot host's are dealt to several, each with a copy of that host's events.
-SWEEP = 100_000
+#: Lookups of a room at least; with more events than that, as many lookups as events, so that copies never outnumber lookups.
+ROOM = 512
 
 
 def host_of(url: Column) -> Column:
@@ -42,79 +42,66 @@ def reversed_host(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
-def host_levels(host: Column) -> Column:
-    """The host and its parents, by whole labels."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """(verdict, host, path) rows as a table of literals."""
+    if not rules:
+        return spark.sql("SELECT '' AS verdict, '' AS host, '' AS path WHERE false")
+    rows = ", ".join(f"(:v{i}, :h{i}, :p{i})" for i in range(len(rules)))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS rules(verdict, host, path)", args={f"{c}{i}": x for i, r in enumerate(rules) for c, x in zip("vhp", r)})
 
 
-def rule_events(rules: DataFrame) -> DataFrame:
-    """Open and close events of the rules with the rule on top of the stack after each.
+def events(rules: DataFrame, key: Column, carried: Column) -> DataFrame:
+    """Open and close events (key, step, carried) of the rules' intervals; a close sorts after all that continue the key.
 
-    rules: host, path, verdict.  Of rules with one host and path, a block beats an allow.
+    Keys are bytes: no text holds the byte FF.
     """
-    rules = (
-        rules.select(F.translate(F.coalesce("host", F.lit("")), UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
-        .groupBy("host", "path")
-        .agg(F.max("verdict").alias("verdict"))
-        .withColumn("top", F.struct(F.concat("host", "path").alias("rule"), "verdict"))
-    )
-    # The enclosing rule: the longest proper prefix of the path that is a rule of the same host; an equi-join.
-    heads = rules.where(F.length("path") > 0).select(
-        "host", "path", F.explode(F.transform(F.sequence(F.lit(0), F.length("path") - 1), lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("head")
-    )
-    outer = rules.select("host", F.col("path").alias("head"), F.col("top").alias("outer_top"))
-    outer = heads.join(outer, ["host", "head"]).groupBy("host", "path").agg(F.max_by("outer_top", F.length("head")).alias("outer_top"))
-    rules = rules.join(outer, ["host", "path"], "left")
-    return rules.select(
-        "host",
-        F.explode(
-            F.array(
-                F.struct(F.col("path").alias("key"), F.lit(0).alias("kind"), F.length("path").alias("depth"), F.col("top").alias("top")),
-                F.struct(F.concat("path", F.lit(AFTER)).alias("key"), F.lit(0).alias("kind"), (-F.length("path")).alias("depth"), F.col("outer_top").alias("top")),
-            )
-        ).alias("e"),
-    ).select("host", "e.*")
-
-
-def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", sweep: int = SWEEP) -> DataFrame:
+    opens = F.struct(key.cast("binary").alias("key"), F.lit(1).alias("step"), carried.alias("carried"))
+    closes = F.struct(F.concat(key.cast("binary"), F.unhex(F.lit("FF"))).alias("key"), F.lit(-1).alias("step"), carried.alias("carried"))
+    return rules.select(F.explode(F.array(opens, closes)).alias("e")).select("e.*")
+
+
+def sweep(lookups: DataFrame, intervals: DataFrame, rooms: int, whole: bool) -> DataFrame:
+    """``lookups`` (host, path, key) with ``found``, what an interval that holds the key carries: one row for each of
+    them with ``whole``, else for the innermost; none without such an interval."""
+    none = F.lit(None)
+    dealt = intervals.select(F.explode(F.sequence(F.lit(0), F.lit(rooms - 1))).alias("room"), "key", "step", "carried", none.cast("string").alias("host"), none.cast("string").alias("path"))
+    asked = lookups.select(F.pmod(F.xxhash64("host", "path"), F.lit(rooms)).cast("int").alias("room"), "key", F.lit(0).alias("step"), none.cast(intervals.schema["carried"].dataType).alias("carried"), "host", "path")
+    sorted_ = dealt.unionByName(asked)
+    # Where keys are equal, events come before lookups.
+    order = [F.col("key"), F.col("step") == 0]
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    height = sorted_.withColumn("height", F.sum("step").over(Window.partitionBy("room").orderBy(*order).rowsBetween(*upto))).where("height > 0 AND step >= 0")
+    levels = F.when((F.col("step") == 0) & F.lit(whole), F.sequence(F.lit(1).cast("long"), F.col("height"))).otherwise(F.array("height"))
+    height = height.withColumn("height", F.explode(levels))
+    last = F.last(F.when(F.col("step") == 1, F.struct(F.col("carried").alias("c"))), ignorenulls=True)
+    found = height.withColumn("top", last.over(Window.partitionBy("room", "height").orderBy(*order).rowsBetween(*upto)))
+    return found.where("step = 0").select("host", "path", F.col("top.c").alias("found"))
+
+
+def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", room: int = ROOM) -> DataFrame:
     """(id, host, path, rule, verdict) for every row of ``pages``.
 
-    The longest fitting rule decides (characters of host and path; of equals, the one with the longer host); without
-    one ``rule`` is null and the verdict is ``default``.  A null url, or one without ``://``, has an empty host and
-    path.  Repeated rows, null ids and further columns are fine: each input row gives one output row.  Without rules
-    every url gets the default.
+    The longest fitting rule decides (characters of host and path; of equals, the one with the longer host; of rules with
+    one host and path, a block beats an allow); without one ``rule`` is null and the verdict is ``default``.  A null url,
+    or one without ``://``, has an empty host and path.  Repeated rows, null ids, very long urls and further columns are
+    fine: each input row gives one output row.  Without rules every url gets the default; an empty table gives no rows.
 
-    A verdict hangs on (host, path) alone, so each distinct pair is looked up once; a host that holds a third of the
-    urls is dealt to as many sweeps as its lookups ask for.
+    A verdict hangs on (host, path) alone, so each distinct pair is looked up once.
     """
+    steps = Steps(pages.sparkSession, "url_filter")
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("__url"))
     pages = pages.select("page_id", host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"))
-    events = rule_events(rules)
-    wanted = pages.groupBy("host", "path").agg(F.lit(1).alias("one"))
-    probes = wanted.select("host", "path", F.explode(host_levels(F.col("host"))).alias("level"))
-    probes = probes.join(rules.select(F.translate(F.coalesce("host", F.lit("")), UPPER, LOWER).alias("level")).distinct(), "level", "left_semi")
-
-    probes = cut(probes)
-    rooms = cut(probes.groupBy("level").agg(F.ceil(F.count(F.lit(1)) / sweep).cast("int").alias("rooms")))  # a row a rule host at most
-    none = F.lit(None).cast("struct<rule:string,verdict:string>")
-    canonical = F.concat(reversed_host(F.col("level")), F.col("key"))
-    salted = probes.join(rooms, "level").withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.col("rooms")).cast("int"))
-    copies = events.withColumnRenamed("host", "level").join(rooms, "level").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1)))
-    sweep = copies.select("level", "key", "kind", "depth", "top", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "salt")
-    sweep = sweep.unionByName(salted.select("level", F.col("path").alias("key"), F.lit(1).alias("kind"), F.lit(0).alias("depth"), none.alias("top"), "host", "path", "salt"))
-    sweep = sweep.withColumn("canonical", canonical)
-    # Events before urls at one key; closes of inner rules before those of outer ones, opens of outer before inner.
-    order = Window.partitionBy("level", "salt").orderBy("canonical", "kind", "depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # A close without an enclosing rule uncovers nothing: it must overwrite too, so the top is boxed before `last`.
-    boxed = F.when(F.col("kind") == 0, F.struct(F.col("top").alias("t")))
-    found = sweep.withColumn("active", F.last(boxed, ignorenulls=True).over(order)).where(F.col("kind") == 1)
-    found = found.select("host", "path", F.col("active.t").alias("top"), F.col("level")).where(F.col("top").isNotNull())
-    best = found.groupBy("host", "path").agg(F.max_by("top", F.struct(F.length("top.rule"), F.length("level"))).alias("top"))
+    rules = rules.select(F.translate(F.coalesce("host", F.lit("")), UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
+    rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    hosts = events(rules.select("host").distinct(), reversed_host(F.col("host")), F.col("host"))
+    whole = events(rules, F.concat(reversed_host(F.col("host")), "path"), F.struct(F.concat("host", "path").alias("rule"), F.length("host").alias("n_host"), "verdict"))
+
+    lookups = steps.write(pages.select("host", "path").distinct().select("host", "path", reversed_host(F.col("host")).cast("binary").alias("key")))
+    rooms = max(1, -(-lookups.count() // max(room, 2 * rules.count())))
+    under = sweep(lookups, hosts, rooms, True)
+    under = under.select("host", "path", F.concat(reversed_host(F.col("found")), "path").cast("binary").alias("key"))
+    found = sweep(under, whole, rooms, False)
+    best = steps.write(found.groupBy("host", "path").agg(F.max_by("found", F.struct(F.length("found.rule"), "found.n_host")).alias("top")))
+    steps.drop(lookups)
     out = pages.join(best, ["host", "path"], "left")
     return out.select("page_id", "host", "path", F.col("top.rule").alias("rule"), F.coalesce("top.verdict", F.lit(default)).alias("verdict"))
-
-
-def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """(verdict, host, path) rows as a table."""
-    return spark.createDataFrame(rules, "verdict string, host string, path string")

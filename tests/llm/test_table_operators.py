@@ -34,9 +34,10 @@ def test_url_rules_against_every_rule(spark, seed):
     rules = {(rng.choice(hosts[:6]), rng.choice(paths)): rng.choice(("allow", "block")) for _ in range(25)}
     rules = [(v, h, p) for (h, p), v in rules.items()] if seed == 1 else RULES
     urls = [f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '?q=://x/de/', '#/es/'])}" for _ in range(400)]
-    urls += [None, "", "no scheme/de/", "://", "a://b://c/de/", "http://com/de/" + "x" * 20_000]
+    urls += [None, "", "no scheme/de/", "://", "a://b://c/de/", "http://com/de/" + "x" * 20_000, "http://a.com./de/", "http://com/de/\U0010ffffx", "http://a.com\U0010ffff/de/", "http://.com/de/"]
+    urls += [f"http://{'.'.join(rng.choice('abc') for _ in range(n))}.a.com/de/" for n in range(1, 40)]
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.rule_table(spark, rules), sweep=7).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.rule_table(spark, rules), room=7).collect()}
     assert got == {i: plain_verdict(u, rules) for i, u in enumerate(urls)}
 
 
@@ -78,13 +79,77 @@ def test_shards(spark, monkeypatch):
     assert len(few) == 3 and all(r.slot == 0 for r in few)
 
 
+def hilbert_index(point, bits):
+    """A point's place on the curve, by turning and mirroring the cube from the highest bit down."""
+    x = list(point)
+    q = 1 << bits - 1
+    while q > 1:
+        for i in range(len(x)):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & q - 1
+                x[0], x[i] = x[0] ^ t, x[i] ^ t
+        q >>= 1
+    for i in range(1, len(x)):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << bits - 1
+    while q > 1:
+        t ^= q - 1 if x[-1] & q else 0
+        q >>= 1
+    return int("".join(str((v ^ t) >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_shards_follow_the_curve(spark):
+    """In the order of shard and slot, no row is before another of a smaller place on the curve."""
+    import math
+
+    rng = random.Random(4)
+    rows = [(i, "x" * rng.choice((0, 3, 20, 500, 70_000 if i % 40 == 0 else 90)), rng.choice(("en", "de", "fr", None)), rng.choice([f"s{j:02}" for j in range(40)] + ["hot"] * 30)) for i in range(900)]
+    rows += [(None, "x", "en", "hot"), (5, "x", "en", "hot"), (5, "x", "en", "hot")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    got = sharding.assign_shards(docs, 24).collect()
+    langs = {v: i for i, v in enumerate(sorted({r[2] or "" for r in rows}))}
+    seen = sorted(r[3] for r in rows)
+    source = {v: seen.index(v) * 16 // len(rows) for v in set(seen)}
+    cells: dict = {}
+    for i, text, lang, s in rows:
+        size = len(text) + 8
+        cells.setdefault((i, size), []).append(hilbert_index((langs[lang or ""], source[s], min(15, int(math.log2(size / 8 + 1)))), 4))
+    order = [cells[r.doc_id, r.size].pop() for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert order == sorted(order)
+    starts = [-(-k * len(rows) // 24) for k in range(25)]
+    assert [sum(r.shard == k for r in got) for k in range(24)] == [b - a for a, b in zip(starts, starts[1:])]
+
+
 def test_shard_files_prune(spark, tmp_path):
-    docs = spark.createDataFrame([(i, "x" * (i % 400), f"l{i % 4}", f"s{i % 8}") for i in range(800)], "doc_id long, text string, lang string, source string")
-    sharding.write_shards(docs, sharding.assign_shards(docs, 8), str(tmp_path / "s"))
+    """Files' least and greatest values: a filter on a language or a source opens little more than the shards that hold it."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(3)
+    langs, sources = [f"l{i:02}" for i in range(12)], [f"s{i:02}" for i in range(9)]
+    rows = [(i, "x" * rng.randrange(400), rng.choice(langs), rng.choice(sources), "a", 1) for i in range(4000)]
+    rows += [(None, "null id", "l00", "s00", "a", 1), (7, "again", "l01", "s01", "a", 1), (7, "again", "l01", "s01", "a", 1), (8, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, slot string, `a.b` int")
+    sharding.write_shards(docs, 24, str(tmp_path / "s"))
     back = spark.read.parquet(str(tmp_path / "s"))
-    assert back.count() == 800
-    # A value of one dimension lies in part of the shards only.
-    assert back.where("lang = 'l1'").select("shard").distinct().count() < 8
+    assert sorted(map(repr, back.drop("shard").collect())) == sorted(map(repr, docs.collect()))
+    spans = {}
+    for f in glob.glob(f"{tmp_path}/s/shard=*/*.parquet"):
+        table = pq.read_table(f, columns=["lang", "source"]).to_pydict()
+        spans[f] = {c: (min(v for v in table[c] if v), max(v for v in table[c] if v), set(table[c])) for c in ("lang", "source")}
+    assert len(spans) == 24
+    for c, values in (("lang", langs), ("source", sources)):
+        opened = np.mean([sum(s[c][0] <= v <= s[c][1] for s in spans.values()) for v in values])
+        holding = np.mean([sum(v in s[c][2] for s in spans.values()) for v in values])
+        assert opened <= 1.25 * holding and opened < 12
+    assert docs.limit(0).count() == 0
+    sharding.write_shards(docs.limit(0), 24, str(tmp_path / "e"))
+    clash = docs.withColumn("shard", F.lit("x"))
+    sharding.write_shards(clash, 3, str(tmp_path / "c"))
+    assert spark.read.parquet(str(tmp_path / "c")).where("shard = 'x'").count() == len(rows)
 
 
 def test_archives(spark, tmp_path, monkeypatch):
