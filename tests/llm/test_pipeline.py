@@ -90,3 +90,22 @@ def test_empty(spark, tables):
     none = spark.read.parquet(f"{d}/documents.parquet").where(F.lit(False))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, d).count() == 0
+
+
+def test_clashing_columns(spark, tables):
+    """Columns named like the operators' own, or like nothing else, pass through every stage but the last."""
+    d, _ = tables
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(60)
+    names = ["score", "n_sentences", "worst_start", "token", "hash", "signature", "c0", "item_id", "n_tokens", "a.b"]
+    wide = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id")).alias(n) for n in names])
+    path = f"{d}/wide"
+    wide.write.mode("overwrite").parquet(path)
+    for name, stage in corpus_pipeline.STAGES:
+        wide = spark.read.parquet(path)
+        made = stage(spark, wide, d)
+        if name == "byte_bpe":
+            assert made.count() == wide.count()
+        else:
+            assert made.columns == wide.columns
+            rows = made.collect()
+            assert 0 < len(rows) <= 60 and all(r["a.b"] == f"a.b:{r.doc_id}" and r.score == f"score:{r.doc_id}" for r in rows if r.doc_id is not None)
