@@ -225,3 +225,13 @@ def linear_map(x: Column, low_in: int, high_in: int, low_out: int, high_out: int
     """L3: map a range onto another, clamped, whole numbers cut toward zero."""
     inside = (F.least(F.greatest(x, F.lit(low_in)), F.lit(high_in)) - low_in) * (high_out - low_out) / (high_in - low_in)
     return inside.cast("long") + low_out
+
+
+def json_field(document: Column, name: str, kind: str, default) -> Column:
+    """A field of a JSON text in the given type; the default where it is absent, null or of another type."""
+    return F.coalesce(F.get_json_object(document, f"$.{name}").try_cast(kind), F.lit(default))
+
+
+def same_address(a: Column, b) -> Column:
+    """exact match, case and all."""
+    return a == b

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,30 +56,60 @@ def attachment(attached: DataFrame, calibration: DataFrame) -> DataFrame:
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
+def change_points(start: np.ndarray, values: np.ndarray, eps: float) -> np.ndarray:
+    """For each row the index of the last change up to it.
+
+    start: where an address begins.  values: NaN for none.  A change is a value more than ``eps`` from that of the last
+    change, or one that appears or vanishes.  Neighbours more than ``2 * eps`` apart can't both be within ``eps`` of one
+    value, so they part the rows into stretches at once; within a stretch of small steps, changes are jumped to.
+    """
+    n = len(values)
+    gone, step = np.isnan(values), np.abs(np.diff(values, prepend=np.nan))
+    fixed = start | (gone != np.concatenate([[False], gone[:-1]])) | (step > 2 * eps)
+    anchor = np.maximum.accumulate(np.where(fixed, np.arange(n), 0))
+    over = np.abs(values - values[anchor]) > eps
+    ends = np.append(np.flatnonzero(fixed)[1:], n)
+    for at, end in zip(np.flatnonzero(fixed), ends):
+        if not over[at:end].any():
+            continue
+        while True:
+            # The next change is looked for in ever wider windows.
+            low, width, found = at + 1, 16, -1
+            while low < end and found < 0:
+                far = np.flatnonzero(np.abs(values[low : min(low + width, end)] - values[at]) > eps)
+                found, low, width = (low + int(far[0]) if len(far) else -1), low + width, 2 * width
+            anchor[at : found if found >= 0 else end] = at
+            if found < 0:
+                break
+            at = found
+    return anchor
+
+
 def steady(readings: DataFrame, eps: float = STEADY_EPS, hold_ms: int = STEADY_MS) -> DataFrame:
     """(addr, rx_ms, event_id, temp_c, anchor_ms, steady) of each reading.
 
     A value is compared with the last *changed* one, not with the one before, so that a slow drift is seen; that is a
     recurrence, kept by address in time order.  Values appearing or vanishing are changes.  A partition's rows stream
-    through sorted by address, and an address's state is two numbers.
+    through sorted by address, a batch at a time, and an address's state is two numbers.
     """
     schema = "addr string, rx_ms bigint, event_id bigint, temp_c float, anchor_ms bigint, steady boolean"
 
     def walk(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        addr, last, since = None, None, 0
+        carried: tuple | None = None  # address, value and time of the last change
         for rows in stream:
-            anchors, flags = [], []
-            for a, ms, t in zip(rows["addr"], rows["rx_ms"], rows["temp_c"]):
-                t = None if pd.isna(t) else float(t)
-                if a != addr:
-                    addr, last, since, changed = a, t, ms, True
-                else:
-                    changed = (t is None) != (last is None) or t is not None and abs(t - last) > eps
-                    if changed:
-                        last, since = t, ms
-                anchors.append(since)
-                flags.append(not changed and ms - since >= hold_ms)
-            yield rows.assign(anchor_ms=anchors, steady=flags)
+            if not len(rows):
+                continue
+            # The last change of the batch before goes first, as a row of its own.
+            extra = 0 if carried is None else 1
+            addr, ms, values = rows["addr"].to_numpy(), rows["rx_ms"].to_numpy(), rows["temp_c"].to_numpy(np.float64)
+            if extra:
+                addr, ms, values = (np.concatenate([[c], x]) for c, x in zip((carried[0], carried[2], carried[1]), (addr, ms, values)))
+            start = np.concatenate([[True], addr[1:] != addr[:-1]])
+            anchor = change_points(start, values, eps)
+            carried = (addr[-1], values[anchor[-1]], ms[anchor[-1]])
+            since = ms[anchor]
+            flags = (anchor != np.arange(len(ms))) & (ms - since >= hold_ms)
+            yield rows.assign(anchor_ms=since[extra:].astype(np.int64), steady=flags[extra:])
 
     ordered = readings.select("addr", "rx_ms", "event_id", F.col("temp_c").cast("float").alias("temp_c")).repartition("addr").sortWithinPartitions("addr", "rx_ms", "event_id")
     return ordered.mapInPandas(walk, schema)

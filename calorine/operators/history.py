@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,37 +27,66 @@ def view(samples: DataFrame, addr: str, most: int) -> DataFrame:
     return newest.orderBy("rx_ms", "event_id")
 
 
+def log_times(times: np.ndarray, logged: int | None, interval_ms: int) -> list[int]:
+    """Of sorted frame times those that log: each the first that is ``interval_ms`` after the last that did."""
+    out: list[int] = []
+    at = 0 if logged is None else int(np.searchsorted(times, logged + interval_ms))
+    while at < len(times):
+        out.append(int(times[at]))
+        at = int(np.searchsorted(times, out[-1] + interval_ms))
+    return out
+
+
+def log_node(ms: np.ndarray, addrs: np.ndarray, temps: np.ndarray, logged: int | None, values: dict[str, float], interval_ms: int) -> tuple[list[tuple[int, str, float]], int | None]:
+    """(log_ms, addr, temp_c) of one node's next rows in time order, and when it last logged.
+
+    logged, values: when it had last logged, and the last values (NaN for none) of its sensors, which are brought up to date.
+    """
+    logs = np.array(log_times(np.unique(ms), logged, interval_ms), np.int64)
+    out: list[tuple[int, str, float]] = []
+    own = {a: np.flatnonzero(addrs == a) for a in dict.fromkeys(addrs.tolist())} if len(logs) else {}
+    for addr in dict.fromkeys([*values, *own]):
+        rows = own.get(addr, np.zeros(0, np.int64))
+        place = np.searchsorted(ms[rows], logs, side="right")
+        shown = np.concatenate([[values.get(addr, np.nan)], temps[rows]])[place]
+        out += [(t, addr, float(v)) for t, v in zip(logs.tolist(), shown) if v == v]
+    values.update(zip(addrs.tolist(), temps.tolist()))  # of a sensor's rows the last stays
+    return out, int(logs[-1]) if len(logs) else logged
+
+
 def throttled(samples: DataFrame, interval_ms: int) -> DataFrame:
     """(node_id, log_ms, addr, temp_c): what each node logs.
 
     A frame logs when ``interval_ms`` have passed since the node last *logged*; it then logs the last known value of
-    every sensor of the node that has one.  Interval 0 logs nothing.  The rows of a node stream through in order;
-    its state is one number and a value a sensor.
+    every sensor of the node that has one.  Interval 0 logs nothing.  The rows of a node stream through in order, a
+    batch at a time: within one, the next frame that logs and a sensor's value at it are found by binary search.  A node's
+    state is one number and a value a sensor.
     """
     schema = "node_id bigint, log_ms bigint, addr string, temp_c float"
 
     def walk(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        node, logged, values, frame = None, None, {}, None
-        out: list[tuple] = []
-
-        def end_frame() -> None:
-            nonlocal logged
-            if frame is not None and (logged is None or frame - logged >= interval_ms):
-                logged = frame
-                out.extend((node, frame, a, t) for a, t in values.items() if t is not None)
+        node, logged, values, held = None, None, {}, None
+
+        def taken(rows: pd.DataFrame) -> pd.DataFrame:
+            nonlocal node, logged, values
+            out: list[tuple] = []
+            for n, own in rows.groupby("node_id", sort=False):
+                if n != node:
+                    node, logged, values = n, None, {}
+                made, logged = log_node(own["rx_ms"].to_numpy(), own["addr"].to_numpy(), own["temp_c"].to_numpy(np.float32), logged, values, interval_ms)
+                out += [(n, *m) for m in made]
+            return pd.DataFrame(out, columns=["node_id", "log_ms", "addr", "temp_c"])
 
         for rows in stream:
-            for n, ms, a, t in zip(rows["node_id"], rows["rx_ms"], rows["addr"], rows["temp_c"]):
-                if n != node or ms != frame:
-                    end_frame()
-                    if n != node:
-                        node, logged, values = n, None, {}
-                    frame = ms
-                values[a] = None if pd.isna(t) else float(t)
-            yield pd.DataFrame(out, columns=["node_id", "log_ms", "addr", "temp_c"])
-            out.clear()
-        end_frame()
-        yield pd.DataFrame(out, columns=["node_id", "log_ms", "addr", "temp_c"])
+            rows = rows if held is None else pd.concat([held, rows])
+            if not len(rows):
+                continue
+            # The last frame may go on in the next batch.
+            last = (rows["node_id"] == rows["node_id"].iloc[-1]) & (rows["rx_ms"] == rows["rx_ms"].iloc[-1])
+            held = rows[last]
+            yield taken(rows[~last])
+        if held is not None:
+            yield taken(held)
 
     if interval_ms == 0:
         return samples.where(F.lit(False)).select("node_id", F.col("rx_ms").alias("log_ms"), "addr", F.col("temp_c").cast("float").alias("temp_c"))

@@ -28,6 +28,11 @@ def present(seen: DataFrame, now_ms: int, window_ms: int) -> DataFrame:
     return seen.where(S.seen_within(F.lit(now_ms), F.col("last_seen_ms"), window_ms))
 
 
+def tile_nodes(nodes: DataFrame, tiles: DataFrame) -> DataFrame:
+    """The nodes of the wanted tiles (tile), which are keyed by a node's id in 8 hex digits."""
+    return nodes.withColumn("tile", S.node_key(F.col("node_id"))).join(tiles, "tile")
+
+
 def insert_absent(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The new rows whose key isn't stored yet."""
     return new.join(stored.select(*keys).distinct(), keys, "left_anti")

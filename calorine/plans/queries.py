@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,9 +10,10 @@ from pyspark.sql import functions as F
 
 from calorine.functions import scalar as S
 from calorine.functions.crc import crc16
-from calorine.operators import alerts, calibration, grid, health, history, registry, rollup
+from calorine.operators import alerts, calibration, grid, health, history, order, registry, rollup
 from calorine.sources import codec, ndjson
 from calorine.sources.events import samples, samples_between
+from calorine.sources.shared import scratch
 from calorine.streaming import telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +37,18 @@ HOURS = (
 )
 
 
+#: The bytes of an address, and the tables of the checksums, for DuckDB's list functions.
+BYTES = "list_transform(string_split(addr, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+CRC32 = """step(i, c, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8)"""
+CRC16 = """step(i, c, k) AS (SELECT i, i << 8, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 32768 <> 0 THEN xor(c << 1, 4129) & 65535 ELSE (c << 1) & 65535 END, k + 1 FROM step WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8)"""
+
+
+def crc32_sql(start: int, data: str) -> str:
+    return f"xor(list_reduce(list_prepend({start}, {data}), lambda a, b: xor(a >> 8, t[CAST(xor(a, b) & 255 AS BIGINT) + 1])), 4294967295)"
+
+
 def days_sql(source: str, shift: int = 0) -> str:
     return f"""SELECT node_id, addr, CAST(CAST(epoch_ms((hour_min + {shift}) * 60000) AS DATE) AS VARCHAR) AS day,
  CAST(round(CAST(sum(CAST(mean_centi AS BIGINT) * sample_count) AS DOUBLE) / least(sum(sample_count), 1440)) AS INTEGER) AS mean_centi,
@@ -59,18 +70,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def hours(spark: SparkSession, d: str) -> DataFrame:
     return rollup.hourly_rollup(grid.minute_samples(samples(spark, d)))
 
 
-def now_of(df: DataFrame) -> int:
-    return df.agg(F.max("rx_ms")).first()[0] or 0
+def now_of(df: DataFrame) -> Column:
+    """The newest time of the data, as a scalar subquery: no job runs while a query is built."""
+    return F.coalesce(df.agg(F.max("rx_ms")).scalar(), F.lit(0))
 
 
 def day_text(df: DataFrame) -> DataFrame:
@@ -203,7 +209,10 @@ def a10(spark, d):
     return grid.bad_minutes(frames)
 
 
-@query("a11_ordered_checksum")
+@query(
+    "a11_ordered_checksum",
+    f"WITH RECURSIVE {SAMPLES}, {CRC32}, pieces AS (SELECT node_id, rx_ms // 3600000 * 60 AS hour_min, flatten(list([seq >> 8, seq & 255] ORDER BY event_id)) AS p FROM samples GROUP BY 1, 2) SELECT node_id, hour_min, {crc32_sql(0, 'p')} AS crc FROM pieces, crcs",
+)
 def a11(spark, d):
     piece = F.unhex(F.lpad(F.hex(F.col("seq")), 4, "0"))
     blocks = samples(spark, d).select("node_id", S.hour_start(S.minute_of(F.col("rx_ms"))).alias("hour_min"), "event_id", piece.alias("piece"))
@@ -224,8 +233,6 @@ def j6(spark, d):
 
 
 SLOTS = SAMPLES + ", slots AS (SELECT row_number() OVER (ORDER BY node_id, addr) - 1 AS slot, node_id, addr FROM (SELECT DISTINCT node_id, addr FROM samples WHERE length(addr) = 16 ORDER BY node_id, addr LIMIT 100))"
-#: The last six hours of 2024-01-09.
-DENSE = (28_413_720, 28_414_080)
 
 
 @query("o1_descriptor", f"WITH {SLOTS} SELECT CAST(slot AS INTEGER) AS slot, node_id, addr FROM slots")
@@ -235,17 +242,11 @@ def o1(spark, d):
 
 @query(
     "w8_dense_grid",
-    f"""WITH {MINUTES.replace(SAMPLES, SLOTS)}, frame AS (SELECT *, unnest(range({DENSE[0]}, {DENSE[1]})) AS epoch_minute FROM slots)
+    f"""WITH {MINUTES.replace(SAMPLES, SLOTS)}, frame AS (SELECT *, unnest(range((SELECT min(rx_ms) // 60000 FROM samples), (SELECT (max(rx_ms) + {S.STALE_MS}) // 60000 + 1 FROM samples))) AS epoch_minute FROM slots)
 SELECT CAST(slot AS INTEGER) AS slot, f.node_id, f.addr, f.epoch_minute, coalesce(present, false) AS present, centi FROM frame f LEFT JOIN minutes m ON f.node_id = m.node_id AND f.addr = m.addr AND f.epoch_minute = m.epoch_minute""",
 )
 def w8(spark, d):
-    s = samples(spark, d)
-    return grid.dense_grid(grid.descriptor(s), grid.minute_samples(s), *DENSE)
-
-
-@query("w8_dense_grid_all", SQL["w8_dense_grid"].replace(f"range({DENSE[0]}, {DENSE[1]})", f"range((SELECT min(rx_ms) // 60000 FROM samples), (SELECT (max(rx_ms) + {S.STALE_MS}) // 60000 + 1 FROM samples))"))
-def w8_all(spark, d):
-    """Every minute of the data; ``w8_dense_grid`` is the part that its SQL asks for."""
+    """A frame for every minute of the data."""
     s = samples(spark, d)
     return grid.dense_grid(grid.descriptor(s), grid.minute_samples(s), *grid.span(s))
 
@@ -291,8 +292,7 @@ def j5(spark, d):
 @query("j7_tile_lookup", f"WITH {SAMPLES} SELECT node_id, lpad(to_hex(node_id), 8, '0') AS tile, count(*) AS readings FROM samples WHERE lpad(to_hex(node_id), 8, '0') IN ('00000003', '0000000C') GROUP BY 1, 2")
 def j7(spark, d):
     keys = spark.createDataFrame([("00000003",), ("0000000C",)], "tile string")
-    s = samples(spark, d).withColumn("tile", S.node_key(F.col("node_id")))
-    return s.join(keys, "tile").groupBy("node_id", "tile").agg(F.count(F.lit(1)).alias("readings"))
+    return registry.tile_nodes(samples(spark, d), keys).groupBy("node_id", "tile").agg(F.count(F.lit(1)).alias("readings"))
 
 
 # --- Windows and order --------------------------------------------------------------------------------------------
@@ -303,17 +303,25 @@ def w1(spark, d):
     return history.retain(samples(spark, d), 5).select("event_id", "node_id", "addr", "rx_ms", "age_rank")
 
 
-@query("w2_throttled_sampling")
+THROTTLED = (
+    f"WITH RECURSIVE {SAMPLES}, "
+    + """logs(node_id, log_ms) AS (SELECT node_id, min(rx_ms) FROM samples GROUP BY 1
+ UNION ALL SELECT l.node_id, min(s.rx_ms) FROM logs l JOIN samples s ON s.node_id = l.node_id AND s.rx_ms >= l.log_ms + 21600000 GROUP BY l.node_id),
+shown AS (SELECT l.node_id, l.log_ms, s.addr, s.temp_c, row_number() OVER (PARTITION BY l.node_id, l.log_ms, s.addr ORDER BY s.rx_ms DESC, s.event_id DESC) AS k FROM logs l JOIN samples s ON s.node_id = l.node_id AND s.rx_ms <= l.log_ms)
+SELECT node_id, log_ms, addr, temp_c FROM shown WHERE k = 1 AND temp_c IS NOT NULL"""
+)
+
+
+@query("w2_throttled_sampling", THROTTLED)
 def w2(spark, d):
     return history.throttled(samples(spark, d), 6 * 3_600_000)
 
 
-@query("w3_o6_history_view", f"WITH {SAMPLES} SELECT event_id, rx_ms, temp_c FROM samples WHERE addr = '28000000000003' || '63' ORDER BY rx_ms DESC, event_id DESC LIMIT 10")
+@query("w3_o6_history_view", f"WITH {SAMPLES} SELECT event_id, rx_ms, temp_c FROM samples WHERE addr = '2800000000000363' ORDER BY rx_ms DESC, event_id DESC LIMIT 10")
 def w3(spark, d):
     return history.view(samples(spark, d), "2800000000000363", 10).select("event_id", "rx_ms", "temp_c")
 
 
-SQL["w3_o6_history_view"] = f"WITH {SAMPLES} SELECT event_id, rx_ms, temp_c FROM samples WHERE addr = '2800000000000363' ORDER BY rx_ms DESC, event_id DESC LIMIT 10"
 CLASSES = (
     SAMPLES
     + """, seqs AS (SELECT node_id, rx_ms, event_id, seq, lag(seq) OVER w AS p FROM samples WHERE seq <> 0 WINDOW w AS (PARTITION BY node_id ORDER BY rx_ms, event_id)),
@@ -338,7 +346,14 @@ def w6(spark, d):
     return health.sequence_stuck(s.select("node_id", "rx_ms", "event_id", "seq"), now_of(s), 60_000)
 
 
-@query("w7_steady")
+@query(
+    "w7_steady",
+    f"""WITH RECURSIVE {SAMPLES}, ordered AS (SELECT addr, rx_ms, event_id, temp_c, row_number() OVER (PARTITION BY addr ORDER BY rx_ms, event_id) AS k FROM samples),
+walk(addr, rx_ms, event_id, temp_c, k, last, anchor_ms, changed) AS (SELECT addr, rx_ms, event_id, temp_c, k, CAST(temp_c AS DOUBLE), rx_ms, true FROM ordered WHERE k = 1
+ UNION ALL SELECT addr, rx_ms, event_id, temp_c, k, CASE WHEN moved THEN CAST(temp_c AS DOUBLE) ELSE last END, CASE WHEN moved THEN rx_ms ELSE anchor_ms END, moved
+ FROM (SELECT o.*, w.last, w.anchor_ms, coalesce(abs(CAST(o.temp_c AS DOUBLE) - w.last) > 0.001, (o.temp_c IS NULL) <> (w.last IS NULL)) AS moved FROM walk w JOIN ordered o ON o.addr = w.addr AND o.k = w.k + 1))
+SELECT addr, rx_ms, event_id, temp_c, anchor_ms, NOT changed AND rx_ms - anchor_ms >= 30000 AS steady FROM walk""",
+)
 def w7(spark, d):
     return calibration.steady(samples(spark, d))
 
@@ -371,16 +386,31 @@ def t10(spark, d):
 
 @query(
     "w14_retry_schedule",
-    f"WITH {ALERTS}, steps AS (SELECT arrival, seq, unnest(range(8)) AS attempt FROM requests WHERE seq % 10 = 0) SELECT seq, CAST(attempt AS INTEGER) AS attempt, CAST(least(15000 * pow(2, attempt), 600000) AS BIGINT) AS backoff_ms, arrival + CAST(sum(least(15000 * pow(2, attempt), 600000)) OVER (PARTITION BY seq ORDER BY attempt) AS BIGINT) AS next_attempt_ms FROM steps",
+    f"WITH {ALERTS}, steps AS (SELECT arrival, seq, unnest(range(8)) AS attempt FROM requests) SELECT arrival, seq, CAST(attempt AS INTEGER) AS attempt, CAST(least(15000 * pow(2, attempt), 600000) AS BIGINT) AS backoff_ms, arrival + CAST(sum(least(15000 * pow(2, attempt), 600000)) OVER (PARTITION BY arrival ORDER BY attempt) AS BIGINT) AS next_attempt_ms FROM steps",
 )
 def w14(spark, d):
-    return alerts.retry_schedule(_requests(spark, d).where("seq % 10 = 0").select("arrival", "seq"), 8).select("seq", "attempt", "backoff_ms", "next_attempt_ms")
+    return alerts.retry_schedule(_requests(spark, d).select("arrival", "seq"), 8).select("arrival", "seq", "attempt", "backoff_ms", "next_attempt_ms")
+
 
+def _titles(spark, d):
+    customers = spark.read.parquet(f"{d}/customer.parquet")
+    return customers.select(F.col("c_custkey").cast("long").alias("node_id"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).otherwise("").alias("title"))
 
-@query("w14_retry_schedule_all", SQL["w14_retry_schedule"].replace(" WHERE seq % 10 = 0", ""))
-def w14_all(spark, d):
-    """Every request's attempts; ``w14_retry_schedule`` is the part of them that its SQL asks for."""
-    return alerts.retry_schedule(_requests(spark, d).select("arrival", "seq"), 8).select("seq", "attempt", "backoff_ms", "next_attempt_ms")
+
+@query("o2_daily_order", f"WITH {HOURS}, days AS ({days_sql('hours')}) SELECT day, node_id, addr, row_number() OVER (PARTITION BY day ORDER BY node_id, addr) - 1 AS place FROM days")
+def o2(spark, d):
+    return day_text(order.daily_order(rollup.daily_rollup(hours(spark, d)).select("day", "node_id", "addr")))
+
+
+@query("o3_node_order", f"WITH {SAMPLES} SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS place FROM (SELECT DISTINCT node_id FROM samples)")
+def o3(spark, d):
+    return order.node_order(samples(spark, d).select("node_id").distinct())
+
+
+@query("o7_tile_order", "SELECT c_custkey AS node_id, CASE WHEN c_custkey % 4 = 0 THEN '(unnamed)' ELSE c_name END AS title, row_number() OVER (ORDER BY CASE WHEN c_custkey % 4 = 0 THEN '(unnamed)' ELSE c_name END, c_custkey) - 1 AS place FROM customer")
+def o7(spark, d):
+    latest = health.latest_state(samples(spark, d)).withColumns({"node_rank": F.lit(None).cast("int"), "global_rank": F.length("label")})
+    return order.tile_order(health.tiles(latest, _titles(spark, d))).select("node_id", "title", "place")
 
 
 # --- State and status ---------------------------------------------------------------------------------------------
@@ -430,8 +460,7 @@ SELECT c_custkey AS node_id, CASE WHEN c_custkey % 4 = 0 THEN '(unnamed)' ELSE c
 )
 def v3(spark, d):
     latest = health.latest_state(samples(spark, d)).withColumns({"node_rank": F.lit(None).cast("int"), "global_rank": F.length("label")})
-    titles = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("long").alias("node_id"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).otherwise("").alias("title"))
-    return health.tiles(latest, titles)
+    return health.tiles(latest, _titles(spark, d))
 
 
 @query("f12_find_label", f"WITH {LATEST} SELECT node_id, addr FROM latest WHERE lower(label) = 'click' ORDER BY node_id, addr LIMIT 1")
@@ -439,10 +468,12 @@ def f12(spark, d):
     return health.find_label(health.latest_state(samples(spark, d)), "CLICK").select("node_id", "addr")
 
 
-@query("u3_same_descriptor", f"WITH {SLOTS} SELECT count(*) = 0 AS same FROM slots WHERE slot = 7")
+@query("u3_same_descriptor", f"WITH {SLOTS} SELECT 'one less' AS against, count(*) = 0 AS same FROM slots WHERE slot = 7 UNION ALL SELECT 'itself', true")
 def u3(spark, d):
     slots = grid.descriptor(samples(spark, d))
-    return grid.same_descriptor(slots, slots.where("slot <> 7"))
+    pairs = (("one less", slots.where("slot <> 7")), ("itself", slots))
+    less, same = (grid.same_descriptor(slots, other).select(F.lit(name).alias("against"), "same") for name, other in pairs)
+    return less.unionByName(same)
 
 
 @query("u4_insert_absent", f"WITH {HOURS} SELECT * FROM hours WHERE NOT (node_id % 2 = 0 AND hour_min % 120 = 0)")
@@ -460,9 +491,10 @@ def t7(spark, d):
 # --- Scalars and predicates ---------------------------------------------------------------------------------------
 
 
-def scalar(name: str, expr: Callable[[], Column], sql: str | None) -> None:
-    """A query (event_id, value) of one expression over the samples."""
-    query(name, None if sql is None else f"WITH {SAMPLES} SELECT event_id, {sql} AS value FROM samples")(lambda spark, d: samples(spark, d).select("event_id", expr().alias("value")))
+def scalar(name: str, expr: Callable[[], Column], sql: str, tables: str | None = None) -> None:
+    """A query (event_id, value) of one expression over the samples; its SQL may need a table of checksums."""
+    with_ = f"WITH {SAMPLES}" if tables is None else f"WITH RECURSIVE {SAMPLES}, {tables}"
+    query(name, f"{with_} SELECT event_id, {sql} AS value FROM samples{'' if tables is None else ', crcs'}")(lambda spark, d: samples(spark, d).select("event_id", expr().alias("value")))
 
 
 def predicate(name: str, expr: Callable[[], Column], sql: str) -> None:
@@ -495,10 +527,10 @@ scalar("p14_local_day", lambda: S.local_day(S.minute_of(c("rx_ms")), "Asia/Kolka
 scalar("p15_zone_text", lambda: S.zone_text((c("seq") - 50) * 15, c("seq") % 2 == 0), "CASE WHEN (seq - 50) * 15 + CASE WHEN seq % 2 = 0 THEN 60 ELSE 0 END < 0 THEN '-' ELSE '+' END || printf('%02d:%02d', abs((seq - 50) * 15 + CASE WHEN seq % 2 = 0 THEN 60 ELSE 0 END) // 60, abs((seq - 50) * 15 + CASE WHEN seq % 2 = 0 THEN 60 ELSE 0 END) % 60)")
 scalar("p16_flags", lambda: S.pack_flags(c("seq") % 2 == 0, c("temp_c") < 50, c("seq") > 50), "CASE WHEN seq % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN temp_c < 50 THEN 2 ELSE 0 END + CASE WHEN seq > 50 THEN 4 ELSE 0 END")
 scalar("p17_presence_bit", lambda: S.presence_bit(F.unhex(F.lit("A5C3")), c("seq") % 16), "((CASE WHEN seq % 16 < 8 THEN 165 ELSE 195 END) >> CAST(seq % 8 AS INTEGER)) & 1 = 1")
-scalar("p18_crc16", lambda: crc16(c("addr").cast("binary")), None)
-scalar("p19_crc32_seeded", lambda: S.crc32_seeded(c("addr")), None)
-scalar("p20_crc32", lambda: F.crc32(c("addr")), None)
-scalar("p21_json_default", lambda: F.coalesce(F.get_json_object(F.to_json(F.struct(F.when(c("seq") % 3 == 0, c("seq")).alias("x"))), "$.x").cast("int"), F.lit(-1)), "CASE WHEN seq % 3 = 0 THEN CAST(seq AS INTEGER) ELSE -1 END")
+scalar("p18_crc16", lambda: crc16(c("addr").cast("binary")), f"CAST(list_reduce(list_prepend(65535, {BYTES}), lambda a, b: xor((a << 8) & 65535, t[CAST(xor(a >> 8, b) & 255 AS BIGINT) + 1])) AS INTEGER)", CRC16)
+scalar("p19_crc32_seeded", lambda: S.crc32_seeded(c("addr")), crc32_sql(0, BYTES), CRC32)
+scalar("p20_crc32", lambda: F.crc32(c("addr")), crc32_sql(4294967295, BYTES), CRC32)
+scalar("p21_json_default", lambda: S.json_field(F.to_json(F.struct(F.when(c("seq") % 3 == 0, c("seq")).alias("x"))), "x", "int", -1), "CASE WHEN seq % 3 = 0 THEN CAST(seq AS INTEGER) ELSE -1 END")
 scalar("p22_raw_tail", lambda: S.raw_tail(F.concat(F.lit("ntfy send  "), F.when(c("seq") % 3 == 0, F.lit("")).otherwise(F.concat(c("label"), F.lit(" now "))))), "CASE WHEN seq % 3 <> 0 THEN label || ' now' END")
 scalar("p23_short_id", lambda: F.concat_ws(" ", c("label"), S.short_id(c("addr"))), "label || ' ' || right(addr, 4)")
 scalar("p24_wifi_status", lambda: S.wifi_status(c("seq") % 9), "CASE seq % 9 WHEN 0 THEN 'IDLE' WHEN 1 THEN 'NO_SSID' WHEN 2 THEN 'SCAN_DONE' WHEN 3 THEN 'CONNECTED' WHEN 4 THEN 'CONNECT_FAILED' WHEN 5 THEN 'CONNECTION_LOST' WHEN 6 THEN 'DISCONNECTED' ELSE 'UNKNOWN' END")
@@ -511,10 +543,21 @@ predicate("f3_fresh", lambda: S.fresh(F.lit(1_705_000_000_000), c("rx_ms"), c("s
 predicate("f4_value_gate", lambda: S.in_range(c("temp_c") * 3 - 310), "temp_c * 3 - 310 > -300 AND temp_c * 3 - 310 < 300")
 predicate("f6_rollup_valid", lambda: S.rollup_valid(F.when(c("seq") % 4 == 0, F.lit(S.MISSING_CENTI)).otherwise(c("seq")), c("seq") % 3), "seq % 4 <> 0 AND seq % 3 > 0")
 query("f7_half_open", f"WITH {SAMPLES} SELECT event_id FROM samples WHERE rx_ms >= 1704500000000 AND rx_ms < 1705000000000")(lambda spark, d: samples_between(spark, d, 1_704_500_000_000, 1_705_000_000_000).select("event_id"))
-predicate("f8_header_sane", lambda: (c("seq") % 90 <= 60) & (c("node_id") != 0), "seq % 90 <= 60 AND node_id <> 0")
+
+
+@query("f8_header_sane", f"WITH {SAMPLES} SELECT event_id FROM samples WHERE seq % 90 <= 60 AND node_id % 10 <> 0 AND event_id % 17 <> 0")
+def f8(spark, d):
+    """Journal headers of each reading's hour, some with too many minutes, some of no hour, some with a flipped byte."""
+    hour = F.when(c("node_id") % 10 != 0, S.hour_start(S.minute_of(c("rx_ms")))).otherwise(0)
+    rows = samples(spark, d).select("event_id", c("seq").alias("sequence"), (c("seq") % 100 + 1).alias("slots"), hour.alias("hour_min"), (c("seq") % 90).alias("minutes"), (hour + c("seq") % 60).alias("last_minute"))
+    made = codec.journal_headers(rows)
+    flipped = F.unhex(F.concat(F.expr("substring(hex(record), 1, 10)"), F.lit("FF"), F.expr("substring(hex(record), 13)")))
+    return made.where(codec.sane_header(F.when(c("event_id") % 17 == 0, flipped).otherwise(c("record")))).select("event_id")
+
+
 predicate("f9_valid_time", lambda: S.valid_time(F.floor(c("rx_ms") / 1000) - c("seq") * 100_000), "rx_ms // 1000 - seq * 100000 >= 1700000000")
-predicate("f11_recent", lambda: S.seen_within(F.lit(1_706_745_600_000), c("rx_ms"), 86_400_000), "1706745600000 - rx_ms < 86400000")
-predicate("f13_exact_address", lambda: c("addr") == "2800000000000363", "addr = '2800000000000363'")
+predicate("f11_recent", lambda: S.seen_within(F.lit(1_705_000_000_000), c("rx_ms"), 86_400_000), "1705000000000 - rx_ms < 86400000")
+predicate("f13_exact_address", lambda: S.same_address(c("addr"), "2800000000000363"), "addr = '2800000000000363'")
 
 
 @query("p3_two_point_solve", f"WITH {SAMPLES}, p AS (SELECT addr, avg(CAST(seq AS DOUBLE)) AS x1, max(seq) + 60.5 AS x2 FROM samples GROUP BY addr) SELECT addr, round(100.0 / (x2 - x1), 9) AS a1, round(0 - 100.0 / (x2 - x1) * x1, 9) AS a0 FROM p")
@@ -565,15 +608,9 @@ def s6(spark, d):
     return spark.read.schema("event_id bigint, node_id bigint, addr string, rx_ms bigint").json(path)
 
 
-@query("s7_minute_blocks", f"WITH {MINUTES} SELECT node_id, addr, epoch_minute, present, centi FROM minutes WHERE present AND epoch_minute < 28407360")
+@query("s7_minute_blocks", f"WITH {MINUTES} SELECT node_id, addr, epoch_minute, present, centi FROM minutes WHERE present")
 def s7(spark, d):
-    minutes = grid.minute_samples(samples_between(spark, d, 0, 28_407_360 * 60_000)).where("epoch_minute < 28407360")
-    return codec.decode_minutes(codec.minute_blocks(minutes)).where("frame_ok AND present").drop("frame_ok")
-
-
-@query("s7_minute_blocks_all", SQL["s7_minute_blocks"].replace(" AND epoch_minute < 28407360", ""))
-def s7_all(spark, d):
-    """Every minute block, written a folder a day and read back; ``s7_minute_blocks`` is the part that its SQL asks for."""
+    """Every minute block, written a folder a day and read back."""
     path = scratch(spark, "minutes")
     codec.write_blocks(codec.minute_blocks(grid.minute_samples(samples(spark, d))), path)
     return codec.decode_minutes(spark.read.parquet(path), present_only=True).drop("frame_ok")
@@ -610,32 +647,22 @@ def s11(spark, d):
     return codec.verify(marked).groupBy("start_min", "header_ok", "payload_ok").agg(F.count(F.lit(1)).alias("blocks"))
 
 
-@query("s13_frame_export", f"WITH {MINUTES} SELECT node_id, addr, epoch_minute, centi FROM minutes WHERE present AND epoch_minute % 60 = 30 AND hour_min >= 28414080 AND hour_min < 28415520")
+@query("s13_frame_export", f"WITH {MINUTES} SELECT node_id, addr, epoch_minute, centi FROM minutes WHERE present")
 def s13(spark, d):
-    """The frame of each half hour of a day, out of the hours' packed frames."""
-    start, end = 28_414_080, 28_415_520
-    # Readings of the day, and those before it that its first minutes may show.
-    near = samples_between(spark, d, start * 60_000 - S.STALE_MS, end * 60_000)
-    frames = codec.decode_minutes(codec.minute_blocks(grid.minute_samples(near).where(S.half_open(F.col("hour_min"), start, end))))
-    return frames.where("epoch_minute % 60 = 30 AND present").select("node_id", "addr", "epoch_minute", "centi")
-
-
-@query("s13_frame_export_all", f"WITH {MINUTES} SELECT node_id, addr, epoch_minute, centi FROM minutes WHERE present")
-def s13_all(spark, d):
-    """Every frame of every hour; ``s13_frame_export`` is the part of them that its SQL asks for."""
+    """Every frame of every hour, out of the hours' packed frames."""
     return codec.read_frames(codec.minute_blocks(grid.minute_samples(samples(spark, d)))).select("node_id", "addr", "epoch_minute", "centi")
 
 
 @query(
     "s14_daily_state_records",
-    f"WITH {HOURS} SELECT node_id, addr, epoch(CAST(CAST(epoch_ms(hour_min * 60000) AS DATE) AS TIMESTAMP))::BIGINT // 60 AS day_min, CAST(sum(CAST(mean_centi AS BIGINT) * sample_count) AS BIGINT) AS sum, CAST(sum(sample_count) AS INTEGER) AS count FROM hours WHERE sample_count > 0 GROUP BY 1, 2, 3",
+    f"WITH {HOURS} SELECT node_id, addr, epoch(CAST(CAST(epoch_ms(hour_min * 60000) AS DATE) AS TIMESTAMP))::BIGINT // 60 AS day_min, CAST(sum(CAST(mean_centi AS BIGINT) * sample_count) AS BIGINT) AS sum, CAST(sum(sample_count) AS INTEGER) AS count, min(min_centi) AS min, max(max_centi) AS max FROM hours WHERE sample_count > 0 GROUP BY 1, 2, 3",
 )
 def s14(spark, d):
     """Two slots, saved and loaded: the states before the even hours came, and all of them."""
     path = scratch(spark, "states")
     for sequence, states in ((6, _halves(spark, d)[0]), (7, rollup.daily_state(hours(spark, d)))):
         registry.save_slot(states.withColumn("day_min", F.unix_date("day").cast("long") * 1440).drop("day"), path, sequence)
-    return registry.load_newest(spark, path, ["node_id", "addr", "day_min"]).select("node_id", "addr", "day_min", "sum", F.col("count").cast("int").alias("count"))
+    return registry.load_newest(spark, path, ["node_id", "addr", "day_min"]).select("node_id", "addr", "day_min", "sum", F.col("count").cast("int").alias("count"), "min", "max")
 
 
 @query(
@@ -688,7 +715,7 @@ def t1_stream(spark, d):
     return spark.read.parquet(path).groupBy("node_id", "addr").agg(F.max_by("last_ms", "batch").alias("last_ms"), F.max_by("temp_c", "batch").alias("temp_c"))
 
 
-@query("w2_stream_throttled")
+@query("w2_stream_throttled", THROTTLED)
 def w2_stream(spark, d):
     path = _collected(spark, telemetry.throttled_stream(telemetry.event_stream(spark, d), 6 * 3_600_000), "stream-throttled")
     return spark.read.parquet(path).drop("batch")
@@ -700,10 +727,13 @@ def t8(spark, d):
     for run in ("a", "b"):  # the second run is a replay from the start
         stream = telemetry.event_stream(spark, d).select("event_id", "node_id", "addr", "rx_ms")
         telemetry.run_once(stream, telemetry.write_absent(f"{path}/out", ["event_id"]), f"{path}/state-{run}")
-    return spark.read.parquet(f"{path}/out")
+    return spark.read.parquet(f"{path}/out").drop("day")
 
 
-@query("t15_diagnostic_history")
+@query(
+    "t15_diagnostic_history",
+    "SELECT CAST(0 AS BIGINT) AS node_id, addr, epoch, CAST(15.0 + 13.0 * ((1 - cos(2 * pi() * (epoch % 86400) / 86400)) / 2) AS FLOAT) AS temp_c, true AS is_diagnostic FROM (SELECT unnest(['28FFFFFFFFFFFF01', '28FFFFFFFFFFFF02']) AS addr) a, range(1706745600 - 720 * 3600, 1706745600, 300) r(epoch)",
+)
 def t15(spark, d):
     """A fixture: a synthetic wave of two made-up addresses; no table is read."""
     return history.diagnostic_history(spark, ["28FFFFFFFFFFFF01", "28FFFFFFFFFFFF02"], 720, 15.0, 28.0, 1_706_745_600)

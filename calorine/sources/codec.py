@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calorine.functions.crc import crc16_rows
+from calorine.operators.order import ranked
 
 # Fixed values of the formats: magic numbers, header layouts (little-endian, naturally aligned), sentinels.
 MINH, HROL, DROL, FRHJ, FRDS, CAL1 = 0x484E494D, 0x4C4F5248, 0x4C4F5244, 0x4A485246, 0x53445246, 0x43414C31
@@ -172,6 +173,26 @@ def decode_journal_header(record: bytes):
     return f[3], f[4], f[6], f[7], f[8]
 
 
+def journal_headers(rows: DataFrame) -> DataFrame:
+    """Adds ``record``, the header of an hour journal (sequence, slots, hour_min, minutes, last_minute)."""
+
+    @F.pandas_udf("binary")
+    def encode(sequence: pd.Series, slots: pd.Series, hour: pd.Series, minutes: pd.Series, last: pd.Series) -> pd.Series:
+        return pd.Series([encode_journal_header(*map(int, row)) for row in zip(sequence, slots, hour, minutes, last)], dtype=object)
+
+    return rows.withColumn("record", encode("sequence", "slots", "hour_min", "minutes", "last_minute"))
+
+
+def sane_header(record: Column) -> Column:
+    """F8: whether a journal header's magic, version, sizes and checksum hold, with at most 60 minutes and an hour that isn't 0; false for null."""
+
+    @F.pandas_udf("boolean")
+    def check(records: pd.Series) -> pd.Series:
+        return records.map(lambda r: r is not None and decode_journal_header(bytes(r)) is not None).astype(bool)
+
+    return check(record)
+
+
 def encode_calibration(entries: list[tuple[str, float, float]]) -> bytes:
     """Addresses that aren't 16 hex digits are skipped; the checksum is the plain one."""
     good = [(bytes.fromhex(a), a1, a0) for a, a1, a0 in entries if len(a) == 16 and all(c in "0123456789abcdefABCDEF" for c in a)]
@@ -194,8 +215,9 @@ def decode_calibration(record: bytes):
 
 def blocked(df: DataFrame, *keys: str) -> DataFrame:
     """Adds ``slot`` (place among the key's sensors by (node_id, addr)) and ``block`` (of 100 slots)."""
-    slot = F.dense_rank().over(Window.partitionBy(*keys).orderBy("node_id", "addr")) - 1
-    return df.withColumn("slot", slot).withColumn("block", F.floor(F.col("slot") / MAX_SLOTS).cast("int"))
+    sensors = df.select(*keys, "node_id", "addr").distinct()
+    slots = ranked(sensors, list(keys), ["node_id", "addr"], "slot")
+    return df.join(slots, [*keys, "node_id", "addr"]).withColumn("block", F.floor(F.col("slot") / MAX_SLOTS).cast("int"))
 
 
 def minute_blocks(grid: DataFrame) -> DataFrame:
@@ -327,8 +349,9 @@ def verify(blocks: DataFrame) -> DataFrame:
 
 
 def write_tier(rollups: DataFrame, path: str, part: str, order: str) -> None:
-    """A tier as Parquet, a folder for each value of ``part`` (a date, month or year), sorted for row-group pruning."""
-    rollups.repartition(part).sortWithinPartitions(order, "node_id", "addr").write.partitionBy(part).mode("append").parquet(path)
+    """A tier as Parquet, a folder for each value of ``part`` (a date, month or year), each in files by ranges of
+    ``order``, sorted inside, so that folders, files and row groups are pruned and no task writes a whole folder."""
+    rollups.repartitionByRange(part, order).sortWithinPartitions(part, order, "node_id", "addr").write.partitionBy(part).mode("append").parquet(path)
 
 
 def write_blocks(blocks: DataFrame, path: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from calorine.functions import scalar as S
+from calorine.operators import history
 from calorine.sources.events import to_samples
 
 #: How late a reading may come: the horizon of staleness (T5); the original has no such bound.
@@ -54,37 +56,43 @@ def latest_values(stream: DataFrame) -> DataFrame:
 
 
 def throttled_stream(stream: DataFrame, interval_ms: int) -> DataFrame:
-    """W2 on a stream: state of a node is when it last logged and its sensors' last values."""
+    """W2 on a stream: state of a node is when it last logged and its sensors' last values.
+
+    A micro-batch's rows of a node are put in time order as one; log times and values are found by binary search.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         logged, addrs, temps = state.get if state.exists else (None, [], [])
-        values = dict(zip(addrs, temps))
+        values = {a: float("nan") if t is None else float(t) for a, t in zip(addrs, temps)}
         rows = pd.concat(list(batches)).sort_values(["rx_ms", "event_id"])
-        out = []
-        for ms, frame in rows.groupby("rx_ms", sort=True):
-            for a, t in zip(frame["addr"], frame["temp_c"]):
-                values[a] = None if pd.isna(t) else float(t)
-            if logged is None or ms - logged >= interval_ms:
-                logged = int(ms)
-                out += [(key[0], logged, a, t) for a, t in values.items() if t is not None]
-        state.update((logged, list(values), list(values.values())))
-        yield pd.DataFrame(out, columns=["node_id", "log_ms", "addr", "temp_c"])
+        out, logged = history.log_node(rows["rx_ms"].to_numpy(), rows["addr"].to_numpy(), rows["temp_c"].to_numpy(np.float32), logged, values, interval_ms)
+        state.update((logged, list(values), [float(v) for v in values.values()]))
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=["node_id", "log_ms", "addr", "temp_c"])
 
     return stream.groupBy("node_id").applyInPandasWithState(
         step, "node_id bigint, log_ms bigint, addr string, temp_c float", "logged bigint, addrs array<string>, temps array<float>", "append", GroupStateTimeout.NoTimeout
     )
 
 
-def write_absent(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A micro-batch sink that a replay leaves as it is: rows whose key is stored are left out."""
+def write_absent(path: str, keys: list[str], time_ms: str = "rx_ms") -> Callable[[DataFrame, int], None]:
+    """A micro-batch sink that a replay leaves as it is: rows whose key is stored are left out.
+
+    Rows lie in folders by the day of ``time_ms``, which is one of a key's facts: a batch is held against the stored rows
+    of its own days and times alone, not against the whole sink.
+    """
+    day = F.date_format(F.timestamp_millis(time_ms), "yyyyMMdd")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-        fresh = batch.dropDuplicates(keys)
+        fresh = batch.dropDuplicates(keys).withColumn("day", day)
         if exists:
-            fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-        fresh.write.mode("append").parquet(path)
+            low, high, first, last = batch.agg(F.min(time_ms), F.max(time_ms), F.min(day), F.max(day)).first()
+            if low is None:
+                return
+            stored = spark.read.schema(fresh.schema).parquet(path).where(F.col("day").between(first, last) & F.col(time_ms).between(low, high))
+            fresh = fresh.join(stored.select(*keys), keys, "left_anti")
+        fresh.write.partitionBy("day").mode("append").parquet(path)
 
     return sink

@@ -24,7 +24,7 @@ def test_a11_covers_every_event(spark):
 
 def test_w14_gives_every_request_its_attempts(spark):
     got = defaultdict(list)
-    for r in QUERIES["w14_retry_schedule_all"](spark, D).orderBy("seq", "attempt").collect():
+    for r in QUERIES["w14_retry_schedule"](spark, D).orderBy("seq", "attempt").collect():
         got[r.seq].append(r.next_attempt_ms - r.seq)
     assert set(got) == {r.event_id for r in samples(spark, D).collect()}
     assert all(v == [15_000, 45_000, 105_000, 225_000, 465_000, 945_000, 1_545_000, 2_145_000] for v in got.values())
@@ -37,7 +37,7 @@ def test_w14_requests_of_one_seq_are_apart(spark):
 
 def test_s7_blocks_of_all_minutes(spark):
     want = grid.minute_samples(samples(spark, D)).where("present").select("node_id", "addr", "epoch_minute", "present", "centi")
-    got = QUERIES["s7_minute_blocks_all"](spark, D).select(want.columns)
+    got = QUERIES["s7_minute_blocks"](spark, D).select(want.columns)
     days = {r[0] for r in got.selectExpr("epoch_minute DIV 1440").distinct().collect()}
     assert len(days) == 30  # 2024-01-01 to 2024-01-30
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
@@ -45,7 +45,7 @@ def test_s7_blocks_of_all_minutes(spark):
 
 def test_s13_exports_every_frame(spark):
     want = grid.minute_samples(samples(spark, D)).where("present").select("node_id", "addr", "epoch_minute", "centi")
-    got = sorted(map(tuple, QUERIES["s13_frame_export_all"](spark, D).collect()))
+    got = sorted(map(tuple, QUERIES["s13_frame_export"](spark, D).collect()))
     assert {r[2] % 60 for r in got} == set(range(60))
     assert got == sorted(map(tuple, want.collect()))
 
@@ -61,7 +61,7 @@ def test_s13_reads_one_frame(spark):
 def test_w8_has_every_slot_in_every_minute_of_the_data(spark):
     s = samples(spark, D)
     first, last = s.selectExpr("min(rx_ms)", "max(rx_ms)").first()
-    dense = QUERIES["w8_dense_grid_all"](spark, D)
+    dense = QUERIES["w8_dense_grid"](spark, D)
     r = dense.selectExpr("count(*)", "count(DISTINCT slot)", "count(DISTINCT epoch_minute)", "min(epoch_minute)", "max(epoch_minute)", "count_if(present)").first()
     minutes = (last + 180_000) // 60_000 - first // 60_000 + 1
     slots = grid.descriptor(s)
