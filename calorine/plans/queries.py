@@ -240,15 +240,29 @@ def o1(spark, d):
     return grid.descriptor(samples(spark, d))
 
 
+def _dense(spark, d):
+    s = samples(spark, d)
+    return grid.dense_grid(grid.descriptor(s), grid.minute_samples(s), *grid.span(s))
+
+
 @query(
     "w8_dense_grid",
     f"""WITH {MINUTES.replace(SAMPLES, SLOTS)}, frame AS (SELECT *, unnest(range((SELECT min(rx_ms) // 60000 FROM samples), (SELECT (max(rx_ms) + {S.STALE_MS}) // 60000 + 1 FROM samples))) AS epoch_minute FROM slots)
-SELECT CAST(slot AS INTEGER) AS slot, f.node_id, f.addr, f.epoch_minute, coalesce(present, false) AS present, centi FROM frame f LEFT JOIN minutes m ON f.node_id = m.node_id AND f.addr = m.addr AND f.epoch_minute = m.epoch_minute""",
+SELECT CAST(slot AS INTEGER) AS slot, f.node_id, f.addr, f.epoch_minute - f.epoch_minute % 60 AS hour_min, count(*) AS frames, bit_or(CASE WHEN present THEN CAST(1 AS BIGINT) << CAST(f.epoch_minute % 60 AS INTEGER) ELSE 0 END) AS present_mask, CAST(sum(centi) AS BIGINT) AS sum_centi
+FROM frame f LEFT JOIN minutes m ON f.node_id = m.node_id AND f.addr = m.addr AND f.epoch_minute = m.epoch_minute GROUP BY 1, 2, 3, 4""",
 )
 def w8(spark, d):
-    """A frame for every minute of the data."""
-    s = samples(spark, d)
-    return grid.dense_grid(grid.descriptor(s), grid.minute_samples(s), *grid.span(s))
+    """A frame for every minute of the data, in one row an hour of each slot: its frames, a bit for each minute present, the sum of values."""
+    minute = F.pmod("epoch_minute", F.lit(60)).cast("int")
+    hour = _dense(spark, d).groupBy("slot", "node_id", "addr", (F.col("epoch_minute") - minute).alias("hour_min"))
+    mask = F.bit_or(F.when(F.col("present"), F.call_function("shiftleft", F.lit(1).cast("long"), minute)).otherwise(F.lit(0).cast("long")))
+    return hour.agg(F.count(F.lit(1)).alias("frames"), mask.alias("present_mask"), F.sum(F.col("centi").cast("long")).alias("sum_centi"))
+
+
+@query("w8_dense_grid_all")
+def w8_all(spark, d):
+    """The frames themselves, a row a minute of each slot: 4 million rows of a month, too many to hold against SQL row by row."""
+    return _dense(spark, d)
 
 
 @query("t9_descriptor_by_hour", f"WITH {SAMPLES} SELECT node_id, addr, (min(rx_ms) // 60000) - (min(rx_ms) // 60000) % 60 + 60 AS first_hour_min FROM samples GROUP BY node_id, addr")
