@@ -368,5 +368,9 @@ def decode(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_c
 
 
 def round_trip(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): each text encoded, and its ids decoded, in one pass."""
+    """(id, n_tokens, ids_sha256, decoded_sha256): each text encoded, and its ids decoded, in one pass.
+
+    Null texts count as empty ones: no tokens and the digests of no bytes.  Very long texts are encoded whole; repeated
+    rows, and rows without an id, each give a row; further columns are dropped; an empty table gives no rows.
+    """
     return _arrow(df, ranks, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", _Digest(), text_col, id_col)

@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Nodes a task's trie holds before it starts anew.
 MAX_NODES = 800_000
-#: Counts that a task keeps from batch to batch.
-MAX_WORDS = 300_000
 SHIFT = 2.7
 
 
@@ -111,26 +109,24 @@ def load_scores(path: str) -> dict[str, float]:
 def token_counts(df: DataFrame, scores: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_tokens) of every row.
 
-    Pre-tokens are the runs without white space.  Null and empty texts, and such of white space alone, count 0;
-    repeated rows each give a row; further columns are dropped.
+    Pre-tokens are the runs without white space, which is what Unicode calls so (``str.split``).  Null and empty texts,
+    and such of white space alone, count 0; repeated rows each give a row; very long texts count whole, and very long
+    pre-tokens leave no nodes behind; an empty table gives no rows; further columns are dropped.
     """
     shared = df.sparkSession.sparkContext.broadcast(scores)  # a vocabulary file: a bound of a few MB
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known = Trie(shared.value), {}
+        trie = Trie(shared.value)
         for batch in stream:
             values, words, tokens = batch.column(1), [], []
-            if len(known) > MAX_WORDS:
-                known = {}
-            fresh: set[str] = set()
+            distinct: set[str] = set()
             for i in range(len(values)):
-                fresh.update((values[i].as_py() or "").split())
-            for w in sorted(fresh.difference(known)):  # in order, neighbours share their way through the trie
-                known[w] = trie.count(w)
+                distinct.update((values[i].as_py() or "").split())
+            counts = {w: trie.count(w) for w in sorted(distinct)}  # in order, neighbours share their way through the trie
             for i in range(len(values)):
                 parts = (values[i].as_py() or "").split()
                 words.append(len(parts))
-                tokens.append(sum(map(known.__getitem__, parts)))
+                tokens.append(sum(map(counts.__getitem__, parts)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], [id_col, "n_words", "n_tokens"])
 
     kind = dict(df.dtypes)[id_col]

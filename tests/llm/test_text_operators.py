@@ -41,7 +41,7 @@ def test_encoding_equals_the_library(texts):
         assert decoder(ids) == text.encode()
 
 
-def test_every_code_point(ranks, reference):
+def test_every_seventh_code_point(ranks, reference):
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000][::7]
     texts = [f"a{chr(c)}a 1{chr(c)}1" for c in points]
     for text, packed in zip(texts, bpe.encode_texts(texts, bpe.Merger(ranks)), strict=True):
@@ -188,6 +188,53 @@ def test_ngram_join_in_groups_of_copies(spark, monkeypatch, seed, k, percent, me
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, k, percent)
 
 
+def test_ngram_join_ships_texts_in_proportion_to_a_group(spark, monkeypatch):
+    """Groups of edited copies: a text goes to few rooms however large its group, and no pair is written out."""
+    shipped = []
+    whole = ngram_join._links
+
+    def counted(met, *rest):
+        shipped.append(met.count())
+        return whole(met, *rest)
+
+    monkeypatch.setattr(ngram_join, "_links", counted)
+    each = {}
+    for n in (200, 800):
+        rows = near_copies(7, n)[: 2 * n]
+        shipped.clear()
+        ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 5, 80)
+        each[n] = sum(shipped) / len(rows)
+    assert each[200] < 6 and each[800] < 6
+
+
+def test_ngram_join_of_very_long_and_tied_texts(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(4000)}" for _ in range(60_000)]
+    close = list(words)
+    close[30_000:30_100] = [f"x{i}" for i in range(100)]
+    far = words[:30_000]
+    rows = [(5, " ".join(words)), (3, " ".join(close)), (9, " ".join(far)), (7, " ".join(words)), (1, "x")]
+    got = ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {5: 3, 3: 3, 7: 3, 9: 9, 1: 1}
+
+
+def test_sketches_of_any_size_give_the_same(spark, monkeypatch):
+    rows = near_copies(4, 60)
+    want = brute_components(rows, 4, 85)
+    for bits in (2, 20):
+        monkeypatch.setattr(ngram_join, "LEAST_BITS", bits)
+        monkeypatch.setattr(ngram_join, "MOST_BITS", bits)
+        got = ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 4, 85).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_overlaps_are_set_sizes():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in rng.integers(0, 50, 30)]
+    got = ngram_join.overlaps(sets, np.array([3, 1, 7]), np.arange(30), width=7)
+    assert (got == [[len(np.intersect1d(sets[i], s)) for s in sets] for i in (3, 1, 7)]).all()
+
+
 def test_ngram_join_edges(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "a b c d e")]
     got = ngram_join.join_components(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, token string"), 4, 85).collect()
