@@ -17,11 +17,15 @@ def minute_samples(samples: DataFrame, stale_ms: int = S.STALE_MS) -> DataFrame:
     Each reading is expanded to the few minutes it can serve, so there is no join and no dense grid.  A later frame
     without a value wins, and the minute is then missing.  A value out of range is present without a number.
 
-    Rows are dealt once by (sensor, hour); that serves the minute's choice here and a rollup by hour after it.
+    Rows are dealt once by (sensor, hour), before they are expanded: a reading that serves minutes of two hours goes to
+    both.  That serves the minute's choice here and a rollup by hour after it.
     """
     first, last = F.ceil(F.col("rx_ms") / 60000).cast("long"), F.floor((F.col("rx_ms") + stale_ms) / 60000).cast("long")
-    spread = samples.where(last >= first).select("node_id", "addr", "rx_ms", "event_id", "temp_c", F.explode(F.sequence(first, last)).alias("epoch_minute"))
-    spread = spread.withColumn("hour_min", S.hour_start(F.col("epoch_minute"))).repartition("node_id", "addr", "hour_min")
+    timed = samples.select("node_id", "addr", "rx_ms", "event_id", "temp_c", first.alias("first"), last.alias("last")).where("last >= first")
+    hours = F.sequence(S.hour_start(F.col("first")), S.hour_start(F.col("last")), F.lit(60).cast("long"))
+    dealt = timed.select("*", F.explode(hours).alias("hour_min")).repartition("node_id", "addr", "hour_min")
+    minutes = F.sequence(F.greatest("first", "hour_min"), F.least(F.col("last"), F.col("hour_min") + 59))
+    spread = dealt.select("node_id", "addr", "hour_min", "rx_ms", "event_id", "temp_c", F.explode(minutes).alias("epoch_minute"))
     latest = spread.groupBy("node_id", "addr", "hour_min", "epoch_minute").agg(F.max(F.struct("rx_ms", "event_id", "temp_c")).alias("s"))
     t = F.col("s.temp_c")
     has = t.isNotNull() & ~F.isnan(t)
