@@ -103,5 +103,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     found = sweep(under, whole, rooms, False)
     best = steps.write(found.groupBy("host", "path").agg(F.max_by("found", F.struct(F.length("found.rule"), "found.n_host")).alias("top")))
     steps.drop(lookups)
-    out = pages.join(best, ["host", "path"], "left")
+    # The table grows with the urls, though it packs so well that Spark may take it for a small one.
+    out = pages.join(best.hint("merge"), ["host", "path"], "left")
     return out.select("page_id", "host", "path", F.col("top.rule").alias("rule"), F.coalesce("top.verdict", F.lit(default)).alias("verdict"))
