@@ -661,6 +661,16 @@ def s11(spark, d):
     return codec.verify(marked).groupBy("start_min", "header_ok", "payload_ok").agg(F.count(F.lit(1)).alias("blocks"))
 
 
+@query("s12_hour_journal", f"WITH {MINUTES} SELECT hour_min, count(DISTINCT (node_id, addr)) AS slots, count(DISTINCT epoch_minute) AS minutes, max(epoch_minute) AS last_minute FROM minutes WHERE present GROUP BY hour_min")
+def s12(spark, d):
+    """Each hour's journal header, stored, reread and recovered; the frames under it are those of S7."""
+    path = scratch(spark, "journal")
+    present = grid.minute_samples(samples(spark, d)).where("present")
+    hours_ = present.groupBy("hour_min").agg(F.count_distinct("node_id", "addr").alias("slots"), F.count_distinct("epoch_minute").alias("minutes"), F.max("epoch_minute").alias("last_minute"))
+    codec.journal_headers(hours_.withColumn("sequence", F.floor(F.col("hour_min") / 60))).select("record").write.parquet(path)
+    return codec.read_journal(spark.read.parquet(path)).drop("sequence")
+
+
 @query("s13_frame_export", f"WITH {MINUTES} SELECT node_id, addr, epoch_minute, centi FROM minutes WHERE present")
 def s13(spark, d):
     """Every frame of every hour, out of the hours' packed frames."""

@@ -183,6 +183,16 @@ def journal_headers(rows: DataFrame) -> DataFrame:
     return rows.withColumn("record", encode("sequence", "slots", "hour_min", "minutes", "last_minute"))
 
 
+def read_journal(journals: DataFrame) -> DataFrame:
+    """(sequence, slots, hour_min, minutes, last_minute) of the sound headers (record)."""
+
+    @F.pandas_udf("sequence bigint, slots bigint, hour_min bigint, minutes bigint, last_minute bigint")
+    def decode(records: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([decode_journal_header(bytes(r)) for r in records], columns=["sequence", "slots", "hour_min", "minutes", "last_minute"])
+
+    return journals.where(sane_header(F.col("record"))).select(decode("record").alias("j")).select("j.*")
+
+
 def sane_header(record: Column) -> Column:
     """F8: whether a journal header's magic, version, sizes and checksum hold, with at most 60 minutes and an hour that isn't 0; false for null."""
 
