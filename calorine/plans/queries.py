@@ -398,6 +398,12 @@ def t10(spark, d):
     return alerts.after_failure(_requests(spark, d), 500_000).select("arrival", "next_attempt_ms", "backoff_ms")
 
 
+@query("s17_deliver", f"WITH {ALERTS} SELECT seq, message <> 'error' AS ok FROM requests WHERE message <> ''")
+def s17(spark, d):
+    """One attempt for each request with a message, by a sender that fails for errors; no network is called."""
+    return alerts.deliver(_requests(spark, d).where("message <> ''"), lambda title, message: message != "error").select("seq", "ok")
+
+
 @query(
     "w14_retry_schedule",
     f"WITH {ALERTS}, steps AS (SELECT arrival, seq, unnest(range(8)) AS attempt FROM requests) SELECT arrival, seq, CAST(attempt AS INTEGER) AS attempt, CAST(least(15000 * pow(2, attempt), 600000) AS BIGINT) AS backoff_ms, arrival + CAST(sum(least(15000 * pow(2, attempt), 600000)) OVER (PARTITION BY arrival ORDER BY attempt) AS BIGINT) AS next_attempt_ms FROM steps",
