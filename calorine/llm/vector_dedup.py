@@ -337,7 +337,8 @@ def link_vectors(nodes: DataFrame, threshold: float, steps: Steps) -> DataFrame:
     n = nodes.count()
     widest = nodes.agg(F.max(F.size("vector"))).first()[0] or 1
     shards = max(SHARDS, -(-n // SHARD_NODES), -(-n * widest * 4 // SHARD_BYTES))
-    blocks, lanes = max(1, -(-n // BLOCK_NODES)), max(1, LANES // shards)
+    blocks = max(1, -(-n // BLOCK_NODES))
+    lanes = max(1, min(LANES // shards, blocks))  # a lane without a block would load its graph for nothing
     # Vectors of different lengths never meet: the length is part of each key.
     keyed = nodes.select("node", "vector", "copies", F.size("vector").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.hash("node"), F.lit(blocks)).cast("int").alias("block"))
 
