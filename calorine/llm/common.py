@@ -55,8 +55,14 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder that exists when the application ends, for what a result that isn't read yet still needs."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 class Steps:
-    """Tables that an operator writes on its way and deletes when their successors are written.
+    """Tables that an operator writes on its way and deletes when their successors are written; the last ones go when the application ends.
 
     ``write`` cuts the lineage: what a lost executor held is read again from the shared folder.
     """
@@ -71,6 +77,8 @@ class Steps:
         self.count += 1
         with cleaning(self.spark):
             df.write.option("compression", "zstd").parquet(path)
+        if self.count == 1:
+            delete_at_exit(self.spark, self.folder)
         made = self.spark.read.schema(df.schema).parquet(path)
         self.written.append((made, path))
         return made
