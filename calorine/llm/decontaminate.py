@@ -2,11 +2,14 @@
 
 A document's words are hashed and every run of five is a shingle.  For each benchmark item size, windows of that many
 words get a 64-bit SimHash, each shingle voting with its multiplicity; the votes are differences of running sums.  The
-items' fingerprints are indexed by blocks of bits: two fingerprints within ``RADIUS`` bits are within
+items of each size are indexed by blocks of their fingerprints' bits: two fingerprints within ``RADIUS`` bits are within
 ``RADIUS // BLOCKS`` bits in one of the blocks at least (else they would differ in more), so looking up each block's
-value and all its neighbours finds all of them; of unlike fingerprints it lets one in seven through.  The multiset
+value and all its neighbours finds all of them; of unlike fingerprints it lets one in twenty-five through.  The multiset
 Jaccard similarity of window and item then decides.
 
+A fingerprint can be farther off than the radius at a similarity of 0.8 (about one in thirty).  Such items are not lost: a window
+that shares enough with an item shares some of its rarest shingles, so the items that hold those are verified too.
+
 Windows are only fingerprinted where they can matter: a similarity of s asks for 2s/(1+s) of a window's shingles to be
 shingles of some item of the window's size, and a running count tells which windows have so many.
 """
@@ -26,9 +29,10 @@ from pyspark.sql import functions as F
 from calorine.llm.common import numbered
 
 WORDS, SIMILARITY = 5, 0.8
-#: At a similarity of 0.8 the distance of 64-bit fingerprints averages 9.7 with a deviation of 2.9: one pair in a thousand
-#: is beyond the radius.  The blocks have 16 bits each.
-RADIUS, BLOCKS = 19, 4
+#: At a similarity of 0.8 the distance of 64-bit fingerprints averages 9.7 with a deviation of 2.9.  The blocks have 16 bits each.
+RADIUS, BLOCKS = 15, 4
+#: Up to so many items of a size are compared one by one, which finds the same as their index.
+SCAN = 512
 #: Words of the items that one broadcast holds; a larger benchmark goes through the documents block by block.
 WORDS_A_BLOCK = 4_000_000
 #: Windows that are looked up together.
@@ -84,52 +88,68 @@ class Blocks:
 
     def __init__(self, prints: np.ndarray):
         self.prints = prints
-        self.order = [np.argsort(prints[:, b], kind="stable").astype(np.int32) for b in range(BLOCKS)]
-        self.first = [np.concatenate([[0], np.cumsum(np.bincount(prints[:, b], minlength=1 << 16))]).astype(np.int32) for b in range(BLOCKS)]
-        self.near = neighbours()
+        self.order, self.first, self.near = [], [], None
+        if len(prints) > SCAN:
+            self.order = [np.argsort(prints[:, b], kind="stable").astype(np.int32) for b in range(BLOCKS)]
+            self.first = [np.concatenate([[0], np.cumsum(np.bincount(prints[:, b], minlength=1 << 16))]).astype(np.int32) for b in range(BLOCKS)]
+            self.near = neighbours()
 
     def candidates(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, item) of all pairs with a block in reach, each once, in order."""
-        found = []
+        """(query, item) of all pairs with a block in reach, once for each such block."""
+        if self.near is None:
+            return np.divmod(np.arange(len(queries) * len(self.prints)), len(self.prints))
+        rows, items = [], []
         for b in range(BLOCKS):
-            values = (queries[:, b, None] ^ self.near[None, :]).astype(np.int32)
+            values = (queries[:, b, None] ^ self.near[None, :]).ravel()
             start = self.first[b][values]
-            count = self.first[b][values + 1] - start
-            row, col = np.nonzero(count)
-            start, count = start[row, col], count[row, col]
-            at = np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            found.append(np.repeat(row, count) * len(self.prints) + self.order[b][at])
-        pairs = np.unique(np.concatenate(found))
-        return pairs // len(self.prints), pairs % len(self.prints)
+            count = self.first[b][1:][values] - start
+            there = np.flatnonzero(count)
+            start, count = start[there], count[there]
+            rows.append(np.repeat(there // len(self.near), count))
+            items.append(self.order[b][np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())])
+        return np.concatenate(rows), np.concatenate(items)
 
     def within(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs whose fingerprints are within RADIUS bits: all there are."""
+        """The pairs whose fingerprints are within RADIUS bits: all there are, each once, in order."""
         q, i = self.candidates(queries)
-        close = np.bitwise_count(queries[q] ^ self.prints[i]).sum(1) <= RADIUS
-        return q[close], i[close]
+        whole = [np.ascontiguousarray(x).view(np.uint64).ravel() for x in (queries, self.prints)]
+        close = np.bitwise_count(whole[0][q] ^ whole[1][i]) <= RADIUS
+        return np.divmod(np.unique(q[close].astype(np.int64) * len(self.prints) + i[close]), len(self.prints))
+
+
+class Sized:
+    """Items of one number of shingles, by their places among all: fingerprints in Blocks, and the items of each shingle."""
+
+    def __init__(self, size: int, places: np.ndarray, made: list[np.ndarray]):
+        self.size, self.places = size, places
+        self.counters = [Counter(s.tolist()) for s in made]
+        self.blocks = Blocks(np.array([fingerprints(s, np.zeros(1, np.int64), size)[0] for s in made]))
+        pairs = np.unique(np.stack([np.concatenate(made), np.repeat(np.arange(len(made)), size).astype(np.uint64)], 1), axis=0)
+        self.known, first = np.unique(pairs[:, 0], return_index=True)
+        self.first, self.items = np.append(first, len(pairs)), pairs[:, 1].astype(np.int64)
+
+    def sharing(self, window: np.ndarray, need: float) -> set[int]:
+        """All items that can share ``need`` of a window's shingles: those that hold one of its rarest, as many as it may lack and one more."""
+        at = np.minimum(np.searchsorted(self.known, window), len(self.known) - 1)
+        many = np.where(self.known[at] == window, self.first[at + 1] - self.first[at], 0)
+        rarest = np.argsort(many, kind="stable")[: int(len(window) - need + 1e-9) + 1]
+        return {int(i) for p in rarest[many[rarest] > 0] for i in self.items[self.first[at[p]] : self.first[at[p] + 1]]}
 
 
 class Items:
-    """Items of one shingle length: their shingles end to end, and the Blocks of their fingerprints."""
+    """Items of one shingle length: their shingles, the sizes of the items that hold each, and the items by size."""
 
     def __init__(self, k: int, items: list[tuple[int, np.ndarray]]):
         self.k = k
         made = [shingles(w, k) for _, w in items]
         self.ids = [i for i, _ in items]
-        self.ends = np.cumsum([len(s) for s in made])
-        self.shingles = np.concatenate(made)
-        # Each known shingle, and the sizes of the items that hold it.
-        self.size_of = np.array([len(s) for s in made])
-        pairs = np.unique(np.stack([self.shingles, np.repeat(self.size_of, self.size_of).astype(np.uint64)], 1), axis=0)
+        size_of = np.array([len(s) for s in made])
+        pairs = np.unique(np.stack([np.concatenate(made), np.repeat(size_of, size_of).astype(np.uint64)], 1), axis=0)
         self.known, first = np.unique(pairs[:, 0], return_index=True)
         self.first, self.sizes = np.append(first, len(pairs)), pairs[:, 1].astype(np.int64)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self.known >> np.uint64(64 - FILTER_BITS)] = True
-        self.prints = np.array([fingerprints(s, np.zeros(1, np.int64), len(s))[0] for s in made])
-        self.blocks = Blocks(self.prints)
-
-    def counter(self, at: int) -> Counter:
-        return Counter(self.shingles[(self.ends[at - 1] if at else 0) : self.ends[at]].tolist())
+        self.by_size = {int(n): Sized(int(n), own, [made[i] for i in own]) for n in np.unique(size_of) for own in [np.flatnonzero(size_of == n)]}
 
 
 class Index:
@@ -173,25 +193,28 @@ class Index:
                 np.cumsum(count, out=count)
                 starts = np.flatnonzero(count[width:] - count[:-width] >= need - 1e-9)
                 for a in range(0, len(starts), LOOKUP):
-                    self._verify(s, starts[a : a + LOOKUP], width, size, group, best)
+                    self._verify(s, starts[a : a + LOOKUP], width, need, group, group.by_size[size], best)
         return [(i, a, n, round(sim, 6)) for i, (sim, a, n) in sorted(best.items())]
 
     @staticmethod
-    def _verify(s: np.ndarray, starts: np.ndarray, width: int, size: int, group: Items, best: dict) -> None:
+    def _verify(s: np.ndarray, starts: np.ndarray, width: int, need: float, group: Items, own: Sized, best: dict) -> None:
         low = int(starts[0])
         prints = fingerprints(s[low : int(starts[-1]) + width], starts - low, width)
-        rows, items = group.blocks.within(prints)
-        fits = group.size_of[items] == size
-        window, counted = -1, Counter()
-        for r, at in zip(rows[fits].tolist(), items[fits].tolist()):
-            item, start = group.ids[at], int(starts[r])
-            if item in best and best[item][0] == 1.0:
-                continue
-            if window != start:
-                window, counted = start, Counter(s[start : start + width].tolist())
-            sim = similarity(counted, group.counter(at))
-            if sim >= SIMILARITY and (item not in best or sim > best[item][0]):
-                best[item] = (sim, start, width + group.k - 1)
+        rows, items = own.blocks.within(prints)
+        near: list[set[int]] = [set() for _ in starts]
+        for r, i in zip(rows.tolist(), items.tolist()):
+            near[r].add(i)
+        for r, start in enumerate(starts.tolist()):
+            window = s[start : start + width]
+            counted = None
+            for i in sorted(near[r] | own.sharing(window, need)):
+                item = group.ids[own.places[i]]
+                if item in best and best[item][0] == 1.0:
+                    continue
+                counted = Counter(window.tolist()) if counted is None else counted
+                sim = similarity(counted, own.counters[i])
+                if sim >= SIMILARITY and (item not in best or sim > best[item][0]):
+                    best[item] = (sim, start, width + group.k - 1)
 
 
 def _indexes(items: DataFrame) -> Iterator[Index]:

@@ -331,26 +331,53 @@ def test_blocks_find_all_within_the_radius_and_little_else():
         row[rng.choice(64, i % (decontaminate.RADIUS + 3), replace=False)] = 1
     queries = items[:500] ^ np.packbits(flips, axis=1).view(np.uint16)
     q, i = index.candidates(queries)
-    assert len(q) < 0.16 * len(queries) * len(items)
+    assert len(q) < 0.05 * len(queries) * len(items)
     distance = np.bitwise_count(queries[:, None, :] ^ items[None, :, :]).sum(2)
     assert set(zip(*(x.tolist() for x in index.within(queries)))) == set(zip(*(x.tolist() for x in np.nonzero(distance <= decontaminate.RADIUS))))
 
 
-def test_radius_recalls_similar_windows():
-    """Of windows whose multiset similarity is 0.8 to 0.9, nearly all are within the radius."""
+def test_index_beats_comparing_all_fingerprints():
+    import time
+
+    rng = np.random.default_rng(2)
+    items, queries = (rng.integers(0, 1 << 16, (n, decontaminate.BLOCKS)).astype(np.uint16) for n in (20_000, 256))
+    index = decontaminate.Blocks(items)
+
+    def scan():
+        return np.nonzero(np.bitwise_count(queries.view(np.uint64).ravel()[:, None] ^ items.view(np.uint64).ravel()[None, :]) <= decontaminate.RADIUS)
+
+    took = {}
+    for name, f in (("index", lambda: index.within(queries)), ("scan", scan)):
+        times = []
+        for _ in range(5):
+            start = time.process_time()
+            found = f()
+            times.append(time.process_time() - start)
+        took[name] = min(times), list(zip(*(x.tolist() for x in found)))
+    assert took["index"][1] == took["scan"][1] and took["index"][0] < took["scan"][0]
+
+
+@pytest.mark.parametrize("scan", [0, 10_000])
+def test_no_similar_window_is_lost(monkeypatch, scan):
+    """Windows whose multiset similarity is 0.8 or more are found all, also where the fingerprints are beyond the radius."""
+    monkeypatch.setattr(decontaminate, "SCAN", scan)
     rng = random.Random(4)
     vocabulary = [f"v{i}" for i in range(5000)]
-    near = total = 0
-    for _ in range(8000):
-        item = rng.choices(vocabulary, k=rng.randrange(20, 80))
-        other = edited(rng, item, vocabulary, rng.randrange(1, 3))
-        a, b = (decontaminate.shingles(decontaminate.word_hashes(" ".join(w))) for w in (item, other))
-        if 0.8 <= decontaminate.similarity(decontaminate.Counter(a.tolist()), decontaminate.Counter(b.tolist())) <= 0.9:
-            x, y = (decontaminate.fingerprints(s, np.zeros(1, np.int64), len(s))[0] for s in (a, b))
+    items = [rng.choices(vocabulary, k=rng.randrange(20, 40)) for _ in range(600)]
+    items += [edited(rng, item, vocabulary, 1) for item in items[:200]]  # items like one another
+    index = decontaminate.Index([(i, " ".join(w)) for i, w in enumerate(items)])
+    counted = [decontaminate.Counter(decontaminate.shingles(decontaminate.word_hashes(" ".join(w))).tolist()) for w in items]
+    far = total = 0
+    for i, item in enumerate(items):
+        hashes = decontaminate.word_hashes(" ".join(edited(rng, item, vocabulary, rng.randrange(1, 3))))
+        own = decontaminate.shingles(hashes)
+        want = {j for j, c in enumerate(counted) if sum(c.values()) == len(own) and decontaminate.similarity(decontaminate.Counter(own.tolist()), c) >= 0.8}
+        assert want <= {h[0] for h in index.hits(hashes)}
+        if i in want:
             total += 1
-            near += int(np.bitwise_count(x ^ y).sum()) <= decontaminate.RADIUS
-    assert total > 1000
-    assert near >= 0.998 * total
+            x, y = (decontaminate.fingerprints(s, np.zeros(1, np.int64), len(own))[0] for s in (own, decontaminate.shingles(decontaminate.word_hashes(" ".join(item)))))
+            far += int(np.bitwise_count(x ^ y).sum()) > decontaminate.RADIUS
+    assert total > 100 and far > 0
 
 
 def test_decontamination_ties_long_texts_and_blocks(spark, monkeypatch):
