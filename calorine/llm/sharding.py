@@ -60,8 +60,8 @@ def level(value: Column, bits: int) -> Column:
 def ranks(names: DataFrame, bits: int, steps: Steps) -> DataFrame:
     """(axis, name, place) of the distinct values of ``names`` (axis, name), in order: ``2**bits`` places an axis at most.
 
-    Up to so many names of an axis each have a place of their own; of more, each place takes an equal share of the
-    rows.  The sums over the names before one come from sums over ranges of names, so that no task orders all of them.
+    Up to so many names of an axis each have a place of their own, spread over the whole axis, since the curve resolves its high bits
+    first; of more, each place takes an equal share of the rows.  The sums over the names before one come from sums over ranges of names, so that no task orders all of them.
     """
     most = 1 << bits
     counts = names.groupBy("axis", "name").agg(F.count(F.lit(1)).alias("n"))
@@ -73,7 +73,7 @@ def ranks(names: DataFrame, bits: int, steps: Steps) -> DataFrame:
     parts = parts.select("axis", "part", zero(F.sum("k").over(ahead)).alias("k0"), zero(F.sum("m").over(ahead)).alias("m0"), F.sum("k").over(whole).alias("kinds"), F.sum("m").over(whole).alias("rows"))
     inside = Window.partitionBy("axis", "part").orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
     before = ranged.withColumns({"k1": zero(F.count(F.lit(1)).over(inside)), "m1": zero(F.sum("n").over(inside))}).join(F.broadcast(parts), ["axis", "part"])
-    place = F.when(F.col("kinds") <= most, F.col("k0") + F.col("k1")).otherwise(F.floor((F.col("m0") + F.col("m1")) * most / F.col("rows")))
+    place = F.when(F.col("kinds") <= most, F.floor((F.col("k0") + F.col("k1")) * most / F.col("kinds"))).otherwise(F.floor((F.col("m0") + F.col("m1")) * most / F.col("rows")))
     made = steps.write(before.select("axis", "name", place.cast("int").alias("place")))
     steps.drop(ranged)
     return made

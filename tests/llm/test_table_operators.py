@@ -122,6 +122,15 @@ def test_shards_follow_the_curve(spark):
     assert [sum(r.shard == k for r in got) for k in range(24)] == [b - a for a, b in zip(starts, starts[1:])]
 
 
+def test_shards_prune_by_a_dimension_of_four_names(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    shards = sharding.assign_shards(docs, 24).join(docs.select("doc_id", "lang", "source"), "doc_id")
+    for c, most in (("lang", 12), ("source", 12)):
+        spans = shards.groupBy("shard").agg(F.min(c).alias("low"), F.max(c).alias("high")).collect()
+        names = [r[0] for r in docs.select(c).distinct().collect()]
+        assert np.mean([sum(s.low <= n <= s.high for s in spans) for n in names]) <= most
+
+
 def test_shard_files_prune(spark, tmp_path):
     """Files' least and greatest values: a filter on a language or a source opens little more than the shards that hold it."""
     import glob
