@@ -3,7 +3,8 @@
 A page is read as a flat list of text blocks, cut at block-level tags.  A block's features are its word count and
 link density, those of the blocks before and after it, whether it is a heading, and what encloses it (an article or
 main element; page furniture by its tag or by a name of its class, id or role).  A small CART tree, grown from the labelled table
-below, tells main text from the rest: where nothing is named, by word counts and link densities alone.
+below, tells main text from the rest: where nothing is named, by word counts and link densities alone.  Two rules go beyond single
+blocks: what lies between main text belongs to it unless it is furniture or links, and a page in which the tree finds none gives its best run.
 """
 
 from __future__ import annotations
@@ -127,6 +128,7 @@ def blocks(page: str) -> list[Block]:
     linked: list[str] = []
     anchor, heading, at, n = 0, False, 0, len(page)
     ends: dict[str, dict[int, int]] = {}
+    endless: set[str] = set()  # raw text elements without an end tag from here on
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -166,7 +168,9 @@ def blocks(page: str) -> list[Block]:
                 continue  # its elements are silent themselves, and its end tag may be missing
             if not closing and not attributes.endswith("/"):
                 if name in RAW_TEXT_TAGS:
-                    end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
+                    end = None if name in endless else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
+                    if end is None:
+                        endless.add(name)
                     after = n if name in CODE_TAGS else page.find("<", at)
                     at = end.end() if end else after if after >= 0 else n
                 else:
@@ -334,12 +338,47 @@ def classify(node, row: tuple[float, ...]) -> int:
     return node
 
 
+#: Words of the run that stands for a page without main text, where the page has links or furniture besides.
+LEAST_RUN = 8
+
+
+def mostly_links(b: Block) -> bool:
+    return 2 * b.links > b.words
+
+
+def chosen(page: list[Block], model) -> list[bool]:
+    """Which blocks are main text: the tree's choice, what lies inside it, or else the page's best run.
+
+    Between two main blocks text belongs to them, such as a table's cells, unless it is mostly links or some of it is furniture; in an
+    article or main element a single linked block does too.  The best run is that of the most words without furniture or links.
+    """
+    main = [bool(classify(model, row)) for row in features(page)]
+    if not any(main):
+        plain = [not b.furniture and not mostly_links(b) for b in page]
+        runs, start = [], 0
+        for i in range(len(page) + 1):
+            if i == len(page) or not plain[i]:
+                runs.append((sum(b.words for b in page[start:i]), -start, i))
+                start = i + 1
+        words, start, end = max(runs)
+        if words >= (1 if all(plain) else LEAST_RUN):
+            main[-start:end] = [True] * (end + start)
+        return main
+    held = [i for i, m in enumerate(main) if m]
+    for a, b in zip(held, held[1:]):
+        between = page[a + 1 : b]
+        if between and not any(x.furniture for x in between):
+            alone = len(between) == 1 and between[0].inside > 0
+            main[a + 1 : b] = [alone or not mostly_links(x) for x in between]
+    return main
+
+
 def main_text(page: str | None, model=None) -> str:
     """Main text of a page, its blocks joined by an empty line; empty for null."""
     if not page:
         return ""
-    found, model = blocks(page), tree() if model is None else model
-    return "\n\n".join(b.text for b, row in zip(found, features(found)) if classify(model, row))
+    found = blocks(page)
+    return "\n\n".join(b.text for b, main in zip(found, chosen(found, tree() if model is None else model)) if main)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

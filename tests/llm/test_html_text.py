@@ -93,3 +93,36 @@ def test_query_against_a_plain_reading(spark, tmp_path):
 def test_long_and_deep_pages():
     assert html_text.main_text("<article>" + f"<p>{WORDS}</p>" * 20_000 + "</article>").count("\n\n") == 19_999
     assert "word" in html_text.main_text("<div>" * 3000 + f"<p>{WORDS}</p>" + "</section>" * 30_000)
+
+
+def test_short_pages_without_names_keep_their_text():
+    assert html_text.main_text("<body><h1>Lost cat</h1><p>Please call me today.</p><p>She is grey.</p></body>") == "Lost cat\n\nPlease call me today.\n\nShe is grey."
+    lines = ["- Who is it?", "- Me.", "- Come in then.", "- No.", "- Why not?"]
+    assert html_text.main_text("".join(f"<p>{x}</p>" for x in lines)) == "\n\n".join(lines)
+    menu, foot = "<ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li></ul>", "<footer>All rights reserved by their owners</footer>"
+    assert html_text.main_text(menu + "<h1>Lost cat</h1><p>Please call me today.</p><p>She is grey.</p>" + foot) == "Lost cat\n\nPlease call me today.\n\nShe is grey."
+    assert html_text.main_text(menu) == html_text.main_text(menu + foot) == html_text.main_text(menu + "<div>Log in</div>") == ""
+
+
+def test_tables_and_linked_paragraphs_between_text_stay():
+    table = "<table><tr><th>Year</th><th>Sold</th></tr><tr><td>1998</td><td>Two apples</td></tr></table>"
+    assert html_text.main_text(f"<p>{WORDS}</p>{table}<p>{WORDS}</p>") == "\n\n".join([WORDS, "Year", "Sold", "1998", "Two apples", WORDS])
+    assert html_text.main_text(f"<main><p>{WORDS}</p><p><a href=/>A paragraph that is one link</a></p><p>{WORDS}</p></main>") == "\n\n".join([WORDS, "A paragraph that is one link", WORDS])
+    for between in ("<div class=ad>Buy some</div>", "<div><a href=/>See also this one</a></div><div><a href=/>And that</a></div>", "<nav>Up and down</nav>"):
+        assert html_text.main_text(f"<p>{WORDS}</p>{between}<p>{WORDS}</p>") == f"{WORDS}\n\n{WORDS}"
+
+
+@pytest.mark.parametrize("tag", ["title", "textarea", "iframe", "noscript", "button", "div", "p", "b"])
+def test_unclosed_tags_take_time_in_proportion(tag):
+    import time
+
+    def seconds(n):
+        best = 9e9
+        for _ in range(3):
+            start = time.process_time()
+            html_text.main_text(f"<{tag}>" * n + f"<p>{WORDS}</p>")
+            best = min(best, time.process_time() - start)
+        return best
+
+    assert seconds(40_000) < 3.2 * seconds(20_000) + 0.05
+    assert seconds(40_000) < 4
