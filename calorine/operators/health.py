@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calorine.functions import scalar as S
+from calorine.operators.ranges import HOT, PART, entering, in_ranges
 
 DUPLICATE_LIMIT = (1 << 32) - 1
 
@@ -29,27 +30,55 @@ def node_age(latest: DataFrame, seen: DataFrame, now_ms: int) -> DataFrame:
     return both.select("node_id", "sensors", S.age_minutes(F.lit(now_ms), F.col("last_seen_ms"), F.coalesce("sensor_ms", "last_seen_ms")).alias("age_minutes"))
 
 
-def classify_sequence(frames: DataFrame) -> DataFrame:
+def _classes(rows: DataFrame) -> DataFrame:
+    """Classes and runs of rows (node_id, __part, rx_ms, event_id, seq, seq_before, run_before), range by range."""
+    inside = Window.partitionBy("node_id", PART).orderBy("rx_ms", "event_id")
+    last = F.coalesce(F.lag("seq").over(inside), F.col("seq_before"))
+    kind = F.when(last.isNull(), "first").when(F.col("seq") > last, "advance").when(F.col("seq") == last, "duplicate").otherwise("reset")
+    marked = rows.withColumn("class", kind)
+    marked = marked.withColumn("island", F.sum(F.when(F.col("class") != "duplicate", 1).otherwise(0)).over(inside))
+    run = F.sum(F.when(F.col("class") == "duplicate", 1).otherwise(0)).over(Window.partitionBy("node_id", PART, "island").orderBy("rx_ms", "event_id"))
+    run = run + F.when(F.col("island") == 0, F.coalesce("run_before", F.lit(0))).otherwise(0)
+    return marked.withColumn("dup_run", F.least(run, F.lit(DUPLICATE_LIMIT)).cast("long")).drop("island", "seq_before", "run_before")
+
+
+def _range_states(rows: DataFrame) -> DataFrame:
+    """Of each (node_id, __part): the sequence number and the run of duplicates that enter it.
+
+    A range's summary: its first and last number, its rows, the duplicates at its end, and whether all of its rows are of one number.  A range
+    of one number that goes on from the range before adds its rows to that one's run; any other ends with a run of its own.
+    """
+    alone = _classes(rows.withColumns({"seq_before": F.lit(None).cast("long"), "run_before": F.lit(0).cast("long")}))
+    at = F.struct("rx_ms", "event_id")
+    own = alone.groupBy("node_id", PART).agg(F.min_by("seq", at).alias("head"), F.max_by("seq", at).alias("tail"), F.count(F.lit(1)).alias("n"), F.max_by("dup_run", at).alias("run"))
+    ranges = Window.partitionBy("node_id").orderBy(PART)
+    own = own.withColumn("seq_before", F.lag("tail").over(ranges))
+    goes_on = (F.col("run") == F.col("n") - 1) & F.coalesce(F.col("head") == F.col("seq_before"), F.lit(False))
+    own = own.withColumn("stretch", F.sum(F.when(goes_on, 0).otherwise(1)).over(ranges))
+    own = own.withColumn("end_run", F.sum(F.when(goes_on, F.col("n")).otherwise(F.col("run"))).over(Window.partitionBy("node_id", "stretch").orderBy(PART)))
+    return own.select("node_id", PART, "seq_before", F.coalesce(F.lag("end_run").over(ranges), F.lit(0)).alias("run_before"))
+
+
+def classify_sequence(frames: DataFrame, hot: int = HOT) -> DataFrame:
     """Each frame's class (first, advance, duplicate, reset) and the run of duplicates up to it.
 
     Frames (node_id, rx_ms, event_id, seq) with seq 0 are ignored.  The run counts duplicates since the last other frame.
+    The frames of a node with more than ``hot`` are spread over ranges of time, whose summaries are put together (``ranges``).
     """
-    node = Window.partitionBy("node_id").orderBy("rx_ms", "event_id")
-    before = F.lag("seq").over(node)
-    kind = F.when(before.isNull(), "first").when(F.col("seq") > before, "advance").when(F.col("seq") == before, "duplicate").otherwise("reset")
-    marked = frames.where("seq <> 0").withColumn("class", kind)
-    island = F.sum(F.when(F.col("class") != "duplicate", 1).otherwise(0)).over(node)
-    marked = marked.withColumn("island", island)
-    run = F.sum(F.when(F.col("class") == "duplicate", 1).otherwise(0)).over(Window.partitionBy("node_id", "island").orderBy("rx_ms", "event_id"))
-    return marked.withColumn("dup_run", F.least(run, F.lit(DUPLICATE_LIMIT)).cast("long")).drop("island")
+    rows, several = in_ranges(frames.where("seq <> 0").select("node_id", "rx_ms", "event_id", "seq"), ["node_id"], ["rx_ms", "event_id"], hot)
+    if several:
+        rows = entering(rows, _range_states(rows), ["node_id"])
+    else:
+        rows = rows.withColumns({"seq_before": F.lit(None).cast("long"), "run_before": F.lit(0).cast("long")})
+    return _classes(rows).drop(PART)
 
 
-def sequence_stuck(frames: DataFrame, now_ms: int, threshold_ms: int) -> DataFrame:
+def sequence_stuck(frames: DataFrame, now_ms: int, threshold_ms: int, hot: int = HOT) -> DataFrame:
     """(node_id, last_advance_ms, last_rx_ms, dups, stuck) as of ``now_ms``.
 
     Stuck: duplicates have come since the last advance, which is at least the threshold ago.  A reset counts as an advance.
     """
-    seen = classify_sequence(frames.where(F.col("rx_ms") <= now_ms))
+    seen = classify_sequence(frames.where(F.col("rx_ms") <= now_ms), hot)
     state = seen.groupBy("node_id").agg(
         F.max(F.when(F.col("class") != "duplicate", F.col("rx_ms"))).alias("last_advance_ms"), F.max("rx_ms").alias("last_rx_ms"), F.max_by("dup_run", F.struct("rx_ms", "event_id")).alias("dups")
     )

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calorine.functions import scalar as S
+from calorine.operators.ranges import HOT, last_known, split
+from calorine.sources.shared import written
 
 
 def retain(samples: DataFrame, capacity: int) -> DataFrame:
@@ -54,14 +56,8 @@ def log_node(ms: np.ndarray, addrs: np.ndarray, temps: np.ndarray, logged: int |
     return out, int(logs[-1]) if len(logs) else logged
 
 
-def throttled(samples: DataFrame, interval_ms: int) -> DataFrame:
-    """(node_id, log_ms, addr, temp_c): what each node logs.
-
-    A frame logs when ``interval_ms`` have passed since the node last *logged*; it then logs the last known value of
-    every sensor of the node that has one.  Interval 0 logs nothing.  The rows of a node stream through in order, a
-    batch at a time: within one, the next frame that logs and a sensor's value at it are found by binary search.  A node's
-    state is one number and a value a sensor.
-    """
+def _logged_whole(samples: DataFrame, interval_ms: int) -> DataFrame:
+    """W2 of nodes that each fit a task: a node's rows stream through in order, a batch at a time."""
     schema = "node_id bigint, log_ms bigint, addr string, temp_c float"
 
     def walk(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,18 +84,66 @@ def throttled(samples: DataFrame, interval_ms: int) -> DataFrame:
         if held is not None:
             yield taken(held)
 
-    if interval_ms == 0:
-        return samples.where(F.lit(False)).select("node_id", F.col("rx_ms").alias("log_ms"), "addr", F.col("temp_c").cast("float").alias("temp_c"))
-    ordered = samples.select("node_id", "rx_ms", "event_id", "addr", F.col("temp_c").cast("float").alias("temp_c")).repartition("node_id").sortWithinPartitions("node_id", "rx_ms", "event_id")
+    ordered = samples.repartition("node_id").sortWithinPartitions("node_id", "rx_ms", "event_id")
     return ordered.mapInPandas(walk, schema)
 
 
-def backfill_epochs(samples: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Samples without an epoch get one from their node's anchor (node_id, anchor_ms, anchor_epoch)."""
-    joined = samples.join(anchors, "node_id", "left")
+def log_chain(frames: DataFrame, interval_ms: int, hot: int = HOT) -> DataFrame:
+    """(node_id, log_ms) of distinct frames (node_id, rx_ms), by jump pointers.
+
+    Every frame points to the first one ``interval_ms`` after it.  Pointers are doubled turn by turn, and each turn the frames known to log
+    reach as many again: after k turns a node's first 2**k are known.  Turns grow with the logarithm of the longest chain, and no
+    key's rows meet in one task.
+    """
+    marks = frames.select("node_id", F.col("rx_ms").alias("at"), F.lit(1).alias("kind")).unionByName(frames.select("node_id", (F.col("rx_ms") + interval_ms).alias("at"), F.lit(0).alias("kind")))
+    ahead = last_known(marks, ["node_id"], ["at", "kind"], F.when(F.col("kind") == 1, F.col("at")), hot, backwards=True)
+    jumps = written(ahead.where("kind = 0 AND known IS NOT NULL").select("node_id", (F.col("at") - interval_ms).alias("at"), F.col("known").alias("to")), "jumps")
+    logs = written(frames.groupBy("node_id").agg(F.min("rx_ms").alias("at")), "logs")
+    while not jumps.isEmpty():
+        more = logs.join(jumps, ["node_id", "at"]).select("node_id", F.col("to").alias("at"))
+        logs = written(logs.unionByName(more), "logs")
+        again = jumps.select("node_id", F.col("at").alias("to"), F.col("to").alias("next"))
+        jumps = written(jumps.join(again, ["node_id", "to"]).select("node_id", "at", F.col("next").alias("to")), "jumps")
+    return logs.select("node_id", F.col("at").alias("log_ms"))
+
+
+def _logged_spread(samples: DataFrame, interval_ms: int, hot: int) -> DataFrame:
+    """W2 of nodes with more rows than one task should have: chains by jump pointers, values carried over ranges."""
+    logs = written(log_chain(samples.select("node_id", "rx_ms").distinct(), interval_ms, hot), "logs")
+    sensors = samples.groupBy("node_id", "addr").agg(F.min("rx_ms").alias("first_ms"))
+    asked = logs.join(sensors, "node_id").where("first_ms <= log_ms")
+    asked = asked.select("node_id", "addr", F.col("log_ms").alias("rx_ms"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("float").alias("temp_c"))
+    rows = samples.select("node_id", "addr", "rx_ms", F.lit(0).alias("kind"), "event_id", "temp_c").unionByName(asked)
+    shown = last_known(rows, ["node_id", "addr"], ["rx_ms", "kind", "event_id"], F.when(F.col("kind") == 0, F.struct("temp_c")), hot).where("kind = 1")
+    return shown.select("node_id", F.col("rx_ms").alias("log_ms"), "addr", F.col("known.temp_c").alias("temp_c")).where("temp_c IS NOT NULL AND NOT isnan(temp_c)")
+
+
+def throttled(samples: DataFrame, interval_ms: int, hot: int = HOT) -> DataFrame:
+    """(node_id, log_ms, addr, temp_c): what each node logs.
+
+    A frame logs when ``interval_ms`` have passed since the node last *logged*; it then logs the last known value of
+    every sensor of the node that has one.  Interval 0 logs nothing.  Nodes of at most ``hot`` rows stream through tasks in order: the
+    next frame that logs and a sensor's value at it are found by binary search, and a node's state is one number and a value a sensor.
+    The rows of others are spread: jump pointers find what logs, and values are carried over ranges.
+    """
+    rows = samples.select("node_id", "rx_ms", "event_id", "addr", F.col("temp_c").cast("float").alias("temp_c"))
+    if interval_ms == 0:
+        return rows.where(F.lit(False)).select("node_id", F.col("rx_ms").alias("log_ms"), "addr", "temp_c")
+    cold, big = split(rows, ["node_id"], hot)
+    whole = _logged_whole(cold, interval_ms)
+    return whole if big is None else whole.unionByName(_logged_spread(written(big, "hot-rows"), interval_ms, hot))
+
+
+def stamped(rows: DataFrame) -> DataFrame:
+    """Rows (ms, epoch, anchor_ms, anchor_epoch) with ``epoch`` filled in from the anchor, and ``backfilled``."""
     epoch = F.when(F.col("anchor_ms").isNotNull(), S.millis_to_epoch(F.col("ms"), F.col("anchor_ms"), F.col("anchor_epoch")))
     filled = F.coalesce(F.col("epoch"), epoch)
-    return joined.withColumn("backfilled", F.col("epoch").isNull() & epoch.isNotNull()).withColumn("epoch", filled).drop("anchor_ms", "anchor_epoch")
+    return rows.withColumn("backfilled", F.col("epoch").isNull() & epoch.isNotNull()).withColumn("epoch", filled).drop("anchor_ms", "anchor_epoch")
+
+
+def backfill_epochs(samples: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Samples without an epoch get one from their node's anchor (node_id, anchor_ms, anchor_epoch)."""
+    return stamped(samples.join(anchors, "node_id", "left"))
 
 
 def backfill_report(filled: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from calorine.sources.shared import written
+from calorine.operators.ranges import PART, dealt, entering
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
@@ -14,14 +14,12 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataF
     Rows are dealt by ranges of keys and order; a place is that in the range and the counts of the ranges before, so a
     key with any share of the rows is spread.  The dealt rows are written, so that all steps see the same ranges.
     """
-    dealt = written(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "ranges")
-    group = keys or [F.lit(0)]
-    counts = dealt.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))  # a key has a row a partition at most
-    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*keys, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = dealt.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order)) - 1)
-    found = inside.join(counts, [*keys, "__part"])
-    return found.withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__part", "__before")
+    rows = dealt(df, keys, order)
+    counts = rows.groupBy(*keys, PART).agg(F.count(F.lit(1)).alias("__n"))  # a key has a row a range at most
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, PART, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys, PART).orderBy(*order)) - 1)
+    return entering(inside, counts, keys).withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop(PART, "__before")
 
 
 def daily_order(days: DataFrame) -> DataFrame:

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from calorine.functions import scalar as S
 from calorine.functions.crc import crc16
 from calorine.operators import alerts, calibration, grid, health, history, order, registry, rollup
-from calorine.sources import codec, ndjson
+from calorine.sources import codec, journal, ndjson
 from calorine.sources.events import samples, samples_between
-from calorine.sources.shared import scratch
-from calorine.streaming import telemetry
+from calorine.sources.shared import delete_at_exit, scratch, written
+from calorine.streaming import delivery, telemetry, upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -265,6 +265,34 @@ def w8_all(spark, d):
     return _dense(spark, d)
 
 
+@query(
+    "w8_gap_runs",
+    f"""WITH {MINUTES.replace(SAMPLES, SLOTS)}, span AS (SELECT min(rx_ms) // 60000 AS lo, (max(rx_ms) + {S.STALE_MS}) // 60000 AS hi FROM samples),
+p AS (SELECT slot, s.node_id, s.addr, epoch_minute FROM slots s JOIN minutes m ON s.node_id = m.node_id AND s.addr = m.addr AND present),
+marks AS (SELECT * FROM p UNION ALL SELECT slot, node_id, addr, lo - 1 FROM slots, span),
+runs AS (SELECT slot, node_id, addr, epoch_minute + 1 AS from_minute, coalesce(lead(epoch_minute) OVER (PARTITION BY slot ORDER BY epoch_minute) - 1, hi) AS to_minute FROM marks, span)
+SELECT CAST(slot AS INTEGER) AS slot, node_id, addr, from_minute, to_minute FROM runs WHERE from_minute <= to_minute""",
+)
+def w8_runs(spark, d):
+    """The missing minutes of the dense grid as runs."""
+    s = samples(spark, d)
+    return grid.gap_runs(grid.descriptor(s), grid.minute_samples(s), *grid.minute_span(s))
+
+
+FIRST_HOURS = SAMPLES + ", f AS (SELECT node_id, addr, (min(rx_ms) // 60000) - (min(rx_ms) // 60000) % 60 + 60 AS h FROM samples GROUP BY node_id, addr)"
+
+
+@query(
+    "t9_descriptor_spans",
+    f"""WITH {FIRST_HOURS}, seen AS (SELECT a.node_id, a.addr, a.h, list_sort(list(b.h) FILTER (WHERE b.h IS NOT NULL)) AS hs FROM f a LEFT JOIN f b ON (b.node_id, b.addr) < (a.node_id, a.addr) GROUP BY 1, 2, 3),
+o AS (SELECT *, coalesce(len(list_filter(hs, lambda x: x <= h)), 0) AS slot, CASE WHEN len(hs) >= 100 THEN hs[100] END AS gone FROM seen)
+SELECT node_id, addr, h AS from_hour_min, gone AS to_hour_min, CAST(slot AS INTEGER) AS slot, CAST(least(coalesce(len(hs), 0), 99) - slot AS INTEGER) AS moves FROM o WHERE slot < 100""",
+)
+def t9_spans(spark, d):
+    """When each sensor is among the first 100, and how often its slot moves up."""
+    return grid.descriptor_spans(grid.descriptor_by_hour(samples(spark, d))).withColumn("moves", F.size("moves"))
+
+
 @query("t9_descriptor_by_hour", f"WITH {SAMPLES} SELECT node_id, addr, (min(rx_ms) // 60000) - (min(rx_ms) // 60000) % 60 + 60 AS first_hour_min FROM samples GROUP BY node_id, addr")
 def t9(spark, d):
     return grid.descriptor_by_hour(samples(spark, d))
@@ -398,6 +426,19 @@ def t10(spark, d):
     return alerts.after_failure(_requests(spark, d), 500_000).select("arrival", "next_attempt_ms", "backoff_ms")
 
 
+@query("t10_retry_queue")
+def t10_queue(spark, d):
+    """Sixteen stored queues on a stream: attempts and drops; errors are accepted at the third attempt."""
+    path = scratch(spark, "queue")
+    requests = telemetry.event_stream(spark, d).select(
+        F.pmod("node_id", F.lit(16)).alias("queue"), F.col("event_id").alias("seq"), F.col("rx_ms").alias("arrival"), (F.col("label") != "error").alias("is_summary"), F.lit("t").alias("title"), F.when(F.col("seq") % 7 == 0, "").otherwise(F.col("label")).alias("message")
+    )
+    sink = delivery.DeliverySink(path, lambda title, message, attempt: message != "error" or attempt > 2)
+    telemetry.run_once(requests, sink, f"{path}/state")
+    delete_at_exit(spark, path)
+    return sink.events(spark).where("kind IN ('sent', 'dropped')").select("queue", "seq", "kind", "attempt", "at_ms", "ok")
+
+
 @query("s17_deliver", f"WITH {ALERTS} SELECT seq, message <> 'error' AS ok FROM requests WHERE message <> ''")
 def s17(spark, d):
     """One attempt for each request with a message, by a sender that fails for errors; no network is called."""
@@ -677,6 +718,33 @@ def s12(spark, d):
     return codec.read_journal(spark.read.parquet(path)).drop("sequence")
 
 
+@query("s12_journal_frames", f"WITH {MINUTES} SELECT node_id, addr, epoch_minute, centi FROM minutes WHERE present AND hour_min % 420 <> 0 AND NOT (hour_min % 180 = 0 AND epoch_minute % 60 >= 40)")
+def s12_frames(spark, d):
+    """Every hour's frames, journalled and recovered; of each third hour a frame is torn, and each seventh was written under another layout."""
+    path = scratch(spark, "frames")
+    placed = written(journal.slots(grid.minute_samples(samples(spark, d))), "slots")
+    torn = F.when((F.col("hour_min") % 180 == 0) & (F.col("minute") == 40), F.col("crc") + 1).otherwise(F.col("crc"))
+    other = F.when(F.col("hour_min") % 420 == 0, F.col("layout") + 1).otherwise(F.col("layout"))
+    journal.append(journal.frames(placed).withColumns({"crc": torn, "layout": other}), path)
+    delete_at_exit(spark, path)
+    return journal.readings(journal.recovered(spark, path, journal.layouts(placed)), placed)
+
+
+@query(
+    "s13_missing_frames",
+    f"""WITH {MINUTES} SELECT node_id, addr, hour_min, CAST(60 AS BIGINT) AS frames, CAST(60 - count(CASE WHEN present THEN 1 END) AS BIGINT) AS missing, bit_or(CASE WHEN present THEN CAST(1 AS BIGINT) << CAST(epoch_minute % 60 AS INTEGER) ELSE 0 END) AS present_mask FROM minutes GROUP BY 1, 2, 3""",
+)
+def s13_missing(spark, d):
+    """All 60 frames of every hour, missing ones too, out of the stored minute blocks."""
+    path = scratch(spark, "minutes")
+    codec.write_blocks(codec.minute_blocks(grid.minute_samples(samples(spark, d))), path)
+    delete_at_exit(spark, path)
+    minute = F.pmod("epoch_minute", F.lit(60)).cast("int")
+    cells = codec.decode_minutes(spark.read.parquet(path))
+    mask = F.bit_or(F.when(F.col("present"), F.call_function("shiftleft", F.lit(1).cast("long"), minute)).otherwise(F.lit(0).cast("long")))
+    return cells.groupBy("node_id", "addr", (F.col("epoch_minute") - minute).alias("hour_min")).agg(F.count(F.lit(1)).alias("frames"), F.count_if(~F.col("present")).alias("missing"), mask.alias("present_mask"))
+
+
 @query("s13_frame_export", f"WITH {MINUTES} SELECT node_id, addr, epoch_minute, centi FROM minutes WHERE present")
 def s13(spark, d):
     """Every frame of every hour, out of the hours' packed frames."""
@@ -722,9 +790,10 @@ def s16(spark, d):
 
 
 def _collected(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> str:
-    """Run a stream to its present end; each micro-batch appends to a folder, marked by its number."""
+    """Run a stream to its present end; each micro-batch has a folder named for it, which a second try of the batch overwrites."""
     path = scratch(spark, name)
-    telemetry.run_once(stream, lambda batch, i: batch.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{path}/out"), f"{path}/state", mode)
+    telemetry.run_once(stream, lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/out/batch={i}"), f"{path}/state", mode)
+    delete_at_exit(spark, path)
     return f"{path}/out"
 
 
@@ -739,6 +808,23 @@ def t3(spark, d):
     return spark.read.parquet(path).drop("batch")
 
 
+@query("t3_minute_exact_hours", f"WITH {HOURS} SELECT * FROM hours WHERE hour_min + 60 <= ({NOW} + 180000) // 60000 - 6")
+def t3_exact(spark, d):
+    """The hours of a1 on a stream, as far as the watermark has closed them."""
+    path = _collected(spark, telemetry.minute_exact_hours(telemetry.event_stream(spark, d)), "stream-minutes")
+    return spark.read.parquet(path).drop("batch")
+
+
+@query("t4_late_upserts", f"WITH {HOURS} {days_sql('hours')}")
+def t4(spark, d):
+    """Days under late data: the readings come in four files, each with times of the whole span, a file a micro-batch."""
+    path = scratch(spark, "late")
+    samples(spark, d).repartition(4, "event_id").write.parquet(f"{path}/in")
+    telemetry.run_once(telemetry.sample_stream(spark, f"{path}/in"), upserts.upsert_days(f"{path}/out"), f"{path}/state")
+    delete_at_exit(spark, path)
+    return day_text(upserts.read_days(spark, f"{path}/out")).drop("exact_mean")
+
+
 @query("t1_stream_latest", f"WITH {LATEST} SELECT node_id, addr, rx_ms AS last_ms, temp_c FROM latest")
 def t1_stream(spark, d):
     path = _collected(spark, telemetry.latest_values(telemetry.event_stream(spark, d)), "stream-latest", "update")

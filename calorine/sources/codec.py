@@ -224,38 +224,46 @@ def decode_calibration(record: bytes):
 
 
 def blocked(df: DataFrame, *keys: str) -> DataFrame:
-    """Adds ``slot`` (place among the key's sensors by (node_id, addr)) and ``block`` (of 100 slots)."""
-    sensors = df.select(*keys, "node_id", "addr").distinct()
-    slots = ranked(sensors, list(keys), ["node_id", "addr"], "slot")
-    return df.join(slots, [*keys, "node_id", "addr"]).withColumn("block", F.floor(F.col("slot") / MAX_SLOTS).cast("int"))
+    """Adds ``slot`` (place among the key's rows by (node_id, addr)) and ``block`` (of 100 slots) to rows, one a key and sensor.
+
+    The rows themselves are dealt and counted, so their plan runs once.
+    """
+    return ranked(df, list(keys), ["node_id", "addr"], "slot").withColumn("block", F.floor(F.col("slot") / MAX_SLOTS).cast("int"))
+
+
+def sensor_hours(grid: DataFrame) -> DataFrame:
+    """(hour_min, node_id, addr, minutes): a row an hour and sensor, with its at most 60 minutes (minute, present, centi).
+
+    A minute grid is dealt by (sensor, hour) already: no further shuffle.
+    """
+    minute = F.pmod("epoch_minute", F.lit(60))
+    rows = grid.select("node_id", "addr", (F.col("epoch_minute") - minute).alias("hour_min"), F.struct(minute.cast("int").alias("minute"), "present", "centi").alias("cell"))
+    return rows.groupBy("node_id", "addr", "hour_min").agg(F.collect_list("cell").alias("minutes"))
 
 
 def minute_blocks(grid: DataFrame) -> DataFrame:
-    """(hour_min, block, sensors, record) of a minute grid (node_id, addr, epoch_minute, present, centi).
+    """(hour_min, block, sensors, record) of a minute grid (node_id, addr, epoch_minute, hour_min, present, centi).
 
-    A minute without a row is a missing frame: no presence, sentinel values.  A block's rows, at most 100 slots of 60
-    minutes, are gathered in one value, so that Python meets batches of blocks rather than one group at a time.
+    A minute without a row is a missing frame: no presence, sentinel values.  A block's sensors, at most 100 of 60
+    minutes each, are gathered in one value, so that Python meets batches of blocks rather than one group at a time.
     """
 
     def encode(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in stream:
             records, sizes = [], []
-            for hour, rows in zip(batch["hour_min"], batch["rows"]):
-                slots = sorted({(r["node_id"], r["addr"]) for r in rows})
-                place = {slot: i for i, slot in enumerate(slots)}
-                present, values = np.zeros((MINUTES, len(slots)), bool), np.full((MINUTES, len(slots)), MISSING, np.int64)
-                for r in rows:
-                    at = r["minute"], place[r["node_id"], r["addr"]]
-                    present[at] = r["present"]
-                    if r["centi"] is not None:
-                        values[at] = r["centi"]
-                records.append(encode_minute_block(int(hour), [n for n, _ in slots], [a for _, a in slots], present, values))
-                sizes.append(len(slots))
+            for hour, sensors in zip(batch["hour_min"], batch["sensors"]):
+                sensors = sorted(sensors, key=lambda s: (s["node_id"], s["addr"]))
+                present, values = np.zeros((MINUTES, len(sensors)), bool), np.full((MINUTES, len(sensors)), MISSING, np.int64)
+                for slot, sensor in enumerate(sensors):
+                    for cell in sensor["minutes"]:
+                        present[cell["minute"], slot] = cell["present"]
+                        if cell["centi"] is not None:
+                            values[cell["minute"], slot] = cell["centi"]
+                records.append(encode_minute_block(int(hour), [s["node_id"] for s in sensors], [s["addr"] for s in sensors], present, values))
+                sizes.append(len(sensors))
             yield pd.DataFrame({"hour_min": batch["hour_min"], "block": batch["block"], "sensors": sizes, "record": records})
 
-    minute = F.pmod("epoch_minute", F.lit(60))
-    keyed = blocked(grid.select((F.col("epoch_minute") - minute).alias("hour_min"), "node_id", "addr", minute.cast("int").alias("minute"), "present", "centi"), "hour_min")
-    rows = keyed.groupBy("hour_min", "block").agg(F.collect_list(F.struct("node_id", "addr", "minute", "present", "centi")).alias("rows"))
+    rows = blocked(sensor_hours(grid), "hour_min").groupBy("hour_min", "block").agg(F.collect_list(F.struct("node_id", "addr", "minutes")).alias("sensors"))
     return rows.mapInPandas(encode, "hour_min bigint, block int, sensors int, record binary")
 
 

@@ -26,6 +26,12 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 16)
     return to_samples(rows).withColumn("event_time", F.timestamp_millis("rx_ms"))
 
 
+def sample_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+    """A folder of samples, a file or several a micro-batch."""
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return rows.withColumn("event_time", F.timestamp_millis("rx_ms"))
+
+
 def run_once(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process what is there in micro-batches, resuming from the checkpoint."""
     query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -46,6 +52,25 @@ def hourly_counts(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return out.select("node_id", "addr", F.floor(F.unix_seconds("window.start") / 60).cast("long").alias("hour_min"), "readings", "min_centi", "max_centi")
 
 
+def minute_exact_hours(stream: DataFrame, lateness_ms: int = S.STALE_MS, stale_ms: int = S.STALE_MS) -> DataFrame:
+    """The hours of ``a1`` on a stream: (node_id, addr, hour_min, mean_centi, min_centi, max_centi, sample_count).
+
+    Two chained aggregations with one watermark.  The first keeps the latest reading of each (sensor, minute) that it can serve, so a value
+    is carried from minute to minute until the horizon passes, whether or not anything else arrives; a minute that the watermark passes
+    goes on to the second, which sums hours and gives each out once, when it is closed.  Minutes lie up to ``stale_ms`` ahead of
+    their readings, so the watermark waits for that and ``lateness_ms``: readings late by no more are all counted.
+    """
+    first, last = F.ceil(F.col("rx_ms") / 60000).cast("long"), F.floor((F.col("rx_ms") + stale_ms) / 60000).cast("long")
+    spread = stream.where(last >= first).select("node_id", "addr", "rx_ms", "event_id", "temp_c", F.explode(F.sequence(first, last)).alias("epoch_minute"))
+    timed = spread.withColumn("minute_time", F.timestamp_seconds(F.col("epoch_minute") * 60)).withWatermark("minute_time", f"{lateness_ms + stale_ms} milliseconds")
+    minutes = timed.groupBy(F.window("minute_time", "1 minute"), "node_id", "addr").agg(F.max(F.struct("rx_ms", "event_id", "temp_c")).alias("s"))
+    t = F.col("s.temp_c")
+    minutes = minutes.select("window", "node_id", "addr", F.when(t.isNotNull() & ~F.isnan(t), S.centi(t)).alias("centi"))
+    hours = minutes.groupBy(F.window("window", "1 hour"), "node_id", "addr").agg(F.sum("centi").alias("total"), F.min("centi").alias("min_centi"), F.max("centi").alias("max_centi"), F.count("centi").alias("n"))
+    start = F.floor(F.unix_seconds("window.start") / 60).cast("long")
+    return hours.select("node_id", "addr", start.alias("hour_min"), F.round(F.col("total").cast("double") / F.col("n")).cast("int").alias("mean_centi"), "min_centi", "max_centi", F.col("n").cast("int").alias("sample_count"))
+
+
 def latest_values(stream: DataFrame) -> DataFrame:
     """The last value of each sensor, as an updating table.
 
@@ -74,6 +99,91 @@ def throttled_stream(stream: DataFrame, interval_ms: int) -> DataFrame:
     )
 
 
+def silence(stream: DataFrame, horizon_ms: int, lateness: str = LATENESS) -> DataFrame:
+    """(node_id, change, at_ms): ``stale`` when nothing has come from a node for the horizon, ``back`` when it is heard again.
+
+    A node's state is when it was last heard and whether it is stale; an event-time timer tells of its silence though nothing arrives.
+    Rows later than ``lateness`` change nothing.  Within a micro-batch a node's times alone are held.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, stale = state.get if state.exists else (None, False)
+        out: list[tuple[str, int]] = []
+        if state.hasTimedOut:
+            out, stale = [("stale", last + horizon_ms)], True
+            state.update((last, stale))
+        else:
+            times = np.unique(np.concatenate([b["rx_ms"].to_numpy(np.int64) for b in batches]))
+            if last is not None:
+                times = times[times > last]
+            for ms in times.tolist() if last is None or stale else []:
+                if stale:
+                    out.append(("back", ms))
+                break
+            steps = np.concatenate([[last], times]) if last is not None and not stale else times
+            gaps = np.flatnonzero(np.diff(steps) > horizon_ms)
+            for a, b in zip(steps[gaps].tolist(), steps[gaps + 1].tolist()):
+                out += [("stale", int(a) + horizon_ms), ("back", int(b))]
+            if len(times):
+                last, stale = int(times[-1]), False
+            if not stale and last + horizon_ms < state.getCurrentWatermarkMs():
+                out.append(("stale", last + horizon_ms))
+                stale = True
+            state.update((last, stale))
+            if not stale:
+                state.setTimeoutTimestamp(max(last + horizon_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], *o) for o in out], columns=["node_id", "change", "at_ms"])
+
+    timed = stream.withWatermark("event_time", lateness).select("node_id", "rx_ms", "event_time")
+    return timed.groupBy("node_id").applyInPandasWithState(step, "node_id bigint, change string, at_ms bigint", "last bigint, stale boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def backfill_stream(stream: DataFrame, expiry_ms: int, lateness: str = LATENESS) -> DataFrame:
+    """``backfill_epochs`` on a stream: (event_id, node_id, addr, ms, epoch, backfilled).
+
+    stream: (event_id, node_id, addr, ms, epoch, anchor_epoch, event_time); a row with ``anchor_epoch`` is its node's anchor, at its ``ms``, and
+    otherwise no sample.  Rows that have an epoch, or come after the anchor, go on at once.  Others wait in their node's state until the anchor
+    comes, or for ``expiry_ms`` of event time after the last of them, and then go on without an epoch.  The first anchor of a node counts.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        anchor_ms, anchor_epoch, ids, addrs, times = state.get if state.exists else (None, None, [], [], [])
+        held = [pd.DataFrame({"event_id": ids, "addr": addrs, "ms": times, "epoch": pd.array([None] * len(ids), "Int64")})] if ids else []
+
+        def finished(rows: pd.DataFrame) -> pd.DataFrame:
+            known = pd.array([anchor_ms] * len(rows), "Int64"), pd.array([anchor_epoch] * len(rows), "Int64")
+            return pd.DataFrame({"event_id": rows["event_id"].array, "node_id": key[0], "addr": rows["addr"].array, "ms": rows["ms"].array, "epoch": rows["epoch"].astype("Int64").array, "anchor_ms": known[0], "anchor_epoch": known[1]})
+
+        if state.hasTimedOut:
+            yield from map(finished, held)
+            state.update((anchor_ms, anchor_epoch, [], [], []))
+            return
+        latest = state.getCurrentWatermarkMs()
+        for rows in batches:
+            latest = max(latest, int(rows["event_time"].astype("int64").max() // 1_000_000) if len(rows) else 0)
+            anchors = rows[rows["anchor_epoch"].notna()]
+            if anchor_ms is None and len(anchors):
+                first = anchors.sort_values("event_id").iloc[0]
+                anchor_ms, anchor_epoch = int(first["ms"]), int(first["anchor_epoch"])
+                yield from map(finished, held)
+                held = []
+            rows = rows[rows["anchor_epoch"].isna()]
+            waits = rows["epoch"].isna() & (anchor_ms is None)
+            if waits.any():
+                held.append(rows[waits])
+            if not waits.all():
+                yield finished(rows[~waits])
+        own = pd.concat(held) if held else None
+        state.update((anchor_ms, anchor_epoch, *([own[c].tolist() for c in ("event_id", "addr", "ms")] if held else ([], [], []))))
+        if held:
+            state.setTimeoutTimestamp(latest + expiry_ms)
+
+    shape = "event_id bigint, node_id bigint, addr string, ms bigint, epoch bigint, anchor_ms bigint, anchor_epoch bigint"
+    kept = "anchor_ms bigint, anchor_epoch bigint, ids array<bigint>, addrs array<string>, times array<bigint>"
+    rows = stream.withWatermark("event_time", lateness).groupBy("node_id").applyInPandasWithState(step, shape, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return history.stamped(rows)
+
+
 def write_absent(path: str, keys: list[str], time_ms: str = "rx_ms") -> Callable[[DataFrame, int], None]:
     """A micro-batch sink that a replay leaves as it is: rows whose key is stored are left out.
 
