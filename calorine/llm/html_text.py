@@ -288,6 +288,9 @@ LABELLED = [
     [("<div>{4}</div><div>[2] [2] [1] [2]</div><div>{2} [3]</div>", 0), ("<div>{130}</div>", 1), ("<div>{2} [2]</div><div>{5}</div><div>[1] [1] [3]</div>", 0)],
     [("<p>[2] {1} [2] {1} [2]</p>", 0), ("<h2>{9}</h2><p>{44}</p><p>{19}</p><ul><li>{8}</li><li>{6}</li><li>{13}</li></ul><p>{27}</p>", 1), ("<p>[9]</p><p>[12]</p><p>[10]</p><p>{6}</p>", 0)],
     [("<div>{1}</div><div>{2}</div><div>[2]</div>", 0), ("<p>{24} [3] {12}</p><p>{10}</p><p>{31}</p>", 1), ("<p>{2} [5]</p><p>{3} [6]</p>", 0), ("<div>{3}</div><div>{2}</div>", 0)],
+    [("<p>{50}</p>", 1), ("<div>[4]</div><div>[3]</div>", 0), ("<p>{44}</p>", 1)],
+    [("<ul><li>[1]</li><li>[2]</li></ul>", 0), ("<h1>{4}</h1><p>{62}</p>", 1), ("<p>[6]</p>", 0), ("<p>{31}</p>", 1)],
+    [("<p>{36}</p><p>{24}</p>", 1), ("<div>[5]</div>", 0), ("<p>{58}</p>", 1), ("<div>[1] [2]</div><div>{7}</div>", 0)],
     [("<div>[1] [1]</div><h3>{2}</h3><div>[4]</div><div>[3]</div>", 0), ("<h1>{8}</h1><p>{52}</p><p>{16}</p><p>{75}</p>", 1), ("<h3>{3}</h3><p>[7]</p><p>[6]</p><div>{2}</div>", 0)],
 ]
 
