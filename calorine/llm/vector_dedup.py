@@ -14,6 +14,7 @@ and a star for each of its components.
 
 from __future__ import annotations
 
+import logging
 import pickle
 from collections.abc import Iterator
 
@@ -385,11 +386,21 @@ def link_vectors(nodes: DataFrame, threshold: float, steps: Steps) -> DataFrame:
     return out
 
 
+def audit_recall(found: DataFrame) -> float:
+    """The share of the audited links that were found in all meetings; a warning is logged below RECALL."""
+    held, hit = found.where("kind = 2").agg(F.sum("a"), F.sum("b")).first()
+    recall = (hit or 0) / held if held else 1.0
+    if recall < RECALL:
+        logging.getLogger(__name__).warning("vector near-dedup: audits found %.4f of the links", recall)
+    return recall
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row.
+    """(vec_id, n_links, component_id, kept, audit_recall) of every row.
 
     ``n_links`` counts the other vectors of cosine ``threshold`` or more that were found, ``component_id`` is the
-    smallest vec_id that links reach, and that vector is kept.  Vectors that are null, empty, zero, or hold null or
+    smallest vec_id that links reach, and that vector is kept; ``audit_recall`` is the share of links that the audits of this run found, the same for
+all rows.  Vectors that are null, empty, zero, or hold null or
     non-finite components link with nothing and are kept, as are rows with a null vec_id (their component is null).
     Repeated rows each give a row and count as vectors of their own; vectors of different lengths never link; an empty
     table gives no rows; further columns are ignored.
@@ -399,6 +410,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     rows = _rows(vectors, id_col, vector_col)
     nodes = steps.write(rows.where("usable").groupBy("vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")))
     found = link_vectors(nodes, threshold, steps)
+    recall = audit_recall(found)
     counted = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("others"))
     component = connected_components(found.where("kind = 1").select("a", "b"), steps)
     facts = nodes.select("node", "copies", *digest).join(counted, "node", "left").join(component, "node", "left")
@@ -406,4 +418,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     steps.drop(nodes, found, component)
     linked = rows.where("usable").select("vec_id", *digest).join(facts, ["d1", "d2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.lit(recall).alias("audit_recall"))

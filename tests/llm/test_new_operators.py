@@ -229,3 +229,14 @@ def test_queries_against_their_sql(spark, name):
     want = sorted((tuple(dict(zip([d[0] for d in cursor.description], r))[c] for c in names) for r in cursor.fetchall()), key=repr)
     df = queries.QUERIES[name](spark, D)
     assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr) == want and sorted(df.columns) == names
+
+
+def test_vector_dedup_tells_the_recall_of_its_audits(spark):
+    from calorine.llm import vector_dedup
+
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(200, 8))
+    rows = [(i, [float(x) for x in base[i % 200] + 0.02 * rng.normal(size=8)]) for i in range(800)]
+    got = vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len({r.audit_recall for r in got}) == 1 and 0.98 <= got[0].audit_recall <= 1
+    assert vector_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
