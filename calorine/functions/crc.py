@@ -44,3 +44,23 @@ def _crc16_batch(data: pd.Series) -> pd.Series:
 def crc16(data: Column) -> Column:
     """P18, in Arrow batches: rows of one length are taken together.  Null for null."""
     return F.pandas_udf(_crc16_batch, IntegerType())(data)
+
+
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials modulo the CRC-32's; the highest bit is the constant term."""
+    out = 0
+    for k in range(31, -1, -1):
+        if a >> k & 1:
+            out ^= b
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+def crc32_joined(first: int, second: int, size: int) -> int:
+    """The CRC-32 of two byte strings end to end, from that of each and the second's size: the first's times x to the power of its bits."""
+    power, base, bits = 1 << 31, 1 << 30, 8 * size
+    while bits:
+        if bits & 1:
+            power = _times(power, base)
+        base, bits = _times(base, base), bits >> 1
+    return _times(power, first) ^ second

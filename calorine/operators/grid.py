@@ -124,10 +124,10 @@ def span(samples: DataFrame, stale_ms: int = S.STALE_MS) -> tuple[int, int]:
     return (0, 0) if first is None else (first // 60_000, (last + stale_ms) // 60_000 + 1)
 
 
-def dense_grid(slots: DataFrame, minutes: DataFrame, start_minute: int, end_minute: int) -> DataFrame:
+def dense_grid(slots: DataFrame, minutes: DataFrame, start_minute: int | Column, end_minute: int | Column) -> DataFrame:
     """Every minute of [start, end) for every slot; minutes without a sample are missing.
 
-    For a bounded range of minutes and at most MAX_SENSORS slots.
+    For a bounded range of minutes and at most MAX_SENSORS slots; ``gap_runs`` says the same in fewer rows.
     """
     frame = slots.withColumn("epoch_minute", F.explode(F.sequence(F.lit(start_minute), F.lit(end_minute - 1)).cast("array<bigint>")))
     known = minutes.where(S.half_open(F.col("epoch_minute"), start_minute, end_minute)).select("node_id", "addr", "epoch_minute", "present", "centi")
@@ -155,6 +155,22 @@ def gap_runs(slots: DataFrame, minutes: DataFrame, start: Column, end: Column, h
     return runs.where("from_minute <= to_minute")
 
 
+def dense_hours(slots: DataFrame, minutes: DataFrame, start: Column, end: Column) -> DataFrame:
+    """(slot, node_id, addr, hour_min, frames, present_mask, sum_centi): the dense grid in a row an hour of each slot.
+
+    frames: the hour's minutes in [start, end); present_mask: a bit for each minute that is present; sum_centi: of the values.  Only the hours are
+    spread out; the minutes are those that have a reading.
+    """
+    there = minutes.where((F.col("epoch_minute") >= start) & (F.col("epoch_minute") < end))
+    minute = F.pmod("epoch_minute", F.lit(60)).cast("int")
+    bits = F.bit_or(F.when(F.col("present"), F.call_function("shiftleft", F.lit(1).cast("long"), minute)).otherwise(F.lit(0).cast("long")))
+    known = there.groupBy("node_id", "addr", "hour_min").agg(bits.alias("bits"), F.sum(F.col("centi").cast("long")).alias("sum_centi"))
+    hours = slots.withColumn("hour_min", F.explode(F.sequence(S.hour_start(start), S.hour_start(end - 1), F.lit(60).cast("long"))))
+    frames = F.least(F.col("hour_min") + 60, end) - F.greatest("hour_min", start)
+    joined = hours.join(known, ["node_id", "addr", "hour_min"], "left")
+    return joined.select("slot", "node_id", "addr", "hour_min", frames.alias("frames"), F.coalesce("bits", F.lit(0).cast("long")).alias("present_mask"), "sum_centi")
+
+
 def bad_minutes(frames: DataFrame) -> DataFrame:
     """(hour_min, bad_frame_mask, bad_count): a bit for each minute of the hour not written or not valid.
 

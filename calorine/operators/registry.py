@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calorine.functions import scalar as S
+from calorine.functions.crc import crc32_joined
+from calorine.operators.ranges import HOT, PART, dealt, many, split
 
 
 def best_channel(scans: DataFrame) -> DataFrame:
@@ -38,10 +44,27 @@ def insert_absent(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     return new.join(stored.select(*keys).distinct(), keys, "left_anti")
 
 
-def ordered_checksum(parts: DataFrame, keys: list[str], order: str, data: str) -> DataFrame:
-    """The seeded CRC-32 over each group's pieces in order; a group is one block, such as a node's hour."""
+def ordered_checksum(parts: DataFrame, keys: list[str], order: str, data: str, hot: int = HOT) -> DataFrame:
+    """The seeded CRC-32 over each group's pieces in order; a group is one block, such as a node's hour.
+
+    A group of more than ``hot`` pieces is cut into ranges, each with a checksum of its own, and those are put together.
+    """
+    seed = F.unhex(F.lit("FFFFFFFF"))
     joined = F.expr(f"listagg({data}, X'') WITHIN GROUP (ORDER BY {order})")
-    return parts.groupBy(*keys).agg(F.crc32(F.concat(F.unhex(F.lit("FFFFFFFF")), joined)).alias("crc"))
+    cold, big = split(parts, keys, hot)
+    whole = cold.groupBy(*keys).agg(F.crc32(F.concat(seed, joined)).alias("crc"))
+    if big is None:
+        return whole
+
+    @F.pandas_udf("bigint")
+    def together(ranges: pd.Series) -> pd.Series:
+        start = zlib.crc32(b"\xff\xff\xff\xff")
+        return ranges.map(lambda own: reduce(lambda crc, r: crc32_joined(crc, r["crc"], r["size"]), own, start))
+
+    own = dealt(big, keys, [order], many(parts)).groupBy(*keys, PART).agg(joined.alias("bytes"))
+    ranges = own.select(*keys, F.struct(F.col(PART).alias("part"), F.crc32("bytes").alias("crc"), F.length("bytes").cast("long").alias("size")).alias("r"))
+    sums = ranges.groupBy(*keys).agg(F.sort_array(F.collect_list("r")).alias("rs"))  # a row a range
+    return whole.unionByName(sums.select(*keys, together("rs").alias("crc")))
 
 
 def newest_valid_slot(slots: DataFrame, keys: list[str]) -> DataFrame:

@@ -240,11 +240,6 @@ def o1(spark, d):
     return grid.descriptor(samples(spark, d))
 
 
-def _dense(spark, d):
-    s = samples(spark, d)
-    return grid.dense_grid(grid.descriptor(s), grid.minute_samples(s), *grid.span(s))
-
-
 @query(
     "w8_dense_grid",
     f"""WITH {MINUTES.replace(SAMPLES, SLOTS)}, frame AS (SELECT *, unnest(range((SELECT min(rx_ms) // 60000 FROM samples), (SELECT (max(rx_ms) + {S.STALE_MS}) // 60000 + 1 FROM samples))) AS epoch_minute FROM slots)
@@ -253,16 +248,15 @@ FROM frame f LEFT JOIN minutes m ON f.node_id = m.node_id AND f.addr = m.addr AN
 )
 def w8(spark, d):
     """A frame for every minute of the data, in one row an hour of each slot: its frames, a bit for each minute present, the sum of values."""
-    minute = F.pmod("epoch_minute", F.lit(60)).cast("int")
-    hour = _dense(spark, d).groupBy("slot", "node_id", "addr", (F.col("epoch_minute") - minute).alias("hour_min"))
-    mask = F.bit_or(F.when(F.col("present"), F.call_function("shiftleft", F.lit(1).cast("long"), minute)).otherwise(F.lit(0).cast("long")))
-    return hour.agg(F.count(F.lit(1)).alias("frames"), mask.alias("present_mask"), F.sum(F.col("centi").cast("long")).alias("sum_centi"))
+    s = samples(spark, d)
+    return grid.dense_hours(grid.descriptor(s), grid.minute_samples(s), *grid.minute_span(s))
 
 
 @query("w8_dense_grid_all")
 def w8_all(spark, d):
     """The frames themselves, a row a minute of each slot: 4 million rows of a month, too many to hold against SQL row by row."""
-    return _dense(spark, d)
+    s = samples(spark, d)
+    return grid.dense_grid(grid.descriptor(s), grid.minute_samples(s), *grid.minute_span(s))
 
 
 @query(
@@ -831,10 +825,43 @@ def t1_stream(spark, d):
     return spark.read.parquet(path).groupBy("node_id", "addr").agg(F.max_by("last_ms", "batch").alias("last_ms"), F.max_by("temp_c", "batch").alias("temp_c"))
 
 
+SILENCE_MS = 6 * 3_600_000
+
+
+@query(
+    "t14_silence",
+    f"""WITH {SAMPLES}, t AS (SELECT DISTINCT node_id, rx_ms FROM samples), g AS (SELECT node_id, rx_ms, lead(rx_ms) OVER (PARTITION BY node_id ORDER BY rx_ms) AS next FROM t)
+SELECT node_id, 'stale' AS change, rx_ms + {SILENCE_MS} AS at_ms FROM g WHERE next > rx_ms + {SILENCE_MS} OR next IS NULL AND rx_ms + {SILENCE_MS} < {NOW} - 180000
+UNION ALL SELECT node_id, 'back', next FROM g WHERE next > rx_ms + {SILENCE_MS}""",
+)
+def t14_silence(spark, d):
+    """When nodes fall silent for six hours and when they are heard again, by event-time timers."""
+    path = _collected(spark, telemetry.silence(telemetry.event_stream(spark, d), SILENCE_MS), "stream-silence")
+    return spark.read.parquet(path).drop("batch")
+
+
+@query("w12_stream_backfill", f"WITH {UNSTAMPED} SELECT * FROM filled")
+def w12_stream(spark, d):
+    """Epochs filled in on a stream.  Anchors come as rows of it; a last row far ahead lets what still waits expire."""
+    path = scratch(spark, "backfill")
+    s = samples(spark, d)
+    rows = s.select("event_id", "node_id", "addr", "rx_ms", F.pmod("rx_ms", F.lit(S.WRAP)).alias("ms"), F.when(F.col("event_id") % 3 != 0, F.floor(F.col("rx_ms") / 1000)).cast("long").alias("epoch"), F.lit(None).cast("long").alias("anchor_epoch"))
+    first = rows.where("node_id % 5 <> 0").groupBy("node_id").agg(F.min_by(F.struct("event_id", "addr", "rx_ms", "ms"), "event_id").alias("r"))
+    anchors = first.select("node_id", "r.*", F.lit(1_704_067_200).cast("long").alias("anchor_epoch"))
+    rows.unionByName(anchors, allowMissingColumns=True).write.parquet(f"{path}/in")
+    end = s.agg(F.max("rx_ms").alias("rx_ms")).select(F.lit(-1).cast("long").alias("node_id"), (F.col("rx_ms") + 30 * 86_400_000).alias("rx_ms"), F.lit(0).cast("long").alias("epoch"))
+    rows.limit(0).unionByName(end, allowMissingColumns=True).write.mode("append").parquet(f"{path}/in")
+    delete_at_exit(spark, path)
+    found = _collected(spark, telemetry.backfill_stream(telemetry.sample_stream(spark, f"{path}/in", 16), 3_600_000), "stream-backfill")
+    return spark.read.parquet(found).where("node_id >= 0").drop("batch")
+
+
 @query("w2_stream_throttled", THROTTLED)
 def w2_stream(spark, d):
-    path = _collected(spark, telemetry.throttled_stream(telemetry.event_stream(spark, d), 6 * 3_600_000), "stream-throttled")
-    return spark.read.parquet(path).drop("batch")
+    path = scratch(spark, "stream-throttled")
+    telemetry.run_once(telemetry.event_stream(spark, d), telemetry.ThrottleSink(path, 6 * 3_600_000), f"{path}/checkpoint")
+    delete_at_exit(spark, path)
+    return spark.read.parquet(f"{path}/out").drop("batch")
 
 
 @query("t8_idempotent_sink", f"WITH {SAMPLES} SELECT event_id, node_id, addr, rx_ms FROM samples")

@@ -40,3 +40,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     delete_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def batch_before(spark: SparkSession, path: str, batch_id: int) -> int | None:
+    """The last micro-batch before a given one that has left a whole table in ``path/batch=N``; None if none has."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    done = [int(f.getPath().getParent().getName().split("=")[1]) for f in found]
+    return max((i for i in done if i < batch_id), default=None)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calorine.operators.alerts import BACKOFF_MOST_MS, BACKOFF_MS, QUEUE_SIZE, SPACING_MS
-from calorine.sources.shared import delete
+from calorine.sources.shared import batch_before, delete
 
 #: kind: waiting (state), sent (an attempt, ok or not), dropped (no room), clock (a queue's last attempt, state).
 EVENTS = "queue bigint, kind string, seq bigint, arrival bigint, is_summary boolean, title string, message string, attempt int, backoff_ms bigint, next_attempt_ms bigint, at_ms bigint, ok boolean"
@@ -114,10 +114,7 @@ class DeliverySink:
 
     def _before(self, spark: SparkSession, batch_id: int) -> tuple[DataFrame, int]:
         """The state and clock that the batch before left, whatever this one has written."""
-        where = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/events/batch=*/_SUCCESS")
-        found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
-        done = [int(f.getPath().getParent().getName().split("=")[1]) for f in found]
-        last = max((i for i in done if i < batch_id), default=None)
+        last = batch_before(spark, f"{self.path}/events", batch_id)
         if last is None:
             return spark.createDataFrame([], EVENTS), 0
         stored = spark.read.schema(EVENTS).parquet(f"{self.path}/events/batch={last}")

@@ -13,7 +13,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from calorine.functions import scalar as S
 from calorine.operators import history
+from calorine.operators.ranges import HOT
 from calorine.sources.events import to_samples
+from calorine.sources.shared import batch_before, written
 
 #: How late a reading may come: the horizon of staleness (T5); the original has no such bound.
 LATENESS = "3 minutes"
@@ -80,23 +82,38 @@ def latest_values(stream: DataFrame) -> DataFrame:
     return best.select("node_id", "addr", F.col("s.rx_ms").alias("last_ms"), F.col("s.temp_c").alias("temp_c"))
 
 
-def throttled_stream(stream: DataFrame, interval_ms: int) -> DataFrame:
-    """W2 on a stream: state of a node is when it last logged and its sensors' last values.
+class ThrottleSink:
+    """W2 on a stream: a micro-batch sink, for ``foreachBatch``, that keeps what each batch logs in a folder named for it.
 
-    A micro-batch's rows of a node are put in time order as one; log times and values are found by binary search.
+    A node's state is when it last logged and the last row of each of its sensors.  Those rows go before the batch's own, with one of a sensor without
+    a name at the time of the last log, and the batch operator does the rest; it spreads hot nodes.  A batch that is tried again starts from the
+    state before it and overwrites its folders.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        logged, addrs, temps = state.get if state.exists else (None, [], [])
-        values = {a: float("nan") if t is None else float(t) for a, t in zip(addrs, temps)}
-        rows = pd.concat(list(batches)).sort_values(["rx_ms", "event_id"])
-        out, logged = history.log_node(rows["rx_ms"].to_numpy(), rows["addr"].to_numpy(), rows["temp_c"].to_numpy(np.float32), logged, values, interval_ms)
-        state.update((logged, list(values), [float(v) for v in values.values()]))
-        yield pd.DataFrame([(key[0], *r) for r in out], columns=["node_id", "log_ms", "addr", "temp_c"])
+    MARK = ""
+    ROW = "node_id bigint, rx_ms bigint, event_id bigint, addr string, temp_c float"
+
+    def __init__(self, path: str, interval_ms: int, hot: int = HOT):
+        self.path, self.interval_ms, self.hot = path, interval_ms, hot
 
-    return stream.groupBy("node_id").applyInPandasWithState(
-        step, "node_id bigint, log_ms bigint, addr string, temp_c float", "logged bigint, addrs array<string>, temps array<float>", "append", GroupStateTimeout.NoTimeout
-    )
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        names = ["node_id", "rx_ms", "event_id", "addr", "temp_c"]
+        last = batch_before(spark, f"{self.path}/state", batch_id)
+        state = spark.createDataFrame([], self.ROW) if last is None else spark.read.schema(self.ROW).parquet(f"{self.path}/state/batch={last}")
+        rows = written(batch.select("node_id", "rx_ms", "event_id", "addr", F.col("temp_c").cast("float").alias("temp_c")), "batch")
+        known = state.where(F.col("addr") == self.MARK).select("node_id", F.col("rx_ms").alias("logged_ms"))
+        fresh = rows.groupBy("node_id").agg(F.min("rx_ms").alias("rx_ms")).join(known, "node_id", "left_anti")
+        marks = fresh.select("node_id", "rx_ms", F.lit(-1).cast("long").alias("event_id"), F.lit(self.MARK).alias("addr"), F.lit(0.0).cast("float").alias("temp_c"))
+        # What was last known before a node's last log is known at it: its chain goes on from there.
+        moved = state.join(known, "node_id", "left").withColumn("rx_ms", F.greatest("rx_ms", "logged_ms")).select(names)
+        seen = rows.unionByName(moved).unionByName(marks)
+        logs = written(history.throttled(seen, self.interval_ms, self.hot).join(known, "node_id", "left").where("logged_ms IS NULL OR log_ms > logged_ms").drop("logged_ms"), "logs")
+        logs.where(F.col("addr") != self.MARK).write.mode("overwrite").parquet(f"{self.path}/out/batch={batch_id}")
+        marked = logs.where(F.col("addr") == self.MARK).select("node_id", F.col("log_ms").alias("rx_ms"), F.lit(-1).cast("long").alias("event_id"), "addr", "temp_c")
+        both = rows.unionByName(state).unionByName(marked)
+        latest = both.groupBy("node_id", "addr").agg(F.max(F.struct("rx_ms", "event_id", "temp_c")).alias("s"))
+        latest.select("node_id", "addr", "s.*").select(names).write.mode("overwrite").parquet(f"{self.path}/state/batch={batch_id}")
 
 
 def silence(stream: DataFrame, horizon_ms: int, lateness: str = LATENESS) -> DataFrame:
@@ -147,16 +164,18 @@ def backfill_stream(stream: DataFrame, expiry_ms: int, lateness: str = LATENESS)
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        anchor_ms, anchor_epoch, ids, addrs, times = state.get if state.exists else (None, None, [], [], [])
+        anchor_ms, anchor_epoch, until, ids, addrs, times = state.get if state.exists else (None, None, 0, [], [], [])
         held = [pd.DataFrame({"event_id": ids, "addr": addrs, "ms": times, "epoch": pd.array([None] * len(ids), "Int64")})] if ids else []
 
         def finished(rows: pd.DataFrame) -> pd.DataFrame:
             known = pd.array([anchor_ms] * len(rows), "Int64"), pd.array([anchor_epoch] * len(rows), "Int64")
             return pd.DataFrame({"event_id": rows["event_id"].array, "node_id": key[0], "addr": rows["addr"].array, "ms": rows["ms"].array, "epoch": rows["epoch"].astype("Int64").array, "anchor_ms": known[0], "anchor_epoch": known[1]})
 
-        if state.hasTimedOut:
+        if state.hasTimedOut or held and until < state.getCurrentWatermarkMs():
             yield from map(finished, held)
-            state.update((anchor_ms, anchor_epoch, [], [], []))
+            held = []
+        if state.hasTimedOut:
+            state.update((anchor_ms, anchor_epoch, 0, [], [], []))
             return
         latest = state.getCurrentWatermarkMs()
         for rows in batches:
@@ -174,12 +193,12 @@ def backfill_stream(stream: DataFrame, expiry_ms: int, lateness: str = LATENESS)
             if not waits.all():
                 yield finished(rows[~waits])
         own = pd.concat(held) if held else None
-        state.update((anchor_ms, anchor_epoch, *([own[c].tolist() for c in ("event_id", "addr", "ms")] if held else ([], [], []))))
+        state.update((anchor_ms, anchor_epoch, latest + expiry_ms, *([own[c].tolist() for c in ("event_id", "addr", "ms")] if held else ([], [], []))))
         if held:
             state.setTimeoutTimestamp(latest + expiry_ms)
 
     shape = "event_id bigint, node_id bigint, addr string, ms bigint, epoch bigint, anchor_ms bigint, anchor_epoch bigint"
-    kept = "anchor_ms bigint, anchor_epoch bigint, ids array<bigint>, addrs array<string>, times array<bigint>"
+    kept = "anchor_ms bigint, anchor_epoch bigint, until bigint, ids array<bigint>, addrs array<string>, times array<bigint>"
     rows = stream.withWatermark("event_time", lateness).groupBy("node_id").applyInPandasWithState(step, shape, kept, "append", GroupStateTimeout.EventTimeTimeout)
     return history.stamped(rows)
 
@@ -197,12 +216,17 @@ def write_absent(path: str, keys: list[str], time_ms: str = "rx_ms") -> Callable
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
         fresh = batch.dropDuplicates(keys).withColumn("day", day)
-        if exists:
-            low, high, first, last = batch.agg(F.min(time_ms), F.max(time_ms), F.min(day), F.max(day)).first()
-            if low is None:
-                return
-            stored = spark.read.schema(fresh.schema).parquet(path).where(F.col("day").between(first, last) & F.col(time_ms).between(low, high))
-            fresh = fresh.join(stored.select(*keys), keys, "left_anti")
-        fresh.write.partitionBy("day").mode("append").parquet(path)
+        fresh.persist()  # read twice, computed once
+        try:
+            if exists:
+                low, high, first, last = fresh.agg(F.min(time_ms), F.max(time_ms), F.min("day"), F.max("day")).first()
+                if low is None:
+                    return
+                stored = spark.read.schema(fresh.schema).parquet(path).where(F.col("day").between(first, last) & F.col(time_ms).between(low, high))
+                fresh.join(stored.select(*keys), keys, "left_anti").write.partitionBy("day").mode("append").parquet(path)
+            else:
+                fresh.write.partitionBy("day").mode("append").parquet(path)
+        finally:
+            fresh.unpersist()
 
     return sink

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from calorine.operators import calibration, grid, health, history, ranges
+from calorine.operators import calibration, grid, health, history, ranges, registry
 from calorine.operators.order import ranked
 from calorine.sources.events import samples
 
@@ -141,3 +141,14 @@ def test_descriptor_spans(spark, cap):
                 moves += [gone] * (cap - 1 - slots[gone - 60])
             want[n, a] = (h, gone, slots[h], moves)
     assert got == want
+
+
+@pytest.mark.parametrize("hot", [5, 1_000_000])
+def test_ordered_checksums(spark, hot):
+    import zlib
+
+    rng = random.Random(2)
+    rows_ = [(k, i, rng.randbytes(rng.randrange(5))) for k in range(3) for i in range((900, 40, 3)[k])]
+    df = spark.createDataFrame(rows_, "k int, at long, piece binary").repartition(3)
+    want = {k: zlib.crc32(b"\xff\xff\xff\xff" + b"".join(p for kk, _, p in rows_ if kk == k)) for k in range(3)}
+    assert {r.k: r.crc for r in registry.ordered_checksum(df, ["k"], "at", "piece", hot).collect()} == want

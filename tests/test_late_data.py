@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from calorine.operators import grid, rollup
+from calorine.operators import grid, history, rollup
 from calorine.sources import journal
 from calorine.sources.events import samples
 from calorine.streaming import delivery, telemetry, upserts
@@ -153,3 +153,59 @@ def test_journal_is_recovered_to_its_sound_prefix(spark, tmp_path):
     # It goes on after the sound frames, and then holds everything.
     journal.append(journal.resumed(journal.frames(placed, 2), kept), path)
     assert rows(journal.readings(journal.recovered(spark, path, layouts), placed)) == rows(present)
+
+
+def plain_silence(times, horizon, now):
+    out = []
+    for node, own in times.items():
+        own = sorted(own)
+        for a, b in zip(own, own[1:]):
+            if b - a > horizon:
+                out += [(node, "stale", a + horizon), (node, "back", b)]
+        if own[-1] + horizon < now:
+            out.append((node, "stale", own[-1] + horizon))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_silence_is_told_and_its_end(spark, tmp_path, files):
+    s, path, horizon = samples(spark, D), str(tmp_path / "in"), 4 * 3_600_000
+    in_files(spark, s, path, files, by_time)
+    times = {}
+    for r in s.select("node_id", "rx_ms").collect():
+        times.setdefault(r.node_id, set()).add(r.rx_ms)
+    out = []
+    telemetry.run_once(telemetry.silence(telemetry.sample_stream(spark, path), horizon), lambda b, i: out.extend(map(tuple, b.collect())), str(tmp_path / "state"))
+    assert sorted(out, key=repr) == plain_silence(times, horizon, max(max(t) for t in times.values()) - 180_000) and len(out) > 100
+
+
+def test_backfill_waits_for_the_anchor_and_expires(spark, tmp_path):
+    path, start = str(tmp_path / "in"), 1_000_000
+    shape = "event_id long, node_id long, addr string, rx_ms long, ms long, epoch long, anchor_epoch long"
+    own = lambda i, node, at, epoch=None, anchor=None: (i, node, "a", start + at, start + at, epoch, anchor)
+    files = [
+        [own(1, 1, 0), own(2, 1, 1000, 77), own(3, 2, 500), own(4, 3, 600)],
+        [own(5, 1, 30_000), own(100, 1, 20_000, None, 5000), own(6, 2, 31_000)],
+        [own(7, 1, 60_000), own(101, 3, 60_000, None, 9000), own(102, 3, 61_000, None, 1)],
+        [own(8, 9, 10_000_000, 1)],
+        [own(9, 2, 10_001_000), own(103, 2, 10_002_000, None, 50_000), own(10, 9, 99_000_000, 2)],
+    ]
+    for f in files:
+        spark.createDataFrame(f, shape).coalesce(1).write.mode("append").parquet(path)
+    out = {}
+    telemetry.run_once(telemetry.backfill_stream(telemetry.sample_stream(spark, path), 3_600_000), lambda b, i: out.update({r.event_id: (r.epoch, r.backfilled) for r in b.collect()}), str(tmp_path / "state"))
+    # Of node 2, samples 3 and 6 expire before its anchor comes; 9 waits for it.
+    assert out == {1: (4980, True), 2: (77, False), 5: (5010, True), 7: (5040, True), 4: (8941, True), 3: (None, False), 6: (None, False), 8: (1, False), 9: (49_999, True), 10: (2, False)}
+
+
+@pytest.mark.parametrize("hot", [20, 2_000_000])
+def test_throttling_over_batches(spark, tmp_path, hot):
+    s, path = samples(spark, D), str(tmp_path / "in")
+    in_files(spark, s, path, 3, by_time)
+    sink = telemetry.ThrottleSink(str(tmp_path / "out"), 6 * 3_600_000, hot)
+    telemetry.run_once(telemetry.sample_stream(spark, path), sink, str(tmp_path / "state"))
+    want = rows(history.throttled(s, 6 * 3_600_000))
+    read = lambda: rows(spark.read.parquet(str(tmp_path / "out" / "out")).drop("batch"))
+    assert read() == want
+    sink(s.where(by_time(3) == 1), 1)  # tried again
+    assert read() == want
