@@ -30,9 +30,10 @@ def many(df: DataFrame) -> int:
 
 def split(df: DataFrame, keys: list[str], hot: int = HOT) -> tuple[DataFrame, DataFrame | None]:
     """(the rows of keys with at most ``hot`` rows, the others), the latter None if no key has more."""
-    big = written(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot).select(*keys), "hot-keys")
+    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot).select(*keys)
     if big.isEmpty():
         return df, None
+    big = written(big, "hot-keys")
     names = [f"__{k}" for k in keys]
     renamed = big.toDF(*names)
     on = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]

@@ -819,6 +819,47 @@ def t4(spark, d):
     return day_text(upserts.read_days(spark, f"{path}/out")).drop("exact_mean")
 
 
+READINGS = "SELECT event_id, node_id, addr, rx_ms, temp_c FROM samples"
+
+
+@query("t2_ticks", f"WITH {SAMPLES} {READINGS}")
+def t2(spark, d):
+    """A stream by the clock, a micro-batch a second, until nothing is left; each batch's rows in a folder named for it."""
+    path = scratch(spark, "ticks")
+    stream = telemetry.event_stream(spark, d).select("event_id", "node_id", "addr", "rx_ms", "temp_c")
+    running = telemetry.run_every(stream, lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/out/batch={i}"), f"{path}/state", seconds=1)
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    delete_at_exit(spark, path)
+    return spark.read.parquet(f"{path}/out").drop("batch")
+
+
+@query("t6_recovery", f"WITH {SAMPLES} {READINGS}")
+def t6(spark, d):
+    """A stream that ends and goes on from its checkpoint when more has come: all readings once."""
+    path = scratch(spark, "recovery")
+    rows = samples(spark, d).select("event_id", "node_id", "addr", "rx_ms", "temp_c")
+    for even in (True, False):
+        rows.where((F.col("event_id") % 2 == 0) == even).write.mode("append").parquet(f"{path}/in")
+        stream = telemetry.sample_stream(spark, f"{path}/in", 16).drop("event_time")
+        telemetry.run_once(stream, lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/out/batch={i}"), f"{path}/state")
+    delete_at_exit(spark, path)
+    return spark.read.parquet(f"{path}/out").drop("batch")
+
+
+@query("x7_payload_sink", f"WITH {SAMPLES} SELECT event_id, length(line) AS bytes, line FROM (SELECT event_id, event_id || ' ' || addr || ' ' || rx_ms || ' ' || seq AS line FROM samples)")
+def x7(spark, d):
+    """Payloads handed to a sink function, batch by batch, which stores them; read back as text."""
+    path = scratch(spark, "payloads")
+    line = F.concat_ws(" ", "event_id", "addr", "rx_ms", "seq")
+    payloads = telemetry.event_stream(spark, d).select("event_id", F.encode(line, "UTF-8").alias("payload"))
+    telemetry.run_once(payloads, lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/out/batch={i}"), f"{path}/state")
+    delete_at_exit(spark, path)
+    return spark.read.parquet(f"{path}/out").select("event_id", F.length("payload").cast("long").alias("bytes"), F.decode("payload", "UTF-8").alias("line"))
+
+
 @query("t1_stream_latest", f"WITH {LATEST} SELECT node_id, addr, rx_ms AS last_ms, temp_c FROM latest")
 def t1_stream(spark, d):
     path = _collected(spark, telemetry.latest_values(telemetry.event_stream(spark, d)), "stream-latest", "update")

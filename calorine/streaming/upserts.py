@@ -37,7 +37,7 @@ def upsert_days(path: str, zone: str = "UTC") -> Callable[[DataFrame, int], None
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         own = f"{path}/minutes/batch={batch_id}"
-        _dated(grid.minute_readings(batch), zone).repartition("day").write.partitionBy("day").mode("overwrite").parquet(own)
+        _dated(grid.minute_readings(batch), zone).hint("rebalance", "day").write.partitionBy("day").mode("overwrite").parquet(own)
         if not has_days(spark, own):
             return
         days = [r["day"] for r in spark.read.parquet(own).select("day").distinct().collect()]  # of one batch
@@ -57,8 +57,8 @@ def has_days(spark: SparkSession, path: str) -> bool:
 
 
 def _overwrite(rows: DataFrame, path: str) -> None:
-    """The days that ``rows`` holds replace the stored ones; other days stay."""
-    rows.repartition("day").write.partitionBy("day").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    """The days that ``rows`` holds replace the stored ones; other days stay.  A day's rows come together, and a large day is split."""
+    rows.hint("rebalance", "day").write.partitionBy("day").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def compact(spark: SparkSession, path: str, below: int, zone: str = "UTC") -> None:
@@ -68,7 +68,7 @@ def compact(spark: SparkSession, path: str, below: int, zone: str = "UTC") -> No
     if len(old) < 2:
         return
     spot = f"{path}/minutes/batch={min(old) - 1}"
-    _dated(grid.latest_readings(rows), zone).repartition("day").write.partitionBy("day").mode("overwrite").parquet(spot)
+    _dated(grid.latest_readings(rows), zone).hint("rebalance", "day").write.partitionBy("day").mode("overwrite").parquet(spot)
     for batch in old:
         delete(spark, f"{path}/minutes/batch={batch}")
 
