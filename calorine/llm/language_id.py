@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from calorine.llm.common import cleaning, only
 MAX_LANGS, DOCS_A_LANG, WINDOWS_A_DOC = 64, 400, 8
 #: Positions of a window, windows that are read at once, states of a direction.
 WINDOW, LANES, STATES = 64, 2048, 8
+AT_ONCE = 4 << 20
 CODES = 27 + 128
 STEPS, BATCH = 400, 256
 UNKNOWN = "und"
@@ -46,7 +48,7 @@ def has_letter(text: str) -> bool:
 
 
 def windows(text: str) -> np.ndarray:
-    """(windows, WINDOW) codes of the whole text; the last window is filled up with 0.  An empty text has no window."""
+    """(windows, WINDOW) codes of the whole text; the last window is filled up with 0.  An empty text has none."""
     codes = TABLE[np.frombuffer(text.lower().encode(), np.uint8)]
     if len(codes):
         codes = codes[(codes != 0) | (np.concatenate([[1], codes[:-1]]) != 0)]
@@ -229,6 +231,16 @@ def pooled(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarra
     return sums, labelled, letters
 
 
+def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about AT_ONCE bytes of text: what is in work at once."""
+    at, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 1):
+        size += n
+        if size >= AT_ONCE or i == len(texts):
+            yield at, i
+            at, size = i, 0
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, letters, agreeing) of every document.
 
@@ -243,8 +255,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         for batch in stream:
             named, score, count, agreeing = [], [], [], []
-            for at in range(0, batch.num_rows, 500):  # texts that are in work at once
-                sums, labelled, letters = pooled(model, batch.column(1)[at : at + 500].to_pylist())
+            for at, end in portions(batch.column(1)):
+                sums, labelled, letters = pooled(model, batch.column(1)[at:end].to_pylist())
                 for s, own, n in zip(sums, labelled, letters):
                     best = int(s.argmax()) if n else None
                     named.append(UNKNOWN if best is None else str(model.langs[best]))
