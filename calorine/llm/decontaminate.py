@@ -7,7 +7,7 @@ items of each size are indexed by blocks of their fingerprints' bits: two finger
 value and all its neighbours finds all of them; of unlike fingerprints it lets one in twenty-five through.  The multiset
 Jaccard similarity of window and item then decides.
 
-A fingerprint can be farther off than the radius at a similarity of 0.8 (about one in thirty).  Such items are not lost: a window
+A fingerprint can be farther off than the radius at a similarity of 0.8 to 0.9 (one pair in two hundred).  Such items are not lost: a window
 that shares enough with an item shares some of its rarest shingles, so the items that hold those are verified too.
 
 Windows are only fingerprinted where they can matter: a similarity of s asks for 2s/(1+s) of a window's shingles to be

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from calorine.llm import ball_kmeans, bpe, decontaminate, html_text, language_id, ngram_join, sharding, spelling, token_counts, toxicity, url_filter, vector_dedup, warc
-from calorine.llm.common import read_table, scratch
+from calorine.llm.common import delete_at_exit, read_table, scratch
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -43,7 +43,9 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.archive(read_table(spark, sf_dir, "pages"), scratch(spark, "archives"))
+    folder = scratch(spark, "archives")
+    found = warc.archive(read_table(spark, sf_dir, "pages"), folder)
+    delete_at_exit(spark, folder)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

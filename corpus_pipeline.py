@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from calorine.llm import bpe, decontaminate, ngram_join, toxicity
-from calorine.llm.common import delete, read_table, scratch
+from calorine.llm.common import delete, delete_at_exit, read_table, scratch
 from calorine.llm.queries import tokenizer_file
 
 
@@ -59,11 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again; a stage's table goes when its successor is written."""
+    """All stages over ``documents``, each written as Parquet and read again; a stage's table goes when its successor is written, the last when the application ends."""
     docs, before = read_table(spark, sf_dir, "documents"), None
     folder = scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if before is None:
+            delete_at_exit(spark, folder)
         docs = spark.read.parquet(f"{folder}/{name}")
         if before is not None:
             delete(spark, before)
