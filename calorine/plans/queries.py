@@ -13,7 +13,7 @@ from calorine.functions.crc import crc16
 from calorine.operators import alerts, calibration, grid, health, history, order, registry, rollup
 from calorine.sources import codec, journal, ndjson
 from calorine.sources.events import samples, samples_between
-from calorine.sources.shared import delete_at_exit, scratch, written
+from calorine.sources.shared import scratch, written
 from calorine.streaming import delivery, telemetry, upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -429,7 +429,6 @@ def t10_queue(spark, d):
     )
     sink = delivery.DeliverySink(path, lambda title, message, attempt: message != "error" or attempt > 2)
     telemetry.run_once(requests, sink, f"{path}/state")
-    delete_at_exit(spark, path)
     return sink.events(spark).where("kind IN ('sent', 'dropped')").select("queue", "seq", "kind", "attempt", "at_ms", "ok")
 
 
@@ -720,7 +719,6 @@ def s12_frames(spark, d):
     torn = F.when((F.col("hour_min") % 180 == 0) & (F.col("minute") == 40), F.col("crc") + 1).otherwise(F.col("crc"))
     other = F.when(F.col("hour_min") % 420 == 0, F.col("layout") + 1).otherwise(F.col("layout"))
     journal.append(journal.frames(placed).withColumns({"crc": torn, "layout": other}), path)
-    delete_at_exit(spark, path)
     return journal.readings(journal.recovered(spark, path, journal.layouts(placed)), placed)
 
 
@@ -732,7 +730,6 @@ def s13_missing(spark, d):
     """All 60 frames of every hour, missing ones too, out of the stored minute blocks."""
     path = scratch(spark, "minutes")
     codec.write_blocks(codec.minute_blocks(grid.minute_samples(samples(spark, d))), path)
-    delete_at_exit(spark, path)
     minute = F.pmod("epoch_minute", F.lit(60)).cast("int")
     cells = codec.decode_minutes(spark.read.parquet(path))
     mask = F.bit_or(F.when(F.col("present"), F.call_function("shiftleft", F.lit(1).cast("long"), minute)).otherwise(F.lit(0).cast("long")))
@@ -787,7 +784,6 @@ def _collected(spark: SparkSession, stream: DataFrame, name: str, mode: str = "a
     """Run a stream to its present end; each micro-batch has a folder named for it, which a second try of the batch overwrites."""
     path = scratch(spark, name)
     telemetry.run_once(stream, lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/out/batch={i}"), f"{path}/state", mode)
-    delete_at_exit(spark, path)
     return f"{path}/out"
 
 
@@ -815,7 +811,6 @@ def t4(spark, d):
     path = scratch(spark, "late")
     samples(spark, d).repartition(4, "event_id").write.parquet(f"{path}/in")
     telemetry.run_once(telemetry.sample_stream(spark, f"{path}/in"), upserts.upsert_days(f"{path}/out"), f"{path}/state")
-    delete_at_exit(spark, path)
     return day_text(upserts.read_days(spark, f"{path}/out")).drop("exact_mean")
 
 
@@ -832,7 +827,6 @@ def t2(spark, d):
         running.processAllAvailable()
     finally:
         running.stop()
-    delete_at_exit(spark, path)
     return spark.read.parquet(f"{path}/out").drop("batch")
 
 
@@ -845,7 +839,6 @@ def t6(spark, d):
         rows.where((F.col("event_id") % 2 == 0) == even).write.mode("append").parquet(f"{path}/in")
         stream = telemetry.sample_stream(spark, f"{path}/in", 16).drop("event_time")
         telemetry.run_once(stream, lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/out/batch={i}"), f"{path}/state")
-    delete_at_exit(spark, path)
     return spark.read.parquet(f"{path}/out").drop("batch")
 
 
@@ -856,7 +849,6 @@ def x7(spark, d):
     line = F.concat_ws(" ", "event_id", "addr", "rx_ms", "seq")
     payloads = telemetry.event_stream(spark, d).select("event_id", F.encode(line, "UTF-8").alias("payload"))
     telemetry.run_once(payloads, lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/out/batch={i}"), f"{path}/state")
-    delete_at_exit(spark, path)
     return spark.read.parquet(f"{path}/out").select("event_id", F.length("payload").cast("long").alias("bytes"), F.decode("payload", "UTF-8").alias("line"))
 
 
@@ -892,7 +884,6 @@ def w12_stream(spark, d):
     rows.unionByName(anchors, allowMissingColumns=True).write.parquet(f"{path}/in")
     end = s.agg(F.max("rx_ms").alias("rx_ms")).select(F.lit(-1).cast("long").alias("node_id"), (F.col("rx_ms") + 30 * 86_400_000).alias("rx_ms"), F.lit(0).cast("long").alias("epoch"))
     rows.limit(0).unionByName(end, allowMissingColumns=True).write.mode("append").parquet(f"{path}/in")
-    delete_at_exit(spark, path)
     found = _collected(spark, telemetry.backfill_stream(telemetry.sample_stream(spark, f"{path}/in", 16), 3_600_000), "stream-backfill")
     return spark.read.parquet(found).where("node_id >= 0").drop("batch")
 
@@ -901,7 +892,6 @@ def w12_stream(spark, d):
 def w2_stream(spark, d):
     path = scratch(spark, "stream-throttled")
     telemetry.run_once(telemetry.event_stream(spark, d), telemetry.ThrottleSink(path, 6 * 3_600_000), f"{path}/checkpoint")
-    delete_at_exit(spark, path)
     return spark.read.parquet(f"{path}/out").drop("batch")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calorine.operators.alerts import BACKOFF_MOST_MS, BACKOFF_MS, QUEUE_SIZE, SPACING_MS
-from calorine.sources.shared import batch_before, delete
+from calorine.sources.shared import batch_before, delete, scope, written
 
 #: kind: waiting (state), sent (an attempt, ok or not), dropped (no room), clock (a queue's last attempt, state).
 EVENTS = "queue bigint, kind string, seq bigint, arrival bigint, is_summary boolean, title string, message string, attempt int, backoff_ms bigint, next_attempt_ms bigint, at_ms bigint, ok boolean"
@@ -121,10 +121,11 @@ class DeliverySink:
         return stored.where("kind IN ('waiting', 'clock')"), stored.agg(F.max(F.when(F.col("kind") == "now", F.col("at_ms")))).first()[0] or 0
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state, clock = self._before(spark, batch_id)
-        latest = batch.agg(F.max("arrival")).first()[0]
-        self._step(state, batch, batch_id, max(clock, latest or 0))
+        state, clock = self._before(batch.sparkSession, batch_id)
+        with scope(batch.sparkSession):
+            rows = written(batch.select("queue", "seq", "arrival", "is_summary", "title", "message"), "requests")  # read twice, computed once
+            latest = rows.agg(F.max("arrival")).first()[0]
+            self._step(state, rows, batch_id, max(clock, latest or 0))
 
     def _step(self, state: DataFrame, batch: DataFrame, batch_id: int, now_ms: int) -> None:
         now = state.sparkSession.createDataFrame([("now", now_ms)], "kind string, at_ms bigint")

@@ -15,7 +15,7 @@ from calorine.functions import scalar as S
 from calorine.operators import history
 from calorine.operators.ranges import HOT
 from calorine.sources.events import to_samples
-from calorine.sources.shared import batch_before, written
+from calorine.sources.shared import batch_before, scope, written
 
 #: How late a reading may come: the horizon of staleness (T5); the original has no such bound.
 LATENESS = "3 minutes"
@@ -97,6 +97,10 @@ class ThrottleSink:
         self.path, self.interval_ms, self.hot = path, interval_ms, hot
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        with scope(batch.sparkSession):
+            self._step(batch, batch_id)
+
+    def _step(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         names = ["node_id", "rx_ms", "event_id", "addr", "temp_c"]
         last = batch_before(spark, f"{self.path}/state", batch_id)

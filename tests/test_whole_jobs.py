@@ -99,3 +99,16 @@ def test_s14_and_s16_store_what_they_return(spark):
     for name in ("s14_daily_state_records", "s16_calibration_blob"):
         files = QUERIES[name](spark, D).inputFiles()
         assert files and not any("events.parquet" in f for f in files)
+
+
+def test_a_scope_leaves_nothing_behind(spark):
+    from pathlib import Path
+
+    from calorine.sources.shared import scope
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {p.name for p in shared.iterdir()}
+    for name in ("s8_hourly_blocks", "o3_node_order", "s13_missing_frames", "w2_stream_throttled", "t4_late_upserts"):
+        with scope(spark):
+            assert QUERIES[name](spark, D).count() > 0
+        assert {p.name for p in shared.iterdir()} <= before
