@@ -109,7 +109,8 @@ def test_shards_follow_the_curve(spark):
     rows += [(None, "x", "en", "hot"), (5, "x", "en", "hot"), (5, "x", "en", "hot")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
     got = sharding.assign_shards(docs, 24).collect()
-    langs = {v: i for i, v in enumerate(sorted({r[2] or "" for r in rows}))}
+    names = sorted({r[2] or "" for r in rows})
+    langs = {v: i * 16 // len(names) for i, v in enumerate(names)}  # few names are spread over the axis
     seen = sorted(r[3] for r in rows)
     source = {v: seen.index(v) * 16 // len(rows) for v in set(seen)}
     cells: dict = {}

@@ -361,6 +361,7 @@ def test_index_beats_comparing_all_fingerprints():
 def test_no_similar_window_is_lost(monkeypatch, scan):
     """Windows whose multiset similarity is 0.8 or more are found all, also where the fingerprints are beyond the radius."""
     monkeypatch.setattr(decontaminate, "SCAN", scan)
+    monkeypatch.setattr(decontaminate, "RADIUS", 8)  # so that many are beyond it
     rng = random.Random(4)
     vocabulary = [f"v{i}" for i in range(5000)]
     items = [rng.choices(vocabulary, k=rng.randrange(20, 40)) for _ in range(600)]
@@ -377,7 +378,7 @@ def test_no_similar_window_is_lost(monkeypatch, scan):
             total += 1
             x, y = (decontaminate.fingerprints(s, np.zeros(1, np.int64), len(own))[0] for s in (own, decontaminate.shingles(decontaminate.word_hashes(" ".join(item)))))
             far += int(np.bitwise_count(x ^ y).sum()) > decontaminate.RADIUS
-    assert total > 100 and far > 0
+    assert total > 50 and far > 10
 
 
 def test_decontamination_ties_long_texts_and_blocks(spark, monkeypatch):
