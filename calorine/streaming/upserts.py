@@ -25,7 +25,8 @@ def read_minutes(spark: SparkSession, path: str, days: list[int] | None = None)
     """The minutes of all partials of some days, or of all: each minute's latest reading over all batches."""
     rows = spark.read.parquet(f"{path}/minutes").drop("batch")
     rows = rows if days is None else rows.where(F.col("day").isin(days))
-    return grid.finish_minutes(grid.latest_readings(rows))
+    # Dealt once, by sensor and hour: for the minute's choice here and a rollup by hour after it.
+    return grid.finish_minutes(grid.latest_readings(rows.repartition("node_id", "addr", "hour_min")))
 
 
 def upsert_days(path: str, zone: str = "UTC") -> Callable[[DataFrame, int], None]:
@@ -38,9 +39,9 @@ def upsert_days(path: str, zone: str = "UTC") -> Callable[[DataFrame, int], None
         spark = batch.sparkSession
         own = f"{path}/minutes/batch={batch_id}"
         _dated(grid.minute_readings(batch), zone).hint("rebalance", "day").write.partitionBy("day").mode("overwrite").parquet(own)
-        if not has_days(spark, own):
+        days = day_folders(spark, own)
+        if not days:
             return
-        days = [r["day"] for r in spark.read.parquet(own).select("day").distinct().collect()]  # of one batch
         hours = rollup.hourly_rollup(read_minutes(spark, path, days))
         _overwrite(_dated(hours, zone), f"{path}/hours")
         stored = spark.read.parquet(f"{path}/hours").where(F.col("day").isin(days)).drop("day")
@@ -49,11 +50,11 @@ def upsert_days(path: str, zone: str = "UTC") -> Callable[[DataFrame, int], None
     return sink
 
 
-def has_days(spark: SparkSession, path: str) -> bool:
-    """Whether a table has the folder of any day, and so a schema."""
+def day_folders(spark: SparkSession, path: str) -> list[int]:
+    """The days of a table that is kept by day; none of an empty one."""
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day=*")
-    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
-    return found is not None and len(found) > 0
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    return sorted(int(f.getPath().getName().split("=")[1]) for f in found)
 
 
 def _overwrite(rows: DataFrame, path: str) -> None:
