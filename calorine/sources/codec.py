@@ -1,7 +1,7 @@
 """The binary record formats: minute blocks, hourly and daily rollups, daily state, the hour journal, calibration.
 
 One record is one binary value, so that records live in Parquet columns or in files of any store.  A block holds at
-most 100 slots; blocks are built group by group and decoded row by row.
+most 100 slots; blocks are built out of rows in their order and decoded few at a time.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ SLOT = np.dtype([("node", "<u4"), ("rom", "<u8")])
 ROLLUP = np.dtype([("mean", "<i2"), ("min", "<i2"), ("max", "<i2"), ("count", "<u2")])
 CAL_ENTRY = np.dtype([("addr", "u1", 8), ("a1", "<f4"), ("a0", "<f4")])
 MISSING, MAX_SLOTS, MINUTES = -32768, 100, 60
+#: Blocks that are decoded into rows at a time: 96,000 rows of minutes at most.
+DECODED = 16
 
 
 def seeded_crc(*parts: bytes) -> int:
@@ -241,58 +244,91 @@ def sensor_hours(grid: DataFrame) -> DataFrame:
     return rows.groupBy("node_id", "addr", "hour_min").agg(F.collect_list("cell").alias("minutes"))
 
 
+def _in_blocks(rows: DataFrame, start: str) -> DataFrame:
+    """A block's rows in one partition, one after the other in order of slots."""
+    return rows.repartition(start, "block").sortWithinPartitions(start, "block", "slot")
+
+
+def _whole_blocks(stream: Iterator[pa.RecordBatch], start: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int]]]]:
+    """(rows, where each of their blocks begins and ends) of rows in order of blocks: a batch's last block waits for the rest of it.
+
+    So Python holds one batch of sensors, however many blocks a task has.
+    """
+    held = None
+    for batch in stream:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.concat_batches([held, batch])
+        starts, blocks = rows.column(start).to_numpy(), rows.column("block").to_numpy()
+        edges = [0, *(np.flatnonzero((np.diff(starts) != 0) | (np.diff(blocks) != 0)) + 1).tolist()]
+        if len(edges) > 1:
+            yield rows, list(zip(edges, edges[1:]))
+        held = rows.slice(edges[-1])
+    if held is not None:
+        yield held, [(0, held.num_rows)]
+
+
+def _records(rows: pa.RecordBatch, bounds: list[tuple[int, int]], columns: list[str], records: list[bytes], **more: pa.Array) -> pa.RecordBatch:
+    """A row a block: key columns, those of ``more`` and the record."""
+    first = rows.select(columns).take(pa.array([a for a, _ in bounds], pa.int64()))
+    return pa.RecordBatch.from_arrays([*first.columns, *more.values(), pa.array(records, pa.binary())], names=[*columns, *more, "record"])
+
+
 def minute_blocks(grid: DataFrame) -> DataFrame:
     """(hour_min, block, sensors, record) of a minute grid (node_id, addr, epoch_minute, hour_min, present, centi).
 
-    A minute without a row is a missing frame: no presence, sentinel values.  A block's sensors, at most 100 of 60
-    minutes each, are gathered in one value, so that Python meets batches of blocks rather than one group at a time.
+    A minute without a row is a missing frame: no presence, sentinel values.  Python meets batches of sensors with the hour's minutes
+    of each, in order of blocks.
     """
 
-    def encode(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in stream:
-            records, sizes = [], []
-            for hour, sensors in zip(batch["hour_min"], batch["sensors"]):
-                sensors = sorted(sensors, key=lambda s: (s["node_id"], s["addr"]))
-                present, values = np.zeros((MINUTES, len(sensors)), bool), np.full((MINUTES, len(sensors)), MISSING, np.int64)
-                for slot, sensor in enumerate(sensors):
-                    for cell in sensor["minutes"]:
-                        present[cell["minute"], slot] = cell["present"]
-                        if cell["centi"] is not None:
-                            values[cell["minute"], slot] = cell["centi"]
-                records.append(encode_minute_block(int(hour), [s["node_id"] for s in sensors], [s["addr"] for s in sensors], present, values))
-                sizes.append(len(sensors))
-            yield pd.DataFrame({"hour_min": batch["hour_min"], "block": batch["block"], "sensors": sizes, "record": records})
-
-    rows = blocked(sensor_hours(grid), "hour_min").groupBy("hour_min", "block").agg(F.collect_list(F.struct("node_id", "addr", "minutes")).alias("sensors"))
-    return rows.mapInPandas(encode, "hour_min bigint, block int, sensors int, record binary")
+    def encode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in _whole_blocks(stream, "hour_min"):
+            hours, nodes, addrs = (rows.column(c).to_pylist() for c in ("hour_min", "node_id", "addr"))
+            lists = rows.column("minutes")
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            cells = lists.flatten()
+            minute, there, centi = cells.field("minute").to_numpy(), cells.field("present").to_numpy(zero_copy_only=False), cells.field("centi").fill_null(MISSING).to_numpy()
+            slot = np.repeat(np.arange(rows.num_rows), np.diff(ends))
+            records = []
+            for a, b in bounds:
+                own = slice(ends[a], ends[b])
+                present, values = np.zeros((MINUTES, b - a), bool), np.full((MINUTES, b - a), MISSING, np.int64)
+                present[minute[own], slot[own] - a], values[minute[own], slot[own] - a] = there[own], centi[own]
+                records.append(encode_minute_block(hours[a], nodes[a:b], addrs[a:b], present, values))
+            yield _records(rows, bounds, ["hour_min", "block"], records, sensors=pa.array([b - a for a, b in bounds], pa.int32()))
+
+    rows = _in_blocks(blocked(sensor_hours(grid), "hour_min"), "hour_min")
+    return rows.mapInArrow(encode, "hour_min bigint, block int, sensors int, record binary")
 
 
 def rollup_blocks(rollups: DataFrame, start_col: str, daily: bool = False) -> DataFrame:
     """(start_min, block, record) of hourly or daily rollups; ``start_col`` is an epoch minute."""
     magic = DROL if daily else HROL
+    names = ("node_id", "addr", "mean_centi", "min_centi", "max_centi", "sample_count")
 
-    def encode(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in stream:
-            records = []
-            for start, rows in zip(batch["start_min"], batch["rows"]):
-                columns = zip(*(tuple(r.values() if isinstance(r, dict) else r) for r in rows))
-                records.append(encode_rollup_block(magic, int(start), *columns))
-            yield pd.DataFrame({"start_min": batch["start_min"], "block": batch["block"], "record": records})
+    def encode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in _whole_blocks(stream, "start_min"):
+            starts, *columns = (rows.column(c).to_pylist() for c in ("start_min", *names))
+            records = [encode_rollup_block(magic, starts[a], *(c[a:b] for c in columns)) for a, b in bounds]
+            yield _records(rows, bounds, ["start_min", "block"], records)
+
+    rows = _in_blocks(blocked(rollups.select(F.col(start_col).alias("start_min"), *names), "start_min"), "start_min")
+    return rows.mapInArrow(encode, "start_min bigint, block int, record binary")
 
-    names = ("node_id", "addr", "mean_centi", "min_centi", "max_centi", "sample_count")
-    keyed = blocked(rollups.select(F.col(start_col).alias("start_min"), *names), "start_min")
-    rows = keyed.groupBy("start_min", "block").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("rows"))
-    return rows.mapInPandas(encode, "start_min bigint, block int, record binary")
+
+def _few(stream: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The records of batches, ``DECODED`` at a time."""
+    for batch in stream:
+        for part in range(0, batch.num_rows, DECODED):
+            yield batch.column("record").slice(part, DECODED).to_pylist()
 
 
 def _addresses(roms: np.ndarray) -> list[str]:
     return [f"{r:016X}" for r in roms.tolist()]
 
 
-def _nullable(values: np.ndarray, gone: np.ndarray) -> pd.array:
-    column = pd.array(values.astype(np.int64), dtype="Int32")
-    column[gone] = pd.NA
-    return column
+def _nullable(values: np.ndarray, gone: np.ndarray) -> pa.Array:
+    return pa.array(values.astype(np.int32), mask=gone)
 
 
 def decode_minutes(blocks: DataFrame, present_only: bool = False) -> DataFrame:
@@ -301,24 +337,24 @@ def decode_minutes(blocks: DataFrame, present_only: bool = False) -> DataFrame:
     ``present_only``: without what is missing, which is most of a sparse block.
     """
 
-    def decode(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in stream:
-            for part in range(0, len(batch), 64):  # 64 blocks of 6,000 rows at most
-                parts = []
-                for record in batch["record"].iloc[part : part + 64]:
-                    got = decode_minute_block(bytes(record))
-                    if got is None or not got[5]:
-                        continue
-                    hour, slots, present, values, ok, _ = got
-                    cells = np.flatnonzero(present & ok[:, None]) if present_only else np.arange(present.size)
-                    minute, slot = np.divmod(cells, len(slots))
-                    addrs = np.array(_addresses(slots["rom"]), object)
-                    parts.append((slots["node"][slot].astype(np.int64), addrs[slot], hour + minute, present.ravel()[cells], values.ravel()[cells], ok[minute]))
-                if parts:
-                    node, addr, minute, present, values, ok = (np.concatenate(c) for c in zip(*parts))
-                    yield pd.DataFrame({"node_id": node, "addr": addr, "epoch_minute": minute, "present": present & ok, "centi": _nullable(values, (values == MISSING) | ~ok), "frame_ok": ok})
-
-    return blocks.select("record").mapInPandas(decode, "node_id bigint, addr string, epoch_minute bigint, present boolean, centi int, frame_ok boolean")
+    def decode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for records in _few(stream):
+            parts, addrs = [], []
+            for record in records:
+                got = decode_minute_block(record)
+                if got is None or not got[5]:
+                    continue
+                hour, slots, present, values, ok, _ = got
+                cells = np.flatnonzero(present & ok[:, None]) if present_only else np.arange(present.size)
+                minute, slot = np.divmod(cells, len(slots))
+                parts.append((slots["node"][slot].astype(np.int64), slot + len(addrs), hour + minute, present.ravel()[cells], values.ravel()[cells], ok[minute]))
+                addrs += _addresses(slots["rom"])
+            if parts:
+                node, slot, minute, present, values, ok = (np.concatenate(c) for c in zip(*parts))
+                columns = {"node_id": node, "addr": pa.array(addrs, pa.string()).take(pa.array(slot)), "epoch_minute": minute, "present": present & ok, "centi": _nullable(values, (values == MISSING) | ~ok), "frame_ok": ok}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return blocks.select("record").mapInArrow(decode, "node_id bigint, addr string, epoch_minute bigint, present boolean, centi int, frame_ok boolean")
 
 
 def read_frames(blocks: DataFrame, minute: int | None = None) -> DataFrame:
@@ -331,23 +367,23 @@ def read_frames(blocks: DataFrame, minute: int | None = None) -> DataFrame:
 def decode_rollups(blocks: DataFrame) -> DataFrame:
     """(node_id, addr, start_min, mean_centi, min_centi, max_centi, sample_count); bad payloads are skipped."""
 
-    def decode(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in stream:
+    def decode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for records in _few(stream):
             parts = []
-            for record in batch["record"]:
-                got = decode_rollup_block(bytes(record))
+            for record in records:
+                got = decode_rollup_block(record)
                 if got is not None and got[4]:
                     _, start, slots, rows, _ = got
                     parts.append((slots, np.full(len(slots), start, np.int64), rows))
             if parts:
                 slots, start, rows = (np.concatenate(c) for c in zip(*parts))
-                out = pd.DataFrame({"node_id": slots["node"].astype(np.int64), "addr": _addresses(slots["rom"]), "start_min": start})
+                out = {"node_id": slots["node"].astype(np.int64), "addr": pa.array(_addresses(slots["rom"]), pa.string()), "start_min": start}
                 for name in ("mean", "min", "max"):
                     out[f"{name}_centi"] = _nullable(rows[name], rows[name] == MISSING)
                 out["sample_count"] = rows["count"].astype(np.int32)
-                yield out
+                yield pa.RecordBatch.from_pydict(out)
 
-    return blocks.select("record").mapInPandas(decode, "node_id bigint, addr string, start_min bigint, mean_centi int, min_centi int, max_centi int, sample_count int")
+    return blocks.select("record").mapInArrow(decode, "node_id bigint, addr string, start_min bigint, mean_centi int, min_centi int, max_centi int, sample_count int")
 
 
 def verify(blocks: DataFrame) -> DataFrame:
