@@ -19,6 +19,9 @@ from calorine.sources.shared import batch_before, scope, written
 
 #: How late a reading may come: the horizon of staleness (T5); the original has no such bound.
 LATENESS = "3 minutes"
+#: Rooms of nodes of ``backfill_stream``: a stream keeps to the number it began with.
+ROOMS = 1024
+NONE = -(2**63)
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 16) -> DataFrame:
@@ -159,52 +162,65 @@ def silence(stream: DataFrame, horizon_ms: int, lateness: str = LATENESS) -> Dat
     return timed.groupBy("node_id").applyInPandasWithState(step, "node_id bigint, change string, at_ms bigint", "last bigint, stale boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def backfill_stream(stream: DataFrame, expiry_ms: int, lateness: str = LATENESS) -> DataFrame:
+def backfill_stream(stream: DataFrame, expiry_ms: int, lateness: str = LATENESS, rooms: int = ROOMS) -> DataFrame:
     """``backfill_epochs`` on a stream: (event_id, node_id, addr, ms, epoch, backfilled).
 
     stream: (event_id, node_id, addr, ms, epoch, anchor_epoch, event_time); a row with ``anchor_epoch`` is its node's anchor, at its ``ms``, and
     otherwise no sample.  Rows that have an epoch, or come after the anchor, go on at once.  Others wait in their node's state until the anchor
-    comes, or for ``expiry_ms`` of event time after the last of them, and then go on without an epoch.  The first anchor of a node counts.
+    comes, or for ``expiry_ms`` of event time after the node's last row of a micro-batch, and then go on without an epoch.  The first anchor of
+    a node counts.
+
+    Nodes are dealt by hash into ``rooms``, whose rows Python takes together: a call a room and micro-batch, not a call a node.  A room's
+    state holds the anchors of its nodes and what waits, each node with a time of its own.  Within, ``NONE`` stands for null, so that numbers
+    stay whole.
     """
+    longs = ("event_id", "node_id", "ms", "epoch")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        anchor_ms, anchor_epoch, until, ids, addrs, times = state.get if state.exists else (None, None, 0, [], [], [])
-        held = [pd.DataFrame({"event_id": ids, "addr": addrs, "ms": times, "epoch": pd.array([None] * len(ids), "Int64")})] if ids else []
+        nodes, starts, epochs, waiting, untils, ids, owners, addrs, times = state.get if state.exists else ([], [], [], [], [], [], [], [], [])
+        anchors = pd.DataFrame({"anchor_ms": np.array(starts, np.int64), "anchor_epoch": np.array(epochs, np.int64)}, index=np.array(nodes, np.int64))
+        held = pd.DataFrame({"event_id": np.array(ids, np.int64), "node_id": np.array(owners, np.int64), "addr": np.array(addrs, object), "ms": np.array(times, np.int64), "epoch": np.full(len(ids), NONE)})
+        until, latest, mark = dict(zip(waiting, untils)), {}, state.getCurrentWatermarkMs()
 
         def finished(rows: pd.DataFrame) -> pd.DataFrame:
-            known = pd.array([anchor_ms] * len(rows), "Int64"), pd.array([anchor_epoch] * len(rows), "Int64")
-            return pd.DataFrame({"event_id": rows["event_id"].array, "node_id": key[0], "addr": rows["addr"].array, "ms": rows["ms"].array, "epoch": rows["epoch"].astype("Int64").array, "anchor_ms": known[0], "anchor_epoch": known[1]})
-
-        if state.hasTimedOut or held and until < state.getCurrentWatermarkMs():
-            yield from map(finished, held)
-            held = []
-        if state.hasTimedOut:
-            state.update((anchor_ms, anchor_epoch, 0, [], [], []))
-            return
-        latest = state.getCurrentWatermarkMs()
-        for rows in batches:
-            latest = max(latest, int(rows["event_time"].astype("int64").max() // 1_000_000) if len(rows) else 0)
-            anchors = rows[rows["anchor_epoch"].notna()]
-            if anchor_ms is None and len(anchors):
-                first = anchors.sort_values("event_id").iloc[0]
-                anchor_ms, anchor_epoch = int(first["ms"]), int(first["anchor_epoch"])
-                yield from map(finished, held)
-                held = []
-            rows = rows[rows["anchor_epoch"].isna()]
-            waits = rows["epoch"].isna() & (anchor_ms is None)
+            known = anchors.reindex(rows["node_id"], fill_value=NONE)
+            return rows.assign(anchor_ms=known["anchor_ms"].to_numpy(), anchor_epoch=known["anchor_epoch"].to_numpy())
+
+        gone = held["node_id"].isin([n for n, ms in until.items() if ms < mark])
+        if gone.any():
+            yield finished(held[gone])
+            held = held[~gone]
+        for rows in [] if state.hasTimedOut else batches:
+            if not len(rows):
+                continue
+            for node, ms in rows["at"].groupby(rows["node_id"]).max().items():
+                latest[node] = max(latest.get(node, mark), ms)
+            own = rows["anchor_epoch"] != NONE
+            first = rows[own & ~rows["node_id"].isin(anchors.index)].sort_values("event_id").drop_duplicates("node_id")
+            if len(first):
+                anchors = pd.concat([anchors, first.set_index("node_id").rename(columns={"ms": "anchor_ms"})[["anchor_ms", "anchor_epoch"]]])
+                ready = held["node_id"].isin(first["node_id"])
+                if ready.any():
+                    yield finished(held[ready])
+                    held = held[~ready]
+            rows = rows.loc[~own, list(held.columns)]
+            waits = (rows["epoch"] == NONE) & ~rows["node_id"].isin(anchors.index)
             if waits.any():
-                held.append(rows[waits])
+                held = pd.concat([held, rows[waits]])
             if not waits.all():
                 yield finished(rows[~waits])
-        own = pd.concat(held) if held else None
-        state.update((anchor_ms, anchor_epoch, latest + expiry_ms, *([own[c].tolist() for c in ("event_id", "addr", "ms")] if held else ([], [], []))))
-        if held:
-            state.setTimeoutTimestamp(latest + expiry_ms)
+        until = {n: latest[n] + expiry_ms if n in latest else until[n] for n in held["node_id"].unique().tolist()}
+        waits = [held[c].tolist() for c in ("event_id", "node_id", "addr", "ms")]
+        state.update((anchors.index.tolist(), anchors["anchor_ms"].tolist(), anchors["anchor_epoch"].tolist(), list(until), [int(ms) for ms in until.values()], *waits))
+        if until:
+            state.setTimeoutTimestamp(int(min(until.values())))
 
     shape = "event_id bigint, node_id bigint, addr string, ms bigint, epoch bigint, anchor_ms bigint, anchor_epoch bigint"
-    kept = "anchor_ms bigint, anchor_epoch bigint, until bigint, ids array<bigint>, addrs array<string>, times array<bigint>"
-    rows = stream.withWatermark("event_time", lateness).groupBy("node_id").applyInPandasWithState(step, shape, kept, "append", GroupStateTimeout.EventTimeTimeout)
-    return history.stamped(rows)
+    kept = "nodes array<bigint>, starts array<bigint>, epochs array<bigint>, waiting array<bigint>, untils array<bigint>, ids array<bigint>, owners array<bigint>, addrs array<string>, times array<bigint>"
+    whole = {c: F.coalesce(F.col(c), F.lit(NONE)) for c in (*longs, "anchor_epoch")} | {"at": F.coalesce(F.unix_millis("event_time"), F.lit(NONE)), "room": F.pmod(F.xxhash64("node_id"), F.lit(rooms))}
+    given = stream.withWatermark("event_time", lateness).withColumns(whole).select(*longs, "addr", "anchor_epoch", "at", "event_time", "room")
+    rows = given.groupBy("room").applyInPandasWithState(step, shape, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return history.stamped(rows.withColumns({c: F.nullif(F.col(c), F.lit(NONE)) for c in (*longs, "anchor_ms", "anchor_epoch")}))
 
 
 def write_absent(path: str, keys: list[str], time_ms: str = "rx_ms") -> Callable[[DataFrame, int], None]:

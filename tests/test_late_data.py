@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from calorine.operators import grid, history, rollup
+from calorine.plans.queries import QUERIES
 from calorine.sources import journal
 from calorine.sources.events import samples
 from calorine.streaming import delivery, telemetry, upserts
@@ -209,3 +210,37 @@ def test_throttling_over_batches(spark, tmp_path, hot):
     assert read() == want
     sink(s.where(by_time(3) == 1), 1)  # tried again
     assert read() == want
+
+
+def test_backfill_takes_nodes_together(spark, tmp_path):
+    """Nodes of one room wait, get their anchors and expire each by itself."""
+    path, start = str(tmp_path / "in"), 1_000_000
+    shape = "event_id long, node_id long, addr string, rx_ms long, ms long, epoch long, anchor_epoch long"
+    own = lambda i, node, at, epoch=None, anchor=None: (i, node, "a", start + at, start + at, epoch, anchor)
+    nodes = range(40)
+    files = [
+        [own(n, n, 500 + n) for n in nodes],
+        [own(100 + n, n, 5_000_000) for n in nodes if n % 4 == 1] + [own(200 + n, n, 20_000, None, 5000 + n) for n in nodes if n % 4 == 0],
+        [own(300 + n, n, 5_100_000, None, 9000) for n in nodes if n % 4 == 1] + [own(400 + n, n, 5_100_000, 7) for n in nodes if n % 4 == 2],
+        [own(500 + n, n, 99_000_000) for n in nodes if n % 4 == 0],
+    ]
+    for f in files:
+        spark.createDataFrame(f, shape).coalesce(1).write.mode("append").parquet(path)
+    made = telemetry.backfill_stream(telemetry.sample_stream(spark, path), 3_600_000, rooms=1)
+    out = []
+    telemetry.run_once(made, lambda b, i: out.extend((r.event_id, r.node_id, r.epoch, r.backfilled) for r in b.collect()), str(tmp_path / "state"))
+    want = [(n, n, 5000 + n - 19, True) for n in nodes if n % 4 == 0]
+    want += [(500 + n, n, 5000 + n + 98_980, True) for n in nodes if n % 4 == 0]
+    want += [(n, n, 9000 - 5099, True) for n in nodes if n % 4 == 1] + [(100 + n, n, 8900, True) for n in nodes if n % 4 == 1]
+    want += [(n, n, None, False) for n in nodes if n % 4 in (2, 3)] + [(400 + n, n, 7, False) for n in nodes if n % 4 == 2]
+    assert sorted(out, key=str) == sorted(want, key=str)
+
+
+def test_backfill_of_many_files_loses_no_row(spark, tmp_path):
+    spark.read.parquet(f"{D}/events.parquet").repartition(50).write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task and so a file of the stream for each
+    try:
+        got = rows(QUERIES["w12_stream_backfill"](spark, str(tmp_path)).select("event_id", "node_id", "addr", "ms", "epoch", "backfilled"))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == rows(QUERIES["w12_backfill_epochs"](spark, D).select("event_id", "node_id", "addr", "ms", "epoch", "backfilled"))
