@@ -60,3 +60,22 @@ def test_minutes_are_decoded_few_blocks_at_a_time():
     batches = [pa.RecordBatch.from_pydict({"record": pa.array([record] * 100, pa.binary())})]
     out = codec.decode_minutes(Caught(batches))
     assert sum(b.num_rows for b in out) == 600_000 and max(b.num_rows for b in out) <= 16 * 6000
+
+
+def test_rollup_blocks_across_batches(spark, small_batches):
+    hours = grid_of(spark).groupBy("hour_min", "node_id", "addr").agg(F.min("centi").alias("min_centi"), F.max("centi").alias("max_centi"), F.count("centi").cast("int").alias("sample_count"))
+    hours = hours.withColumn("mean_centi", F.when(F.col("node_id") % 3 != 0, F.col("max_centi")))
+    for daily in (False, True):
+        blocks = codec.rollup_blocks(hours, "hour_min", daily)
+        assert {"node_id", "mean_centi"} <= set(given(blocks))  # a row a sensor, not a block
+        names = ["node_id", "addr", "mean_centi", "min_centi", "max_centi", "sample_count"]
+        got = sorted(map(tuple, codec.decode_rollups(blocks).select("start_min", *names).collect()), key=str)
+        assert got == sorted(map(tuple, hours.select("hour_min", *names).collect()), key=str) and len(got) == 351
+        assert sorted(map(tuple, codec.verify(blocks).select("start_min", "block", "header_ok", "payload_ok").collect())) == [(6000, 0, True, True), (6000, 1, True, True), (6000, 2, True, True), (6060, 0, True, True), (6120, 0, True, True)]
+
+
+def test_rollups_are_decoded_few_blocks_at_a_time():
+    one = [1] * 100
+    record = codec.encode_rollup_block(codec.HROL, 6000, range(100), [f"28{i:014X}" for i in range(100)], one, one, one, one)
+    out = codec.decode_rollups(Caught([pa.RecordBatch.from_pydict({"record": pa.array([record] * 1000, pa.binary())})]))
+    assert sum(b.num_rows for b in out) == 100_000 and max(b.num_rows for b in out) <= 1600
