@@ -364,6 +364,30 @@ def read_frames(blocks: DataFrame, minute: int | None = None) -> DataFrame:
     return decode_minutes(blocks.where(F.col("hour_min") == minute - minute % MINUTES), present_only=True).where(F.col("epoch_minute") == minute)
 
 
+def frame_hours(blocks: DataFrame) -> DataFrame:
+    """(node_id, addr, hour_min, frames, missing, present_mask) of sound blocks: a row a slot, not one a frame.
+
+    Bit m of ``present_mask`` tells whether the slot is present in the frame of minute m; a bad frame is missing.
+    """
+
+    def decode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for records in _few(stream):
+            parts = []
+            for record in records:
+                got = decode_minute_block(record)
+                if got is None or not got[5]:
+                    continue
+                hour, slots, present, _, ok, _ = got
+                there = present & ok[:, None]
+                mask = np.bitwise_or.reduce(there.astype(np.int64) << np.arange(len(ok))[:, None], axis=0)
+                parts.append((slots, np.full(len(slots), hour, np.int64), np.full(len(slots), len(ok), np.int64), len(ok) - there.sum(axis=0), mask))
+            if parts:
+                slots, hour, frames, missing, mask = (np.concatenate(c) for c in zip(*parts))
+                yield pa.RecordBatch.from_pydict({"node_id": slots["node"].astype(np.int64), "addr": pa.array(_addresses(slots["rom"]), pa.string()), "hour_min": hour, "frames": frames, "missing": missing, "present_mask": mask})
+
+    return blocks.select("record").mapInArrow(decode, "node_id bigint, addr string, hour_min bigint, frames bigint, missing bigint, present_mask bigint")
+
+
 def decode_rollups(blocks: DataFrame) -> DataFrame:
     """(node_id, addr, start_min, mean_centi, min_centi, max_centi, sample_count); bad payloads are skipped."""
 

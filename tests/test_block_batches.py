@@ -79,3 +79,29 @@ def test_rollups_are_decoded_few_blocks_at_a_time():
     record = codec.encode_rollup_block(codec.HROL, 6000, range(100), [f"28{i:014X}" for i in range(100)], one, one, one, one)
     out = codec.decode_rollups(Caught([pa.RecordBatch.from_pydict({"record": pa.array([record] * 1000, pa.binary())})]))
     assert sum(b.num_rows for b in out) == 100_000 and max(b.num_rows for b in out) <= 1600
+
+
+def test_hours_of_frames_have_a_row_a_slot():
+    import numpy as np
+
+    minutes, slots = np.arange(60)[:, None], np.arange(100)[None, :]
+    present = (minutes * 7 + slots * 3) % 5 < 3
+    record = codec.encode_minute_block(6000, range(100), [f"28{i:014X}" for i in range(100)], present, np.ones((60, 100), np.int64))
+    torn = bytearray(codec.encode_minute_block(6060, [7], ["28" + "0" * 14], np.ones((60, 1), bool), np.ones((60, 1), np.int64)))
+    torn[codec.MINUTE_HEADER.size + 12 + 59 * codec.frame_layout(1)[1]] ^= 2  # a bad frame in a payload whose checksum is made to hold
+    f = list(codec.MINUTE_HEADER.unpack(bytes(torn[: codec.MINUTE_HEADER.size])))
+    f[12] = codec.seeded_crc(bytes(torn[codec.MINUTE_HEADER.size :]))
+    torn[: codec.MINUTE_HEADER.size] = codec._sealed(codec.MINUTE_HEADER, *f[:-1])
+    spoilt = record[:-1] + bytes([record[-1] ^ 1])
+    out = codec.frame_hours(Caught([pa.RecordBatch.from_pydict({"record": pa.array([record] * 40 + [spoilt, b""] + [bytes(torn)], pa.binary())})]))
+    assert max(b.num_rows for b in out) <= 16 * 100  # not 60 times that
+    rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    want = [(i, f"28{i:014X}", 6000, 60, 60 - int(present[:, i].sum()), sum(1 << m for m in range(60) if present[m, i])) for i in range(100)]
+    assert rows == want * 40 + [(7, "28" + "0" * 14, 6060, 60, 1, (1 << 59) - 1)]
+
+
+def test_missing_frames_are_not_expanded(spark):
+    from calorine.plans.queries import QUERIES
+
+    plan = QUERIES["s13_missing_frames"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # an hour's frames are counted where they are decoded
