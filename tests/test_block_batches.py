@@ -113,3 +113,39 @@ def test_a_task_has_one_python_worker(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") + plan.count("ArrowEvalPython") == 1, plan
+
+
+def test_s7_python_takes_no_more_for_more_blocks(spark, tmp_path, monkeypatch):
+    """A task of 100 whole minute blocks, 600,000 minutes: what encoding and decoding add to a worker's memory."""
+    folder = str(tmp_path)
+
+    def measured(step):
+        def run(stream):
+            import os
+            import re
+
+            def peak():
+                return int(re.search(r"VmHWM:\s+(\d+)", open("/proc/self/status").read())[1]) // 1024
+
+            open("/proc/self/clear_refs", "w").write("5")  # the peak starts at what the worker holds now
+            before = peak()
+            yield from step(stream)
+            open(f"{folder}/{os.getpid()}-{peak() - before}.mb", "w").close()
+
+        return run
+
+    for name in ("mapInArrow", "mapInPandas"):
+        plain = getattr(type(spark.range(1)), name)
+        monkeypatch.setattr(type(spark.range(1)), name, lambda df, step, schema, plain=plain: plain(df, measured(step), schema))
+    cell = spark.range(600_000).selectExpr("id % 100 AS node_id", "id DIV 6000 * 60 AS hour_min", "id DIV 100 % 60 AS m")
+    grid = cell.selectExpr("node_id", "lpad(hex(node_id), 16, '0') AS addr", "hour_min + m AS epoch_minute", "hour_min", "true AS present", "CAST(m AS INT) AS centi")
+    monkeypatch.setattr(codec, "blocked", lambda rows, *keys: rows.selectExpr("*", "node_id AS slot", "0 AS block").coalesce(1))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        codec.minute_blocks(grid).write.parquet(f"{folder}/blocks")
+        back = codec.decode_minutes(spark.read.parquet(f"{folder}/blocks"), present_only=True)
+        assert back.selectExpr("count(*)", "sum(centi)", "count(DISTINCT epoch_minute)").first() == (600_000, 17_700_000, 6000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    grown = [int(f.stem.split("-")[1]) for f in tmp_path.glob("*.mb")]
+    assert len(grown) >= 2 and max(grown) < 80, grown
